@@ -1,0 +1,84 @@
+"""Where intermediate tables go, and how a hot key is joined."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key is heavy when it holds over 1/HEAVY of all rows, so there are fewer than HEAVY such keys.
+HEAVY = 1000
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only where that is unset (tests in one process) a folder of this machine is set and used.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = spark.conf.get("quernel.own.checkpoint.dir", None)
+        if not found:
+            found = "file://" + tempfile.mkdtemp(prefix="quernel-")
+            spark.sparkContext.setCheckpointDir(found)
+            spark.conf.set("quernel.own.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/quernel/{uuid.uuid4().hex}-{name}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    This cuts lineage and survives the loss of executors; the files stay until the folder is cleaned.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, how: str = "left", noise: str | None = None) -> DataFrame:
+    """Join many ``rows`` to one row of ``groups`` for each key, whatever share of the rows one key holds.
+
+    ``groups`` is saved already and its column ``count`` has the number of rows with that key. Keys over
+    1/HEAVY of the counted rows are fewer than HEAVY by arithmetic, so those are broadcast; a row that found
+    its group there goes on under a key of its own (from the column ``noise``), so it weighs on no task in
+    the shuffled join that serves all other keys.
+    """
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    values = [c for c in groups.columns if c != key]
+    heavy = groups.where(F.col(count) * HEAVY > total).select(
+        F.col(key).alias("_hk"), F.struct(*values).alias("_hv")
+    )
+    light = groups.where(F.col(count) * HEAVY <= total).select(F.col(key).alias("_lk"), F.struct(*values).alias("_lv"))
+    spread = F.col(noise) if noise else F.monotonically_increasing_id()
+    near = rows.join(F.broadcast(heavy), F.col(key) == F.col("_hk"), "left")
+    if how == "inner":
+        a = near.where("_hk is not null").select(*rows.columns, *[F.col(f"_hv.{c}").alias(c) for c in values])
+        b = (
+            near.where("_hk is null")
+            .join(light, F.col(key) == F.col("_lk"))
+            .select(*rows.columns, *[F.col(f"_lv.{c}").alias(c) for c in values])
+        )
+        return a.unionByName(b)
+    kind = rows.schema[key].dataType.simpleString()
+    own = spread.cast("string") if kind == "string" else F.xxhash64(spread)
+    near = near.withColumn("_jk", F.when(F.col("_hk").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(own))
+    out = near.join(light, F.col("_jk") == F.col("_lk"), "left")
+    held = F.when(F.col("_hk").isNotNull(), F.col("_hv")).when(F.col(key).isNotNull() & F.col("_lk").eqNullSafe(F.col(key)), F.col("_lv"))
+    return out.withColumn("_v", held).select(*rows.columns, *[F.col(f"_v.{c}").alias(c) for c in values])
+
+
+#: Most rows of a slim table (a few longs each) that is broadcast; its rows are counted first.
+MAX_BROADCAST_ROWS = 50_000
+
+
+def hinted(small: DataFrame) -> DataFrame:
+    """A saved slim table, marked for broadcast only if its counted rows are few; else it is shuffled."""
+    return F.broadcast(small) if small.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else small
