@@ -4,7 +4,30 @@ from __future__ import annotations
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_winnowing": OP10}
+    return {"op5_line_windows": OP5, "op10_winnowing": OP10}
+
+
+#: doc_id is unique in this table, so places are ordered by it and by line alone.
+OP5 = r"""
+WITH l AS (
+    SELECT doc_id, text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS lines FROM documents
+), run AS (
+    SELECT doc_id, p, array_to_string(lines[p:p + 2], chr(10)) AS w FROM l, unnest(range(1, len(lines) - 1)) t(p)
+), later AS (
+    SELECT doc_id, p FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) AS k FROM run WHERE regexp_matches(w, '[^\n\r\t ]'))
+    WHERE k > 1
+), gone AS (
+    SELECT DISTINCT doc_id, q FROM (SELECT doc_id, unnest(range(p, p + 3)) AS q FROM later)
+), each AS (
+    SELECT l.doc_id, i, lines[i] AS line, gone.q IS NOT NULL AS hit
+    FROM l, unnest(range(1, len(lines) + 1)) t(i) LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.q = i
+)
+SELECT l.doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+       CASE WHEN n IS NULL OR n = 0 THEN text ELSE coalesce(clean, '') END AS text
+FROM l LEFT JOIN (
+    SELECT doc_id, count(*) FILTER (WHERE hit) AS n, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT hit) AS clean FROM each GROUP BY doc_id
+) USING (doc_id)
+"""
 
 
 #: Windows of 10 words are compared as lists of words, at every position.

@@ -65,15 +65,16 @@ def _counts(slim: DataFrame, probes: list[int]) -> dict[int, tuple[int, int]]:
     return {k: (int(size[i]), int(rows[i])) for i, k in enumerate(probes)}
 
 
-def splitters(slim: DataFrame, targets: list[tuple[int, float, float]], total: tuple[int, int], probes: int = 24) -> tuple[list[int], dict[int, tuple[int, int]]]:
+def splitters(slim: DataFrame, targets: list[tuple[int, float, float]], total: tuple[int, int], probes: int = 4096) -> tuple[list[int], dict[int, tuple[int, int]]]:
     """Boundary keys for ``targets`` of (0 for bytes or 1 for rows, value below, tolerance), and counts below each.
 
     A target is met when a probe is within its tolerance, or when at most one row, or only rows of one equal
-    key, lie between its closest probes; then the closer one is taken.
+    key, lie between its closest probes; then the closer one is taken. Each round shares out ``probes`` among
+    the intervals that are still open, so the driver holds a bounded number of counts for each round.
     """
     known: dict[int, tuple[int, int]] = {0: (0, 0), _END: total}
     while True:
-        keys, new, chosen = sorted(known), set(), []
+        keys, wide, chosen = sorted(known), set(), []
         for which, value, tolerance in targets:
             column = [known[k][which] for k in keys]
             i = min(max(bisect.bisect_left(column, value), 1), len(keys) - 1)
@@ -82,11 +83,13 @@ def splitters(slim: DataFrame, targets: list[tuple[int, float, float]], total: t
             if abs(known[best][which] - value) <= tolerance or known[high][1] - known[low][1] <= 1 or high - low <= 1:
                 chosen.append(best)
             else:
-                step = max(1, (high - low) // (probes + 1))
-                new.update(k for k in range(low + step, high, step))
-        new -= known.keys()
-        if not new:
+                wide.add((low, high))
+        if not wide:
             return sorted({k for k in chosen if 0 < k < _END}), known
+        new = set()
+        for low, high in wide:
+            step = max(1, (high - low) // (max(8, probes // len(wide)) + 1))
+            new.update(range(low + step, high, step))
         known |= _counts(slim, sorted(new))
 
 

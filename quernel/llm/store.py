@@ -68,7 +68,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, how: s
         )
         return a.unionByName(b)
     kind = rows.schema[key].dataType.simpleString()
-    own = spread.cast("string") if kind == "string" else F.xxhash64(spread)
+    own = spread.cast("string").cast(kind) if kind in ("string", "binary") else F.xxhash64(spread)
     near = near.withColumn("_jk", F.when(F.col("_hk").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(own))
     out = near.join(light, F.col("_jk") == F.col("_lk"), "left")
     held = F.when(F.col("_hk").isNotNull(), F.col("_hv")).when(F.col(key).isNotNull() & F.col("_lk").eqNullSafe(F.col(key)), F.col("_lv"))
