@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_windows": OP5, "op10_winnowing": OP10}
+    return {"op5_line_windows": OP5, "op9_capture_index": OP9, "op10_winnowing": OP10}
 
 
 #: doc_id is unique in this table, so places are ordered by it and by line alone.
@@ -59,3 +59,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM words LEFT JOIN per USING (r) LEFT JOIN its USING (r)
 """
+
+
+#: Base32 of the SHA-1: each 5 hex digits are 20 bits, so 4 letters.
+OP9 = """
+WITH p AS (
+    SELECT page_id, encode(coalesce(html, '')) AS body, sha1(coalesce(html, '')) AS h FROM pages
+)
+SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + CAST((CAST('0x' || substr(h, 1 + 5 * CAST(i // 4 AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31 AS INT), 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = max(page_id) OVER w THEN NULL ELSE max(page_id) OVER w END AS refers_to
+FROM p WINDOW w AS (PARTITION BY h)
+"""

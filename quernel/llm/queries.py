@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import decontam, langid, linededup, sharding
+from quernel.llm import decontam, langid, linededup, pieces, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,23 @@ def op5_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+#: Where the model file of the box's public tokenizers is; a parameter of the operator.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op8_shared_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ids of each text, and whether decoding them gives the text back."""
+    docs = _table(spark, sf_dir, "documents").withColumn("_hash", F.xxhash64("text"))
+    encoded = pieces.encode(docs, PIECE_MODEL, ["doc_id", "_hash"])
+    decoded = pieces.decode(encoded, PIECE_MODEL, ["doc_id", "_hash", "ids"])
+    restored = F.when(F.col("ids").isNotNull(), F.xxhash64("text") == F.col("_hash"))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", restored.alias("restored"))
+
+
+def op9_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -45,5 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_histogram_shards": op3_histogram_shards,
         "op4_word_backoff": op4_word_backoff,
         "op5_line_windows": op5_line_windows,
+        "op8_shared_prefix": op8_shared_prefix,
+        "op9_capture_index": op9_capture_index,
         "op10_winnowing": op10_winnowing,
     }
