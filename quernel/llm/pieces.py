@@ -8,7 +8,8 @@ kept while words go on from it, so a shared prefix is scored once.
 For a unigram model the state of a prefix is the best score of its segmentations and their last piece. For a
 BPE model it is the last piece of the one segmentation of the prefix that the merges give: a segmentation is
 that one exactly if each two neighbouring pieces, merged by themselves, stay those two pieces, so a piece may
-end a prefix if it fits the state at which it begins. Both give the ids that the library gives.
+end a prefix if it fits the state at which it begins. These are the ids that the library gives; those of a
+unigram model are a best-scoring segmentation.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"
 #: Distinct marked words, and distinct parts of them, that a task remembers; it then begins anew.
@@ -265,7 +267,7 @@ def encode(df: DataFrame, model: str, keep: list[str], text: str = "text", ids:
                 yield pa.RecordBatch.from_arrays([*(b[c].slice(at, len(group)) for c in keep), lists], names=[*keep, ids])
                 at += len(group)
 
-    schema = df.select(*keep).schema.add(ids, "array<int>")
+    schema = df.select(*keep).schema.add(ids, T.ArrayType(T.IntegerType()))
     return df.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
