@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import decontam, langid, linededup, pieces, sharding, warc
+from quernel.llm import decontam, langid, linededup, minhash, pieces, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(_table(spark, sf_dir, "documents"))
+
+
 def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return sharding.histogram_shards(docs, shards=16).select(
@@ -59,6 +63,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_dart_minhash": op1_dart_minhash,
         "op3_histogram_shards": op3_histogram_shards,
         "op4_word_backoff": op4_word_backoff,
         "op5_line_windows": op5_line_windows,
