@@ -64,16 +64,24 @@ class Chunk:
     def word_rows(self) -> np.ndarray:
         return np.repeat(np.arange(self.rows), np.diff(self.word_bounds))
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each lower-cased word."""
+    def sums(self) -> np.ndarray:
+        """Running sums that hashes of spans are taken from."""
         n = len(self.data)
         sums = np.empty(n + 1, dtype=np.uint64)
         sums[0] = 0
         np.cumsum(_VALUE[self.data] * _power(_BASE_INVERSE, n), out=sums[1:])
-        out = sums[self.ends] - sums[self.starts]
-        out *= _power(_BASE, n + 1)[self.starts]
+        return sums
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of the lower-cased bytes of each span."""
+        out = sums[ends] - sums[starts]
+        out *= _power(_BASE, len(self.data) + 1)[starts]
         return mix(out)
 
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each lower-cased word."""
+        return self.spans(self.starts, self.ends, self.sums())
+
 
 def chunks(column: pa.Array) -> Iterator[Chunk]:
     """Chunks of a string column; a null has no bytes."""

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import decontam, langid, linededup, minhash, pieces, sharding, warc
+from quernel.llm import ann, decontam, langid, linededup, minhash, pieces, sharding, tokencount, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(_table(spark, sf_dir, "documents"))
 
 
+def op2_anisotropic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return sharding.histogram_shards(docs, shards=16).select(
@@ -40,6 +44,31 @@ def op5_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+#: Rank file of a byte-level vocabulary; a parameter of the operator.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def op6_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document, and after three edits at places that its doc_id gives: words put in, characters
+    taken out, and characters replaced."""
+    docs = _table(spark, sf_dir, "documents")
+
+    def place(turn: str) -> Column:
+        return F.pmod(F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(turn)).cast("binary")), F.length("text") + 1).cast("int")
+
+    def edit(turn: str, length: int, insert: str) -> Column:
+        return F.struct(place(turn).alias("start"), F.lit(length).alias("length"), F.lit(insert).alias("insert"))
+
+    edits = F.array(edit("a", 0, " more words,\n 12"), edit("b", 17, ""), edit("c", 9, "re's  "))
+    counted = tokencount.counted_edits(docs.withColumn("edits", edits), RANKS, ["doc_id"])
+    return counted.select("doc_id", "n_pretokens", "n_tokens", "n_tokens_edited", "n_reencoded")
+
+
+def op7_cumulative_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.severity(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")), ["doc_id"])
+
+
 #: Where the model file of the box's public tokenizers is; a parameter of the operator.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -64,9 +93,12 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_dart_minhash": op1_dart_minhash,
+        "op2_anisotropic": op2_anisotropic,
         "op3_histogram_shards": op3_histogram_shards,
         "op4_word_backoff": op4_word_backoff,
         "op5_line_windows": op5_line_windows,
+        "op6_edit_counts": op6_edit_counts,
+        "op7_cumulative_link": op7_cumulative_link,
         "op8_shared_prefix": op8_shared_prefix,
         "op9_capture_index": op9_capture_index,
         "op10_winnowing": op10_winnowing,
