@@ -25,7 +25,10 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 #: Distinct marked words, and distinct parts of them, that a task remembers; it then begins anew.
-MAX_WORDS, MAX_PARTS = 200_000, 400_000
+MAX_WORDS, MAX_PARTS = 200_000, 300_000
+#: Pairs of pieces of which a task remembers whether merges keep them apart.
+MAX_FITS = 400_000
+_WIDE = 1 << 22  #: beyond any piece's id, and any character's number
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -86,7 +89,14 @@ class Pieces:
             raise ValueError("a piece goes on beyond a space")
         self.cut_lines = not any("\n" in p for p in self.pairs)
         self.least = min(self.score.values(), default=0.0) - 10
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[int, bool] = {}
+        self.sizes: dict[str, list[int]] = {}  # lengths of the pieces that end in two given characters, longest first
+        for p in sorted((p for p in self.score if len(p) > 1), key=len, reverse=True):
+            own = self.sizes.setdefault(p[-2:], [])
+            if not own or own[-1] != len(p):
+                own.append(len(p))
+        for own in self.sizes.values():
+            own.append(1)
 
     def merged(self, text: str) -> list[str]:
         """BPE by itself: join the pair of best score, leftmost first, until none is a piece."""
@@ -99,11 +109,15 @@ class Pieces:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def _fit(self, before: str, piece: str) -> bool:
-        ok = self.merged(before + piece) == ([before, piece] if before else [piece])
-        if len(self.fits) > 2_000_000:
+    def _name(self, i: int) -> str:
+        return self.names[i] if i >= 0 else chr(-2 - i)
+
+    def _fit(self, before: int | None, i: int) -> bool:
+        pair = [self._name(i)] if before is None else [self._name(before), self._name(i)]
+        ok = self.merged("".join(pair)) == pair
+        if len(self.fits) > MAX_FITS:
             self.fits.clear()
-        self.fits[before, piece] = ok
+        self.fits[i if before is None else (before + _WIDE) * _WIDE + i] = ok
         return ok
 
     def cut(self, word: str) -> list[str]:
@@ -121,7 +135,7 @@ class Pieces:
         return (self._walk_unigram if self.unigram else self._walk_bpe)(sorted(parts))
 
     def _walk_bpe(self, parts: list[str]) -> dict[str, tuple[int, ...]]:
-        score, fits, longest = self.score, self.fits, self.longest
+        known, fits, sizes, one = self.id, self.fits, self.sizes, (1,)
         out, path, last = {}, "", []  # last[i]: the piece that ends the first i + 1 characters of the path
         for part in parts:
             k, n = 0, min(len(path), len(part))
@@ -129,16 +143,32 @@ class Pieces:
                 k += 1
             del last[k:]
             for end in range(k + 1, len(part) + 1):
-                for begin in range(max(0, end - longest), end):
-                    piece = part[begin:end]
-                    if piece in score or end - begin == 1:
-                        before = last[begin - 1] if begin else ""
-                        ok = fits.get((before, piece))
-                        if ok or ok is None and self._fit(before, piece):
-                            last.append(piece)
-                            break
+                for size in sizes.get(part[end - 2 : end], one) if end > 1 else one:
+                    begin = end - size
+                    if begin < 0:
+                        continue
+                    i = known.get(part[begin:end])
+                    if i is None:
+                        if size > 1:
+                            continue
+                        i = -2 - ord(part[begin])
+                    if begin:
+                        before = last[begin - 1]
+                        ok = fits.get((before + _WIDE) * _WIDE + i)
+                    else:
+                        before, ok = None, fits.get(i)
+                    if ok is None:
+                        ok = self._fit(before, i)
+                    if ok:
+                        last.append(i)
+                        break
             path = part
-            out[part] = self._back(part, last)
+            found, end = [], len(part)
+            while end:
+                i = last[end - 1]
+                found.append(i)
+                end -= len(self.names[i]) if i >= 0 else 1
+            out[part] = tuple(reversed(found)) if min(found) >= 0 else self._ids([self._name(i) for i in reversed(found)])
         return out
 
     def _walk_unigram(self, parts: list[str]) -> dict[str, tuple[int, ...]]:
@@ -159,16 +189,16 @@ class Pieces:
                 best.append(top)
                 last.append(won)
             path = part
-            out[part] = self._back(part, last)
+            found, end = [], len(part)
+            while end:
+                found.append(last[end - 1])
+                end -= len(last[end - 1])
+            out[part] = self._ids(found[::-1])
         return out
 
-    def _back(self, part: str, last: list[str]) -> tuple[int, ...]:
-        found, end = [], len(part)
-        while end:
-            found.append(last[end - 1])
-            end -= len(last[end - 1])
+    def _ids(self, found: list[str]) -> tuple[int, ...]:
         ids: list[int] = []
-        for piece in reversed(found):
+        for piece in found:
             i = self.id.get(piece)
             if i is not None:
                 ids.append(i)
