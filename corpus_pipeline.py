@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quernel.llm import decontam, langid, linededup, minhash, pieces
 from quernel.llm.queries import PIECE_MODEL
-from quernel.llm.store import saved
+from quernel.store import saved
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quernel.llm.store import saved
+from quernel.store import saved
 
 WORDS = 16
 QUERY_BLOCK = 2048  #: queries whose tables are sent to the tasks at once: a bound, whatever the table's size

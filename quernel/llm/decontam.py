@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.llm.bytetok import LOWER, Chunk, chunks, mix
-from quernel.llm.store import MAX_BROADCAST_ROWS, hinted, saved
+from quernel.store import MAX_BROADCAST_ROWS, hinted, saved
 
 _STEP = np.uint64(0x9FB21C651E98DF25)
 _FIELDS = "row long, id {id}, n_words long, hash long, pos long, context string, left int, size int"

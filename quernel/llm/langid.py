@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.llm.bytetok import LOWER, Chunk, chunks, mix
-from quernel.llm.store import saved
+from quernel.store import saved
 
 GRAMS = 5
 _MARK = np.uint64(0x5851F42D4C957F2D)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.store import join_groups, saved
+from quernel.store import join_groups, saved
 
 
 def _lines(text: str) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quernel.llm.bytetok import Chunk, chunks, mix
 from quernel.llm.decontam import gram_hashes
-from quernel.llm.store import join_groups, saved
+from quernel.store import join_groups, saved
 
 BANDS, ROWS = 25, 5  #: similarity 0.8 is missed by all bands once in 20,000 times, 0.85 once in 10**6
 SHINGLE = 5

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernel.llm.store import saved
+from quernel.store import saved
 
 _LOCAL = (1 << 33) - 1  #: the part of monotonically_increasing_id() that counts within a partition
 _HALF = 1 << 63

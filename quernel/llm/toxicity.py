@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quernel.llm.bytetok import Chunk, chunks
 from quernel.llm.langid import Lookup
-from quernel.llm.store import saved
+from quernel.store import saved
 
 
 @dataclass

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.store import join_groups, new_path, saved
+from quernel.store import join_groups, new_path, saved
 
 BLOCK_LINES = 2000
 FILE_BYTES = 256 << 20  #: a new archive file is begun beyond this
