@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.llm.bytetok import Chunk, chunks, mix
@@ -154,30 +154,40 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _verify(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            similar = []
-            for x, y in zip(b["x"], b["y"], strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                similar.append(shared / (len(both) - shared))
-            at = np.flatnonzero(np.array(similar) >= threshold)
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([b["a"].take(take), b["b"].take(take)], names=["a", "b"])
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        similar = []
+        for x, y in zip(b["x"], b["y"], strict=True):
+            both = np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)])
+            both.sort()
+            shared = int((both[1:] == both[:-1]).sum())
+            similar.append(shared / (len(both) - shared))
+        yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(similar, pa.float64())], names=["a", "b", "similar"])
 
-    return run
 
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with their similarity, by their whole sets."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("cells").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("cells").alias("y")), "b")
+    return saved(both.select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long, similar double"), "compared")
 
-def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of similarity ``threshold`` or more, by their whole sets."""
-    sizes = sets.select("node", "n")
-    near = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    near = near.where(F.least("na", "nb") >= F.greatest("na", "nb") * (threshold - 1e-9)).select("a", "b")
-    both = near.join(sets.select(F.col("node").alias("a"), F.col("cells").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("cells").alias("y")), "b")
-    return saved(both.select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a long, b long"), "links")
+
+def _pivots(mixed: DataFrame, may: Column) -> DataFrame:
+    """Pairs of each outer member with two members of its bucket's main class, others in each bucket."""
+    chosen = [F.min_by(F.struct(F.col("node").alias("q"), F.col("far").alias("fq")), F.xxhash64(F.lit(i), "key", "node")).alias(f"p{i}") for i in (0, 1)]
+    pivots = saved(mixed.where("label = main").groupBy("key").agg(*chosen, F.first("n").alias("n")), "pivots")
+    met = join_groups(mixed.where("label <> main").drop("n"), pivots, "key", "n", how="inner")
+    met = met.withColumn("p", F.explode(F.array("p0", "p1"))).withColumn("q", F.col("p.q")).withColumn("fq", F.col("p.fq"))
+    return met.where(may & (F.col("q") != F.col("head")))
+
+
+def _crossed(mixed: DataFrame, may: Column) -> DataFrame:
+    """Pairs of each outer member with all members of other classes of its bucket, a hot bucket over salts."""
+    salts = F.ceil(F.col("n") / 1000).cast("int")
+    outer = mixed.where("label <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    outer = outer.select("key", "salt", F.col("node").alias("q"), F.col("far").alias("fq"), F.col("label").alias("lq"))
+    rest = mixed.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int")).select("key", "salt", "head", "node", "label", "far")
+    apart = (F.col("label") != F.col("lq")) & (F.col("node") != F.col("head")) & (F.col("q") != F.col("head"))
+    return rest.join(outer, ["key", "salt"]).where(apart & may)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -238,24 +248,27 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     needed = texts.select("node", "h1", "h2").join(members.select("node").distinct(), "node", "left_semi")
     stand = there.join(saved(needed, "needed"), ["node", "h1", "h2"], "left_semi").select("node", "text")
     sets = saved(stand.mapInArrow(_sets, "node long, n long, cells binary"), "sets")
-    links = _links(pairs, sets, threshold)
+    compared = _compared(pairs, sets)
+    links = compared.where(F.col("similar") >= threshold).select("a", "b")
     label = components(links)
-    # members of a bucket outside its largest class meet all those of other classes in it
-    placed = _labelled(members.where("n > 2"), label).drop("n")
-    by_class = placed.groupBy("key", "label").agg(F.count("*").alias("c"))
-    split = by_class.groupBy("key").agg(F.max_by("label", "c").alias("main"), F.sum("c").alias("n"), F.count("*").alias("k")).where("k > 1")
-    split = saved(split.drop("k"), "split")
-    if split.limit(1).count():
+    # Members of a bucket that its largest class leaves out meet two of that class, then all of other classes.
+    # Their distances from the bucket's head rule a pair out where they differ too much: 1 - similarity is a metric.
+    far = compared.select(F.col("a").alias("head"), F.col("b").alias("node"), (1 - F.col("similar")).alias("far"))
+    members = saved(members.where("n > 2").drop("n").join(far, ["head", "node"], "left").withColumn("far", F.coalesce("far", F.lit(0.0))), "members")
+    may = F.abs(F.col("far") - F.col("fq")) <= 1 - threshold + 1e-9
+    for meet in (_pivots, _crossed):
+        placed = _labelled(members, label)
+        by_class = placed.groupBy("key", "label").agg(F.count("*").alias("c"))
+        split = by_class.groupBy("key").agg(F.max_by("label", "c").alias("main"), F.sum("c").alias("n"), F.count("*").alias("k")).where("k > 1")
+        split = saved(split.drop("k"), "split")
+        if not split.limit(1).count():
+            break
         mixed = saved(join_groups(placed, split, "key", "n", how="inner"), "mixed")
-        salts = F.ceil(F.col("n") / 1000).cast("int")
-        few = mixed.where("label <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-        few = few.select("key", "salt", F.col("node").alias("p"), F.col("label").alias("lp"))
-        rest = mixed.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int")).select("key", "salt", "head", "node", "label")
-        more = rest.join(few, ["key", "salt"]).where("label <> lp and node <> p and node <> head and p <> head")
-        more = more.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        extra = _links(saved(more.join(pairs, ["a", "b"], "left_anti"), "pairs"), sets, threshold)
-        if extra.limit(1).count():
-            links = saved(links.unionByName(extra).distinct(), "links")
+        met = meet(mixed, may).select(F.least("node", "q").alias("a"), F.greatest("node", "q").alias("b")).distinct()
+        met = saved(met.join(compared.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        if met.limit(1).count():
+            compared = saved(compared.unionByName(_compared(met, sets)), "compared")
+            links = compared.where(F.col("similar") >= threshold).select("a", "b")
             label = components(links)
     degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links"))
     found = _labelled(texts.select("node", _hash(), "copies"), label).join(degree, F.col("node") == F.col("a"), "left")
@@ -266,7 +279,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     )
 
 
-def _hash():
+def _hash() -> Column:
     return F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0")).alias("hash")
 
 
