@@ -65,12 +65,11 @@ def _context(c: Chunk, row: int, pos: int, size: int, around: int) -> tuple[str,
     return " ".join(words), pos - a
 
 
-def _scan(window: int, k: int, short: list[int], bitmap: np.ndarray | None, all_rows: bool):
+def _scan(window: int, k: int, short: list[int], bits: np.ndarray | None, all_rows: bool):
     """Kept k-grams of the rows of (id, text); with all_rows, a row with a null hash for each row that has none."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 33
-        shift = np.uint64(64 - (len(bitmap) * 8 - 1).bit_length()) if bitmap is not None else None
         for batch in batches:
             ids = batch.column(0)
             for c in chunks(batch.column(1)):
@@ -80,14 +79,13 @@ def _scan(window: int, k: int, short: list[int], bitmap: np.ndarray | None, all_
                 for m in short:
                     g = gram_hashes(words, m)
                     own = np.flatnonzero(rows[: len(g)] == rows[m - 1 :]) if len(g) else np.zeros(0, np.int64)
-                    if bitmap is None:  # the benchmark's own side: whole items only
+                    if bits is None:  # the benchmark's own side: whole items only
                         own = own[n[rows[own]] == m]
                     sets.append((m, m, own, g[own]))
                 for gram, size, pos, hashes in sets:
-                    if bitmap is not None and len(pos):
-                        bit = hashes >> shift
-                        hit = (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
-                        pos, hashes = pos[hit > 0], hashes[hit > 0]
+                    if bits is not None and len(pos):
+                        hit = in_bitmap(bits, hashes)
+                        pos, hashes = pos[hit], hashes[hit]
                     for p, h in zip(pos.tolist(), hashes.view(np.int64).tolist(), strict=True):
                         row = int(rows[p])
                         text, left = _context(c, row, p, gram, size - gram)
@@ -117,7 +115,7 @@ def _scan(window: int, k: int, short: list[int], bitmap: np.ndarray | None, all_
     return scan
 
 
-def _bitmap(prints: DataFrame, count: int) -> np.ndarray:
+def bitmap(prints: DataFrame, count: int) -> np.ndarray:
     """A bit for each hash, in 8 KB to 8 MB: its size is bounded, whatever the benchmark's."""
     bits = min(max(16, (1024 * max(count, 1)).bit_length()), 26)
     bit = F.shiftrightunsigned("hash", 64 - bits)
@@ -130,6 +128,11 @@ def _bitmap(prints: DataFrame, count: int) -> np.ndarray:
     return out.astype("<u4").view(np.uint8)
 
 
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = hashes >> np.uint64(64 - (len(bits) * 8 - 1).bit_length())
+    return ((bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1) > 0
+
+
 def _extend():
     """Of each meeting, the equal words around it if they make up a window: start and end in the document."""
 
@@ -176,7 +179,7 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id:
     )
     count = prints.count()
     short = [r[0] for r in prints.where(F.col("item_size") < window).select("item_size").distinct().collect()]
-    rows = docs.select(F.col(doc_id), F.col(text)).mapInArrow(_scan(window, k, sorted(short), _bitmap(prints, count), True), _FIELDS.format(id=kind[0]))
+    rows = docs.select(F.col(doc_id), F.col(text)).mapInArrow(_scan(window, k, sorted(short), bitmap(prints, count), True), _FIELDS.format(id=kind[0]))
     same = (F.col("hash") == F.col("_hash")) & (F.col("size") == F.col("item_size"))
     if count <= MAX_BROADCAST_ROWS:
         met = rows.join(F.broadcast(prints.withColumnRenamed("hash", "_hash")), same, "left")

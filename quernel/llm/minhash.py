@@ -13,15 +13,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.llm.bytetok import Chunk, chunks, mix
-from quernel.llm.decontam import gram_hashes
+from quernel.llm.decontam import bitmap, gram_hashes, in_bitmap
 from quernel.store import join_groups, saved
 
-BANDS, ROWS = 25, 5  #: similarity 0.8 is missed by all bands once in 20,000 times, 0.85 once in 10**6
+BANDS, ROWS = 35, 6  #: similarity 0.8 is missed by all bands once in 40,000 times, 0.85 once in 10**7
+COARSE = 0.45  #: members of a bucket less similar to its head than this are far from it
+BLOCK = 256  #: nodes of a coarse group that a task takes together with as many others
 SHINGLE = 5
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
@@ -171,13 +174,55 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return saved(both.select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long, similar double"), "compared")
 
 
-def _pivots(mixed: DataFrame, may: Column) -> DataFrame:
-    """Pairs of each outer member with two members of its bucket's main class, others in each bucket."""
-    chosen = [F.min_by(F.struct(F.col("node").alias("q"), F.col("far").alias("fq")), F.xxhash64(F.lit(i), "key", "node")).alias(f"p{i}") for i in (0, 1)]
-    pivots = saved(mixed.where("label = main").groupBy("key").agg(*chosen, F.first("n").alias("n")), "pivots")
-    met = join_groups(mixed.where("label <> main").drop("n"), pivots, "key", "n", how="inner")
-    met = met.withColumn("p", F.explode(F.array("p0", "p1"))).withColumn("q", F.col("p.q")).withColumn("fq", F.col("p.fq"))
-    return met.where(may & (F.col("q") != F.col("head")))
+def _near_groups(coarse: DataFrame, label: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b, similar) that join classes within coarse groups, by comparing blocks of each with each other.
+
+    A group of m nodes is dealt to m / BLOCK blocks, so a task holds two blocks whatever m is. Only links that
+    join what isn't joined yet are given, fewer than there are nodes.
+    """
+    group = components(coarse).select("node", F.col("label").alias("grp"))
+    placed = _labelled(group, label)
+    mixed = placed.groupBy("grp").agg(F.count("*").alias("n"), (F.min("label") != F.max("label")).alias("split")).where("split")
+    mixed = saved(mixed.select("grp", "n"), "coarse")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = join_groups(placed, mixed, "grp", "n", how="inner").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    rows = rows.join(sets.select("node", "cells"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "cells")
+
+    def compare(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("node").reset_index(drop=True)
+        cells = [np.frombuffer(x, np.uint64) for x in b["cells"]]
+        size, own = np.array([len(x) for x in cells]), b["own"].to_numpy()
+        flat, owner = np.concatenate(cells), np.repeat(np.arange(len(b)), size)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        _, tops = np.unique(b["label"].to_numpy(), return_inverse=True)
+        tops, out = tops.tolist(), []
+        crossing = len(set(own)) > 1
+        root = list(range(max(tops) + 1))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for x in range(len(b)):
+            low, high = np.searchsorted(flat, cells[x], "left"), np.searchsorted(flat, cells[x], "right")
+            n = high - low
+            at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            shared = np.bincount(owner[at], minlength=len(b))
+            similar = shared / (size + size[x] - shared)
+            for y in np.flatnonzero(similar[:x] >= threshold):
+                if crossing and own[x] == own[y]:
+                    continue  # these two meet where their block is alone
+                p, q = find(tops[x]), find(tops[y])
+                if p != q:
+                    root[p] = q
+                    out.append((b["node"][y], b["node"][x], similar[y]))
+        return pd.DataFrame(out, columns=["a", "b", "similar"])
+
+    return saved(rows.groupBy("grp", "i", "j").applyInPandas(compare, "a long, b long, similar double"), "near")
 
 
 def _crossed(mixed: DataFrame, may: Column) -> DataFrame:
@@ -245,31 +290,48 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     buckets = saved(meets.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1"), "buckets")
     members = saved(join_groups(meets, buckets, "key", "n", how="inner"), "members")
     pairs = saved(members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    needed = texts.select("node", "h1", "h2").join(members.select("node").distinct(), "node", "left_semi")
-    stand = there.join(saved(needed, "needed"), ["node", "h1", "h2"], "left_semi").select("node", "text")
-    sets = saved(stand.mapInArrow(_sets, "node long, n long, cells binary"), "sets")
-    compared = _compared(pairs, sets)
-    links = compared.where(F.col("similar") >= threshold).select("a", "b")
-    label = components(links)
-    # Members of a bucket that its largest class leaves out meet two of that class, then all of other classes.
-    # Their distances from the bucket's head rule a pair out where they differ too much: 1 - similarity is a metric.
+    needed = saved(texts.select("node", "h1", "h2").join(members.select("node").distinct(), "node", "left_semi"), "needed")
+    # most texts meet no other: a bitmap of fixed size keeps them from being moved
+    bits = bitmap(needed.select(F.xxhash64("node", "h1").alias("hash")), needed.count())
+
+    @F.pandas_udf("boolean")
+    def may_be(hash: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(bits, hash.to_numpy().view(np.uint64)))
+
+    stand = there.where(may_be(F.xxhash64("node", "h1"))).join(needed, ["node", "h1", "h2"], "left_semi").select("node", "text")
+    # repeated rows give the same set, and rows that share a doc_id the first of theirs
+    sets = stand.mapInArrow(_sets, "node long, n long, cells binary").dropDuplicates(["node"])
+    sets = saved(sets, "sets")
+    sizes = sets.select("node", "n")
+    like = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+    like = like.where(F.least("na", "nb") >= COARSE * F.greatest("na", "nb")).select("a", "b")
+    compared = _compared(like, sets)
+    label = components(compared.where(F.col("similar") >= threshold))
+    # What is rather like some bucket's head is compared within coarse groups, class against class. Members far
+    # from a head meet those of their bucket, unless their distances to it rule a link out: 1 - similarity is a
+    # metric, so distances of linked texts to a third one differ by 1 - threshold at most.
+    near = _near_groups(compared.where(F.col("similar") >= COARSE).select("a", "b"), label, sets, threshold)
+    compared = saved(compared.unionByName(near.join(compared.select("a", "b"), ["a", "b"], "left_anti")), "compared")
+    label = components(compared.where(F.col("similar") >= threshold))
     far = compared.select(F.col("a").alias("head"), F.col("b").alias("node"), (1 - F.col("similar")).alias("far"))
-    members = saved(members.where("n > 2").drop("n").join(far, ["head", "node"], "left").withColumn("far", F.coalesce("far", F.lit(0.0))), "members")
-    may = F.abs(F.col("far") - F.col("fq")) <= 1 - threshold + 1e-9
-    for meet in (_pivots, _crossed):
-        placed = _labelled(members, label)
-        by_class = placed.groupBy("key", "label").agg(F.count("*").alias("c"))
-        split = by_class.groupBy("key").agg(F.max_by("label", "c").alias("main"), F.sum("c").alias("n"), F.count("*").alias("k")).where("k > 1")
-        split = saved(split.drop("k"), "split")
-        if not split.limit(1).count():
-            break
+    placed = members.where("n > 2").drop("n").join(far, ["head", "node"], "left")
+    placed = _labelled(placed.withColumn("far", F.when(F.col("node") == F.col("head"), F.lit(0.0)).otherwise(F.coalesce("far", F.lit(2.0)))), label)
+    placed = saved(placed, "members")
+    by_class = placed.groupBy("key", "label").agg(F.count("*").alias("c"))
+    split = by_class.groupBy("key").agg(F.max_by("label", "c").alias("main"), F.sum("c").alias("n"), F.count("*").alias("k")).where("k > 1")
+    split = saved(split.drop("k"), "split")
+    if split.limit(1).count():
         mixed = saved(join_groups(placed, split, "key", "n", how="inner"), "mixed")
-        met = meet(mixed, may).select(F.least("node", "q").alias("a"), F.greatest("node", "q").alias("b")).distinct()
+        unknown = (F.col("far") > 1.5) | (F.col("fq") > 1.5)
+        may = (F.greatest("far", "fq") > 1 - COARSE) & (unknown | (F.abs(F.col("far") - F.col("fq")) <= 1 - threshold + 1e-9))
+        met = _crossed(mixed, may).select(F.least("node", "q").alias("a"), F.greatest("node", "q").alias("b")).distinct()
+        met = met.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+        met = met.where(F.least("na", "nb") >= (threshold - 1e-9) * F.greatest("na", "nb")).select("a", "b")
         met = saved(met.join(compared.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         if met.limit(1).count():
             compared = saved(compared.unionByName(_compared(met, sets)), "compared")
-            links = compared.where(F.col("similar") >= threshold).select("a", "b")
-            label = components(links)
+            label = components(compared.where(F.col("similar") >= threshold))
+    links = compared.where(F.col("similar") >= threshold).select("a", "b")
     degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links"))
     found = _labelled(texts.select("node", _hash(), "copies"), label).join(degree, F.col("node") == F.col("a"), "left")
     found = saved(found.select("hash", "label", "n_links", "copies"), "classes")
