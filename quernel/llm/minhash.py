@@ -272,12 +272,12 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     non-ASCII characters, ASCII letters in lower case. A text of fewer than five words is one shingle; texts
     without a word, empty ones too, are in one class only with equal texts. A null text is alone. doc_id should
     be unique; a row that shares it with another text is placed by its own text, but texts whose smallest
-    doc_id is the same are in one class. A null doc_id gets a stand-in, a hash of its text, as its class_id.
+    doc_id is the same are in one class. A null doc_id gets a stand-in of 2**62 or more, made of its text's hash.
     """
     has = F.col(text).isNotNull()
     own = docs.select(
         F.col(key).alias("id"),
-        F.coalesce(F.col(key).cast("long"), F.xxhash64(F.lit("id"), F.col(text))).alias("node"),
+        F.coalesce(F.col(key).cast("long"), F.shiftrightunsigned(F.xxhash64(F.lit("id"), F.col(text)), 2) + (1 << 62)).alias("node"),
         F.when(has, F.xxhash64(text)).alias("h1"),
         F.when(has, F.xxhash64(F.lit(7), F.col(text))).alias("h2"),
         F.col(text).cast("string").alias("text"),
