@@ -180,7 +180,7 @@ def _near_groups(coarse: DataFrame, label: DataFrame, sets: DataFrame, threshold
     A group of m nodes is dealt to m / BLOCK blocks, so a task holds two blocks whatever m is. Only links that
     join what isn't joined yet are given, fewer than there are nodes.
     """
-    group = components(coarse).select("node", F.col("label").alias("grp"))
+    group = extended(label, coarse).select("node", F.col("label").alias("grp"))
     placed = _labelled(group, label)
     mixed = placed.groupBy("grp").agg(F.count("*").alias("n"), (F.min("label") != F.max("label")).alias("split")).where("split")
     mixed = saved(mixed.select("grp", "n"), "coarse")
@@ -235,25 +235,46 @@ def _crossed(mixed: DataFrame, may: Column) -> DataFrame:
     return rest.join(outer, ["key", "salt"]).where(apart & may)
 
 
+def _followed(rows: DataFrame, steps: DataFrame) -> DataFrame:
+    """(node, up) of rows, with the up that ``steps`` has for theirs, if any; an up of many rows is looked up once."""
+    heads = rows.groupBy("up").agg(F.count("*").alias("n"))
+    heads = heads.join(steps.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left").withColumn("top", F.coalesce("top", "up"))
+    found = join_groups(rows, saved(heads, "heads"), "up", "n", how="inner")
+    return found.withColumn("up", F.col("top")).select(*rows.columns)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of each node of the links (a, b): the smallest node that it is connected with.
 
-    Each round, every node takes the smallest label around it, and then that label's label, so chains halve.
+    Each round, every node moves to the least node around it and on to that one's least, and links go along;
+    those that become loops are done, so there are fewer from round to round, and a long chain halves.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = saved(both.select("a", F.col("b").alias("node")), "edges")
-    first = both.groupBy("a").agg(F.least(F.min("node"), F.first("a")).alias("label"), F.count("*").alias("d"))
-    labels = saved(first.withColumnRenamed("a", "node"), "labels")
-    while True:
-        around = join_groups(both, labels, "node", "d", how="inner").groupBy("a").agg(F.min("label").alias("low"))
-        new = labels.join(around, F.col("node") == F.col("a"), "left")
-        new = saved(new.select("node", F.least("label", "low").alias("label"), "d", F.col("label").alias("was")), "labels")
-        heads = new.groupBy("label").agg(F.count("*").alias("n")).join(new.select(F.col("node").alias("label"), F.col("label").alias("top")), "label")
-        jumped = join_groups(new, saved(heads, "heads"), "label", "n", how="inner")
-        new = saved(jumped.select("node", F.col("top").alias("label"), "d", "was"), "labels")
-        if not new.where("label <> was").limit(1).count():
-            return new.select("node", "label")
-        labels = new.select("node", "label", "d")
+    edges = saved(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+    steps = []
+    while edges.limit(1).count():
+        ends = edges.select(F.col("b").alias("node"), F.col("a").alias("up")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("up")))
+        near = saved(ends.groupBy("node").agg(F.min("up").alias("up"), F.count("*").alias("d")), "near")
+        steps.append(saved(_followed(near, near), "steps"))
+        for side in ("a", "b"):
+            moved = join_groups(edges, steps[-1].select(F.col("node").alias(side), "up", "d"), side, "d", how="inner")
+            edges = moved.withColumn(side, F.col("up")).select("a", "b")
+        edges = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+    if not steps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    found = steps.pop()
+    while steps:
+        found = saved(_followed(steps.pop(), found), "steps")
+    return found.select("node", F.col("up").alias("label"))
+
+
+def extended(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The (node, label) of components() once the links (a, b) count too: only classes that they join are looked at."""
+    ends = _labelled(links.select(F.col("a").alias("node"), "b"), label).select(F.col("label").alias("a"), F.col("b").alias("node"))
+    tops = components(_labelled(ends, label).select("a", F.col("label").alias("b")))
+    tops = tops.select("node", F.col("label").alias("up"))
+    moved = _followed(label.select("node", F.col("label").alias("up")), tops)
+    new = tops.join(label.select("node"), "node", "left_anti")
+    return saved(moved.unionByName(new).select("node", F.col("up").alias("label")), "labels")
 
 
 def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
@@ -310,9 +331,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     # What is rather like some bucket's head is compared within coarse groups, class against class. Members far
     # from a head meet those of their bucket, unless their distances to it rule a link out: 1 - similarity is a
     # metric, so distances of linked texts to a third one differ by 1 - threshold at most.
-    near = _near_groups(compared.where(F.col("similar") >= COARSE).select("a", "b"), label, sets, threshold)
+    near = _near_groups(compared.where((F.col("similar") >= COARSE) & (F.col("similar") < threshold)).select("a", "b"), label, sets, threshold)
     compared = saved(compared.unionByName(near.join(compared.select("a", "b"), ["a", "b"], "left_anti")), "compared")
-    label = components(compared.where(F.col("similar") >= threshold))
+    label = extended(label, near)
     far = compared.select(F.col("a").alias("head"), F.col("b").alias("node"), (1 - F.col("similar")).alias("far"))
     placed = members.where("n > 2").drop("n").join(far, ["head", "node"], "left")
     placed = _labelled(placed.withColumn("far", F.when(F.col("node") == F.col("head"), F.lit(0.0)).otherwise(F.coalesce("far", F.lit(2.0)))), label)
@@ -329,8 +350,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
         met = met.where(F.least("na", "nb") >= (threshold - 1e-9) * F.greatest("na", "nb")).select("a", "b")
         met = saved(met.join(compared.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         if met.limit(1).count():
-            compared = saved(compared.unionByName(_compared(met, sets)), "compared")
-            label = components(compared.where(F.col("similar") >= threshold))
+            more = _compared(met, sets)
+            compared = saved(compared.unionByName(more), "compared")
+            label = extended(label, more.where(F.col("similar") >= threshold))
     links = compared.where(F.col("similar") >= threshold).select("a", "b")
     degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links"))
     found = _labelled(texts.select("node", _hash(), "copies"), label).join(degree, F.col("node") == F.col("a"), "left")
