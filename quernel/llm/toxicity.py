@@ -29,7 +29,8 @@ class Ordinal:
 
     def above(self, score: np.ndarray) -> np.ndarray:
         """P(grade > k) for each score and threshold."""
-        return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -500, 500)))
+        with np.errstate(over="ignore"):  # an infinite threshold gives exactly 0 or 1
+            return 1 / (1 + np.exp(self.thresholds[None, :] - score[:, None]))
 
 
 def fit_ordinal(index: np.ndarray, owner: np.ndarray, grade: np.ndarray, features: int, grades: int, penalty: float = 0.3, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
