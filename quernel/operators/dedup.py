@@ -8,6 +8,7 @@ a third of all rows costs as much as any other rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,20 +60,21 @@ def _signatures(bands: int, rows: int, size: int):
                 h = shingle_hashes(text, size)
                 for at in range(0, len(h), 4096):
                     np.minimum(least, ((a * h[None, at : at + 4096] + b) % PRIME).min(axis=1), out=least)
-                key = np.arange(bands, dtype=np.int64)
-                for j in range(rows):
-                    key = (key * BASE + least.reshape(bands, rows)[:, j]) % PRIME
-                keys.append(((key << 8) | np.arange(bands)).tolist())
-            yield pa.RecordBatch.from_arrays([batch["node"], batch["grp"], pa.array(keys, pa.list_(pa.int64()))], names=["node", "grp", "bands"])
+                # the whole band goes in: unequal bands must not share a bucket
+                own = least.reshape(bands, rows).astype("<u4")
+                keys.append([hashlib.md5(bytes([i]) + own[i].tobytes()).digest() for i in range(bands)])
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["grp"], pa.array(keys, pa.list_(pa.binary()))], names=["node", "grp", "bands"])
 
     return run
 
 
 def banded(texts: DataFrame, threshold: float = 0.7, size: int = 5) -> DataFrame:
-    """(node, grp, bucket) of each band of each text of (node, grp, text): nulls have none."""
+    """(node, bucket) of each band of each text of (node, grp, text): nulls have none. A bucket is the MD5 of the
+    band's place and all its minima, and of the group if there is one."""
     bands, rows = SPLITS[threshold]
-    run = texts.select("node", "grp", "text").mapInArrow(_signatures(bands, rows, size), "node long, grp string, bands array<long>")
-    return run.select("node", "grp", F.explode("bands").alias("band")).select("node", F.when(F.col("grp").isNull(), F.col("band")).otherwise(F.xxhash64("grp", "band")).alias("bucket"))
+    run = texts.select("node", "grp", "text").mapInArrow(_signatures(bands, rows, size), "node long, grp string, bands array<binary>")
+    within = F.unhex(F.md5(F.concat("band", F.col("grp").cast("binary"))))
+    return run.select("node", "grp", F.explode("bands").alias("band")).select("node", F.when(F.col("grp").isNull(), F.col("band")).otherwise(within).alias("bucket"))
 
 
 def greedy(meets: DataFrame) -> DataFrame:

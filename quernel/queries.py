@@ -40,7 +40,7 @@ _PAIRS = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(dedup.coefficie
 
 
 def _bands_sql(source: str, bands: int, rows: int) -> str:
-    """(node, bucket) of a relation (node, text), as banded() has them: the same whole numbers."""
+    """(node, bucket) of a relation (node, text), bands folded to 31 bits: unlike in banded(), unequal ones may meet."""
     return f"""
     SELECT DISTINCT node, list_reduce(list_prepend(CAST(band AS BIGINT), list(low ORDER BY i)), lambda k, x: (k * {dedup.BASE} + x) % {dedup.PRIME}) * 256 + band AS bucket
     FROM (

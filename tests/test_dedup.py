@@ -70,6 +70,24 @@ def test_groups_are_apart(spark):
     assert dedup.near_dedup(df.limit(0), ["t"], "i").count() == 0
 
 
+def test_unequal_bands_do_not_meet(spark):
+    """Pairs of unlike texts, a band of which is the same number once it is folded to 31 bits."""
+    pairs = [("yyumcmtpb", "siygzvdam", 1), ("ypgheffmx", "qlbqymvxg", 3), ("kmvcdfqyu", "hygbfserm", 10)]
+    for a, b, at in pairs:
+        folded = set()
+        for t in (a, b):
+            key = at
+            for x in dict(keys(t))[at]:
+                key = (key * dedup.BASE + x) % dedup.PRIME
+            folded.add(key)
+        assert len(folded) == 1 and not keys(a) & keys(b)
+    df = spark.createDataFrame([(i, t, "g") for i, t in enumerate(t for a, b, _ in pairs for t in (a, b, a))], "i long, t string, g string")
+    for group in (None, "g"):
+        assert sorted(x.i for x in dedup.near_dedup(df, ["t"], "i", group=group).collect()) == [0, 1, 3, 4, 6, 7]
+    bench = spark.createDataFrame([(a,) for a, _, _ in pairs], "text string")
+    assert sorted(x.i for x in dedup.near_dedup(df, ["t"], "i", bench).collect()) == [1, 4, 7]
+
+
 def test_common_length():
     def plain(a, b):
         row = [0] * (len(b) + 1)
