@@ -223,6 +223,9 @@ def report(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: s
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", window: int = 10, k: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose doc_id has no text that holds a benchmark window."""
-    found = overlaps(docs, items, doc_id, window=window, k=k).where("start is not null").select(F.col("id").alias("_id")).distinct()
-    return docs.join(hinted(saved(found, "contaminated")), F.col(doc_id).eqNullSafe(F.col("_id")), "left_anti")
+    """The rows of ``docs`` whose own text holds no benchmark window."""
+    own = F.struct(F.col(doc_id).alias("id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), F.col("text")).alias("h2"))
+    runs = overlaps(docs.select(own.alias("_row"), "text"), items, "_row", window=window, k=k)
+    found = runs.where("start is not null").select(F.col("id.id").alias("_id"), F.col("id.h1").alias("_h1"), F.col("id.h2").alias("_h2")).distinct()
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h1")) & (F.xxhash64(F.lit(7), F.col("text")) == F.col("_h2"))
+    return docs.join(hinted(saved(found, "contaminated")), same, "left_anti")

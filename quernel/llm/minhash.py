@@ -292,35 +292,42 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     (texts already known to be of one class aren't compared again). Words are runs of letters, digits and
     non-ASCII characters, ASCII letters in lower case. A text of fewer than five words is one shingle; texts
     without a word, empty ones too, are in one class only with equal texts. A null text is alone. doc_id should
-    be unique; a row that shares it with another text is placed by its own text, but texts whose smallest
-    doc_id is the same are in one class. A null doc_id gets a stand-in of 2**62 or more, made of its text's hash.
+    be unique; a row that shares it with another text is placed by its own text. Of texts whose smallest doc_id is
+    the same, one stands for it and the others, like a null doc_id, get a stand-in of 2**62 or more, made of the
+    text's hash.
     """
+    return _classified(docs, key, text, threshold, bands, rows).select(key, "class_id", "n_links")
+
+
+def _classified(docs: DataFrame, key: str, text: str, threshold: float, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of classes(), with _hash of each one's text: no two texts that aren't linked have one class_id."""
     has = F.col(text).isNotNull()
     own = docs.select(
         F.col(key).alias("id"),
         F.coalesce(F.col(key).cast("long"), F.shiftrightunsigned(F.xxhash64(F.lit("id"), F.col(text)), 2) + (1 << 62)).alias("node"),
-        F.when(has, F.xxhash64(text)).alias("h1"),
-        F.when(has, F.xxhash64(F.lit(7), F.col(text))).alias("h2"),
+        F.when(has, _h1(text)).alias("h1"),
+        F.when(has, _h2(text)).alias("h2"),
         F.col(text).cast("string").alias("text"),
     )
     there = own.where("text is not null")
     signed = there.select("node", "h1", "h2", "text").mapInArrow(_bands(bands, rows), "node long, h1 long, h2 long, bands array<long>")
     by_text = signed.groupBy("h1", "h2").agg(F.first("bands").alias("bands"), F.min("node").alias("node"), F.count("*").alias("copies"))
-    texts = saved(by_text, "texts")
+    texts = _apart(saved(by_text.withColumn("first", F.col("node")), "texts"))
     meets = texts.select("node", F.explode(F.array_distinct("bands")).alias("key"))
     buckets = saved(meets.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1"), "buckets")
     members = saved(join_groups(meets, buckets, "key", "n", how="inner"), "members")
     pairs = saved(members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    needed = saved(texts.select("node", "h1", "h2").join(members.select("node").distinct(), "node", "left_semi"), "needed")
+    needed = saved(texts.select("node", "h1", "h2", "first").join(members.select("node").distinct(), "node", "left_semi"), "needed")
     # most texts meet no other: a bitmap of fixed size keeps them from being moved
-    bits = bitmap(needed.select(F.xxhash64("node", "h1").alias("hash")), needed.count())
+    bits = bitmap(needed.select(F.xxhash64("first", "h1").alias("hash")), needed.count())
 
     @F.pandas_udf("boolean")
     def may_be(hash: pd.Series) -> pd.Series:
         return pd.Series(in_bitmap(bits, hash.to_numpy().view(np.uint64)))
 
-    stand = there.where(may_be(F.xxhash64("node", "h1"))).join(needed, ["node", "h1", "h2"], "left_semi").select("node", "text")
-    # repeated rows give the same set, and rows that share a doc_id the first of theirs
+    maybe = there.where(may_be(F.xxhash64("node", "h1"))).withColumnRenamed("node", "first")
+    stand = maybe.join(needed, ["first", "h1", "h2"]).select("node", "text")
+    # repeated rows give the same set
     sets = stand.mapInArrow(_sets, "node long, n long, cells binary").dropDuplicates(["node"])
     sets = saved(sets, "sets")
     sizes = sets.select("node", "n")
@@ -359,17 +366,42 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     found = saved(found.select("hash", "label", "n_links", "copies"), "classes")
     out = join_groups(own.select("id", "node", _hash()), found, "hash", "copies", noise="node")
     return out.select(
-        F.col("id").alias(key), F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
+        F.col("id").alias(key), F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.col("hash").alias("_hash")
     )
 
 
-def _hash() -> Column:
-    return F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0")).alias("hash")
+def _apart(texts: DataFrame) -> DataFrame:
+    """Saved texts (node, h1, h2, first, ...), with a node of its own for all but one of those that have the same."""
+    shared = texts.groupBy("node").agg(F.min(F.struct("h1", "h2")).alias("held"), F.count("*").alias("n"))
+    shared = saved(shared.where("n > 1"), "shared")
+    if not shared.limit(1).count():
+        return texts
+    other = F.col("held").isNotNull() & (F.col("held") != F.struct("h1", "h2"))
+    stand_in = F.shiftrightunsigned(F.xxhash64(F.lit("text"), "h1", "h2"), 2) + (1 << 62)
+    found = join_groups(texts, shared, "node", "n", noise="h1")
+    return saved(found.withColumn("node", F.when(other, stand_in).otherwise(F.col("node"))).select(*texts.columns), "texts")
+
+
+def _h1(text: str) -> Column:
+    return F.xxhash64(text)
+
+
+def _h2(text: str) -> Column:
+    return F.xxhash64(F.lit(7), F.col(text))
+
+
+def _hash(h1: str | Column = "h1", h2: str | Column = "h2") -> Column:
+    return F.concat(F.lpad(F.hex(h1), 16, "0"), F.lpad(F.hex(h2), 16, "0")).alias("hash")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """Of each class of ``docs`` one row: that of its smallest doc_id. Rows with a null doc_id are all kept
-    unless a smaller doc_id is in their class, and once if they repeat."""
-    found = classes(docs, key, text, threshold).where(F.coalesce(F.col(key).cast("long") == F.col("class_id"), F.lit(True)))
-    kept = saved(found.select(F.col(key).alias("_k")).distinct(), "kept")
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("_k")), "left_semi").dropDuplicates([key])
+    """Of each class of ``docs`` one row: that of its smallest doc_id, nulls last, and of the smallest text hash
+    among those. A null text is in a class with none. Rows of the same doc_id and text count once."""
+    found = _classified(docs, key, text, threshold)
+    place = F.struct(F.col(key).isNull().alias("bare"), F.col(key).alias("id"), F.col("_hash").alias("hash"))
+    kept = found.where("_hash is not null").groupBy("class_id").agg(F.min(place).alias("kept")).select("kept.id", "kept.hash")
+    kept = saved(kept.unionByName(found.where("_hash is null").select(F.col(key).alias("id"), F.col("_hash").alias("hash")).distinct()), "kept")
+    kept = kept.select(F.col("id").alias("_k"), F.col("hash").alias("_h"))
+    own = docs.withColumn("_own", F.when(F.col(text).isNotNull(), _hash(_h1(text), _h2(text))))
+    rows = own.join(kept, F.col(key).eqNullSafe(F.col("_k")) & F.col("_own").eqNullSafe(F.col("_h")), "left_semi")
+    return rows.dropDuplicates([key, "_own"]).drop("_own")

@@ -63,6 +63,14 @@ def test_large_benchmark_takes_the_other_way(spark, monkeypatch):
     check(spark, docs, items)
 
 
+def test_clean_texts_stay_whatever_their_ids(spark):
+    item = prose(1, 40)
+    rows = [(None, item), (None, prose(2, 40)), (None, None), (3, "x " + item), (3, prose(4, 40)), (3, None), (5, item)]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    clean = decontam.decontaminated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), items).collect()
+    assert sorted(map(tuple, clean), key=str) == sorted([rows[1], rows[2], rows[4], rows[5]], key=str)
+
+
 def test_odd_rows_and_empty_tables(spark):
     items = spark.createDataFrame([(1, prose(1, 40))], "item_id long, text string")
     got = decontam.report(odd(spark), items).collect()

@@ -101,6 +101,23 @@ def test_odd_rows(spark):
     assert sorted(ids) == [0, 3, 4, 5, 7, 8, 10, 11, 12, 13, 14, 15]
 
 
+def test_null_and_repeated_ids_are_kept_by_text(spark):
+    a, b, c, d, e = (prose(i, 60) for i in range(60, 65))
+    rows = [
+        (None, a), (None, b), (None, b), (None, edited(b, 1)), (None, None), (None, None), (1, c), (5, edited(c, 1)), (5, d), (5, d), (5, e),
+        (7, edited(a, 2)), (9, edited(e, 3)), (9, None), (9, prose(65, 60)),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(x.doc_id, x.text) for x in minhash.one_of_each(df).collect()]
+    near_b = [x for x in got if x[0] is None and x[1] is not None]
+    assert len(near_b) == 1 and near_b[0][1] in (b, edited(b, 1))
+    rest = [x for x in got if x not in near_b]
+    want = [(None, None), (1, c), (5, d), (5, e), (7, edited(a, 2)), (9, None), (9, prose(65, 60))]
+    assert sorted(rest, key=str) == sorted(want, key=str)
+    classes = minhash.classes(spark.createDataFrame([(5, d), (5, e), (5, d)], "doc_id long, text string")).collect()
+    assert len({x.class_id for x in classes}) == 2 and min(x.class_id for x in classes) == 5
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert minhash.classes(empty).count() == 0 and minhash.one_of_each(empty).count() == 0
