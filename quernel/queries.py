@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.functions import boolean as B
@@ -206,7 +206,7 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     return docs.select(
         F.col("doc_id").alias("row_id"), F.col("lang").alias("exp"), F.lit("human").alias("benchmark"), (F.col("doc_id") % 3).cast("int").alias("step"),
-        F.col("source").alias("task_id"), F.substring("text", 1, 40).alias("prompt"), F.col("text").alias("completion"), (F.col("quality") == 1).alias("passed"),
+        F.col("source").alias("task_id"), F.col("text").alias("prompt"), F.col("text").alias("completion"), (F.col("quality") == 1).alias("passed"),
     )
 
 
@@ -274,10 +274,10 @@ _ANSWER = f"""WITH a AS (SELECT doc_id, CASE doc_id % 8
     ELSE substr(text, 1, 40) END AS raw FROM documents)"""
 
 
-def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, cut = F.col("text"), lambda n: F.substring("text", 1, n)
+def _forms(cut: Callable[[int], Column]) -> list[Column]:
+    """Answers of eight forms around a text; ``cut`` has the text, or so many characters of it."""
     fence, end = F.lit("```"), F.lit("\n")
-    forms = [
+    return [
         F.concat(F.lit("so <PROBLEM> "), cut(60), end, F.lit(" </PROBLEM> end <PROBLEM>2</PROBLEM>")),
         F.concat(F.lit("<PROBLEM>"), cut(30), F.lit(" </PROBL")),
         F.lit("text </PROBLEM> then <PROBLEM> late"),
@@ -285,11 +285,23 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("<SOLUTION>"), cut(20), F.lit("</SOLUTION> and <REASON> for "), F.col("source"), F.lit(" </REASON></SOLUTION>")),
         F.concat(F.lit("why so <SOLUTION> one <SOLUTION> "), cut(25)),
         F.concat(F.lit("module m(input a, "), F.col("lang"), F.lit(");\n"), cut(30), F.lit("\nendmodule rest endmodule more")),
+        cut(40),
     ]
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, cut = F.col("text"), lambda n: F.substring("text", 1, n)
+    *forms, plain = _forms(cut)
     raw = F.when(t.isNull(), F.lit(None))
     for i, form in enumerate(forms):
         raw = raw.when(F.col("doc_id") % 8 == i, form)
-    return table(spark, sf_dir, "documents").select("doc_id", raw.otherwise(cut(40)).alias("raw"))
+    return table(spark, sf_dir, "documents").select("doc_id", raw.otherwise(plain).alias("raw"))
+
+
+def _whole_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's whole text in every form: doc_id, form, raw."""
+    forms = F.array(*[F.when(F.col("text").isNotNull(), f) for f in _forms(lambda n: F.col("text"))])
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(forms).alias("form", "raw"))
 
 
 _STRIP = r"regexp_replace(regexp_replace({}, '^[\s\x{{a0}}]+', ''), '[\s\x{{a0}}]+$', '')"
@@ -328,6 +340,33 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answers(spark, sf_dir).select("doc_id", X.completion("raw").alias("code"))
 
 
+@query()
+def whole_tagged_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tagged_problems over whole texts, each in every form."""
+    return _whole_answers(spark, sf_dir).select("doc_id", "form", X.tagged("raw", "PROBLEM").alias("tag"), X.fenced("raw").alias("code"), X.problem("raw").alias("problem"))
+
+
+@query()
+def whole_solutions_and_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """solutions_and_reasons over whole texts, each in every form."""
+    solution, reason = X.solution_and_reason("raw")
+    lenient, _ = X.lenient_solution_and_reason("raw")
+    return _whole_answers(spark, sf_dir).select("doc_id", "form", solution.alias("solution"), reason.alias("reason"), lenient.alias("lenient"))
+
+
+@query()
+def whole_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """completions over whole texts, each in every form."""
+    return _whole_answers(spark, sf_dir).select("doc_id", "form", X.completion("raw").alias("code"))
+
+
+@query()
+def whole_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompts of templates with whole texts."""
+    prompt = X.formatted("In {lang} {{{source}}}: {text}", lang="lang", source="source", text=F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", prompt.alias("prompt"))
+
+
 @query("SELECT doc_id, substr(sha256(CAST(doc_id AS VARCHAR) || lang || coalesce(source, 'None')), 1, 5) AS short, sha256(text) AS whole FROM documents")
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.fingerprint("doc_id", "lang", "source", length=5).alias("short"), X.fingerprint("text").alias("whole"))
