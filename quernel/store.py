@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,15 +13,22 @@ from pyspark.sql import functions as F
 HEAVY = 1000
 
 
+#: Most bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 4 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests in one process) a folder of this machine is set and used.
+    Only where that is unset and Spark runs in one process (tests) a folder of this machine is set and used.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("quernel.own.checkpoint.dir", None)
         if not found:
+            master = spark.conf.get("spark.master", "")
+            if not (master == "local" or master.startswith("local[")):
+                raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
             found = "file://" + tempfile.mkdtemp(prefix="quernel-")
             spark.sparkContext.setCheckpointDir(found)
             spark.conf.set("quernel.own.checkpoint.dir", found)
@@ -43,6 +51,20 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or that with underscores before it, such that ``df`` has no such column in either case."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
+def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow() with batches bounded in bytes, so long texts don't fill a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, how: str = "left", noise: str | None = None) -> DataFrame:
     """Join many ``rows`` to one row of ``groups`` for each key, whatever share of the rows one key holds.
 
