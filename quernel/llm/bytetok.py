@@ -13,7 +13,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are taken together up to this many bytes; a longer one is taken alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+#: Words that are hashed at once.
+SPAN = 1 << 15
 _U = np.uint64
 
 
@@ -32,19 +34,20 @@ LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np
 IS_WORD = ((LOWER >= 48) & (LOWER <= 57)) | ((LOWER >= 97) & (LOWER <= 122)) | (LOWER >= 128)
 #: A number for each byte, equal for both cases of a letter.
 _VALUE = mix((LOWER.astype(np.uint64) + _U(1)) * _U(0x9E3779B97F4A7C15))
-_BASE = 0xD6E8FEB86659FD93
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+BASE = 0xD6E8FEB86659FD93
+BASE_INVERSE = pow(BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 
-def _power(base: int, n: int) -> np.ndarray:
+def power(base: int, n: int) -> np.ndarray:
+    """base ** i for i < n. Only a bounded table is remembered."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, CHUNK + 1)
+        size = max(n, CHUNK // 2)
         have = np.full(size, base, dtype=np.uint64)
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)
-        if size <= 16 * CHUNK:
+        if size <= 2 * CHUNK:
             _powers[base] = have
     return have[:n]
 
@@ -64,23 +67,18 @@ class Chunk:
     def word_rows(self) -> np.ndarray:
         return np.repeat(np.arange(self.rows), np.diff(self.word_bounds))
 
-    def sums(self) -> np.ndarray:
-        """Running sums that hashes of spans are taken from."""
-        n = len(self.data)
-        sums = np.empty(n + 1, dtype=np.uint64)
-        sums[0] = 0
-        np.cumsum(_VALUE[self.data] * _power(_BASE_INVERSE, n), out=sums[1:])
-        return sums
-
-    def spans(self, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of the lower-cased bytes of each span."""
-        out = sums[ends] - sums[starts]
-        out *= _power(_BASE, len(self.data) + 1)[starts]
-        return mix(out)
-
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each lower-cased word."""
-        return self.spans(self.starts, self.ends, self.sums())
+    def hashes(self, starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> np.ndarray:
+        """A 64-bit hash of each lower-cased word, or of each of the given spans, whose starts rise."""
+        if starts is None or ends is None:
+            starts, ends = self.starts, self.ends
+        out = np.empty(len(starts), np.uint64)
+        for at in range(0, len(starts), SPAN):
+            own = slice(at, at + SPAN)
+            low, high = int(starts[at]), int(ends[own].max())
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(_VALUE[self.data[low:high]] * power(BASE_INVERSE, high - low), out=sums[1:])
+            out[own] = mix((sums[ends[own] - low] - sums[starts[own] - low]) * power(BASE, high - low + 1)[starts[own] - low])
+        return out
 
 
 def chunks(column: pa.Array) -> Iterator[Chunk]:

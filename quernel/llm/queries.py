@@ -75,11 +75,8 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 def op8_shared_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ids of each text, and whether decoding them gives the text back."""
-    docs = _table(spark, sf_dir, "documents").withColumn("_hash", F.xxhash64("text"))
-    encoded = pieces.encode(docs, PIECE_MODEL, ["doc_id", "_hash"])
-    decoded = pieces.decode(encoded, PIECE_MODEL, ["doc_id", "_hash", "ids"])
-    restored = F.when(F.col("ids").isNotNull(), F.xxhash64("text") == F.col("_hash"))
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", restored.alias("restored"))
+    coded = pieces.round_trip(_table(spark, sf_dir, "documents"), PIECE_MODEL, ["doc_id"])
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "restored")
 
 
 def op9_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,11 +106,11 @@ PREFIXES = (5, 7)
 
 def _features(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words, and of beginnings of longer words, with the row of each."""
-    sums, rows = c.sums(), c.word_rows()
-    hashes, owners = [c.spans(c.starts, c.ends, sums)], [rows]
+    rows = c.word_rows()
+    hashes, owners = [c.hashes()], [rows]
     for n in PREFIXES:
         at = np.flatnonzero(c.ends - c.starts >= n)
-        hashes.append(c.spans(c.starts[at], c.starts[at] + n, sums) ^ np.uint64(n))
+        hashes.append(c.hashes(c.starts[at], c.starts[at] + n) ^ np.uint64(n))
         owners.append(rows[at])
     return np.concatenate(hashes), np.concatenate(owners)
 

@@ -43,13 +43,68 @@ def test_odd_rows(spark, library):
     assert texts[4] is None and texts[5] == "" and texts[14] == odd_documents()[-2][1].replace("▁", " ")
 
 
+def test_round_trip(spark, library):
+    rows = odd(spark)
+    got = pieces.round_trip(rows.withColumn("restored", rows.n), PIECE_MODEL, ["doc_id", "node", "restored"])
+    assert got.columns == ["doc_id", "node", "ids", "restored"]
+    want = {(x.doc_id, tuple(x.ids) if x.ids is not None else None) for x in pieces.encode(rows, PIECE_MODEL, ["doc_id"]).collect()}
+    found = got.collect()
+    assert len(found) == 19 and {(x.doc_id, tuple(x.ids) if x.ids is not None else None) for x in found} == want
+    assert {x.doc_id: x.restored for x in found if x.doc_id is not None} == {i: None if t is None else i != 14 for i, t, *_ in odd_documents() if i is not None}
+
+
+def test_texts_of_megabytes(library):
+    with open(PIECE_MODEL, "rb") as f:
+        encoder = pieces.Encoder(pieces.Pieces(f.read()))
+    texts = [prose(3, 400_000), "", "é" * 600_000, "ab" * 500_000, noise(5, 300_000)]
+    bounds, ids = encoder.rows(texts)
+    assert [ids[a:z].tolist() for a, z in itertools.pairwise(bounds)] == [library.encode(t) for t in texts]
+
+
+def test_pairs_that_merges_keep_apart():
+    """The walk over merges of two pieces agrees with merging them from characters."""
+    with open(PIECE_MODEL, "rb") as f:
+        made = pieces.Pieces(f.read())
+    r = random.Random(8)
+    names = [p for p in made.id if len(p) < 9]
+    for _ in range(3000):
+        a, b = r.choice(names), r.choice(names).lstrip(pieces.MARK) or "a"
+        if b in made.id:
+            assert made._fit(made.id[a], made.id[b]) == (made.merged(a + b) == [a, b])
+
+
+def test_whole_table_through_a_unigram_model(spark, tmp_path):
+    """The scored walk, over all texts of a table: best-scoring, and decoded to the texts."""
+    r = random.Random(9)
+    letters = "abdehinorst▁"
+    scores = {a: -6.0 - i / 7 for i, a in enumerate(letters)}
+    scores |= {a + b: -r.uniform(3, 8) for a in letters for b in letters[:-1] if r.random() < 0.6}
+    scores |= {"▁th": -2.0, "▁the": -1.5, "ing": -2.5, "ation": -3.0}
+    path = tmp_path / "own.model"
+    path.write_bytes(unigram(scores))
+    texts = [prose(i, 40).replace("g", "d").replace("u", "o").replace("l", "b") for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    made = pieces.Pieces(unigram(scores))
+
+    def best(word):
+        top = [0.0]
+        for end in range(1, len(word) + 1):
+            top.append(max(top[end - n] + made.score[word[end - n : end]] for n in range(1, min(5, end) + 1) if word[end - n : end] in made.score))
+        return top[-1]
+
+    for x in pieces.round_trip(df, str(path), ["doc_id"]).collect():
+        assert x.restored
+        want = sum(best(pieces.MARK + w) for w in texts[x.doc_id].split(" "))
+        assert abs(sum(made.score[made.names[i]] for i in x.ids) - want) < 1e-6
+
+
 def test_empty_table(spark):
     empty = pieces.encode(spark.createDataFrame([], SCHEMA), PIECE_MODEL, ["doc_id"])
     assert empty.count() == 0 and pieces.decode(empty, PIECE_MODEL, ["doc_id"]).count() == 0
 
 
 def test_forgetting_changes_nothing(monkeypatch, library):
-    monkeypatch.setattr(pieces, "MAX_WORDS", 20)
+    monkeypatch.setattr(pieces, "SEGMENT", 50)
     monkeypatch.setattr(pieces, "MAX_PARTS", 10)
     monkeypatch.setattr(pieces, "MAX_FITS", 10)
     with open(PIECE_MODEL, "rb") as f:
