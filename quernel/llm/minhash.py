@@ -20,11 +20,14 @@ from pyspark.sql import functions as F
 
 from quernel.llm.bytetok import Chunk, chunks, mix
 from quernel.llm.decontam import bitmap, gram_hashes, in_bitmap
-from quernel.store import join_groups, saved
+from quernel.store import free_name, join_groups, mapped, saved
 
 BANDS, ROWS = 35, 6  #: similarity 0.8 is missed by all bands once in 40,000 times, 0.85 once in 10**7
 COARSE = 0.45  #: members of a bucket less similar to its head than this are far from it
-BLOCK = 256  #: nodes of a coarse group that a task takes together with as many others
+BLOCK = 1024  #: nodes of a coarse group that a task takes together with as many others, on average
+CELLS = 1 << 18  #: cells of those nodes, on average
+SALT = 2000  #: members of a head that a task compares with it
+DARTS = 1 << 18  #: places where darts are thrown at once
 SHINGLE = 5
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
@@ -115,7 +118,7 @@ def _bands(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in chunks(b["text"]):
-                for lo, hi in _parts(np.diff(c.word_bounds)):
+                for lo, hi in _parts(np.diff(c.word_bounds), k):
                     cells, bounds = units(_rows_of(c, lo, hi))
                     sig = signatures(cells, bounds, k).reshape(hi - lo, bands, rows)
                     key = np.tile(np.arange(bands, dtype=np.uint64), (hi - lo, 1))
@@ -133,10 +136,14 @@ def _bands(bands: int, rows: int):
     return run
 
 
-def _parts(words: np.ndarray, most: int = 400) -> Iterator[tuple[int, int]]:
-    """Few rows at a time: each throws about as many darts, however short it is."""
-    for lo in range(0, len(words), most):
-        yield lo, min(lo + most, len(words))
+def _parts(words: np.ndarray, k: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of at most about DARTS places where darts are thrown; a longer row is alone."""
+    places = np.cumsum(np.maximum(words, 2 * k * (np.log(k) + 3)))
+    lo = 0
+    while lo < len(words):
+        hi = max(lo + 1, int(np.searchsorted(places, (places[lo - 1] if lo else 0) + DARTS, "right")))
+        yield lo, hi
+        lo = hi
 
 
 def _rows_of(c: Chunk, lo: int, hi: int) -> Chunk:
@@ -147,44 +154,66 @@ def _rows_of(c: Chunk, lo: int, hi: int) -> Chunk:
     return Chunk(c.first + lo, hi - lo, c.data[a:z], c.bounds[lo : hi + 1] - a, c.starts[u:v] - a, c.ends[u:v] - a, c.word_bounds[lo : hi + 1] - u)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for c in chunks(b["text"]):
-            cells, bounds = units(c)
-            own = [np.sort(cells[a:z]).tobytes() for a, z in zip(bounds, bounds[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays(
-                [b["node"].slice(c.first, c.rows), pa.array(np.diff(bounds), pa.int64()), pa.array(own, pa.binary())], names=["node", "n", "cells"]
-            )
+def _sets(bits: np.ndarray):
+    """The sorted cells of the rows whose ``probe`` is in the bitmap."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(in_bitmap(bits, b["probe"].to_numpy().view(np.uint64))))
+            for c in chunks(b["text"]):
+                cells, bounds = units(c)
+                own = [np.sort(cells[a:z]).tobytes() for a, z in zip(bounds, bounds[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(b[x].slice(c.first, c.rows) for x in ("first", "h1", "h2")), pa.array(np.diff(bounds), pa.int64()), pa.array(own, pa.binary())],
+                    names=["first", "h1", "h2", "n", "cells"],
+                )
+
+    return run
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        similar = []
-        for x, y in zip(b["x"], b["y"], strict=True):
-            both = np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)])
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            similar.append(shared / (len(both) - shared))
-        yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(similar, pa.float64())], names=["a", "b", "similar"])
+
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Similarity of each member with its head, which comes before the members of its salt."""
+    at, head = None, np.zeros(0, np.uint64)
+    for batch in batches:
+        a, node, similar = [], [], []
+        for x, salt, member, y, cells in zip(*(batch[c] for c in ("a", "salt", "member", "node", "cells")), strict=True):
+            own = np.frombuffer(cells.as_buffer(), np.uint64)
+            if not member.as_py():
+                at, head = (x.as_py(), salt.as_py()), own.copy()
+                continue
+            if (x.as_py(), salt.as_py()) != at:
+                raise ValueError("a member without its head")
+            place = np.searchsorted(head, own)
+            place[place == len(head)] = 0
+            shared = int((head[place] == own).sum())
+            a.append(at[0])
+            node.append(y.as_py())
+            similar.append(shared / (len(own) + len(head) - shared))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(node, pa.int64()), pa.array(similar, pa.float64())], names=["a", "b", "similar"])
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with their similarity, by their whole sets."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("cells").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("cells").alias("y")), "b")
-    return saved(both.select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long, similar double"), "compared")
+    """The pairs (a, b) with their similarity, by their whole sets; a goes once to each SALT or fewer of its b."""
+    heads = saved(pairs.groupBy("a").agg(F.count("*").alias("n")), "heads")
+    salts = F.ceil(F.col("n") / SALT).cast("int")
+    dealt = join_groups(pairs, heads, "a", "n", how="inner").select("a", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"), F.col("b").alias("node"))
+    members = dealt.join(sets.select("node", "cells"), "node").select("a", "salt", F.lit(True).alias("member"), "node", "cells")
+    first = heads.join(sets.select(F.col("node").alias("a"), "cells"), "a").select("a", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(False).alias("member"), F.col("a").alias("node"), "cells")
+    rows = first.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "node")
+    return saved(mapped(rows, _beside, "a long, b long, similar double"), "compared")
 
 
 def _near_groups(coarse: DataFrame, label: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b, similar) that join classes within coarse groups, by comparing blocks of each with each other.
 
-    A group of m nodes is dealt to m / BLOCK blocks, so a task holds two blocks whatever m is. Only links that
-    join what isn't joined yet are given, fewer than there are nodes.
+    A group is dealt to blocks of about BLOCK nodes and CELLS cells at most, so a task holds two such blocks
+    whatever its size is. Only links that join what isn't joined yet are given, fewer than there are nodes.
     """
     group = extended(label, coarse).select("node", F.col("label").alias("grp"))
-    placed = _labelled(group, label)
-    mixed = placed.groupBy("grp").agg(F.count("*").alias("n"), (F.min("label") != F.max("label")).alias("split")).where("split")
-    mixed = saved(mixed.select("grp", "n"), "coarse")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = _labelled(group, label).join(sets.select("node", F.col("n").alias("size")), "node")
+    mixed = placed.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("all"), (F.min("label") != F.max("label")).alias("split")).where("split")
+    mixed = saved(mixed.select("grp", "n", "all"), "coarse")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("all") / CELLS)).cast("int")
     rows = join_groups(placed, mixed, "grp", "n", how="inner").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     rows = rows.join(sets.select("node", "cells"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "cells")
@@ -193,7 +222,7 @@ def _near_groups(coarse: DataFrame, label: DataFrame, sets: DataFrame, threshold
         b = b.sort_values("node").reset_index(drop=True)
         cells = [np.frombuffer(x, np.uint64) for x in b["cells"]]
         size, own = np.array([len(x) for x in cells]), b["own"].to_numpy()
-        flat, owner = np.concatenate(cells), np.repeat(np.arange(len(b)), size)
+        flat, owner = np.concatenate(cells), np.repeat(np.arange(len(b), dtype=np.int32), size)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
         _, tops = np.unique(b["label"].to_numpy(), return_inverse=True)
@@ -310,7 +339,7 @@ def _classified(docs: DataFrame, key: str, text: str, threshold: float, bands: i
         F.col(text).cast("string").alias("text"),
     )
     there = own.where("text is not null")
-    signed = there.select("node", "h1", "h2", "text").mapInArrow(_bands(bands, rows), "node long, h1 long, h2 long, bands array<long>")
+    signed = mapped(there.select("node", "h1", "h2", "text"), _bands(bands, rows), "node long, h1 long, h2 long, bands array<long>")
     by_text = signed.groupBy("h1", "h2").agg(F.first("bands").alias("bands"), F.min("node").alias("node"), F.count("*").alias("copies"))
     texts = _apart(saved(by_text.withColumn("first", F.col("node")), "texts"))
     meets = texts.select("node", F.explode(F.array_distinct("bands")).alias("key"))
@@ -318,18 +347,12 @@ def _classified(docs: DataFrame, key: str, text: str, threshold: float, bands: i
     members = saved(join_groups(meets, buckets, "key", "n", how="inner"), "members")
     pairs = saved(members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     needed = saved(texts.select("node", "h1", "h2", "first").join(members.select("node").distinct(), "node", "left_semi"), "needed")
-    # most texts meet no other: a bitmap of fixed size keeps them from being moved
+    # most texts meet no other: a bitmap of fixed size tells in passing which may need their set
     bits = bitmap(needed.select(F.xxhash64("first", "h1").alias("hash")), needed.count())
-
-    @F.pandas_udf("boolean")
-    def may_be(hash: pd.Series) -> pd.Series:
-        return pd.Series(in_bitmap(bits, hash.to_numpy().view(np.uint64)))
-
-    maybe = there.where(may_be(F.xxhash64("node", "h1"))).withColumnRenamed("node", "first")
-    stand = maybe.join(needed, ["first", "h1", "h2"]).select("node", "text")
+    maybe = there.select(F.col("node").alias("first"), "h1", "h2", F.xxhash64("node", "h1").alias("probe"), "text")
+    made = mapped(maybe, _sets(bits), "first long, h1 long, h2 long, n long, cells binary")
     # repeated rows give the same set
-    sets = stand.mapInArrow(_sets, "node long, n long, cells binary").dropDuplicates(["node"])
-    sets = saved(sets, "sets")
+    sets = saved(made.join(needed, ["first", "h1", "h2"]).dropDuplicates(["first", "h1", "h2"]).select("node", "n", "cells"), "sets")
     sizes = sets.select("node", "n")
     like = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
     like = like.where(F.least("na", "nb") >= COARSE * F.greatest("na", "nb")).select("a", "b")
@@ -394,6 +417,11 @@ def _hash(h1: str | Column = "h1", h2: str | Column = "h2") -> Column:
     return F.concat(F.lpad(F.hex(h1), 16, "0"), F.lpad(F.hex(h2), 16, "0")).alias("hash")
 
 
+def _place(key: str, hash: Column) -> Column:
+    """A doc_id and a text's hash as one string, never null."""
+    return F.concat(F.coalesce(hash, F.lit("")), F.coalesce(F.concat(F.lit("|"), F.col(key).cast("string")), F.lit("")))
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
     """Of each class of ``docs`` one row: that of its smallest doc_id, nulls last, and of the smallest text hash
     among those. A null text is in a class with none. Rows of the same doc_id and text count once."""
@@ -401,7 +429,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     place = F.struct(F.col(key).isNull().alias("bare"), F.col(key).alias("id"), F.col("_hash").alias("hash"))
     kept = found.where("_hash is not null").groupBy("class_id").agg(F.min(place).alias("kept")).select("kept.id", "kept.hash")
     kept = saved(kept.unionByName(found.where("_hash is null").select(F.col(key).alias("id"), F.col("_hash").alias("hash")).distinct()), "kept")
-    kept = kept.select(F.col("id").alias("_k"), F.col("hash").alias("_h"))
-    own = docs.withColumn("_own", F.when(F.col(text).isNotNull(), _hash(_h1(text), _h2(text))))
-    rows = own.join(kept, F.col(key).eqNullSafe(F.col("_k")) & F.col("_own").eqNullSafe(F.col("_h")), "left_semi")
-    return rows.dropDuplicates([key, "_own"]).drop("_own")
+    # one key of both sides, never null, so that texts are moved once
+    held = free_name(docs, "place")
+    kept = kept.select(_place("id", F.col("hash")).alias(held))
+    own = F.when(F.col(text).isNotNull(), _hash(_h1(text), _h2(text)))
+    rows = docs.withColumn(held, _place(key, own))
+    return rows.join(kept, held, "left_semi").dropDuplicates([held]).select(*docs.columns)

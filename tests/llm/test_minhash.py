@@ -118,6 +118,40 @@ def test_null_and_repeated_ids_are_kept_by_text(spark):
     assert len({x.class_id for x in classes}) == 2 and min(x.class_id for x in classes) == 5
 
 
+def test_hot_head_over_salts(spark, monkeypatch):
+    """A bucket head with many members is compared with them over several tasks."""
+    monkeypatch.setattr(minhash, "SALT", 7)
+    base = prose(97, 90)
+    rows = [(i, edited(base, i, 1 + i % 4)) for i in range(150)] + [(1000 + i, base) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {x.doc_id: x.class_id for x in minhash.classes(df).collect()} == brute(rows)
+
+
+def test_coarse_group_of_thousands(spark):
+    """5,000 pages of one template, alike but not near; some have a near copy."""
+    shared = prose(96, 60)
+    rows = [(i, shared + " " + prose(10_000 + i, 45)) for i in range(4900)]
+    rows += [(6000 + i, edited(rows[i * 7][1], i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {x.doc_id: x.class_id for x in minhash.classes(df).collect()}
+    want = {i: i for i in range(4900)} | {6000 + i: i * 7 for i in range(100)}
+    assert got == want
+
+
+def test_texts_of_megabytes(spark):
+    long = prose(95, 900_000)
+    rows = [(0, long), (1, edited(long, 1, 2000)), (2, long), (3, prose(94, 800_000)), (4, "x" * 5_000_000), (5, prose(93, 60)), (6, edited(prose(93, 60), 2))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {x.doc_id: x.class_id for x in minhash.classes(df).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5, 6: 5}
+
+
+def test_columns_of_any_name_are_kept(spark):
+    rows = [(1, prose(1, 60), "p", "h", "k", "o"), (2, edited(prose(1, 60), 4), "p", "h", "k", "o"), (3, prose(2, 60), "q", "h", "k", "o")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, place string, _h string, _k string, _own string")
+    got = minhash.one_of_each(df)
+    assert got.columns == df.columns and sorted(x.doc_id for x in got.collect()) == [1, 3]
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert minhash.classes(empty).count() == 0 and minhash.one_of_each(empty).count() == 0
