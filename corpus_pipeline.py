@@ -42,10 +42,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, and whether decoding the ids gives the text back."""
-    encoded = pieces.encode(docs.withColumn("_hash", F.xxhash64("text")), PIECE_MODEL, ["doc_id", "_hash"])
-    decoded = pieces.decode(encoded, PIECE_MODEL, ["doc_id", "_hash", "ids"])
-    restored = F.when(F.col("ids").isNotNull(), F.xxhash64("text") == F.col("_hash"))
-    return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), restored.alias("restored"))
+    coded = pieces.round_trip(docs, PIECE_MODEL, ["doc_id"])
+    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "restored")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
