@@ -40,13 +40,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quernel/{uuid.uuid4().hex}-{name}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+#: Slim rows (a few numbers each) that one file of an intermediate table may hold.
+FILE_ROWS = 1_000_000
+
+
+def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
-    This cuts lineage and survives the loss of executors; the files stay until the folder is cleaned.
+    This cuts lineage and survives the loss of executors; the files stay until the folder is cleaned. For a table
+    of at most ``rows`` slim rows there are no more files than it needs, or than there are cores.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(4, spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
