@@ -192,9 +192,10 @@ def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(node, pa.int64()), pa.array(similar, pa.float64())], names=["a", "b", "similar"])
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with their similarity, by their whole sets; a goes once to each SALT or fewer of its b."""
-    heads = saved(pairs.groupBy("a").agg(F.count("*").alias("n")), "heads")
+def _compared(pairs: DataFrame, sets: DataFrame, most: int) -> DataFrame:
+    """The pairs (a, b) with their similarity, by their whole sets; a goes once to each SALT or fewer of its b.
+    There are ``most`` pairs at most."""
+    heads = saved(pairs.groupBy("a").agg(F.count("*").alias("n")), "heads", most)
     salts = F.ceil(F.col("n") / SALT).cast("int")
     dealt = join_groups(pairs, heads, "a", "n", how="inner").select("a", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"), F.col("b").alias("node"))
     members = dealt.join(sets.select("node", "cells"), "node").select("a", "salt", F.lit(True).alias("member"), "node", "cells")
@@ -203,16 +204,16 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return saved(mapped(rows, _beside, "a long, b long, similar double"), "compared")
 
 
-def _near_groups(coarse: DataFrame, label: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _near_groups(coarse: DataFrame, label: DataFrame, sets: DataFrame, threshold: float, most: int) -> DataFrame:
     """Links (a, b, similar) that join classes within coarse groups, by comparing blocks of each with each other.
 
     A group is dealt to blocks of about BLOCK nodes and CELLS cells at most, so a task holds two such blocks
     whatever its size is. Only links that join what isn't joined yet are given, fewer than there are nodes.
     """
-    group = extended(label, coarse).select("node", F.col("label").alias("grp"))
+    group = extended(label, coarse, most).select("node", F.col("label").alias("grp"))
     placed = _labelled(group, label).join(sets.select("node", F.col("n").alias("size")), "node")
     mixed = placed.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("all"), (F.min("label") != F.max("label")).alias("split")).where("split")
-    mixed = saved(mixed.select("grp", "n", "all"), "coarse")
+    mixed = saved(mixed.select("grp", "n", "all"), "coarse", most)
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("all") / CELLS)).cast("int")
     rows = join_groups(placed, mixed, "grp", "n", how="inner").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     rows = rows.join(sets.select("node", "cells"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -264,46 +265,49 @@ def _crossed(mixed: DataFrame, may: Column) -> DataFrame:
     return rest.join(outer, ["key", "salt"]).where(apart & may)
 
 
-def _followed(rows: DataFrame, steps: DataFrame) -> DataFrame:
+def _followed(rows: DataFrame, steps: DataFrame, most: int) -> DataFrame:
     """(node, up) of rows, with the up that ``steps`` has for theirs, if any; an up of many rows is looked up once."""
     heads = rows.groupBy("up").agg(F.count("*").alias("n"))
     heads = heads.join(steps.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left").withColumn("top", F.coalesce("top", "up"))
-    found = join_groups(rows, saved(heads, "heads"), "up", "n", how="inner")
+    found = join_groups(rows, saved(heads, "heads", most), "up", "n", how="inner")
     return found.withColumn("up", F.col("top")).select(*rows.columns)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, most: int) -> DataFrame:
     """(node, label) of each node of the links (a, b): the smallest node that it is connected with.
 
     Each round, every node moves to the least node around it and on to that one's least, and links go along;
-    those that become loops are done, so there are fewer from round to round, and a long chain halves.
+    those that become loops are done, so there are fewer from round to round, and a long chain halves. There are
+    ``most`` links at most.
     """
-    edges = saved(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+    edges = saved(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges", most)
     steps = []
-    while edges.limit(1).count():
+    while most := edges.count():
         ends = edges.select(F.col("b").alias("node"), F.col("a").alias("up")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("up")))
-        near = saved(ends.groupBy("node").agg(F.min("up").alias("up"), F.count("*").alias("d")), "near")
-        steps.append(saved(_followed(near, near), "steps"))
+        near = saved(ends.groupBy("node").agg(F.min("up").alias("up"), F.count("*").alias("d")), "near", 2 * most)
+        steps.append(saved(_followed(near, near, 2 * most), "steps", 2 * most))
         for side in ("a", "b"):
             moved = join_groups(edges, steps[-1].select(F.col("node").alias(side), "up", "d"), side, "d", how="inner")
             edges = moved.withColumn(side, F.col("up")).select("a", "b")
-        edges = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+        edges = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges", most)
     if not steps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     found = steps.pop()
     while steps:
-        found = saved(_followed(steps.pop(), found), "steps")
+        before = steps.pop()
+        found = saved(_followed(before, found, n := before.count()), "steps", n)
     return found.select("node", F.col("up").alias("label"))
 
 
-def extended(label: DataFrame, links: DataFrame) -> DataFrame:
-    """The (node, label) of components() once the links (a, b) count too: only classes that they join are looked at."""
+def extended(label: DataFrame, links: DataFrame, most: int) -> DataFrame:
+    """The (node, label) of components() once the links (a, b) count too: only classes that they join are looked at.
+    There are ``most`` labels and links at most."""
     ends = _labelled(links.select(F.col("a").alias("node"), "b"), label).select(F.col("label").alias("a"), F.col("b").alias("node"))
-    tops = components(_labelled(ends, label).select("a", F.col("label").alias("b")))
+    tops = components(_labelled(ends, label).select("a", F.col("label").alias("b")), most)
     tops = tops.select("node", F.col("label").alias("up"))
-    moved = _followed(label.select("node", F.col("label").alias("up")), tops)
+    moved = _followed(label.select("node", F.col("label").alias("up")), tops, most)
     new = tops.join(label.select("node"), "node", "left_anti")
-    return saved(moved.unionByName(new).select("node", F.col("up").alias("label")), "labels")
+    return saved(moved.unionByName(new).select("node", F.col("up").alias("label")), "labels", most)
 
 
 def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
@@ -342,11 +346,12 @@ def _classified(docs: DataFrame, key: str, text: str, threshold: float, bands: i
     signed = mapped(there.select("node", "h1", "h2", "text"), _bands(bands, rows), "node long, h1 long, h2 long, bands array<long>")
     by_text = signed.groupBy("h1", "h2").agg(F.first("bands").alias("bands"), F.min("node").alias("node"), F.count("*").alias("copies"))
     texts = _apart(saved(by_text.withColumn("first", F.col("node")), "texts"))
+    most = bands * texts.count()
     meets = texts.select("node", F.explode(F.array_distinct("bands")).alias("key"))
-    buckets = saved(meets.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = saved(join_groups(meets, buckets, "key", "n", how="inner"), "members")
-    pairs = saved(members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    needed = saved(texts.select("node", "h1", "h2", "first").join(members.select("node").distinct(), "node", "left_semi"), "needed")
+    buckets = saved(meets.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1"), "buckets", most)
+    members = saved(join_groups(meets, buckets, "key", "n", how="inner"), "members", most)
+    pairs = saved(members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs", most)
+    needed = saved(texts.select("node", "h1", "h2", "first").join(members.select("node").distinct(), "node", "left_semi"), "needed", most)
     # most texts meet no other: a bitmap of fixed size tells in passing which may need their set
     bits = bitmap(needed.select(F.xxhash64("first", "h1").alias("hash")), needed.count())
     maybe = there.select(F.col("node").alias("first"), "h1", "h2", F.xxhash64("node", "h1").alias("probe"), "text")
@@ -356,23 +361,23 @@ def _classified(docs: DataFrame, key: str, text: str, threshold: float, bands: i
     sizes = sets.select("node", "n")
     like = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
     like = like.where(F.least("na", "nb") >= COARSE * F.greatest("na", "nb")).select("a", "b")
-    compared = _compared(like, sets)
-    label = components(compared.where(F.col("similar") >= threshold))
+    compared = _compared(like, sets, most)
+    label = components(compared.where(F.col("similar") >= threshold), most)
     # What is rather like some bucket's head is compared within coarse groups, class against class. Members far
     # from a head meet those of their bucket, unless their distances to it rule a link out: 1 - similarity is a
     # metric, so distances of linked texts to a third one differ by 1 - threshold at most.
-    near = _near_groups(compared.where((F.col("similar") >= COARSE) & (F.col("similar") < threshold)).select("a", "b"), label, sets, threshold)
-    compared = saved(compared.unionByName(near.join(compared.select("a", "b"), ["a", "b"], "left_anti")), "compared")
-    label = extended(label, near)
+    near = _near_groups(compared.where((F.col("similar") >= COARSE) & (F.col("similar") < threshold)).select("a", "b"), label, sets, threshold, most)
+    compared = saved(compared.unionByName(near.join(compared.select("a", "b"), ["a", "b"], "left_anti")), "compared", most)
+    label = extended(label, near, most)
     far = compared.select(F.col("a").alias("head"), F.col("b").alias("node"), (1 - F.col("similar")).alias("far"))
     placed = members.where("n > 2").drop("n").join(far, ["head", "node"], "left")
     placed = _labelled(placed.withColumn("far", F.when(F.col("node") == F.col("head"), F.lit(0.0)).otherwise(F.coalesce("far", F.lit(2.0)))), label)
-    placed = saved(placed, "members")
+    placed = saved(placed, "members", most)
     by_class = placed.groupBy("key", "label").agg(F.count("*").alias("c"))
     split = by_class.groupBy("key").agg(F.max_by("label", "c").alias("main"), F.sum("c").alias("n"), F.count("*").alias("k")).where("k > 1")
-    split = saved(split.drop("k"), "split")
+    split = saved(split.drop("k"), "split", most)
     if split.limit(1).count():
-        mixed = saved(join_groups(placed, split, "key", "n", how="inner"), "mixed")
+        mixed = saved(join_groups(placed, split, "key", "n", how="inner"), "mixed", most)
         unknown = (F.col("far") > 1.5) | (F.col("fq") > 1.5)
         may = (F.greatest("far", "fq") > 1 - COARSE) & (unknown | (F.abs(F.col("far") - F.col("fq")) <= 1 - threshold + 1e-9))
         met = _crossed(mixed, may).select(F.least("node", "q").alias("a"), F.greatest("node", "q").alias("b")).distinct()
@@ -380,13 +385,13 @@ def _classified(docs: DataFrame, key: str, text: str, threshold: float, bands: i
         met = met.where(F.least("na", "nb") >= (threshold - 1e-9) * F.greatest("na", "nb")).select("a", "b")
         met = saved(met.join(compared.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         if met.limit(1).count():
-            more = _compared(met, sets)
+            more = _compared(met, sets, met.count())
             compared = saved(compared.unionByName(more), "compared")
-            label = extended(label, more.where(F.col("similar") >= threshold))
+            label = extended(label, more.where(F.col("similar") >= threshold), most)
     links = compared.where(F.col("similar") >= threshold).select("a", "b")
     degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links"))
     found = _labelled(texts.select("node", _hash(), "copies"), label).join(degree, F.col("node") == F.col("a"), "left")
-    found = saved(found.select("hash", "label", "n_links", "copies"), "classes")
+    found = saved(found.select("hash", "label", "n_links", "copies"), "classes", most // bands)
     out = join_groups(own.select("id", "node", _hash()), found, "hash", "copies", noise="node")
     return out.select(
         F.col("id").alias(key), F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.col("hash").alias("_hash")
