@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.store import join_groups, saved
+from quernel.store import free_name, join_groups, saved
+
+
+def _with(value: Column, f) -> Column:
+    """f(value), with value worked out once: a column named beforehand may be put into each turn of a lambda.
+
+    Inside, get() takes one element; slice() would copy the whole array each time.
+    """
+    return F.transform(F.array(value), f)[0]
 
 
 def _lines(text: str) -> Column:
@@ -14,24 +22,28 @@ def _lines(text: str) -> Column:
 
 def window_occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
     """(id, text_hash, pos, window) of each run of ``size`` lines; runs of blank lines only are left out."""
-    lines = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("text_hash"), _lines(text).alias("lines")).where(F.size("lines") >= size)
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size("lines") - (size - 1)),
-        lambda i: F.array_join(F.slice("lines", i, F.lit(size)), "\n"),
-    )
-    each = lines.select("id", "text_hash", F.posexplode(runs).alias("pos", "run"))
-    return each.where(F.col("run").rlike(r"[^\n\r\t ]")).select("id", "text_hash", "pos", F.unhex(F.md5("run")).alias("window"))
+    each = F.transform(_lines(text), lambda x: F.struct(F.unhex(F.md5(x)).alias("h"), F.length(F.translate(x, "\r\t ", "")).cast("int").alias("n")))
+
+    def run(own: Column, i: Column) -> Column:
+        several = [F.get(own, i + j) for j in range(size)]
+        full = F.greatest(*[x.n for x in several]) > 0 if size > 1 else several[0].n > 0
+        return F.struct(i.alias("pos"), F.when(full, F.unhex(F.md5(F.concat(*[x.h for x in several])))).alias("window"))
+
+    # an outer explode, as others get a filter that works the array out once more
+    runs = _with(each, lambda own: F.when(F.size(own) >= size, F.transform(F.sequence(F.lit(0), F.size(own) - size), lambda i: run(own, i))))
+    found = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("text_hash"), runs.alias("runs"))  # no text beside each run
+    return found.select("id", "text_hash", F.explode_outer("runs").alias("run")).select("id", "text_hash", "run.pos", "run.window").where("window is not null")
 
 
 def later_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
-    """(id, text_hash, starts): where windows begin that also occur earlier, by doc_id and then by line."""
+    """(id, text_hash, starts): where windows begin that also occur earlier, by doc_id and then by line; in order."""
     found = saved(window_occurrences(docs, key, text, size), "windows")
     place = F.struct("id", "text_hash", "pos")
     groups = saved(
         found.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "repeated"
     )
     again = join_groups(found, groups, "window", "n", how="inner").where(~place.eqNullSafe(F.col("first")))
-    return again.groupBy("id", "text_hash").agg(F.collect_set("pos").alias("starts"))
+    return again.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("starts"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
@@ -46,11 +58,24 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     n_removed are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
-    later = later_windows(docs, key, text, size).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("starts").alias("_starts"))
-    joined = docs.withColumn("_own", F.xxhash64(text)).join(later, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
-    n = F.when(F.col(text).isNotNull(), F.size(_lines(text))).otherwise(0)
-    covered = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + (size - 1)))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(_lines(text)) - 1), covered)
-    clean = F.array_join(F.transform(kept, lambda i: _lines(text)[i]), "\n")
-    out = joined.withColumn("n_lines", n.cast("long")).withColumn("n_removed", F.when(F.col("_starts").isNotNull(), F.size(covered)).otherwise(0).cast("long"))
-    return out.withColumn(text, F.when(F.col("_starts").isNotNull(), clean).otherwise(F.col(text))).drop("_own", "_id", "_hash", "_starts")
+    own, i, h, starts = (free_name(docs, x) for x in ("own_hash", "its_id", "its_hash", "starts"))
+    later = later_windows(docs, key, text, size).select(F.col("id").alias(i), F.col("text_hash").alias(h), F.col("starts").alias(starts))
+    joined = docs.withColumn(own, F.xxhash64(text)).join(later, F.col(key).eqNullSafe(F.col(i)) & (F.col(own) == F.col(h)), "left")
+
+    def kept(x: Column) -> Column:
+        """Lines between what the windows cover: a gap ends at each start, and begins size lines after the last one."""
+        gaps = F.transform(
+            F.sequence(F.lit(0), F.size(x.starts)),
+            lambda k: F.struct(
+                F.when(k > 0, F.get(x.starts, k - 1) + size).otherwise(0).alias("a"), F.when(k < F.size(x.starts), F.get(x.starts, k)).otherwise(F.size(x.lines)).alias("z")
+            ),
+        )
+        return F.flatten(F.transform(F.filter(gaps, lambda g: g.z > g.a), lambda g: F.transform(F.sequence(g.a, g.z - 1), lambda k: F.get(x.lines, k))))
+
+    both = _with(F.struct(_lines(text).alias("lines"), F.col(starts).alias("starts")), lambda x: _with(kept(x), lambda k: F.struct(F.array_join(k, "\n").alias("text"), F.size(k).alias("n"))))
+    clean = free_name(docs, "clean")
+    n = F.when(F.col(text).isNotNull(), F.size(_lines(text))).otherwise(0).cast("long")
+    out = joined.withColumn("n_lines", n).withColumn(clean, F.when(F.col(starts).isNotNull(), both))
+    removed = F.when(F.col(starts).isNotNull(), F.col("n_lines") - F.col(f"{clean}.n")).otherwise(0).cast("long")
+    out = out.withColumn("n_removed", removed).withColumn(text, F.when(F.col(starts).isNotNull(), F.col(f"{clean}.text")).otherwise(F.col(text)))
+    return out.drop(own, i, h, starts, clean)

@@ -1,4 +1,5 @@
 import random
+import time
 
 from cases import SCHEMA, odd
 
@@ -57,3 +58,25 @@ def test_odd_rows(spark):
     by = {x.doc_id: x for x in got.collect()}
     assert by[13].text == "same line" and by[7].n_removed == 0 and by[4].text is None and by[5].text == ""
     assert linededup.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_columns_of_any_name_are_kept(spark):
+    df = spark.createDataFrame([(1, "a\nb\nc\nd", "x", "y", "z", "s", "c"), (2, "a\nb\nc\ne", "x", "y", "z", "s", "c")], "doc_id long, text string, _hash string, own_hash string, Its_id string, starts string, clean string")
+    got = linededup.dedup_lines(df)
+    assert got.columns == [*df.columns, "n_lines", "n_removed"]
+    assert [(x.doc_id, x.text, x.own_hash, x.Its_id, x.starts, x.clean) for x in got.orderBy("doc_id").collect()] == [(1, "a\nb\nc\nd", "y", "z", "s", "c"), (2, "e", "y", "z", "s", "c")]
+
+
+def test_linear_in_the_lines_of_a_text(spark):
+    """Megabytes in one text: its second half repeats the first, and ten times the lines take no hundred times as long."""
+
+    def took(n):
+        text = "\n".join([f"line {i} of a long text" for i in range(n)] * 2)
+        df = spark.createDataFrame([(1, text), (2, "p\nq\nr\n" + text)], "doc_id long, text string")
+        began = time.perf_counter()
+        got = {x.doc_id: x.text for x in linededup.dedup_lines(df).collect()}
+        assert got == {1: "\n".join(f"line {i} of a long text" for i in range(n)), 2: "p\nq\nr"}
+        return time.perf_counter() - began
+
+    small = min(took(4000), took(4000))
+    assert took(40_000) < 10 * small + 5
