@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.llm.bytetok import LOWER, Chunk, chunks, mix
-from quernel.store import MAX_BROADCAST_ROWS, hinted, saved
+from quernel.store import MAX_BROADCAST_ROWS, free_name, hinted, mapped, saved
 
 _STEP = np.uint64(0x9FB21C651E98DF25)
 _FIELDS = "row long, id {id}, n_words long, hash long, pos long, context string, left int, size int"
@@ -172,14 +172,14 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id:
     bench = items.select(F.col(item_id), F.col(text))
     every = list(range(1, window))
     prints = saved(
-        bench.mapInArrow(_scan(window, k, every, None, False), _FIELDS.format(id=kind[1])).select(
+        mapped(bench, _scan(window, k, every, None, False), _FIELDS.format(id=kind[1])).select(
             "hash", F.col("id").alias("item_id"), F.col("context").alias("item_context"), F.col("left").alias("item_left"), F.col("size").alias("item_size")
         ).distinct(),
         "prints",
     )
     count = prints.count()
     short = [r[0] for r in prints.where(F.col("item_size") < window).select("item_size").distinct().collect()]
-    rows = docs.select(F.col(doc_id), F.col(text)).mapInArrow(_scan(window, k, sorted(short), bitmap(prints, count), True), _FIELDS.format(id=kind[0]))
+    rows = mapped(docs.select(F.col(doc_id), F.col(text)), _scan(window, k, sorted(short), bitmap(prints, count), True), _FIELDS.format(id=kind[0]))
     same = (F.col("hash") == F.col("_hash")) & (F.col("size") == F.col("item_size"))
     if count <= MAX_BROADCAST_ROWS:
         met = rows.join(F.broadcast(prints.withColumnRenamed("hash", "_hash")), same, "left")
@@ -189,7 +189,7 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id:
         wide = prints.withColumnRenamed("hash", "_hash").withColumn("_its", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         met = rows.join(wide, same & (F.col("_salt") == F.col("_its")), "left")
     met = met.select("row", "id", "n_words", "pos", "context", "left", "size", "item_id", "item_context", "item_left")
-    return met.mapInArrow(_extend(), f"row long, id {kind[0]}, n_words long, start long, end long, item_id {kind[1]}")
+    return mapped(met, _extend(), f"row long, id {kind[0]}, n_words long, start long, end long, item_id {kind[1]}")
 
 
 def report(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = 10, k: int = 5) -> DataFrame:
@@ -224,8 +224,10 @@ def report(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: s
 
 def decontaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", window: int = 10, k: int = 5) -> DataFrame:
     """The rows of ``docs`` whose own text holds no benchmark window."""
-    own = F.struct(F.col(doc_id).alias("id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), F.col("text")).alias("h2"))
-    runs = overlaps(docs.select(own.alias("_row"), "text"), items, "_row", window=window, k=k)
-    found = runs.where("start is not null").select(F.col("id.id").alias("_id"), F.col("id.h1").alias("_h1"), F.col("id.h2").alias("_h2")).distinct()
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h1")) & (F.xxhash64(F.lit(7), F.col("text")) == F.col("_h2"))
+    row, i, h1, h2 = (free_name(docs, x) for x in ("own_row", "its_id", "its_h1", "its_h2"))
+    first, second = F.xxhash64("text"), F.xxhash64(F.lit(7), F.col("text"))
+    own = F.struct(F.col(doc_id).alias("id"), first.alias("h1"), second.alias("h2"))
+    runs = overlaps(docs.select(own.alias(row), "text"), items, row, window=window, k=k)
+    found = runs.where("start is not null").select(F.col("id.id").alias(i), F.col("id.h1").alias(h1), F.col("id.h2").alias(h2)).distinct()
+    same = F.col(doc_id).eqNullSafe(F.col(i)) & (first == F.col(h1)) & (second == F.col(h2))
     return docs.join(hinted(saved(found, "contaminated")), same, "left_anti")

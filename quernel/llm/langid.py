@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.llm.bytetok import LOWER, Chunk, chunks, mix
-from quernel.store import saved
+from quernel.store import free_name, mapped, saved
 
 GRAMS = 5
 _MARK = np.uint64(0x5851F42D4C957F2D)
@@ -191,9 +191,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     if last is None:
         return Model([], (np.zeros(0, np.uint64), np.zeros((1, 0), np.float32)), [(np.zeros(0, np.uint64), np.zeros((1, 0), np.float32))] * GRAMS)
     counted = (
-        rows.where(F.col("_h") <= last)
-        .select("lang", "text")
-        .mapInArrow(_count, "lang string, size int, hash long, n long")
+        mapped(rows.where(F.col("_h") <= last).select("lang", "text"), _count, "lang string, size int, hash long, n long")
         .groupBy("size", "hash", "lang")
         .agg(F.sum("n").alias("n"))
     )
@@ -237,7 +235,7 @@ def with_language(docs: DataFrame, model: Model, keep: list[str], text: str = "t
         scorer = model.scorer()
         for b in batches:
             best, share = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for c in chunks(b["_text"]):
+            for c in chunks(b.column(len(keep))):
                 if not model.languages:
                     best.append(np.zeros(c.rows, np.int64))
                     share.append(np.zeros(c.rows))
@@ -248,12 +246,12 @@ def with_language(docs: DataFrame, model: Model, keep: list[str], text: str = "t
                 best.append(np.where(ok, score.argmax(axis=1), len(names) - 1))
                 share.append(np.where(ok, sure, 0.0))
             yield pa.RecordBatch.from_arrays(
-                [*(b[c] for c in keep), pa.array(names[np.concatenate(best)], pa.string()), pa.array(np.concatenate(share))],
+                [*b.columns[: len(keep)], pa.array(names[np.concatenate(best)], pa.string()), pa.array(np.concatenate(share))],
                 names=[*keep, "lang_pred", "score"],
             )
 
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    return mapped(docs.select(*keep, F.col(text).cast("string").alias(free_name(docs, "own_text"))), run, schema)
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

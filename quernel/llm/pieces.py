@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernel.llm.bytetok import BASE, BASE_INVERSE, mix, power
-from quernel.store import mapped
+from quernel.store import free_name, mapped
 
 MARK = "▁"
 #: Distinct parts of marked words that a task remembers; it then begins anew.
@@ -507,7 +507,7 @@ def _encoded(df: DataFrame, model: str, keep: list[str], text: str, ids: str, re
 
     schema = df.select(*keep).schema.add(ids, T.ArrayType(T.IntegerType()))
     schema = schema.add(restored, "boolean") if restored else schema
-    return mapped(df.select(*keep, F.col(text).cast("string")), run, schema)
+    return mapped(df.select(*keep, F.col(text).cast("string").alias(free_name(df, "own_text"))), run, schema)
 
 
 def decode(df: DataFrame, model: str, keep: list[str], ids: str = "ids", text: str = "text") -> DataFrame:
@@ -531,4 +531,4 @@ def decode(df: DataFrame, model: str, keep: list[str], ids: str = "ids", text: s
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n)), pa.array(texts, pa.string())], names=[*keep, text])
 
     schema = df.select(*keep).schema.add(text, "string")
-    return mapped(df.select(*keep, F.col(ids).cast("array<int>")), run, schema)
+    return mapped(df.select(*keep, F.col(ids).cast("array<int>").alias(free_name(df, "own_ids"))), run, schema)

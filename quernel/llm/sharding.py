@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernel.store import saved
+from quernel.store import free_name, mapped, saved
 
 _LOCAL = (1 << 33) - 1  #: the part of monotonically_increasing_id() that counts within a partition
 _HALF = 1 << 63
@@ -57,7 +57,7 @@ def _counts(slim: DataFrame, probes: list[int]) -> dict[int, tuple[int, int]]:
         at = np.flatnonzero(rows)
         yield pa.RecordBatch.from_pydict({"at": at.astype(np.int32), "size": size[at], "n": rows[at]})
 
-    found = slim.mapInArrow(count, "at int, size long, n long").groupBy("at").agg(F.sum("size"), F.sum("n")).collect()
+    found = mapped(slim, count, "at int, size long, n long").groupBy("at").agg(F.sum("size"), F.sum("n")).collect()
     size, rows = np.zeros(len(probes) + 1, np.int64), np.zeros(len(probes) + 1, np.int64)
     for at, s, n in found:
         size[at], rows[at] = s, n
@@ -131,16 +131,17 @@ def histogram_shards(df: DataFrame, shards: int = 16, text: str = "text", key: s
     def range_of(h: pd.Series, d: pd.Series) -> pd.Series:
         return pd.Series(below(h.to_numpy(), d.to_numpy(), ph, pd_).astype(np.int32))
 
-    at = F.array(*map(F.lit, shard_of))[F.col("_range")]
-    first = F.array(*[F.lit(x).cast("long") for x in start])[F.col("_range")]
+    own_h, own_d, own_range = (free_name(df, x) for x in ("own_h", "own_d", "own_range"))
+    at = F.array(*map(F.lit, shard_of))[F.col(own_range)]
+    first = F.array(*[F.lit(x).cast("long") for x in start])[F.col(own_range)]
     return (
-        df.withColumns({"_h": h, "_d": d})
-        .withColumn("_range", range_of("_h", "_d"))
-        .repartitionById(len(cuts) + 1, F.col("_range"))
-        .sortWithinPartitions("_h", "_d")
+        df.withColumns({own_h: h, own_d: d})
+        .withColumn(own_range, range_of(own_h, own_d))
+        .repartitionById(len(cuts) + 1, F.col(own_range))
+        .sortWithinPartitions(own_h, own_d)
         .withColumn("slot", first + F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL)))
         .withColumn("shard", at)
-        .drop("_h", "_d", "_range")
+        .drop(own_h, own_d, own_range)
     )
 
 

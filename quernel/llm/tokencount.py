@@ -17,6 +17,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernel.store import free_name, mapped
+
 #: Fixed value: the public pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LOOK = 2  #: characters beyond a pre-token that the pattern may look at
@@ -152,7 +154,7 @@ def grow(df: DataFrame, vocabulary: str, keep: list[str], text: str = "text") ->
 
     own = df.select(*keep, F.col(text).cast("string").alias("text"))
     fields = ", ".join(f"`{n}` {k}" for n, k in own.dtypes)
-    return own.mapInArrow(run, f"{fields}, sizes array<int>, counts array<int>")
+    return mapped(own, run, f"{fields}, sizes array<int>, counts array<int>")
 
 
 def counted_edits(df: DataFrame, vocabulary: str, keep: list[str], text: str = "text", edits: str = "edits", sizes: str | None = None, counts: str | None = None) -> DataFrame:
@@ -171,7 +173,7 @@ def counted_edits(df: DataFrame, vocabulary: str, keep: list[str], text: str = "
         for b in batches:
             for at in range(0, len(b), 200):
                 part = b.slice(at, 200)
-                rows = zip(*(part[c].to_pylist() for c in ("_text", "_edits", "_sizes", "_counts")), strict=True)
+                rows = zip(*(x.to_pylist() for x in part.columns[len(keep) :]), strict=True)
                 got = []
                 for content, changes, s, c in rows:
                     if content is None:
@@ -185,15 +187,15 @@ def counted_edits(df: DataFrame, vocabulary: str, keep: list[str], text: str = "
                     got.append((n, before, tree.total, tree.encoded, tree.text))
                 columns = list(zip(*got, strict=True))
                 kinds = [pa.int64()] * 4 + [pa.string()]
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), *(pa.array(v, k) for v, k in zip(columns, kinds, strict=True))], names=[*keep, *_ADDED])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(v, k) for v, k in zip(columns, kinds, strict=True))], names=[*keep, *_ADDED])
 
     none = F.lit(None).cast("array<int>")
     own = df.select(
-        *keep, F.col(text).cast("string").alias("_text"), F.col(edits).cast("array<struct<start:int,length:int,insert:string>>").alias("_edits"),
-        (F.col(sizes) if sizes else none).alias("_sizes"), (F.col(counts) if counts else none).alias("_counts"),
+        *keep, F.col(text).cast("string").alias(free_name(df, "own_text")), F.col(edits).cast("array<struct<start:int,length:int,insert:string>>").alias(free_name(df, "own_edits")),
+        (F.col(sizes) if sizes else none).alias(free_name(df, "own_sizes")), (F.col(counts) if counts else none).alias(free_name(df, "own_counts")),
     )
     fields = ", ".join(f"`{n}` {k}" for n, k in df.select(*keep).dtypes)
-    return own.mapInArrow(run, f"{fields}, n_pretokens long, n_tokens long, n_tokens_edited long, n_reencoded long, text_edited string")
+    return mapped(own, run, f"{fields}, n_pretokens long, n_tokens long, n_tokens_edited long, n_reencoded long, text_edited string")
 
 
 _ADDED = ["n_pretokens", "n_tokens", "n_tokens_edited", "n_reencoded", "text_edited"]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quernel.llm.bytetok import Chunk, chunks
 from quernel.llm.langid import Lookup
-from quernel.store import saved
+from quernel.store import free_name, mapped, saved
 
 
 @dataclass
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", key: str = "do
     if not totals.get(True) or not totals.get(False):
         return Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.full(1, -np.inf if totals.get(True) else np.inf))
     high, low = totals[True], totals[False]
-    by_word = seen.mapInArrow(_count, "word long, n long, a long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("a").alias("a")).where(F.col("n") >= least)
+    by_word = mapped(seen, _count, "word long, n long, a long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("a").alias("a")).where(F.col("n") >= least)
     share = F.col("n") / (high + low)
     apart = F.abs(F.col("a") / high - (F.col("n") - F.col("a")) / low)
     sure = apart / F.sqrt(share * (1 - share) * (1 / high + 1 / low) + 1e-9)
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", key: str = "do
                 features = pa.ListArray.from_arrays(pa.array(offsets), pa.array(feature.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([b["grade"].slice(c.first, c.rows), features], names=["grade", "features"])
 
-    got = seen.mapInArrow(pick, "grade int, features array<int>").toArrow().combine_chunks()
+    got = mapped(seen, pick, "grade int, features array<int>").toArrow().combine_chunks()
     grades, features = got["grade"].to_numpy(), got["features"].combine_chunks()
     owner = np.repeat(np.arange(len(grades)), features.value_lengths().to_numpy())
     weights, thresholds = fit_ordinal(features.flatten().to_numpy(), owner, grades, len(words), int(grades.max()) + 1)
@@ -189,16 +189,16 @@ def severity(docs: DataFrame, model: Ordinal, keep: list[str], text: str = "text
         known, width = Lookup(model.words), max(len(model.words), 1)
         for b in batches:
             score = [np.zeros(0)]
-            for c in chunks(b["_text"]):
+            for c in chunks(b.column(len(keep))):
                 row, word = _known(known, width, c)
                 score.append(np.bincount(row, weights=np.append(model.weights, 0.0)[word], minlength=c.rows))
             above = model.above(np.concatenate(score))
-            null = b["_text"].is_null().to_numpy(zero_copy_only=False)
+            null = b.column(len(keep)).is_null().to_numpy(zero_copy_only=False)
             expected, grade = above.sum(1), (above > 0.5).sum(1)
             yield pa.RecordBatch.from_arrays(
-                [*(b[c] for c in keep), pa.array(expected, mask=null), pa.array(grade.astype(np.int32), mask=null), pa.array(grade > 0, mask=null)],
+                [*b.columns[: len(keep)], pa.array(expected, mask=null), pa.array(grade.astype(np.int32), mask=null), pa.array(grade > 0, mask=null)],
                 names=[*keep, "severity", "grade", "toxic"],
             )
 
     schema = docs.select(*keep).schema.add("severity", "double").add("grade", "integer").add("toxic", "boolean")
-    return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    return mapped(docs.select(*keep, F.col(text).cast("string").alias(free_name(docs, "own_text"))), run, schema)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.store import join_groups, new_path, saved
+from quernel.store import join_groups, mapped, new_path, saved
 
 BLOCK_LINES = 2000
 FILE_BYTES = 256 << 20  #: a new archive file is begun beyond this
@@ -139,7 +139,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
             out.close()
 
     ordered = joined.select("page_id", "url", "body", "response", "revisit", "digest").sortWithinPartitions("page_id", "digest", "url")
-    return saved(ordered.mapInArrow(write, _CAPTURE), "captures")
+    return saved(mapped(ordered, write, _CAPTURE), "captures")
 
 
 def _rows(got: list[tuple], schema: str) -> pa.RecordBatch:
@@ -187,7 +187,7 @@ def build_index(captures: DataFrame, folder: str) -> list[tuple[str, int, int]]:
         yield _rows([(key, int(i), part)], "key string, id long, part int")
 
     made = captures.repartitionByRange(parts, "url_key", "page_id").sortWithinPartitions("url_key", "page_id", "file", "offset")
-    return sorted(tuple(r) for r in saved(made.mapInArrow(write, "key string, id long, part int"), "parts").collect())
+    return sorted(tuple(r) for r in saved(mapped(made, write, "key string, id long, part int"), "parts").collect())
 
 
 class _Index:
@@ -242,7 +242,7 @@ def lookup(wanted: DataFrame, folder: str, parts: list[tuple[str, int, int]]) ->
     if not parts:
         return wanted.sparkSession.createDataFrame([], _CAPTURE)
     once = wanted.select("url_key", F.col("page_id").cast("long").alias("page_id")).distinct()
-    return once.repartitionByRange(tasks, "url_key", "page_id").sortWithinPartitions("url_key", "page_id").mapInArrow(find, _CAPTURE)
+    return mapped(once.repartitionByRange(tasks, "url_key", "page_id").sortWithinPartitions("url_key", "page_id"), find, _CAPTURE)
 
 
 def parse(data: bytes) -> dict:
@@ -286,7 +286,7 @@ def read_records(captures: DataFrame, folder: str, payload: bool = False) -> Dat
                     got = []
             yield _rows(got, schema)
 
-    return captures.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(read, schema)
+    return mapped(captures.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset"), read, schema)
 
 
 def archived(pages: DataFrame, folder: str | None = None, payload: bool = False) -> DataFrame:
