@@ -1,0 +1,168 @@
+"""Operators that SQL cannot state, held row by row against plain Python."""
+
+import bisect
+import collections
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+import sentencepiece
+from cases import edited, prose
+from pyspark.sql import functions as F
+from test_langid import held, spoken
+from test_linededup import brute as cleaned
+from test_minhash import brute as classes
+from test_pipeline import written
+
+import corpus_pipeline
+from quernel.llm import langid, sharding, toxicity
+from quernel.llm.bytetok import BASE_INVERSE, _VALUE
+from quernel.llm.queries import PIECE_MODEL
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+FULL = (1 << 64) - 1
+
+
+def words(text):
+    return WORD.findall("".join(c.lower() if c < "\x80" else c for c in text or ""))
+
+
+def test_shards_by_sorting_all_rows(spark):
+    """Rows in order of their keys, cut where the bytes before are nearest to each shard's share."""
+    rows = [(i, prose(i, 1 + i % 90)) for i in range(400)] + [(5000 + i, "the same hot text") for i in range(200)] + [(9000 + i, None) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    key = {x.doc_id: (x.h, x.doc_id) for x in df.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    ordered = sorted(rows, key=lambda x: key[x[0]])
+    size = [len((t or "").encode()) + 1 for _, t in ordered]
+    before = [0]
+    for n in size:
+        before.append(before[-1] + n)
+    cuts = []
+    for i in range(1, 8):
+        target = before[-1] * i / 8
+        cuts.append(min(range(len(before)), key=lambda k: abs(before[k] - target)))
+    got = {x.doc_id: x for x in sharding.histogram_shards(df, 8, tolerance=0.0).collect()}
+    for k, (i, _) in enumerate(ordered):
+        shard = bisect.bisect_right(cuts, k)
+        assert (got[i].shard, got[i].slot) == (shard, k - ([0, *cuts][shard]))
+
+
+def test_languages_by_counting(spark):
+    """Log frequencies from counted words and n-grams, words first, then the longest known n-gram at each place."""
+    langs = ["aa", "bb", "cc"]
+    rows = [(i, spoken(langs[i % 3], i, 4 + i % 40) + (" 12x9" if i % 5 else ""), langs[i % 3]) for i in range(120)]
+    rows += [(500 + i, spoken(langs[i % 3], -i, 12) + " " + spoken(langs[(i + 1) % 3], i, 9), None) for i in range(40)]
+    counts = [collections.defaultdict(collections.Counter) for _ in range(6)]
+    for i, t, lang in rows:
+        if lang and not held(i):
+            for w in words(t):
+                if not w[0].isascii() or not w[0].isdigit():
+                    counts[0][w][lang] += 1
+                    chars = ["^", *w, "^"]
+                    for n in range(1, 6):
+                        for at in range(len(chars) - n + 1):
+                            counts[n][tuple(chars[at : at + n])][lang] += 1
+    tables = []
+    for own in counts:
+        own = {k: c for k, c in own.items() if sum(c.values()) > 1}
+        total = {x: sum(c[x] for c in own.values()) + 0.5 * len(own) for x in langs}
+        tables.append({k: [math.log((c[x] + 0.5) / total[x]) for x in langs] for k, c in own.items()})
+
+    def score(w):
+        if w in tables[0]:
+            return tables[0][w]
+        chars, found = ["^", *w, "^"], []
+        for at in range(len(chars)):
+            for n in range(5, 0, -1):
+                gram = tuple(chars[at : at + n])
+                if len(gram) == n and gram in tables[n]:
+                    found.append(tables[n][gram])
+                    break
+        return [sum(x) / len(found) for x in zip(*found, strict=True)] if found else [0.0] * 3
+
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    for x in langid.predict(df, langid.fit(df)).collect():
+        own = [w for w in words(dict((i, t) for i, t, _ in rows)[x.doc_id]) if not (w[0].isascii() and w[0].isdigit())]
+        total = [sum(s) for s in zip(*map(score, own), strict=True)]
+        top = max(total)
+        assert x.lang_pred == langs[total.index(top)]
+        assert x.score == pytest.approx(1 / sum(math.exp(s - top) for s in total), abs=2e-3)
+
+
+def hashed(word):
+    h = sum(int(_VALUE[b]) * pow(BASE_INVERSE, j, 1 << 64) for j, b in enumerate(word)) & FULL
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> shift)) * by & FULL
+    return h ^ (h >> 31)
+
+
+def features(text):
+    """Whole words, and their first 5 and 7 bytes, as hashes."""
+    out = set()
+    for w in (x.encode() for x in words(text)):
+        out.add(hashed(w))
+        out |= {hashed(w[:n]) ^ n for n in (5, 7) if len(w) >= n}
+    return out
+
+
+GRADED = {1: "mildly rotten", 2: "rotten vilest", 3: "rotten vilest wretches"}
+
+
+def test_severity_of_graded_labels(spark):
+    """Grades 0 to 3 through fit and severity: the features are those that occur often enough, the severity of each
+    text is the sum over thresholds of the logistic of its features' weights, and it follows the grade."""
+    rows = [(i, prose(i, 30) + " " + GRADED.get(i % 4, "kindly") + " " + prose(-i, 20)) for i in range(400)] + [(900, None), (901, ""), (902, "ROTTEN!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 4) for i in range(300)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, max_words=100_000)
+    seen = collections.Counter(f for i, t in rows[:300] for f in features(t))
+    assert set(model.words.tolist()) == {f for f, n in seen.items() if n >= 5}
+    assert len(model.thresholds) == 3 and (np.diff(model.thresholds) > 0).all()
+    weight = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
+    got = {x.doc_id: x for x in toxicity.severity(docs, model, ["doc_id"]).collect()}
+    assert got[900].severity is None
+    for i, t in rows:
+        if t is not None:
+            score = sum(weight.get(f, 0.0) for f in features(t))
+            above = [1 / (1 + math.exp(cut - score)) for cut in model.thresholds]
+            assert got[i].severity == pytest.approx(sum(above), abs=1e-9) and got[i].grade == sum(p > 0.5 for p in above)
+    assert sum(got[i].grade == i % 4 for i in range(300, 400)) >= 95
+
+
+def windows(text, n=10):
+    w = words(text)
+    return [tuple(w[i : i + n]) for i in range(len(w) - n + 1)] if len(w) >= n else [tuple(w)] if w else []
+
+
+def test_pipeline_in_plain_python(spark, tmp_path):
+    """All five stages, one after the other, over a table in which each of them finds something."""
+    r = random.Random(5)
+    passages = ["\n".join(prose(7000 + i * 10 + k, 15) for k in range(4)) for i in range(4)]
+    items = [(i, prose(8000 + i, 25)) for i in range(6)] + [(7, "one two three"), (8, None)]
+    docs = []
+    for i in range(160):
+        lines = [prose(i * 20 + k, r.randint(3, 25)) for k in range(r.randint(1, 9))]
+        if i % 9 == 0:
+            lines.insert(r.randrange(len(lines) + 1), passages[r.randrange(4)])
+        if i % 14 == 3:
+            item = items[r.randrange(6)][1].split(" ")
+            lines.insert(r.randrange(len(lines) + 1), "and " + " ".join(item[: r.choice((9, 10, 14))]) + " then")
+        docs.append((i, "\n".join(lines)))
+    for i in range(160, 220):
+        other = docs[r.randrange(160)][1]
+        docs.append((i, other if i % 3 == 0 else edited(other, i, 1 + i % 4)))
+    docs += [(300, None), (301, ""), (302, "1234 ..."), (303, "a One, two THREE b")]
+    kept = [(i, t) for i, t in docs if t is not None and any(c.isalpha() for c in t)]
+    kept = list(cleaned(kept).items())
+    of = classes(kept)
+    kept = [(i, t) for i, t in kept if of[i] == i]
+    leaked = {w for _, t in items for w in windows(t)}
+    sizes = {len(w) for w in leaked}
+    kept = [(i, t) for i, t in kept if not any(tuple(words(t)[k : k + n]) in leaked for n in sizes for k in range(len(words(t))))]
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+    want = {i: library.encode(t) for i, t in kept}
+    got = corpus_pipeline.run(spark, written(spark, tmp_path, docs, items)).collect()
+    assert {x.doc_id: x.ids for x in got} == want and len(got) == len(want) < len(docs) - 25
+    assert all(x.restored and x.n_tokens == len(x.ids) for x in got)
