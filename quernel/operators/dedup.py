@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.store import hinted, join_groups, saved
+from quernel.store import hinted, join_groups, mapped, saved
 
 PRIME = (1 << 31) - 1
 BASE = 65599
@@ -36,34 +36,81 @@ def coefficients(k: int) -> list[tuple[int, int]]:
     return out
 
 
-def shingle_hashes(text: str, size: int = 5) -> np.ndarray:
-    """Hashes of the distinct runs of ``size`` characters; a shorter text is one run."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    n = max(len(codes) - size + 1, 1)
-    h = np.zeros(n, np.int64)
-    for j in range(min(size, len(codes))):
-        h = (h * BASE + codes[j : j + n]) % PRIME
-    return np.unique(h)
+#: Shingles that are hashed at once, and texts whose keys a task remembers.
+SPAN, TEXTS = 1 << 13, 50_000
+
+
+def shingles(texts: list[str], size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct runs of ``size`` characters of each text, one after the other, and where each begins.
+    A shorter text is one run."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    first = np.cumsum(length) - length
+    runs = np.maximum(length - size + 1, 1)
+    ends = np.cumsum(runs)
+    owner = np.repeat(np.arange(len(texts)), runs)
+    at = first[owner] + np.arange(int(ends[-1])) - np.repeat(ends - runs, runs)
+    h = np.zeros(len(at), np.int64)
+    for j in range(size):
+        there = np.flatnonzero(j < length[owner]) if (length < size).any() else slice(None)
+        h[there] = (h[there] * BASE + codes[at[there] + j]) % PRIME
+    key = np.unique((owner.astype(np.uint64) << np.uint64(31)) | h.astype(np.uint64))
+    return (key & np.uint64(PRIME)), np.searchsorted(key >> np.uint64(31), np.arange(len(texts)).astype(np.uint64))
+
+
+def minima(texts: list[str], a: np.ndarray, b: np.ndarray, size: int = 5) -> np.ndarray:
+    """Least (a h + b) mod PRIME over each text's shingles: texts x permutations. Numbers below 2 ** 62 are reduced by
+    adding their upper bits to the 31 lower ones, twice."""
+    h, first = shingles(texts, size)
+    prime, bits = np.uint64(PRIME), np.uint64(31)
+    out = np.full((len(a), len(texts)), prime, np.uint64)
+    for lo in range(0, len(h), SPAN):
+        part = h[lo : lo + SPAN]
+        low = int(np.searchsorted(first, lo, "right")) - 1
+        high = int(np.searchsorted(first, lo + len(part), "left"))
+        starts = np.maximum(first[low:high] - lo, 0)
+        x, upper = np.empty((9, len(part)), np.uint64), np.empty((9, len(part)), np.uint64)
+        for k in range(0, len(a), 9):
+            own = slice(k, min(k + 9, len(a)))
+            y, z = x[: own.stop - k], upper[: own.stop - k]
+            np.multiply(a[own, None], part[None], out=y)
+            y += b[own, None]
+            for _ in range(2):
+                np.right_shift(y, bits, out=z)
+                y &= prime
+                y += z
+            y[y == prime] = 0
+            np.minimum(out[own, low:high], np.minimum.reduceat(y, starts, axis=1), out=out[own, low:high])
+    return out.T
 
 
 def _signatures(bands: int, rows: int, size: int):
-    a, b = (np.array(x, np.int64)[:, None] for x in zip(*coefficients(bands * rows), strict=True))
+    a, b = (np.array(x, np.uint64) for x in zip(*coefficients(bands * rows), strict=True))
+
+    def keys(texts: list[str]) -> list[list[bytes]]:
+        # the whole band goes in: unequal bands must not share a bucket
+        own = minima(texts, a, b, size).astype("<u4").reshape(len(texts), bands, rows)
+        return [[hashlib.md5(bytes([i]) + t[i].tobytes()).digest() for i in range(bands)] for t in own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, list[bytes]] = {}
         for batch in batches:
-            keys = []
-            for text in batch["text"].to_pylist():
-                if text is None:
-                    keys.append(None)
-                    continue
-                least = np.full(bands * rows, PRIME, np.int64)
-                h = shingle_hashes(text, size)
-                for at in range(0, len(h), 4096):
-                    np.minimum(least, ((a * h[None, at : at + 4096] + b) % PRIME).min(axis=1), out=least)
-                # the whole band goes in: unequal bands must not share a bucket
-                own = least.reshape(bands, rows).astype("<u4")
-                keys.append([hashlib.md5(bytes([i]) + own[i].tobytes()).digest() for i in range(bands)])
-            yield pa.RecordBatch.from_arrays([batch["node"], batch["grp"], pa.array(keys, pa.list_(pa.binary()))], names=["node", "grp", "bands"])
+            texts = batch["text"].to_pylist()
+            prints = [None if t is None else hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in texts]
+            if len(known) > TEXTS:
+                known.clear()
+            todo, held = {p: t for p, t in zip(prints, texts, strict=True) if p is not None and p not in known}, 0
+            group: list[bytes] = []
+            for p, t in todo.items():
+                group.append(p)
+                held += len(t)
+                if held > 1 << 17:
+                    known.update(zip(group, keys([todo[x] for x in group]), strict=True))
+                    group, held = [], 0
+            if group:
+                known.update(zip(group, keys([todo[x] for x in group]), strict=True))
+            found = [None if p is None else known[p] for p in prints]
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["grp"], pa.array(found, pa.list_(pa.binary()))], names=["node", "grp", "bands"])
 
     return run
 
@@ -72,27 +119,53 @@ def banded(texts: DataFrame, threshold: float = 0.7, size: int = 5) -> DataFrame
     """(node, bucket) of each band of each text of (node, grp, text): nulls have none. A bucket is the MD5 of the
     band's place and all its minima, and of the group if there is one."""
     bands, rows = SPLITS[threshold]
-    run = texts.select("node", "grp", "text").mapInArrow(_signatures(bands, rows, size), "node long, grp string, bands array<binary>")
+    run = mapped(texts.select("node", "grp", "text"), _signatures(bands, rows, size), "node long, grp string, bands array<binary>")
     within = F.unhex(F.md5(F.concat("band", F.col("grp").cast("binary"))))
     return run.select("node", "grp", F.explode("bands").alias("band")).select("node", F.when(F.col("grp").isNull(), F.col("band")).otherwise(within).alias("bucket"))
 
 
+#: Rounds after which rows still open are finished in order, once there are no more than so many of them.
+ROUNDS, OPEN = 4, 100_000
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes kept, of (node, bucket) in order of node."""
+    at, own, held = None, [], set()
+    for b in batches:
+        kept = []
+        for node, bucket in zip(b["node"].to_pylist(), b["bucket"].to_pylist(), strict=True):
+            if node != at:
+                if own and held.isdisjoint(own):
+                    kept.append(at)
+                    held.update(own)
+                at, own = node, []
+            own.append(bucket)
+        yield pa.RecordBatch.from_pydict({"node": pa.array(kept, pa.int64())})
+    yield pa.RecordBatch.from_pydict({"node": pa.array([at] if own and held.isdisjoint(own) else [], pa.int64())})
+
+
 def greedy(meets: DataFrame) -> DataFrame:
-    """The nodes of (node, bucket) that are kept, in order of node."""
+    """The nodes of (node, bucket) that are kept, in order of node.
+
+    Each round keeps what is first in all its buckets, and drops what meets that. A long chain takes half as many
+    rounds as it has rows, so from the fourth on a rest of a bounded number of slim rows is gone through in order.
+    """
     left = saved(meets.distinct(), "meets")
-    kept = None
-    while True:
-        low = saved(left.groupBy("bucket").agg(F.min("node").alias("low"), F.count("*").alias("n")), "low")
-        if not low.limit(1).count():
-            break
-        first = join_groups(left, low, "bucket", "n", how="inner").groupBy("node").agg(F.min(F.col("node") == F.col("low")).alias("first"))
-        new = saved(first.where("first").select("node"), "kept")
-        kept = new if kept is None else kept.unionByName(new)
-        # a kept row is the smallest of its bands: the others in them go
-        taken = saved(low.join(new.select(F.col("node").alias("low")), "low", "left_semi"), "taken")
-        gone = saved(join_groups(left, taken, "bucket", "n", how="inner").select("node").distinct(), "gone")
-        left = saved(left.join(hinted(gone), "node", "left_anti"), "meets")
-    return kept if kept is not None else meets.select("node").limit(0)
+    kept, turn = left.select("node").limit(0), 0
+    while n := left.count():
+        if turn >= ROUNDS and n <= OPEN:
+            rest = left.coalesce(1).sortWithinPartitions("node")
+            return kept.unionByName(saved(mapped(rest, _in_order, "node long"), "kept"))
+        low = saved(left.groupBy("bucket").agg(F.min("node").alias("low"), F.count("*").alias("n")), "low", n)
+        beside = saved(join_groups(left, low, "bucket", "n", how="inner").select("node", "bucket", "low"), "beside", n)
+        first = beside.groupBy("node").agg(F.min(F.col("node") == F.col("low")).alias("first"))
+        new = saved(first.where("first").select("node"), "kept", n)
+        kept = new if not turn else kept.unionByName(new)
+        # a kept row is the smallest of its buckets: all rows of these are done
+        done = beside.join(hinted(new.select(F.col("node").alias("low"))), "low", "left_semi").select("node").distinct()
+        left = saved(beside.select("node", "bucket").join(done, "node", "left_anti"), "meets", n)
+        turn += 1
+    return kept
 
 
 def near_dedup(df: DataFrame, fields: list[str], order: str, reference: DataFrame | None = None, threshold: float = 0.7, group: str | None = None, compat: bool = False) -> DataFrame:

@@ -72,35 +72,38 @@ def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+#: No key of so few rows is heavy, whatever its share.
+LIGHT = 2000
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, how: str = "left", noise: str | None = None) -> DataFrame:
     """Join many ``rows`` to one row of ``groups`` for each key, whatever share of the rows one key holds.
 
     ``groups`` is saved already and its column ``count`` has the number of rows with that key. Keys over
     1/HEAVY of the counted rows are fewer than HEAVY by arithmetic, so those are broadcast; a row that found
     its group there goes on under a key of its own (from the column ``noise``), so it weighs on no task in
-    the shuffled join that serves all other keys.
+    the shuffled join that serves all other keys. Where no key is heavy, that join is all.
     """
-    total = groups.agg(F.sum(count)).first()[0] or 0
+    total, most = groups.agg(F.sum(count), F.max(count)).first()
+    limit = max((total or 0) / HEAVY, LIGHT)
     values = [c for c in groups.columns if c != key]
-    heavy = groups.where(F.col(count) * HEAVY > total).select(
-        F.col(key).alias("_hk"), F.struct(*values).alias("_hv")
-    )
-    light = groups.where(F.col(count) * HEAVY <= total).select(F.col(key).alias("_lk"), F.struct(*values).alias("_lv"))
-    spread = F.col(noise) if noise else F.monotonically_increasing_id()
-    near = rows.join(F.broadcast(heavy), F.col(key) == F.col("_hk"), "left")
+    light = groups.where(F.col(count) <= limit).select(F.col(key).alias("_lk"), F.struct(*values).alias("_lv"))
+    near, found, heavy_keys = rows, F.lit(None), (most or 0) > limit
+    if heavy_keys:
+        heavy = groups.where(F.col(count) > limit).select(F.col(key).alias("_hk"), F.struct(*values).alias("_hv"))
+        near, found = rows.join(F.broadcast(heavy), F.col(key) == F.col("_hk"), "left"), F.col("_hk")
     if how == "inner":
-        a = near.where("_hk is not null").select(*rows.columns, *[F.col(f"_hv.{c}").alias(c) for c in values])
-        b = (
-            near.where("_hk is null")
-            .join(light, F.col(key) == F.col("_lk"))
-            .select(*rows.columns, *[F.col(f"_lv.{c}").alias(c) for c in values])
-        )
-        return a.unionByName(b)
+        out = near.where(found.isNull()).join(light, F.col(key) == F.col("_lk")).select(*rows.columns, *[F.col(f"_lv.{c}").alias(c) for c in values])
+        if not heavy_keys:
+            return out
+        return near.where("_hk is not null").select(*rows.columns, *[F.col(f"_hv.{c}").alias(c) for c in values]).unionByName(out)
+    spread = F.col(noise) if noise else F.monotonically_increasing_id()
     kind = rows.schema[key].dataType.simpleString()
     own = spread.cast("string").cast(kind) if kind in ("string", "binary") else F.xxhash64(spread)
-    near = near.withColumn("_jk", F.when(F.col("_hk").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(own))
+    near = near.withColumn("_jk", F.when(found.isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(own))
     out = near.join(light, F.col("_jk") == F.col("_lk"), "left")
-    held = F.when(F.col("_hk").isNotNull(), F.col("_hv")).when(F.col(key).isNotNull() & F.col("_lk").eqNullSafe(F.col(key)), F.col("_lv"))
+    held = F.when(F.col(key).isNotNull() & F.col("_lk").eqNullSafe(F.col(key)), F.col("_lv"))
+    held = held if not heavy_keys else F.when(F.col("_hk").isNotNull(), F.col("_hv")).otherwise(held)
     return out.withColumn("_v", held).select(*rows.columns, *[F.col(f"_v.{c}").alias(c) for c in values])
 
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from quernel.operators import dedup
 
 
@@ -48,6 +50,36 @@ def test_greedy_is_sequential(spark):
         assert got == sequential([(i, [t]) for i, t in enumerate(own)])
 
 
+def test_a_chain_is_finished_in_order(spark, monkeypatch):
+    """Each text is near the one before only, so every second one stays; both ways to the end agree."""
+    base = "".join(random.Random(4).choice("abcdefghij ") for _ in range(300))
+    own = []
+    for i in range(60):
+        base = base[:5 * i] + "Z" * 5 + base[5 * i + 5 :] if i else base
+        own.append(base)
+    df = spark.createDataFrame(list(enumerate(own)), "i long, t string")
+    want = sequential([(i, [t]) for i, t in enumerate(own)])
+    for rounds in (0, 2, 99):
+        monkeypatch.setattr(dedup, "ROUNDS", rounds)
+        assert sorted(x.i for x in dedup.near_dedup(df, ["t"], "i").collect()) == want
+
+
+def test_minima_of_many_texts(monkeypatch):
+    monkeypatch.setattr(dedup, "SPAN", 64)
+    own = [*texts(7, 60), "", "a", "😀" * 9, "x" * 1000]
+    pairs = dedup.coefficients(18)
+    a, b = (np.array(x, np.uint64) for x in zip(*pairs, strict=True))
+    got = dedup.minima(own, a, b)
+    for t, low in zip(own, got.tolist(), strict=True):
+        hashes = set()
+        for p in range(max(len(t) - 4, 1)):
+            h = 0
+            for c in t[p : p + 5]:
+                h = (h * dedup.BASE + ord(c)) % dedup.PRIME
+            hashes.add(h)
+        assert low == [min((x * h + y) % dedup.PRIME for h in hashes) for x, y in pairs]
+
+
 def test_fields_reference_and_nulls(spark):
     own = texts(3, 60)
     rows = [(i, own[i], own[-i - 1] if i % 3 else None) for i in range(30)] + [(99, None, None)]
