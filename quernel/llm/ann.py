@@ -3,7 +3,8 @@
 Vectors are scaled to length 1, so the largest cosine is the largest inner product. Each is quantised in pairs
 of components to 16 codewords, 4 bits a pair. What counts for a large inner product is the error along the
 vector, so the loss weighs the parallel residual more than the rest; codewords and codes are both chosen by
-that loss. A scan adds up table entries for two pairs a byte, and the best by that estimate are scored exactly.
+that loss. A scan of the codes alone adds up table entries for two pairs a byte, blocks of rows against blocks of
+queries, and the vectors of the best by that estimate are fetched and scored exactly.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quernel.store import saved
+from quernel.store import mapped, saved
 
 WORDS = 16
-QUERY_BLOCK = 2048  #: queries whose tables are sent to the tasks at once: a bound, whatever the table's size
-SCAN_ROWS = 4096
+QUERY_BLOCK = 256  #: queries in a row of the query side, on average
+TABLES = 16 << 20  #: bytes of lookup tables that a task holds at once
+SCAN_ROWS = 4096  #: rows whose codes are one row of the scanned side
+NEAR = 32  #: candidates that a query takes at least from each of these
 
 
 @dataclass
@@ -115,88 +118,144 @@ def usable(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
     v = F.col(embedding).cast("array<double>")
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists(v, lambda x: x != 0)
-    return vectors.where(F.col(key).isNotNull() & v.isNotNull()).where(finite & some).select(F.col(key).cast("long").alias("id"), v.alias("vector"))
+    held = F.col(embedding) if dict(vectors.dtypes)[embedding] == "array<float>" else v
+    return vectors.where(F.col(key).isNotNull() & v.isNotNull()).where(finite & some).select(F.col(key).cast("long").alias("id"), held.alias("vector"))
 
 
-def nearest(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", every: int = 50, k: int = 5, depth: int = 128, max_sample: int = 8192) -> DataFrame:
+def nearest(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", every: int = 50, k: int = 5, depth: int = 512, max_sample: int = 8192) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` rows of largest cosine found for each query.
 
     Queries are the rows whose key is divisible by ``every``; candidates are all rows but those with the
-    query's key. Rows are scanned by codes in groups of up to 4,096, of each of which the ``depth`` best by
-    estimate (ties to the smaller key) are scored on the original vectors in double precision; so recall does
-    not fall as the table grows. Ties go to the smaller key; a query with fewer than k candidates gets all. Vectors that
-    are null, zero, or have null or non-finite components take no part, nor do rows with a null key or with
-    another number of components than most rows have. A repeated row is a candidate as often as it is there;
-    repeated queries are answered once. Codebooks are fitted on at most ``max_sample`` rows, those of smallest
-    hash; all rows are indexed.
+    query's key. Of all rows, the ``depth`` best by estimate (half of ``depth`` more for each doubling of the table
+    beyond 65,536 rows) are scored on the original vectors in double precision. Codes are scanned in groups of
+    4,096 rows; of each a query takes twice its share of these, and NEAR at least. Ties go to the smaller key; a query with fewer
+    than k candidates gets all. Vectors that are null, zero, or have null or non-finite components take no part,
+    nor do rows with a null key or with another number of components than most rows have. A repeated row is a
+    candidate as often as it is there; queries of one key are answered once, by the least of their vectors.
+    Codebooks are fitted on at most ``max_sample`` rows, those of smallest hash; all rows are indexed.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, key, embedding)
     sizes = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not sizes:
-        return none
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d = sizes[0]["d"]
     rows = rows.where(F.size("vector") == d)
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(max_sample).select("vector").toArrow()["vector"]
     quantiser = train(_unit(_matrix(sample, d)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, codes, held = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            own, code = np.concatenate(ids), np.concatenate(codes)
+            order = np.argsort(own, kind="stable")  # so ties go to smaller keys
+            return pa.RecordBatch.from_pydict({"n": pa.array([len(own)], pa.int32()), "ids": [own[order].tobytes()], "codes": [code[order].tobytes()]})
+
+        for b in batches:
+            while len(b):
+                part, b = b.slice(0, SCAN_ROWS - held), b.slice(min(len(b), SCAN_ROWS - held))
+                ids.append(part["id"].to_numpy())
+                codes.append(packed(quantiser.codes(_unit(_matrix(part["vector"], d)))))
+                held += len(part)
+                if held == SCAN_ROWS:
+                    yield out()
+                    ids, codes, held = [], [], 0
+        if held:
+            yield out()
+
+    coded = saved(mapped(rows, index, "n int, ids binary, codes binary"), "codes")
+    total = coded.agg(F.sum("n")).first()[0]
+    queries = saved(rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vector").alias("vector")), "queries")
+    block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK))))
+    own = queries.groupBy(block.alias("block")).agg(F.collect_list(F.struct("id", "vector")).alias("own"))
+    blocks = saved(own.select(F.col("own.id").alias("queries"), F.flatten("own.vector").alias("vectors")), "blocks")
+    reach = depth + int(depth / 2 * max(0.0, np.log2(total / (1 << 16))))
+    near = max(NEAR, -(-2 * reach // coded.count()))
+    found = mapped(coded.crossJoin(blocks).select("ids", "codes", "queries", "vectors"), _scan(quantiser, d, near), "query_id long, vec_id long, estimate float")
+    turn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("estimate"), "vec_id"))
+    best = found.withColumn("turn", turn).where(F.col("turn") <= reach).select("query_id", "vec_id").distinct()
+    best = saved(best, "candidates")
+    return _reranked(best, _few(rows, k), queries, k, d)
+
+
+def _few(rows: DataFrame, k: int) -> DataFrame:
+    """Rows without those beyond the first k of equal ones, which no query could need."""
+    often = saved(rows.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > k).select(F.col("id").alias("often")), "often")
+    if not often.limit(1).count():
+        return rows
+    again = F.col("id") == F.col("often")
+    turn = F.row_number().over(Window.partitionBy("id", "vector").orderBy("id"))
+    some = rows.join(often, again, "left_semi").withColumn("turn", turn).where(F.col("turn") <= k).drop("turn")
+    return rows.join(often, again, "left_anti").unionByName(some)
+
+
+def _scan(quantiser: Quantiser, d: int, near: int):
+    """The ``near`` best by estimate of each group of codes for each query of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, len(b), SCAN_ROWS):
-                part = b.slice(at, SCAN_ROWS)
-                code = packed(quantiser.codes(_unit(_matrix(part["vector"], d))))
-                yield pa.RecordBatch.from_arrays([part["id"], part["vector"], pa.array([c.tobytes() for c in code], pa.binary())], names=["id", "vector", "code"])
-
-    coded = saved(rows.mapInArrow(index, "id long, vector array<double>, code binary"), "codes")
-    queries = coded.where(F.col("id") % every == 0).select("id", "vector")
-    blocks = -(-queries.count() // QUERY_BLOCK)
-    out = none
-    for block in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()
-        found = _scan(coded, own["id"].to_numpy(), _matrix(own["vector"], d), quantiser, k, depth)
-        out = found if block == 0 else out.unionByName(found)
-    return out
-
-
-def _scan(coded: DataFrame, ids: np.ndarray, vectors: np.ndarray, quantiser: Quantiser, k: int, depth: int) -> DataFrame:
-    ids, first = np.unique(ids, return_index=True)
-    vectors = vectors[first]
-    sent = coded.sparkSession.sparkContext.broadcast((ids, vectors, quantiser))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors, quantiser = sent.value
-        length = np.sqrt((vectors * vectors).sum(1))
-        tables = quantiser.tables(_unit(vectors))
-        best: list[list[tuple[float, int]]] = [[] for _ in ids]
-        for batch in batches:
-            for at in range(0, len(batch), SCAN_ROWS):
-                b = batch.slice(at, SCAN_ROWS)
-                own = b["id"].to_numpy()
-                order = np.argsort(own, kind="stable")
-                own, x = own[order], _matrix(b["vector"], vectors.shape[1])[order]
-                code = np.frombuffer(b"".join(b["code"].to_pylist()), np.uint8).reshape(len(own), -1)[order]
-                norm = np.sqrt((x * x).sum(1))
-                for lo in range(0, len(ids), 128):
-                    near = tables[lo : lo + 128]
-                    score = np.zeros((len(near), len(own)), np.float32)
+            for row in range(len(b)):
+                own = np.frombuffer(b["ids"][row].as_buffer(), np.int64)
+                code = np.frombuffer(b["codes"][row].as_buffer(), np.uint8).reshape(len(own), -1)
+                ids = b["queries"].slice(row, 1).flatten().to_numpy()
+                unit = _unit(_matrix(b["vectors"].slice(row, 1), d))
+                take = min(near + 1, len(own))
+                most = max(1, TABLES // (code.shape[1] * 1024))
+                for lo in range(0, len(ids), most):
+                    tables = quantiser.tables(unit[lo : lo + most])
+                    score = np.zeros((len(tables), len(own)), np.float32)
                     for j in range(code.shape[1]):
-                        score += np.take(near[:, j], code[:, j], axis=1)
-                    score[own[None, :] == ids[lo : lo + 128, None]] = -np.inf
-                    take = min(depth, len(own))
+                        score += np.take(tables[:, j], code[:, j], axis=1)
+                    score[own[None, :] == ids[lo : lo + most, None]] = -np.inf
                     edge = np.partition(score, len(own) - take, axis=1)[:, len(own) - take]
-                    for q in range(len(near)):
-                        at_least = np.flatnonzero(score[q] >= edge[q])
-                        if len(at_least) > take:  # rows are in order of their keys, so ties go to smaller ones
-                            at_least = np.sort(at_least[np.argsort(-score[q][at_least], kind="stable")[:take]])
-                        at_least = at_least[own[at_least] != ids[lo + q]]
-                        exact = (x[at_least] @ vectors[lo + q]) / (norm[at_least] * length[lo + q])
-                        top = np.argsort(-exact, kind="stable")[:k]
-                        best[lo + q] = sorted(best[lo + q] + [(-float(exact[t]), int(own[at_least[t]])) for t in top])[:k]
-        rows = [(int(i), v, -s) for i, found in zip(ids, best, strict=True) for s, v in found]
-        q, v, s = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
-
-    found = coded.mapInArrow(scan, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                    query, at = [], []
+                    for q in range(len(tables)):
+                        best = np.flatnonzero(score[q] >= edge[q])
+                        if len(best) > take:
+                            best = best[np.argsort(-score[q][best], kind="stable")[:take]]
+                        best = best[own[best] != ids[lo + q]]
+                        query.append(np.full(len(best), lo + q))
+                        at.append(best)
+                    q, v = np.concatenate(query), np.concatenate(at)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[v]), pa.array(score[q - lo, v])], names=["query_id", "vec_id", "estimate"])
+
+    return run
+
+
+def _reranked(best: DataFrame, rows: DataFrame, queries: DataFrame, k: int, d: int) -> DataFrame:
+    """The k of largest cosine of each query's candidates, which follow their query in a partition in order."""
+    own = best.join(rows.withColumnRenamed("id", "vec_id"), "vec_id").select("query_id", F.lit(True).alias("member"), "vec_id", "vector")
+    first = queries.select(F.col("id").alias("query_id"), F.lit(False).alias("member"), F.col("id").alias("vec_id"), "vector")
+    ordered = first.unionByName(own).repartition("query_id").sortWithinPartitions("query_id", "member", "vec_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, query, ids, scores = None, None, np.zeros(0, np.int64), np.zeros(0)
+
+        def out() -> pa.RecordBatch:
+            n = len(ids)
+            return pa.RecordBatch.from_arrays([pa.array([at] * n, pa.int64()), pa.array(range(1, n + 1), pa.int32()), pa.array(ids, pa.int64()), pa.array(scores)], names=["query_id", "rank", "vec_id", "score"])
+
+        for b in batches:
+            if not len(b):
+                continue
+            x, q, v = _matrix(b["vector"], d), b["query_id"].to_numpy(), b["vec_id"].to_numpy()
+            member = b["member"].to_numpy(zero_copy_only=False)
+            edges = np.append(np.flatnonzero(~member | (np.arange(len(b)) == 0)), len(b))
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if not member[lo]:
+                    if at is not None and len(ids):
+                        yield out()
+                    at, query, ids, scores = int(q[lo]), x[lo], np.zeros(0, np.int64), np.zeros(0)
+                    lo += 1
+                if lo == hi:
+                    continue
+                own = x[lo:hi]
+                exact = (own @ query) / (np.sqrt((own * own).sum(1)) * np.sqrt(query @ query))
+                ids, scores = np.append(ids, v[lo:hi]), np.append(scores, exact)
+                order = np.lexsort((ids, -scores))[:k]
+                ids, scores = ids[order], scores[order]
+        if at is not None and len(ids):
+            yield out()
+
+    return mapped(ordered, run, "query_id long, rank int, vec_id long, score double")

@@ -46,6 +46,7 @@ def test_hot_windows_go_by_broadcast(spark, monkeypatch):
     from quernel import store
 
     monkeypatch.setattr(store, "HEAVY", 3)
+    monkeypatch.setattr(store, "LIGHT", 1)
     docs = [(i, f"u{i}\nh1\nh2\nh3\nv{i}\nw{i}") for i in range(40)] + [(50, "p\nq\nr"), (51, "p\nq\nr")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {x.doc_id: x.text for x in linededup.dedup_lines(df).collect()} == brute(docs)
