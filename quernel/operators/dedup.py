@@ -43,18 +43,23 @@ SPAN, TEXTS = 1 << 13, 50_000
 def shingles(texts: list[str], size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct runs of ``size`` characters of each text, one after the other, and where each begins.
     A shorter text is one run."""
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     length = np.fromiter(map(len, texts), np.int64, len(texts))
     first = np.cumsum(length) - length
     runs = np.maximum(length - size + 1, 1)
     ends = np.cumsum(runs)
     owner = np.repeat(np.arange(len(texts)), runs)
     at = first[owner] + np.arange(int(ends[-1])) - np.repeat(ends - runs, runs)
-    h = np.zeros(len(at), np.int64)
+    h = np.zeros(len(at), np.uint64)
     for j in range(size):
         there = np.flatnonzero(j < length[owner]) if (length < size).any() else slice(None)
-        h[there] = (h[there] * BASE + codes[at[there] + j]) % PRIME
-    key = np.unique((owner.astype(np.uint64) << np.uint64(31)) | h.astype(np.uint64))
+        x = h[there] * np.uint64(BASE) + codes[at[there] + j]  # below 2 ** 48, so reduced by one addition
+        h[there] = (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+    h = np.where(h >= np.uint64(PRIME), h - np.uint64(PRIME), h)
+    key = np.sort((owner.astype(np.uint64) << np.uint64(31)) | h)
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    key = key[new]
     return (key & np.uint64(PRIME)), np.searchsorted(key >> np.uint64(31), np.arange(len(texts)).astype(np.uint64))
 
 

@@ -13,6 +13,7 @@ from quernel.generators import logic, machines
 from quernel.operators import dedup, order, report
 from quernel.operators.models import Stub, judged, scored
 from quernel.plans import tasks
+from quernel.store import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -80,14 +81,14 @@ _CLEAN = _greedy_sql(
 @query(_CLEAN + " SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents JOIN kept ON doc_id = node GROUP BY lang")
 def clean_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of a corpus, by language, once near copies and what is near a benchmark are gone."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     kept = dedup.near_dedup(docs, ["text"], "doc_id", table(spark, sf_dir, "benchmark"))
     return kept.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 @query(_greedy_sql(f"WITH RECURSIVE src AS (SELECT doc_id AS node, text FROM documents WHERE text IS NOT NULL), met AS ({_bands_sql('src', 14, 9)})", "met") + " SELECT node AS doc_id FROM kept")
 def near_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.near_dedup(table(spark, sf_dir, "documents"), ["text"], "doc_id").select("doc_id")
+    return dedup.near_dedup(spread(table(spark, sf_dir, "documents")), ["text"], "doc_id").select("doc_id")
 
 
 @query(
@@ -100,7 +101,7 @@ def near_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def near_dedup_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies within a source only, at threshold 0.9."""
-    kept = dedup.near_dedup(table(spark, sf_dir, "documents"), ["text"], "doc_id", threshold=0.9, group="source")
+    kept = dedup.near_dedup(spread(table(spark, sf_dir, "documents")), ["text"], "doc_id", threshold=0.9, group="source")
     return kept.groupBy("source").agg(F.count("*").alias("n"))
 
 
@@ -141,7 +142,7 @@ def exact_dedup_sorted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def rouge_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Largest word-run F-measure of each document against the benchmark, and whether it stays."""
-    got = dedup.rouge_l(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    got = dedup.rouge_l(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
     return got.withColumn("stays", F.col("rouge") <= 0.7)
 
 

@@ -58,6 +58,13 @@ def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table just read, its rows dealt out evenly if it has fewer parts than there are cores (it is small, or one
+    file that can't be split): what follows is work for all of them."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or that with underscores before it, such that ``df`` has no such column in either case."""
     held = {c.lower() for c in df.columns}
