@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.llm import ann, decontam, langid, linededup, minhash, pieces, sharding, tokencount, toxicity, warc
+from quernel.store import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
