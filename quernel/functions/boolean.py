@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,13 +93,74 @@ def explained(terms: Column, names: list[str], style: int = 1, zero: bool = Fals
     return F.array_join(F.transform(terms, line), "\n")
 
 
-def karnaugh(terms: Column, names: list[str], free: Column | None = None, row_turn: int = 0, column_turn: int = 0) -> Column:
+def minimal_cover(terms: list[int], free: list[int], n: int) -> list[tuple[int, int]]:
+    """The fewest products that cover all terms and nothing but terms and don't-cares, as (mask, value): bits of the
+    mask don't matter. Of several such covers the one of fewest literals, then the first in order."""
+    size, held, need = 1 << n, set(terms) | set(free), sorted(set(terms))
+    covers = {}
+    for mask in range(size):
+        for base in range(size):
+            if not base & mask:
+                own = frozenset(base | s for s in range(size) if s & ~mask == 0)
+                if own <= held:
+                    covers[mask, base] = own
+    primes = [c for c, own in covers.items() if not any(own < other for other in covers.values()) and own & set(need)]
+    best: tuple[tuple[int, int], list[tuple[int, int]]] | None = None
+
+    def cost(chosen: list[tuple[int, int]]) -> tuple[int, int]:
+        return len(chosen), sum(n - mask.bit_count() for mask, _ in chosen)
+
+    def go(left: frozenset[int], chosen: list[tuple[int, int]]) -> None:
+        nonlocal best
+        if best is not None and len(chosen) + bool(left) > best[0][0]:
+            return
+        if not left:
+            if best is None or (cost(chosen), sorted(chosen)) < best:
+                best = cost(chosen), sorted(chosen)
+            return
+        hard = min(left, key=lambda t: sum(t in covers[p] for p in primes))
+        for p in sorted((p for p in primes if hard in covers[p]), key=lambda p: (-len(covers[p] & left), p)):
+            go(left - covers[p], [*chosen, p])
+
+    go(frozenset(need), [])
+    return best[1] if best else []
+
+
+def minimised(terms: Column, free: Column, names: list[str]) -> Column:
+    """``(a & ~b) | c`` of the fewest products; 0 without terms, 1 where one product is always true."""
+    n = len(names)
+
+    @F.pandas_udf("array<struct<mask:int,value:int>>")
+    def cover(t: pd.Series, f: pd.Series) -> pd.Series:
+        return pd.Series([[{"mask": m, "value": v} for m, v in minimal_cover(list(a), list(b), n)] for a, b in zip(t, f, strict=True)])
+
+    def one(c: Column) -> Column:
+        own = [F.when(bit(c.mask, i, n) == 0, _literal(v, bit(c.value, i, n), 1)) for i, v in enumerate(names)]
+        text = F.array_join(F.filter(F.array(*own), lambda x: x.isNotNull()), " & ")
+        return F.when(text == "", F.lit("1")).when(F.contains(text, F.lit("&")), F.concat(F.lit("("), text, F.lit(")"))).otherwise(text)
+
+    return F.when(F.size(terms) == 0, F.lit("0")).otherwise(F.array_join(F.transform(cover(terms, free), one), " | "))
+
+
+def map_orders(count: int) -> list[list[int]]:
+    """Gray order of the codes, then reversed, then with each two of them swapped."""
+    plain = [i ^ i >> 1 for i in range(count)]
+    out = [plain, plain[::-1]]
+    for i in range(count):
+        for j in range(i):
+            other = list(plain)
+            other[i], other[j] = other[j], other[i]
+            out.append(other)
+    return out
+
+
+def karnaugh(terms: Column, names: list[str], free: Column | None = None, row_turn: int = 0, column_turn: int = 0, rows: list[int] | None = None, columns: list[int] | None = None) -> Column:
     """The map as text: columns by the first half of the names, rows by the rest (one more, if they are odd), both in
-    Gray order, turned by so many places; d for don't-cares."""
+    Gray order, turned by so many places, or in an order of their codes that is given; d for don't-cares."""
     n, across = len(names), len(names) // 2
     down = n - across
-    columns = [i ^ i >> 1 for i in range(1 << across)]
-    rows = [i ^ i >> 1 for i in range(1 << down)]
+    columns = columns or map_orders(1 << across)[0]
+    rows = rows or map_orders(1 << down)[0]
     columns = columns[column_turn:] + columns[:column_turn]
     rows = rows[row_turn:] + rows[:row_turn]
     head = "".join(names[:across])
@@ -115,6 +177,19 @@ def karnaugh(terms: Column, names: list[str], free: Column | None = None, row_tu
     return F.concat_ws("\n", *lines)
 
 
+def drawn_karnaugh(terms: Column, names: list[str], kind: Column, turn: Column, free: Column | None = None) -> Column:
+    """The map with one change of four kinds: rows reversed (kind 0), columns reversed (1), two rows (2) or two
+    columns (3) swapped, which ones by ``turn``."""
+    across = len(names) // 2
+    rows, columns = map_orders(1 << (len(names) - across)), map_orders(1 << across)
+    out = F.when(kind == 0, karnaugh(terms, names, free, rows=rows[1])).when(kind == 1, karnaugh(terms, names, free, columns=columns[1]))
+    for i, own in enumerate(rows[2:]):
+        out = out.when((kind == 2) & (F.pmod(turn, F.lit(len(rows) - 2)) == i), karnaugh(terms, names, free, rows=own))
+    for i, own in enumerate(columns[2:]):
+        out = out.when((kind == 3) & (F.pmod(turn, F.lit(len(columns) - 2)) == i), karnaugh(terms, names, free, columns=own))
+    return out
+
+
 def symbol_names(n: int, letter: str = "a", upper: bool = False, number: bool = False, down: bool = False) -> list[str]:
     """a, b, c ... or x0, x1 ...; in capitals or in falling order if asked."""
     out = [f"{letter}{i}" if number else chr(ord(letter) + i) for i in range(n)]

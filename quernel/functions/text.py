@@ -1,9 +1,11 @@
-"""Text out of model answers, as column expressions: nothing here leaves the JVM."""
+"""Text out of model answers, as column expressions: nothing here leaves the JVM, but for a tokenizer that is given."""
 
 from __future__ import annotations
 
 import string
+from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -126,9 +128,44 @@ def token_budget(tokens: Column | str, most_new: int, context: int, margin: int
     return F.least(F.lit(most_new), F.lit(context) - _col(tokens) - margin)
 
 
-def token_count(text: Column | str) -> Column:
-    """Words and single signs: the count used where no vocabulary is given."""
-    return F.size(F.regexp_extract_all(_col(text), F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"), F.lit(0)))
+_TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
+
+
+class Tokenizer(Protocol):
+    """Any tokenizer with a vocabulary of its own; it is pickled to the tasks."""
+
+    def encode(self, text: str) -> list[int]: ...
+
+    def decode(self, ids: list[int]) -> str: ...
+
+
+def token_count(text: Column | str, tokenizer: Tokenizer | None = None) -> Column:
+    """Tokens of a text; without a tokenizer, its words and single signs. A null text has null."""
+    if tokenizer is None:
+        return F.when(_col(text).isNotNull(), F.size(F.regexp_extract_all(_col(text), F.lit(_TOKEN), F.lit(0))))
+
+    @F.pandas_udf("int")
+    def count(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: None if t is None else len(tokenizer.encode(t))).astype("Int32")
+
+    return count(_col(text))
+
+
+def token_limited(text: Column | str, most: int, tokenizer: Tokenizer | None = None) -> Column:
+    """The text up to its first ``most`` tokens."""
+    if tokenizer is None:
+        each = F.regexp_extract_all(_col(text), F.lit(rf"\s*(?:{_TOKEN})"), F.lit(0))
+        return F.when(F.size(each) <= most, _col(text)).otherwise(F.array_join(F.slice(each, 1, most), ""))
+
+    @F.pandas_udf("string")
+    def cut(x: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            ids = [] if t is None else tokenizer.encode(t)
+            return t if len(ids) <= most else tokenizer.decode(ids[:most])
+
+        return x.map(one)
+
+    return cut(_col(text))
 
 
 def formatted(template: str, **values: Column | str) -> Column:
@@ -180,10 +217,10 @@ def compiles(log: Column | str) -> Column:
     return ~F.rlike(F.lower(_col(log)), F.lit("error|give up"))
 
 
-def vendor_errors(log: Column | str, until: str = "Peak virtual memory") -> Column:
-    """The lines with ``Error (``, up to where ``until`` stands."""
+def vendor_errors(log: Column | str, until: str = "Check for and fix") -> Column:
+    """The lines with ``Error (``, each up to where ``until`` stands in it."""
     lines = F.filter(F.split(_col(log), "\n", -1), lambda x: F.contains(x, F.lit("Error (")))
-    return F.substring_index(F.array_join(lines, "\n"), until, 1)
+    return F.array_join(F.transform(lines, lambda x: F.substring_index(x, until, 1)), "\n")
 
 
 def rewards(text: Column | str) -> Column:

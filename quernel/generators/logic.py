@@ -47,13 +47,20 @@ def truth_tables(spark: SparkSession, n: int, seed: int | str = "1234", names: t
     return rows.select("id", told.alias("input"), F.concat(why, _module("input " + ", ".join(v) + ", output f", equation)).alias("output"), "terms", "free")
 
 
-def karnaugh_maps(spark: SparkSession, n: int, seed: int | str = "1234", names: tuple[str, ...] = ("c", "d", "a", "b"), free: bool = False) -> DataFrame:
-    """input, output, terms, free: a Karnaugh map, and a sum of products that fits it."""
+def karnaugh_maps(spark: SparkSession, n: int, seed: int | str = "1234", names: tuple[str, ...] = ("c", "d", "a", "b"), free: bool = False, turned: bool = False) -> DataFrame:
+    """input, output, terms, free, minimal: a Karnaugh map, a sum of products that fits it, and the smallest such sum.
+
+    With ``turned``, each map has one drawn change of the order of its rows or columns.
+    """
     v = list(names)
     rows = minterms(spark, n, len(v), seed, free)
     equation = F.concat(F.lit("  assign f = "), B.sum_of_products(F.col("terms"), v), F.lit(";"))
-    told = F.concat(F.lit("Write a module for the function f of this Karnaugh map" + (", where d is free" if free else "") + ".\n"), B.karnaugh(F.col("terms"), v, F.col("free")))
-    return rows.select("id", told.alias("input"), _module("input " + ", ".join(v) + ", output f", equation).alias("output"), "terms", "free")
+    shown = B.karnaugh(F.col("terms"), v, F.col("free"))
+    if turned:
+        shown = B.drawn_karnaugh(F.col("terms"), v, draw(seed, F.col("id"), "kind", 4), draw(seed, F.col("id"), "turn", 1 << 20), F.col("free"))
+    told = F.concat(F.lit("Write a module for the function f of this Karnaugh map" + (", where d is free" if free else "") + ".\n"), shown)
+    minimal = B.minimised(F.col("terms"), F.col("free"), v)
+    return rows.select("id", told.alias("input"), _module("input " + ", ".join(v) + ", output f", equation).alias("output"), "terms", "free", minimal.alias("minimal"))
 
 
 def waveforms(spark: SparkSession, n: int, seed: int | str = "1234", names: tuple[str, ...] = ("a", "b", "c", "d")) -> DataFrame:

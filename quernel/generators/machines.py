@@ -76,12 +76,16 @@ def _next(s: Column, bit: int) -> Column:
     return F.element_at("edges", s * 2 + bit + 1).getField("dst")
 
 
-def state_table(code: bool = False) -> Column:
-    """State, next states for input 0 and 1, output; states by letter or by binary code."""
+def state_table(code: bool = False, outputs: int = 1, lower: Column | None = None) -> Column:
+    """State, next states for input 0 and 1, output (its bits, if it has several); states by letter or by binary code.
+    The head is in small letters where ``lower`` says so."""
     width = F.length(F.bin(F.col("states") - 1))
     tell = (lambda s: F.lpad(F.bin(s), width, F.lit("0"))) if code else name
-    line = lambda s: F.concat_ws(" | ", tell(s), tell(_next(s, 0)), tell(_next(s, 1)), F.col("outs")[s].cast("string"))
-    return F.concat(F.lit("state | next in=0, next in=1 | output\n"), F.array_join(F.transform(F.sequence(F.lit(0), F.col("states") - 1), line), "\n"))
+    said = (lambda s: F.col("outs")[s].cast("string")) if outputs == 1 else (lambda s: F.lpad(F.bin(F.col("outs")[s]), outputs, "0"))
+    line = lambda s: F.concat_ws(" | ", tell(s), tell(_next(s, 0)), tell(_next(s, 1)), said(s))
+    head = F.lit("State | Next state in=0, Next state in=1 | Output\n")
+    head = head if lower is None else F.when(lower, F.lower(head)).otherwise(head)
+    return F.concat(head, F.array_join(F.transform(F.sequence(F.lit(0), F.col("states") - 1), line), "\n"))
 
 
 def transition_case(signal: str = "in") -> Column:
@@ -90,14 +94,14 @@ def transition_case(signal: str = "in") -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.col("states") - 1), line), "\n")
 
 
-def asserted(value: int = 1) -> Column:
-    """States whose output is ``value``."""
-    return F.filter(F.sequence(F.lit(0), F.col("states") - 1), lambda s: F.col("outs")[s] == value)
+def asserted(bit: int = 0) -> Column:
+    """States in whose output the bit is 1."""
+    return F.filter(F.sequence(F.lit(0), F.col("states") - 1), lambda s: F.shiftright(F.col("outs")[s], bit).bitwiseAND(F.lit(1)) == 1)
 
 
-def output_logic(signal: str = "out") -> Column:
-    each = F.array_join(F.transform(asserted(), lambda s: F.concat(F.lit("(state == "), name(s), F.lit(")"))), " || ")
-    return F.concat(F.lit(f"  assign {signal} = "), F.when(F.size(asserted()) > 0, each).otherwise(F.lit("1'b0")), F.lit(";"))
+def output_logic(signal: str = "out", bit: int = 0) -> Column:
+    each = F.array_join(F.transform(asserted(bit), lambda s: F.concat(F.lit("(state == "), name(s), F.lit(")"))), " || ")
+    return F.concat(F.lit(f"  assign {signal} = "), F.when(F.size(asserted(bit)) > 0, each).otherwise(F.lit("1'b0")), F.lit(";"))
 
 
 def parameter_line(one_hot: bool = False, decimal: Column | None = None) -> Column:
@@ -120,9 +124,9 @@ def predecessors(state: Column) -> Column:
     return F.array_sort(F.transform(into, lambda e: F.struct(e.bit.alias("bit"), e.src.alias("src"))))
 
 
-def one_hot_next(state: Column, register: str = "y", signal: str = "w") -> Column:
-    """Next value of a one-hot bit, from the states and inputs that lead to it."""
-    each = F.transform(predecessors(state), lambda p: F.concat(F.lit(f"({register}["), p.src.cast("string"), F.lit("] & "), F.when(p.bit == 1, F.lit(signal)).otherwise(F.lit(f"~{signal}")), F.lit(")")))
+def one_hot_next(state: Column, register: str = "y", signal: str = "w", first: int = 0) -> Column:
+    """Next value of a one-hot bit, from the states and inputs that lead to it; bits are numbered from ``first``."""
+    each = F.transform(predecessors(state), lambda p: F.concat(F.lit(f"({register}["), (p.src + first).cast("string"), F.lit("] & "), F.when(p.bit == 1, F.lit(signal)).otherwise(F.lit(f"~{signal}")), F.lit(")")))
     return F.when(F.size(each) > 0, F.array_join(each, " | ")).otherwise(F.lit("1'b0"))
 
 
@@ -157,8 +161,9 @@ def _whole(width: Column, decimal: Column | None, one_hot: bool, out: Column, re
 def problems(rows: DataFrame, kind: str, seed: int | str = "1234") -> DataFrame:
     """id, input, output, key: a task of one of the kinds below, its right answer, and a key for exact comparison.
 
-    logic: a Moore machine, state codes binary or decimal. onehot: the same, one-hot. mealy: outputs on edges,
-    asynchronous reset. next_onehot: next values of two one-hot bits, drawn from the states. next_code: next value
+    logic: a Moore machine, state codes binary or decimal. onehot: the same, one-hot; wide_onehot: with two outputs.
+    mealy: outputs on edges, asynchronous reset. next_onehot: next values of two one-hot bits, drawn from the states;
+    next_onehot_1: of bits y[n:1], one of the lower and one of the upper half. next_code: next value
     of a bit of the binary code. table: a table by codes, asking for a bit of the next state and the output.
     wave: outputs over a drawn run of inputs; machines whose output stays 0 are left out.
     """
@@ -166,9 +171,13 @@ def problems(rows: DataFrame, kind: str, seed: int | str = "1234") -> DataFrame:
     coin = draw(seed, F.col("id"), "coin", 2) == 1
     moore = kind != "mealy"
     key = graph_key(moore)
-    if kind in ("logic", "onehot"):
+    lower = draw(seed, F.col("id"), "head", 5) == 0
+    if kind == "wide_onehot":
+        told = F.concat(F.lit("Implement this Moore machine with one-hot states, reset to A; the output is out2, out1.\n"), state_table(outputs=2, lower=lower), F.lit("\n"), parameter_line(True))
+        answer = _clocked("input clk, input in, input reset, output out1, output out2", [*_whole(states, None, True, output_logic("out1", 0)), output_logic("out2", 1)])
+    elif kind in ("logic", "onehot"):
         hot = kind == "onehot"
-        told = F.concat(F.lit("Implement this Moore machine" + (" with one-hot states" if hot else "") + ", reset to A.\n"), state_table(), F.lit("\n"), parameter_line(hot, None if hot else coin))
+        told = F.concat(F.lit("Implement this Moore machine" + (" with one-hot states" if hot else "") + ", reset to A.\n"), state_table(lower=lower), F.lit("\n"), parameter_line(hot, None if hot else coin))
         answer = _clocked("input clk, input in, input reset, output out", _whole(states if hot else code, None if hot else coin, hot, output_logic()))
     elif kind == "mealy":
         told = F.concat(F.lit("Implement this Mealy machine with asynchronous reset to A.\n"), graph_text(False))
@@ -178,6 +187,13 @@ def problems(rows: DataFrame, kind: str, seed: int | str = "1234") -> DataFrame:
         b = (a + 1 + draw(seed, F.col("id"), "b", 1 << 20) % (states - 1)) % states
         told = F.concat(F.lit("With one-hot states y, lowest bit first, write the next values of bits "), a.cast("string"), F.lit(" and "), b.cast("string"), F.lit(".\n"), graph_text())
         answer = F.concat(F.lit("  assign Y"), a.cast("string"), F.lit(" = "), one_hot_next(a), F.lit(";\n  assign Y"), b.cast("string"), F.lit(" = "), one_hot_next(b), F.lit(";\n"))
+    elif kind == "next_onehot_1":
+        half = F.floor(states / 2).cast("int")
+        a = draw(seed, F.col("id"), "a", 1 << 20) % half
+        b = half + draw(seed, F.col("id"), "b", 1 << 20) % (states - half)
+        bits = F.concat(F.lit("y["), states.cast("string"), F.lit(":1]"))
+        told = F.concat(F.lit("With one-hot states "), bits, F.lit(", state A in y[1], write the next values of bits "), (a + 1).cast("string"), F.lit(" and "), (b + 1).cast("string"), F.lit(".\n"), graph_text())
+        answer = F.concat(F.lit("  assign Y"), (a + 1).cast("string"), F.lit(" = "), one_hot_next(a, first=1), F.lit(";\n  assign Y"), (b + 1).cast("string"), F.lit(" = "), one_hot_next(b, first=1), F.lit(";\n"))
     elif kind == "next_code":
         a = draw(seed, F.col("id"), "a", 1 << 20) % code
         told = F.concat(F.lit("With states coded in binary in order, A 0, write the next value of bit "), a.cast("string"), F.lit(".\n"), graph_text())
@@ -185,7 +201,7 @@ def problems(rows: DataFrame, kind: str, seed: int | str = "1234") -> DataFrame:
     elif kind == "table":
         a = draw(seed, F.col("id"), "a", 1 << 20) % code
         z = F.transform(asserted(), lambda s: F.concat(F.lit("(y == "), s.cast("string"), F.lit(")")))
-        told = F.concat(F.lit("Write bit "), a.cast("string"), F.lit(" of the next state, and z, of this table.\n"), state_table(True))
+        told = F.concat(F.lit("Write bit "), a.cast("string"), F.lit(" of the next state, and z, of this table.\n"), state_table(True, lower=lower))
         answer = F.concat(F.lit("  assign Y"), a.cast("string"), F.lit(" = "), encoded_next(a), F.lit(";\n  assign z = "), F.array_join(z, " | "), F.lit(";\n"))
     elif kind == "wave":
         inputs = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"), i.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(2)).cast("int"))
@@ -202,12 +218,12 @@ def problems(rows: DataFrame, kind: str, seed: int | str = "1234") -> DataFrame:
     return rows.select("id", told.alias("input"), answer.alias("output"), key.alias("key"))
 
 
-KINDS = {"logic": 4, "onehot": 4, "mealy": 4, "next_onehot": 6, "next_code": 6, "table": 5, "wave": 6, "wide_onehot": 10}
+KINDS = {"logic": 4, "onehot": 4, "mealy": 4, "next_onehot": 6, "next_code": 6, "table": 5, "wave": 6, "wide_onehot": 10, "next_onehot_1": 6}
 
 
 def generated(spark: SparkSession, kind: str, n: int, seed: int | str = "1234", reference: DataFrame | None = None) -> DataFrame:
     """input, output of distinct machines (by key, the smallest id stays) that aren't among the reference's keys."""
-    made = problems(machines(spark, n, KINDS[kind], seed), "onehot" if kind == "wide_onehot" else kind, seed)
+    made = problems(machines(spark, n, KINDS[kind], seed, 4 if kind == "wide_onehot" else 2), kind, seed)
     first = made.groupBy("key").agg(F.min_by(F.struct("id", "input", "output"), "id").alias("x")).select("key", "x.*")
     if reference is not None:
         first = first.join(reference.select("key").distinct(), "key", "left_anti")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.functions.text import rewards, tagged, unescaped
+from quernel.functions.text import compiles, rewards, tagged, unescaped, verdict
 from quernel.store import saved
 
 
@@ -72,18 +72,21 @@ def chat(system: str | None, prompt: Column) -> Column:
     return F.array(*([message("system", F.lit(system))] if system else []), message("user", prompt))
 
 
-def ask(df: DataFrame, messages: str, client: Client, engine: str = "stub", max_tokens: int = 1024, temperature: float = 0.0, attempts: int = 1, threads: int = 8) -> DataFrame:
+def ask(df: DataFrame, messages: str, client: Client, engine: str = "stub", max_tokens: int | str = 1024, temperature: float = 0.0, attempts: int = 1, threads: int = 8) -> DataFrame:
     """All rows with ``response`` and ``error``, saved: the answer, or null if it broke off or was refused.
 
     A row is asked up to ``attempts`` times until it has an answer; a call that raises leaves its message in
-    ``error`` and harms no other row. Calls of a batch run in a few threads inside the task.
+    ``error`` and harms no other row. ``max_tokens`` is a number, or the column that has each row's; a row that has
+    none left isn't asked. Calls of a batch run in a few threads inside the task.
     """
 
-    def one(talk) -> tuple[str | None, str | None]:
+    def one(talk, most: int) -> tuple[str | None, str | None]:
         failure = None
+        if most <= 0:
+            return None, "prompt leaves no room for an answer"
         for _ in range(attempts):
             try:
-                got = client([dict(m) for m in talk], max_tokens, temperature)
+                got = client([dict(m) for m in talk], most, temperature)
                 if got.finish == "stop":
                     return got.text, None
                 failure = f"finished by {got.finish}"
@@ -94,7 +97,8 @@ def ask(df: DataFrame, messages: str, client: Client, engine: str = "stub", max_
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(threads) as pool:
             for b in batches:
-                got = list(pool.map(one, b[messages]))
+                most = [int(x) for x in b[max_tokens]] if isinstance(max_tokens, str) else [max_tokens] * len(b)
+                got = list(pool.map(one, b[messages], most))
                 yield b.assign(response=[g[0] for g in got], error=[g[1] for g in got])
 
     names = [c for c in df.columns if c not in ("response", "error")]
@@ -184,3 +188,15 @@ def executed(df: DataFrame, files: dict[str, str], runner: Runner) -> DataFrame:
 
     schema = df.select("*").schema.add("stdout", "string").add("stderr", "string").add("timed_out", "boolean")
     return saved(df.mapInPandas(run, schema), "runs")
+
+
+def tested(df: DataFrame, files: dict[str, str], runner: Runner, rtllm: Column | bool = False, compile_only: bool = False) -> DataFrame:
+    """All rows with ``passed`` and ``feedback``, a struct of the verdict, the log and whether time ran out.
+
+    With ``compile_only`` what passes is what compiles. A row with a null file has null in both.
+    """
+    ran = executed(df, files, runner)
+    said = F.when(compiles(F.concat_ws("\n", "stdout", "stderr")), F.lit("passed")).otherwise("failed: compile error.") if compile_only else verdict("stdout", "stderr", rtllm, F.col("timed_out"))
+    feedback = F.struct(said.alias("verdict"), F.concat_ws("\n", "stdout", "stderr").alias("log"), F.col("timed_out"))
+    out = ran.withColumn("feedback", F.when(F.col("timed_out").isNotNull(), feedback))
+    return out.withColumn("passed", F.col("feedback.verdict") == "passed").drop("stdout", "stderr", "timed_out")

@@ -68,6 +68,17 @@ def distinct_trajectories(found: DataFrame, order: str) -> DataFrame:
     return near_dedup(found.withColumn("_text", text), ["_text"], order, threshold=0.9, group="task_id").drop("_text")
 
 
+def totals(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:
+    """Rows before and after a stage, by group; a group that lost all has 0."""
+    both = before.select(*by, F.lit(0).alias("_kept")).unionByName(after.select(*by, F.lit(1).alias("_kept")))
+    return both.groupBy(*by).agg(F.count_if(F.col("_kept") == 0).alias("n_before"), F.count_if(F.col("_kept") == 1).alias("n_after"))
+
+
+def passed_of(df: DataFrame, by: list[str], passed: str = "passed") -> DataFrame:
+    """How many passed, of how many; a null hasn't passed."""
+    return df.groupBy(*by).agg(F.count_if(F.coalesce(F.col(passed), F.lit(False))).alias("k"), F.count("*").alias("n"))
+
+
 def next_batch(found: DataFrame, have: DataFrame, target: int, seed: int, order: str) -> DataFrame:
     """Of each task up to ten more trajectories, no more than it lacks of its target."""
     return quota(found, have, "task_id", target, [seeded_key(seed, order), F.col(order)])

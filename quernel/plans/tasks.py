@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quernel.functions import text as X
 from quernel.operators.dedup import near_dedup
-from quernel.operators.models import Client, Runner, ask, chat, executed, judged, scored
+from quernel.operators.models import Client, Runner, ask, chat, executed, judged, scored, tested
 from quernel.operators.order import cyclic, numbered, quota, remaining, seeded_key, short_enough
 from quernel.operators.report import accepted, distinct_trajectories, trajectories
 
@@ -37,6 +37,7 @@ class Options:
     reward: Client | None = None
     runner: Runner | None = None
     compat: bool = False
+    tokenizer: X.Tokenizer | None = None
 
 
 def reference_texts(benchmark: DataFrame, solutions: bool = True) -> DataFrame:
@@ -47,12 +48,12 @@ def reference_texts(benchmark: DataFrame, solutions: bool = True) -> DataFrame:
 
 
 def prompted(df: DataFrame, o: Options, **values: Column | str) -> DataFrame:
-    """All rows with ``response``: the template filled in, and asked of the model within its context."""
-    prompt = X.formatted(o.template, **values)
-    rows = df.withColumn("_prompt", prompt)
-    fits = X.token_budget(X.token_count("_prompt"), o.max_new, o.context) > 0
-    rows = rows.where(fits).withColumn("_talk", chat(o.system, F.col("_prompt")))
-    return ask(rows, "_talk", o.client, o.engine, o.max_new, o.temperature, o.attempts).drop("_talk", "_prompt")
+    """All rows with ``response`` and ``error``: the template filled in, and asked of the model for as many tokens as
+    its context leaves. A prompt that leaves none isn't asked, and ``error`` says so."""
+    rows = df.withColumn("_prompt", X.formatted(o.template, **values))
+    rows = rows.withColumn("_most", X.token_budget(X.token_count("_prompt", o.tokenizer), o.max_new, o.context))
+    rows = rows.withColumn("_most", F.coalesce("_most", F.lit(0))).withColumn("_talk", chat(o.system, F.col("_prompt")))
+    return ask(rows, "_talk", o.client, o.engine, "_most", o.temperature, o.attempts).drop("_talk", "_prompt", "_most")
 
 
 def emitted(df: DataFrame, result: str, allow_empty: bool = True) -> DataFrame:
@@ -183,12 +184,26 @@ def resumed(seeds: DataFrame, done: DataFrame | None, start: int = 0, most: int
     return rows if most is None else numbered(rows, [], ["index"], "_turn").where(F.col("_turn") < most).drop("_turn")
 
 
+def self_repaired(reports: DataFrame, client: Client, runner: Runner, tests: DataFrame, engine: str = "stub", temperature: float = 0.0) -> DataFrame:
+    """Reports with ``repaired`` (the code that the model makes of the failed one and the report's reason), and with
+    ``passed`` and ``feedback`` of its test. Without an answer there is no code, and nothing passed.
+
+    ``tests``: task_id, test.
+    """
+    asked = F.concat(F.lit("Mend this code; give the whole module in SOLUTION tags.\n"), F.col("completion"), F.lit("\n\nWhat is wrong:\n"), F.col("reason"))
+    told = ask(reports.drop("response", "error").withColumn("_talk", chat(None, asked)), "_talk", client, engine, temperature=temperature).drop("_talk", "error")
+    solution, _ = X.lenient_solution_and_reason("response")
+    code = told.withColumn("repaired", X.fenced(F.coalesce(solution, F.col("response")))).drop("response")
+    ran = tested(code.join(tests.select("task_id", "test"), "task_id", "left"), {"design.v": "repaired", "test.v": "test"}, runner)
+    return ran.withColumn("passed", F.coalesce("passed", F.lit(False))).drop("test")
+
+
 def mine_errors(results: DataFrame, reference: DataFrame, client: Client, target: int, rounds: int = 3, runner: Callable[[DataFrame], DataFrame] | None = None, seed: int = 0) -> DataFrame:
     """Reports on failed completions, up to ``target`` for each task.
 
     Each round takes one failed completion of each low-passing group, drops near copies, takes up to ten more of
-    each task, asks for the reason, and, if ``runner`` is given, keeps those whose repaired code passes (it gets
-    the reports with ``response`` and adds ``passed``).
+    each task, asks for the reason, and, if ``runner`` is given, keeps those whose repaired code passes: it gets
+    the reports and adds ``passed``, as self_repaired() does.
     """
     out = None
     for turn in range(rounds):

@@ -98,8 +98,13 @@ def output_name(engine: str, dataset: str, n: int, suffix: str = "", folder: str
     return f"{folder}/{engine}_{dataset.rpartition('.')[0] or dataset}_{n}" + (f"_{suffix}" if suffix else "")
 
 
-def snapshot(df: DataFrame, folder: str, round_: int, stage: str) -> DataFrame:
-    """Write a stage's rows under ``folder``/<round>/<stage> and go on from what was written."""
-    path = f"{folder}/{round_}/{stage}"
+def snapshot(df: DataFrame, folder: str, round_: int, stage: str, reuse: bool = False) -> DataFrame:
+    """Write a stage's rows under ``folder``/<round>/<stage> and go on from what was written; with ``reuse``, from
+    what a run before this one has written there, if it was ended."""
+    path, spark = f"{folder}/{round_}/{stage}", df.sparkSession
+    if reuse:
+        mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+            return spark.read.schema(df.schema).parquet(path)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

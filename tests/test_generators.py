@@ -1,3 +1,5 @@
+import itertools
+import random
 import re
 
 import pytest
@@ -41,6 +43,55 @@ def test_expressions(spark):
     assert row.why == "01 => ~a & b\n10 => a & ~b"
 
 
+def test_smallest_sums(spark):
+    """Each fits its function, and no smaller number of products does."""
+    r = random.Random(2)
+    for _ in range(60):
+        order = r.sample(range(8), 8)
+        m, f = r.randint(1, 6), r.randint(0, 2)
+        terms, free = order[:m], order[m : m + f]
+        got = B.minimal_cover(terms, free, 3)
+        whole = {c: {c[1] | s for s in range(8) if s & ~c[0] == 0} for c in itertools.product(range(8), range(8)) if not c[0] & c[1]}
+        fits = [c for c, own in whole.items() if own <= set(terms) | set(free)]
+        assert set(terms) <= set().union(*(whole[c] for c in got)) <= set(terms) | set(free)
+        assert not any(set(terms) <= set().union(*(whole[c] for c in some)) for some in itertools.combinations(fits, len(got) - 1))
+    assert B.minimal_cover([], [1], 2) == [] and B.minimal_cover([0, 1, 2, 3], [], 2) == [(3, 0)]
+    for row in logic.karnaugh_maps(spark, 25, "abcd", tuple("wxyz"), True, True).collect():
+        for i in set(range(16)) - set(row.free):
+            assert value(row.minimal, **{v: i >> (3 - k) & 1 for k, v in enumerate("wxyz")}) == (i in row.terms)
+
+
+def test_turned_maps_show_the_same_cells(spark):
+    heads = set()
+    for row in logic.karnaugh_maps(spark, 60, "turns", turned=True).collect():
+        lines = row.input.split("\n")[1:]
+        columns = lines[1].split()[1:]
+        assert {int(c + x.split()[0], 2) for x in lines[2:] for c, v in zip(columns, x.split()[1:], strict=True) if v == "1"} == set(row.terms)
+        heads.add((tuple(columns), tuple(x.split()[0] for x in lines[2:])))
+    assert len(heads) > 8 and (("00", "01", "11", "10"), ("00", "01", "11", "10")) not in heads
+
+
+def test_two_outputs_and_bits_from_one(spark):
+    rows = machines.machines(spark, 15, 10, out_values=4)
+    for row in machines.problems(rows, "wide_onehot").join(rows, "id").collect():
+        for s in range(10):
+            names = {chr(65 + i): i for i in range(10)} | {"state": s}
+            for signal, bit in (("out1", 0), ("out2", 1)):
+                got = eval(assigned(row.output, signal).replace("1'b0", "0").replace("||", " or "), {}, names)  # noqa: S307
+                assert bool(got) == bool(row.outs[s] >> bit & 1)
+    rows = machines.machines(spark, 15, 6)
+    for row in machines.problems(rows, "next_onehot_1").join(rows, "id").collect():
+        found = re.findall(r"assign Y(\d) = (.*?);", row.output)
+        assert int(found[0][0]) in (1, 2, 3) and int(found[1][0]) in (4, 5, 6)
+        for bit, e in found:
+            for edge in row.edges:
+                assert value(e, y=[int(i == edge.src + 1) for i in range(7)], w=edge.bit) == (edge.dst == int(bit) - 1)
+
+
+def test_symbol_names():
+    assert B.symbol_names(3) == ["a", "b", "c"] and B.symbol_names(3, "x", True, True, True) == ["X2", "X1", "X0"]
+
+
 def test_karnaugh_cells(spark):
     text = spark.createDataFrame([([0, 5, 10],)], "t array<int>").select(B.karnaugh(F.col("t"), list("abcd"))).first()[0]
     lines = text.split("\n")

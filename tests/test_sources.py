@@ -57,6 +57,9 @@ def test_sinks(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "shards").glob("shard=*")) == ["shard=0", "shard=1", "shard=2"]
     assert spark.read.json(str(tmp_path / "shards")).count() == 10
     assert records.snapshot(df, str(tmp_path / "snap"), 1, "kept").count() == 10
+    other = df.where("i < 3")
+    assert records.snapshot(other, str(tmp_path / "snap"), 1, "kept", reuse=True).count() == 10
+    assert records.snapshot(other, str(tmp_path / "snap"), 2, "kept", reuse=True).count() == 3
     assert records.output_name("e", "a.b.jsonl", 5, "s") == "out/e_a.b_5_s"
 
 

@@ -4,6 +4,7 @@ from dataclasses import replace
 import pytest
 
 from quernel.operators.models import Answer, Command, Retry, Run, Stub, ask, executed, judged
+from quernel.operators import report
 from quernel.plans import tasks
 from pyspark.sql import functions as F
 
@@ -109,3 +110,57 @@ def test_mining(spark):
     ref = spark.createDataFrame([(f"t{i}", "human", "right") for i in range(3)], "task_id string, benchmark string, correct string")
     got = tasks.mine_errors(df, ref, Stub(lambda p: "<REASON>r</REASON>"), target=2, rounds=2).collect()
     assert sorted(x.task_id for x in got) == ["t0", "t0", "t1", "t1", "t2", "t2"] and {x.difficulty for x in got} == {"hard"}
+
+
+def test_answers_get_what_the_context_leaves(spark, seeds):
+    """Each row's budget goes with its call; a prompt that leaves none is kept with its reason, and isn't asked."""
+    asked = []
+
+    def client(messages, max_tokens, temperature):
+        return Answer(f"{max_tokens}")
+
+    o = tasks.Options(client, "{text}", system=None, context=25, max_new=9)
+    got = {x["index"]: (x.response, x.error) for x in tasks.prompted(seeds.select("index", "text"), o, text="text").collect()}
+    size = {i: len(LONG[k].split()) for i, k in ((0, 0), (1, 1), (2, 0), (3, 3), (4, 2))}
+    assert {i: r for i, (r, _) in got.items()} == {i: str(min(9, 25 - 10 - n)) for i, n in size.items()}
+    none = tasks.prompted(seeds.select("index", "text"), replace(o, context=12), text="text").collect()
+    assert len(none) == 5 and all(x.response is None and x.error == "prompt leaves no room for an answer" for x in none)
+    assert tasks.base(seeds.select("index", "text"), replace(o, context=12)).count() == 0 and not asked
+
+
+def test_self_repair(spark):
+    rows = [(1, "t1", "bad", "because"), (2, "t1", "worse", "mute"), (3, "t2", "bad", "because")]
+    reports = spark.createDataFrame(rows, "row_id long, task_id string, completion string, reason string")
+    tests = spark.createDataFrame([("t1", "good"), ("t2", "other")], "task_id string, test string")
+
+    def client(messages, max_tokens, temperature):
+        if "mute" in messages[-1]["content"]:
+            raise ValueError("no answer")
+        return Answer("<SOLUTION>```verilog\ngood```</SOLUTION>")
+
+    def runner(files):
+        same = files["design.v"] == files["test.v"]
+        return Run("Mismatches: 0 in 5 samples" if same else "Mismatches: 2 in 5 samples", "")
+
+    got = {x.row_id: x for x in tasks.self_repaired(reports, client, runner, tests).collect()}
+    assert got[1].passed and got[1].repaired == "good" and got[1].feedback.verdict == "passed"
+    assert not got[2].passed and got[2].feedback is None
+    assert not got[3].passed and got[3].feedback.verdict == "failed: 2 out of 5 samples."
+
+
+def test_totals(spark):
+    before = spark.createDataFrame([("a", True), ("a", None), ("b", False)], "t string, passed boolean")
+    after = before.where("t = 'a' AND passed")
+    assert {tuple(x) for x in report.totals(before, after, ["t"]).collect()} == {("a", 2, 1), ("b", 1, 0)}
+    assert {tuple(x) for x in report.passed_of(before, ["t"]).collect()} == {("a", 1, 2), ("b", 0, 1)}
+
+
+def test_first_completions_and_final_reports(spark):
+    rows = [(2, "t", "c", True), (1, "t", "c", False), (3, "t", "d", True)]
+    df = spark.createDataFrame(rows, "id long, task_id string, completion string, passed boolean")
+    assert sorted(x.id for x in report.first_completions(df, ["id"]).collect()) == [1, 3]
+    assert {x.id: x.completion_id for x in report.completion_ids(df, ["id"]).collect()} == {1: 0, 2: 1, 3: 2}
+    reports = df.selectExpr("*", "'b' AS benchmark", "'right' AS correct", "'e' AS exp", "'hard' AS difficulty", "'why' AS reason")
+    told = spark.createDataFrame([("t", "b", "described", "module m();")], "task_id string, benchmark string, detail_description string, header string")
+    got = report.final_reports(reports, told, told, checked=True).collect()
+    assert {(x.problem, x.error, x.correct) for x in got} == {("described", "module m();c", "module m();right"), ("described", "module m();d", "module m();right")}

@@ -88,8 +88,28 @@ def test_small_ones(spark):
     assert one(spark, X.swapped_lines("t"), t="1\n2\n3") == "2\n1"
     assert one(spark, X.last_sign("t"), t=" a b \t") == "b"
     assert one(spark, X.rewards("t"), t="a:1.5,b:x") == {"a": 1.5, "b": None}
-    assert one(spark, X.vendor_errors("t"), t="Info\nError (1): a Peak virtual memory 5\nError (2)") == "Error (1): a "
+    log = "Info\nError (1): a Check for and fix it\nWarning\nError (2)\nError (3): c Check for and fix b Check for and fix"
+    assert one(spark, X.vendor_errors("t"), t=log) == "Error (1): a \nError (2)\nError (3): c "
+    assert one(spark, X.vendor_errors("t", "Peak"), t="Error (1): a Peak virtual memory 5\nError (2)") == "Error (1): a \nError (2)"
     assert one(spark, X.compiles("t"), t="it timed out") is True
     assert one(spark, X.unescaped("t", "MIXTRAL"), t="a\\_b") == "a_b"
     assert one(spark, X.chunked(F.split("t", ","), 2), t="1,2,3") == [["1", "2"], ["3"]]
     assert one(spark, X.token_budget(F.lit(100), 50, 120), t="") == 10
+
+
+class Letters:
+    """A tokenizer of single characters."""
+
+    def encode(self, text):
+        return [ord(c) for c in text]
+
+    def decode(self, ids):
+        return "".join(map(chr, ids))
+
+
+def test_tokens_by_rule_and_by_tokenizer(spark):
+    assert one(spark, X.token_count("t"), t=" ab, cd\n") == 3 and one(spark, X.token_count("t", Letters()), t="ab c") == 4
+    assert one(spark, X.token_limited("t", 2), t=" ab, cd\n") == " ab," and one(spark, X.token_limited("t", 3), t=" ab, cd\n") == " ab, cd\n"
+    assert one(spark, X.token_limited("t", 2, Letters()), t="abc") == "ab" and one(spark, X.token_limited("t", 9, Letters()), t="abc") == "abc"
+    null = spark.createDataFrame([(None,)], "t string").select(X.token_count("t").alias("a"), X.token_count("t", Letters()).alias("b"), X.token_limited("t", 1).alias("c"), X.token_limited("t", 1, Letters()).alias("d")).first()
+    assert list(null) == [None] * 4
