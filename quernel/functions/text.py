@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 from typing import Protocol
 
 import pandas as pd
@@ -232,19 +233,30 @@ def sorted_lines(text: Column | str) -> Column:
     return F.array_join(F.array_sort(F.split(_col(text), "\n", -1)), "\n")
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), the value worked out once: a lambda would do it again for each element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def swapped_lines(text: Column | str) -> Column:
     """Lines 1 and 2 swapped, 3 and 4, and so on; a line left over is dropped."""
-    lines = F.split(_col(text), "\n", -1)
-    n = F.floor(F.size(lines) / 2).cast("int") * 2
-    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_join(F.transform(at, lambda i: lines[i + F.when(i % 2 == 0, 1).otherwise(-1)]), "\n")
+
+    def swapped(lines: Column) -> Column:
+        n = F.floor(F.size(lines) / 2).cast("int") * 2
+        at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.array_join(F.transform(at, lambda i: F.get(lines, i + F.when(i % 2 == 0, 1).otherwise(-1))), "\n")
+
+    return F.when(_col(text).isNotNull(), _once(F.split(_col(text), "\n", -1), swapped))
 
 
 def chunked(values: Column | str, n: int) -> Column:
-    """An array cut into arrays of n."""
-    v = _col(values)
-    starts = F.when(F.size(v) > 0, F.sequence(F.lit(1), F.size(v), F.lit(n))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.slice(v, i, F.lit(n)))
+    """An array cut into arrays of n; a null array has none."""
+
+    def cut(v: Column) -> Column:
+        starts = F.when(F.size(v) > 0, F.sequence(F.lit(0), F.size(v) - 1, F.lit(n))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.transform(F.sequence(i, F.least(i + n, F.size(v)) - 1), lambda k: F.get(v, k)))
+
+    return _once(_col(values), cut)
 
 
 def last_sign(line: Column | str) -> Column:

@@ -13,7 +13,8 @@ from quernel.generators import logic, machines
 from quernel.operators import dedup, order, report
 from quernel.operators.models import Stub, judged, scored
 from quernel.plans import tasks
-from quernel.store import spread
+from quernel.sources import records
+from quernel.store import new_path, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,9 +42,9 @@ _PAIRS = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(dedup.coefficie
 
 
 def _bands_sql(source: str, bands: int, rows: int) -> str:
-    """(node, bucket) of a relation (node, text), bands folded to 31 bits: unlike in banded(), unequal ones may meet."""
+    """(node, bucket) of a relation (node, text): a bucket is a band's place and all its minima."""
     return f"""
-    SELECT DISTINCT node, list_reduce(list_prepend(CAST(band AS BIGINT), list(low ORDER BY i)), lambda k, x: (k * {dedup.BASE} + x) % {dedup.PRIME}) * 256 + band AS bucket
+    SELECT DISTINCT node, band || ':' || string_agg(low, ',' ORDER BY i) AS bucket
     FROM (
         SELECT node, i, i // {rows} AS band, min((a * h + b) % {dedup.PRIME}) AS low
         FROM (
@@ -91,20 +92,27 @@ def near_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_dedup(spread(table(spark, sf_dir, "documents")), ["text"], "doc_id").select("doc_id")
 
 
-@query(
-    _greedy_sql(
-        f"""WITH RECURSIVE src AS (SELECT doc_id AS node, text FROM documents WHERE text IS NOT NULL), raw AS ({_bands_sql('src', 5, 25)}),
-        met AS (SELECT node, source || '|' || bucket AS bucket FROM raw JOIN documents ON node = doc_id)""",
-        "met",
-    )
-    + " SELECT source, count(*) AS n FROM kept JOIN documents ON node = doc_id GROUP BY source"
+_BY_GROUP = _greedy_sql(
+    f"""WITH RECURSIVE src AS (SELECT doc_id AS node, text FROM documents WHERE text IS NOT NULL), raw AS ({_bands_sql('src', 5, 25)}),
+    met AS (SELECT node, source || '|' || bucket AS bucket FROM raw JOIN documents ON node = doc_id)""",
+    "met",
 )
+
+
+@query(_BY_GROUP + " SELECT source, count(*) AS n FROM kept JOIN documents ON node = doc_id GROUP BY source")
 def near_dedup_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies within a source only, at threshold 0.9."""
     kept = dedup.near_dedup(spread(table(spark, sf_dir, "documents")), ["text"], "doc_id", threshold=0.9, group="source")
     return kept.groupBy("source").agg(F.count("*").alias("n"))
 
 
+@query(_BY_GROUP + " SELECT source, count(*) AS n_before, count(kept.node) AS n_after FROM documents LEFT JOIN kept ON node = doc_id GROUP BY source")
+def dedup_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of each source there are before and after."""
+    docs = spread(table(spark, sf_dir, "documents"))
+    return report.totals(docs, dedup.near_dedup(docs, ["text"], "doc_id", threshold=0.9, group="source"), ["source"])
+
+
 @query(
     _greedy_sql(
         f"""WITH RECURSIVE turns AS (SELECT conv_id * 1000 + turn AS node, role, text FROM conversations),
@@ -212,7 +220,7 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RESULTS = """WITH r AS (SELECT doc_id AS row_id, lang AS exp, 'human' AS benchmark, CAST(doc_id % 3 AS INT) AS step, source AS task_id,
-    substr(text, 1, 40) AS prompt, text AS completion, quality = 1 AS passed FROM documents JOIN labels USING (doc_id))"""
+    text AS prompt, text AS completion, quality = 1 AS passed FROM documents JOIN labels USING (doc_id))"""
 
 
 @query(_RESULTS + " SELECT task_id, step, round(avg(CAST(passed AS INT)), 9) AS pass_rate, count(*) AS n FROM r GROUP BY task_id, step")
@@ -264,44 +272,47 @@ def stacked_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Text out of answers --------------------------------------------------------------------------------------
 
 _FENCE3 = "chr(96) || chr(96) || chr(96)"
-_ANSWER = f"""WITH a AS (SELECT doc_id, CASE doc_id % 8
-    WHEN 0 THEN 'so <PROBLEM> ' || substr(text, 1, 60) || chr(10) || ' </PROBLEM> end <PROBLEM>2</PROBLEM>'
-    WHEN 1 THEN '<PROBLEM>' || substr(text, 1, 30) || ' </PROBL'
-    WHEN 2 THEN 'text </PROBLEM> then <PROBLEM> late'
-    WHEN 3 THEN 'x' || {_FENCE3} || 'verilog' || chr(10) || substr(text, 1, 50) || chr(10) || {_FENCE3} || ' tail'
-    WHEN 4 THEN '<SOLUTION>' || substr(text, 1, 20) || '</SOLUTION> and <REASON> for ' || source || ' </REASON></SOLUTION>'
-    WHEN 5 THEN 'why so <SOLUTION> one <SOLUTION> ' || substr(text, 1, 25)
-    WHEN 6 THEN 'module m(input a, ' || lang || ');' || chr(10) || substr(text, 1, 30) || chr(10) || 'endmodule rest endmodule more'
-    ELSE substr(text, 1, 40) END AS raw FROM documents)"""
-
-
-def _forms(cut: Callable[[int], Column]) -> list[Column]:
-    """Answers of eight forms around a text; ``cut`` has the text, or so many characters of it."""
-    fence, end = F.lit("```"), F.lit("\n")
+_FORMS_SQL = [
+    "'so <PROBLEM> ' || text || chr(10) || ' </PROBLEM> end <PROBLEM>2</PROBLEM>'",
+    "'<PROBLEM>' || text || ' </PROBL'",
+    "'text </PROBLEM> then <PROBLEM> late'",
+    f"'x' || {_FENCE3} || 'verilog' || chr(10) || text || chr(10) || {_FENCE3} || ' tail'",
+    "'<SOLUTION>' || text || '</SOLUTION> and <REASON> for ' || source || ' </REASON></SOLUTION>'",
+    "'why so <SOLUTION> one <SOLUTION> ' || text",
+    "'module m(input a, ' || lang || ');' || chr(10) || text || chr(10) || 'endmodule rest endmodule more'",
+    "text",
+]
+#: Each document in one form, and in every form.
+_ANSWER = "WITH a AS (SELECT doc_id, CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_FORMS_SQL)) + " END AS raw FROM documents)"
+_WHOLE = "WITH a AS (" + " UNION ALL ".join(f"SELECT doc_id, {i} AS form, CASE WHEN text IS NOT NULL THEN {x} END AS raw FROM documents" for i, x in enumerate(_FORMS_SQL)) + ")"
+
+
+def _forms() -> list[Column]:
+    """Answers of eight forms around a whole text."""
+    t, fence, end = F.col("text"), F.lit("```"), F.lit("\n")
     return [
-        F.concat(F.lit("so <PROBLEM> "), cut(60), end, F.lit(" </PROBLEM> end <PROBLEM>2</PROBLEM>")),
-        F.concat(F.lit("<PROBLEM>"), cut(30), F.lit(" </PROBL")),
+        F.concat(F.lit("so <PROBLEM> "), t, end, F.lit(" </PROBLEM> end <PROBLEM>2</PROBLEM>")),
+        F.concat(F.lit("<PROBLEM>"), t, F.lit(" </PROBL")),
         F.lit("text </PROBLEM> then <PROBLEM> late"),
-        F.concat(F.lit("x"), fence, F.lit("verilog"), end, cut(50), end, fence, F.lit(" tail")),
-        F.concat(F.lit("<SOLUTION>"), cut(20), F.lit("</SOLUTION> and <REASON> for "), F.col("source"), F.lit(" </REASON></SOLUTION>")),
-        F.concat(F.lit("why so <SOLUTION> one <SOLUTION> "), cut(25)),
-        F.concat(F.lit("module m(input a, "), F.col("lang"), F.lit(");\n"), cut(30), F.lit("\nendmodule rest endmodule more")),
-        cut(40),
+        F.concat(F.lit("x"), fence, F.lit("verilog"), end, t, end, fence, F.lit(" tail")),
+        F.concat(F.lit("<SOLUTION>"), t, F.lit("</SOLUTION> and <REASON> for "), F.col("source"), F.lit(" </REASON></SOLUTION>")),
+        F.concat(F.lit("why so <SOLUTION> one <SOLUTION> "), t),
+        F.concat(F.lit("module m(input a, "), F.col("lang"), F.lit(");\n"), t, F.lit("\nendmodule rest endmodule more")),
+        t,
     ]
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, cut = F.col("text"), lambda n: F.substring("text", 1, n)
-    *forms, plain = _forms(cut)
-    raw = F.when(t.isNull(), F.lit(None))
-    for i, form in enumerate(forms):
+    """Each document's whole text in one of the forms: doc_id, raw."""
+    raw = F.when(F.lit(False), F.lit(None).cast("string"))
+    for i, form in enumerate(_forms()):
         raw = raw.when(F.col("doc_id") % 8 == i, form)
-    return table(spark, sf_dir, "documents").select("doc_id", raw.otherwise(plain).alias("raw"))
+    return table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
 
 
 def _whole_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's whole text in every form: doc_id, form, raw."""
-    forms = F.array(*[F.when(F.col("text").isNotNull(), f) for f in _forms(lambda n: F.col("text"))])
+    forms = F.array(*[F.when(F.col("text").isNotNull(), f) for f in _forms()])
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(forms).alias("form", "raw"))
 
 
@@ -316,38 +327,51 @@ def _tag_sql(tag: str, close: str | None = None) -> str:
 _FENCE_SQL = f"CASE WHEN regexp_matches(raw, {_FENCE3} || '.*?\\n(.*?)' || {_FENCE3}, 's') THEN regexp_extract(raw, {_FENCE3} || '.*?\\n(.*?)' || {_FENCE3}, 1, 's') ELSE raw END"
 
 
-@query(_ANSWER + f" SELECT doc_id, {_tag_sql('PROBLEM')} AS tag, {_FENCE_SQL} AS code, coalesce({_tag_sql('PROBLEM', '</PROBL')}, {_FENCE_SQL}) AS problem FROM a")
+_TAGGED = f"{_tag_sql('PROBLEM')} AS tag, {_FENCE_SQL} AS code, coalesce({_tag_sql('PROBLEM', '</PROBL')}, {_FENCE_SQL}) AS problem FROM a"
+
+
+@query(_ANSWER + " SELECT doc_id, " + _TAGGED)
 def tagged_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answers(spark, sf_dir).select("doc_id", X.tagged("raw", "PROBLEM").alias("tag"), X.fenced("raw").alias("code"), X.problem("raw").alias("problem"))
 
 
-@query(_ANSWER + f""" SELECT doc_id, {_tag_sql('SOLUTION', '</SOLUT')} AS solution, {_tag_sql('REASON')} AS reason,
+_SOLVED = (
+    f"""{_tag_sql('SOLUTION', '</SOLUT')} AS solution, {_tag_sql('REASON')} AS reason,
     CASE WHEN strpos(raw, '<SOLUTION>') > 0 AND strpos(raw, '</SOLUTION>') > 0 THEN """
     + _STRIP.format("substr(raw, strpos(raw, '<SOLUTION>') + 10, greatest(length(raw) - strpos(reverse(raw), reverse('</SOLUTION>')) - 9 - strpos(raw, '<SOLUTION>') - 10, 0))")
     + " WHEN strpos(raw, '<SOLUTION>') > 0 THEN "
     + _STRIP.format("string_split(raw, '<SOLUTION>')[-1]")
-    + " END AS lenient FROM a")
+    + " END AS lenient FROM a"
+)
+
+
+@query(_ANSWER + " SELECT doc_id, " + _SOLVED)
 def solutions_and_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     solution, reason = X.solution_and_reason("raw")
     lenient, _ = X.lenient_solution_and_reason("raw")
     return _answers(spark, sf_dir).select("doc_id", solution.alias("solution"), reason.alias("reason"), lenient.alias("lenient"))
 
 
-@query(_ANSWER + r""", c AS (SELECT doc_id, CASE WHEN strpos(raw, 'endmodule') > 0 THEN substr(raw, 1, length(raw) - strpos(reverse(raw), reverse('endmodule')) + 1)
+_COMPLETED = (
+    r""", c AS (SELECT doc_id, CASE WHEN strpos(raw, 'endmodule') > 0 THEN substr(raw, 1, length(raw) - strpos(reverse(raw), reverse('endmodule')) + 1)
     ELSE raw || chr(10) || 'endmodule' END AS cut, raw FROM a), f AS (SELECT doc_id, CASE WHEN strpos(raw, """ + _FENCE3 + r""" || 'verilog') > 0 THEN """ + _FENCE_SQL.replace("raw", "cut") + r""" ELSE cut END AS bare FROM c),
     m AS (SELECT doc_id, CASE WHEN regexp_matches(bare, '\bmodule\b.*?\bendmodule\b', 's') THEN regexp_extract(bare, '\bmodule\b.*?\bendmodule\b', 0, 's') ELSE bare END AS body FROM f)
-    SELECT doc_id, CASE WHEN strpos(body, 'module ') > 0 AND strpos(body, ');') > 0 THEN substr(body, strpos(body, ');') + 2) ELSE body END AS code FROM m""")
+    SELECT doc_id, CASE WHEN strpos(body, 'module ') > 0 AND strpos(body, ');') > 0 THEN substr(body, strpos(body, ');') + 2) ELSE body END AS code FROM m"""
+)
+
+
+@query(_ANSWER + _COMPLETED)
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answers(spark, sf_dir).select("doc_id", X.completion("raw").alias("code"))
 
 
-@query()
+@query(_WHOLE + " SELECT doc_id, form, " + _TAGGED)
 def whole_tagged_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tagged_problems over whole texts, each in every form."""
     return _whole_answers(spark, sf_dir).select("doc_id", "form", X.tagged("raw", "PROBLEM").alias("tag"), X.fenced("raw").alias("code"), X.problem("raw").alias("problem"))
 
 
-@query()
+@query(_WHOLE + " SELECT doc_id, form, " + _SOLVED)
 def whole_solutions_and_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """solutions_and_reasons over whole texts, each in every form."""
     solution, reason = X.solution_and_reason("raw")
@@ -355,13 +379,13 @@ def whole_solutions_and_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole_answers(spark, sf_dir).select("doc_id", "form", solution.alias("solution"), reason.alias("reason"), lenient.alias("lenient"))
 
 
-@query()
+@query(_WHOLE + _COMPLETED.replace("SELECT doc_id,", "SELECT doc_id, form,"))
 def whole_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """completions over whole texts, each in every form."""
     return _whole_answers(spark, sf_dir).select("doc_id", "form", X.completion("raw").alias("code"))
 
 
-@query()
+@query("SELECT doc_id, 'In ' || lang || ' {' || source || '}: ' || text AS prompt FROM documents")
 def whole_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prompts of templates with whole texts."""
     prompt = X.formatted("In {lang} {{{source}}}: {text}", lang="lang", source="source", text=F.col("text"))
@@ -385,12 +409,12 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("conv_id", "tokens", X.token_budget("tokens", 1024, 3000).alias("budget"), F.sha2(line, 256).alias("talk"))
 
 
-@query("""SELECT doc_id, 'In ' || lang || ' {' || source || '}: ' || substr(text, 1, 30) AS prompt,
+@query("""SELECT doc_id, 'In ' || lang || ' {' || source || '}: ' || text AS prompt,
     regexp_replace('repeat(' || n_chars || ') repeat()', 'repeat\\([0-9]*\\)', 'repeat(' || (doc_id % 7) || ')', 'g') AS bench,
     CASE WHEN doc_id % 2 = 0 THEN 'a\\_b' ELSE 'a_b' END AS raw, replace('a\\_b', '\\_', '_') AS plain FROM documents""")
 def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    prompt = X.formatted("In {lang} {{{source}}}: {text}", lang="lang", source="source", text=F.substring("text", 1, 30))
+    prompt = X.formatted("In {lang} {{{source}}}: {text}", lang="lang", source="source", text="text")
     bench = X.repeats(F.concat(F.lit("repeat("), F.col("n_chars").cast("string"), F.lit(") repeat()")), F.col("doc_id") % 7)
     raw = F.when(F.col("doc_id") % 2 == 0, F.lit("a\\_b")).otherwise(F.lit("a_b"))
     return docs.select("doc_id", prompt.alias("prompt"), bench.alias("bench"), raw.alias("raw"), X.unescaped(F.lit("a\\_b"), "Mixtral-8x7b").alias("plain"))
@@ -435,6 +459,88 @@ def judge_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(docs, F.col("q"), judge).select("doc_id", "llm_verification")
 
 
+@query(r"""SELECT doc_id, try_cast(regexp_extract('/runs/' || source || '/checkpoint-' || CASE WHEN doc_id % 3 > 0 THEN 'step=' ELSE 'last-' END || doc_id || '/all.jsonl', 'step=(\d+)', 1) AS INT) AS step
+    FROM documents""")
+def checkpoint_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("/runs/"), F.col("source"), F.lit("/checkpoint-"), F.when(F.col("doc_id") % 3 > 0, "step=").otherwise("last-"), F.col("doc_id").cast("string"), F.lit("/all.jsonl"))
+    return docs.select("doc_id", records.step_of(path).alias("step"))
+
+
+@query("""WITH l AS (SELECT doc_id, 'Info: ' || lang || chr(10) || 'Error (' || doc_id || '): ' || source || ' Check for and fix ' || lang || chr(10) || 'Warning' || chr(10) || 'Error (2): ' || text AS log FROM documents)
+    SELECT doc_id, array_to_string(list_transform(list_filter(string_split(log, chr(10)), lambda x: contains(x, 'Error (')), lambda x: string_split(x, 'Check for and fix')[1]), chr(10)) AS errors FROM l""")
+def vendor_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = F.concat(F.lit("Info: "), "lang", F.lit("\nError ("), F.col("doc_id").cast("string"), F.lit("): "), "source", F.lit(" Check for and fix "), "lang", F.lit("\nWarning\nError (2): "), "text")
+    return table(spark, sf_dir, "documents").select("doc_id", log.alias("log")).select("doc_id", X.vendor_errors("log").alias("errors"))
+
+
+@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)
+    SELECT doc_id, array_to_string(list_transform(range(1, (len(lines) // 2) * 2 + 1), lambda i: lines[CASE WHEN i % 2 = 1 THEN i + 1 ELSE i - 1 END]), chr(10)) AS swapped,
+    array_to_string(list_transform(range(0, (len(lines) + 2) // 3), lambda i: array_to_string(lines[i * 3 + 1:i * 3 + 3], '|')), '#') AS chunks FROM l WHERE lines IS NOT NULL""")
+def line_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring lines swapped, and lines in chunks of three."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    chunks = F.transform(X.chunked(F.split("text", "\n", -1), 3), lambda c: F.array_join(c, "|"))
+    return docs.select("doc_id", X.swapped_lines("text").alias("swapped"), F.array_join(chunks, "#").alias("chunks"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '\s*(?:[\p{L}\p{N}]+|[^\s\p{L}\p{N}])') AS each FROM documents)
+    SELECT doc_id, CAST(len(each) AS INT) AS tokens, CASE WHEN len(each) <= 50 THEN text ELSE array_to_string(each[1:50], '') END AS first FROM t""")
+def token_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each text, and the text up to its fiftieth."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.token_count("text").alias("tokens"), X.token_limited("text", 50).alias("first"))
+
+
+# Records --------------------------------------------------------------------------------------------------
+
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def records_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as compressed JSON lines, and read again by the file's name."""
+    docs, path = table(spark, sf_dir, "documents"), new_path(spark, "documents.jsonl")
+    records.write_jsonl(docs, path, gzip=True)
+    return records.read_table(spark, path, docs.schema)
+
+
+@query("""WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, CAST(ceil(count(*) OVER () / 6.0) AS BIGINT) AS size FROM documents)
+    SELECT doc_id, CAST(i // size AS INT) AS shard FROM o""")
+def sharded_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in six runs, each in a folder of its own, as they are read again."""
+    path = new_path(spark, "shards")
+    records.write_shards(table(spark, sf_dir, "documents").select("doc_id", "lang"), path, 6, ["doc_id"])
+    return spark.read.schema("doc_id long, shard int").json(path).select("doc_id", "shard")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id >= 20 AND doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT 50")
+def resumed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next fifty documents, from the twentieth on, that have no label yet."""
+    seeds = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("index"), "lang")
+    done = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("index"))
+    return tasks.resumed(seeds, done, 20, 50).select(F.col("index").alias("doc_id"), "lang")
+
+
+@query("SELECT d.doc_id AS report_id, lang, quality = 1 AS passed, 'toxic ' || toxic AS result FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def reports_with_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reports = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("report_id"), "lang")
+    said = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("report_id"), (F.col("quality") == 1).alias("passed"), F.concat(F.lit("toxic "), F.col("toxic").cast("string")).alias("result"))
+    return report.by_report(reports, said)
+
+
+@query(_RESULTS + """, told AS (SELECT source AS task_id, min(text) AS detail_description FROM documents GROUP BY source)
+    SELECT row_id, detail_description AS problem, 'module ' || task_id || ');' || completion AS error, 'module ' || task_id || ');' || exp AS correct FROM r JOIN told USING (task_id) WHERE passed""")
+def final_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What passed, as records to train on: the task's description, and both codes under its header."""
+    docs, rows = table(spark, sf_dir, "documents"), _results(spark, sf_dir)
+    reports = rows.select("task_id", "benchmark", "exp", "completion", F.col("exp").alias("correct"), F.lit("hard").alias("difficulty"), F.col("row_id").alias("reason"), "passed")
+    told = docs.groupBy(F.col("source").alias("task_id")).agg(F.min("text").alias("detail_description")).withColumn("benchmark", F.lit("human"))
+    heads = told.select("task_id", "benchmark", F.concat(F.lit("module "), "task_id", F.lit(");")).alias("header"))
+    return report.final_reports(reports, told, heads, checked=True).select(F.col("reason").alias("row_id"), "problem", "error", "correct")
+
+
+@query(_RESULTS + " SELECT task_id, count(*) FILTER (WHERE passed) AS k, count(*) AS n FROM r GROUP BY task_id")
+def passed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.passed_of(_results(spark, sf_dir), ["task_id"])
+
+
 # Generators -----------------------------------------------------------------------------------------------
 
 @query(
@@ -464,6 +570,29 @@ def truth_table_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", B.truth_table(F.col("terms"), list("abcd"), "f").alias("truth"))
 
 
+_SUM = " || ' | ' || ".join(f"CASE WHEN (t >> {3 - i}) & 1 = 0 THEN '{v}' ELSE '~{v}' END" for i, v in enumerate("abcd"))
+
+
+@query(_TERMS + f""", z AS (SELECT id, terms, list_filter(range(0, 16), lambda i: NOT list_contains(terms, CAST(i AS INT))) AS zeros FROM t)
+    SELECT id, array_to_string(list_transform(zeros, lambda t: '(' || {_SUM} || ')'), ' & ') AS pos,
+    array_to_string(list_transform(terms, lambda t: lpad(bin(t), 4, '0') || ' => ' || {_PRODUCT}), chr(10)) AS why FROM z""")
+def products_of_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, v = logic.minterms(spark, 500, 4, "1234"), list("abcd")
+    return rows.select("id", B.product_of_sums(B.complement(F.col("terms"), 4), v).alias("pos"), B.explained(F.col("terms"), v).alias("why"))
+
+
+@query("""SELECT i AS id, list_transform(range(1, 15), lambda m: list_filter([i, i * 2, i * 3, i * 5], lambda x, k: (m >> (k - 1)) & 1 = 1)) AS subsets FROM range(200) t(i)""")
+def subset_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = F.array(*[F.col("id") * k for k in (1, 2, 3, 5)])
+    return spark.range(200).select("id", B.subsets(items, 4).alias("subsets"))
+
+
+@query()
+def smallest_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps with don't-cares, turned, and the smallest sum of products for each."""
+    return logic.karnaugh_maps(spark, 200, "abcd", tuple("wxyz"), True, True).select("id", "input", "terms", "free", "minimal")
+
+
 @query(_TERMS + """ SELECT min(id) AS id FROM t WHERE terms NOT IN (VALUES ([1, 3, 5]), ([0]), ([15])) GROUP BY terms""")
 def distinct_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled functions, none twice and none of a stated set."""
@@ -486,7 +615,8 @@ def logic_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 def machine_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for kind in machines.KINDS:
-        part = machines.generated(spark, kind, 200).select(F.lit(kind).alias("kind"), "id", "input", "output")
+        known = machines.generated(spark, kind, 20, "bench").select("key")  # stands for the machines of a benchmark
+        part = machines.generated(spark, kind, 200, reference=known).select(F.lit(kind).alias("kind"), "id", "input", "output")
         out = part if out is None else out.unionByName(part)
     return out
 
