@@ -225,36 +225,39 @@ def common_length(a: list[str], b: list[str]) -> int:
     return len(b) - row.bit_count()
 
 
-def rouge_l(texts: DataFrame, reference: DataFrame, key: str = "doc_id", text: str = "text", most: int = 20_000) -> DataFrame:
-    """(key, rouge): the largest F-measure of longest common word runs against a stated reference set.
+#: Words of reference texts, and rows of texts, that a task compares with each other at once, on average.
+WORDS, ROWS = 100_000, 64
 
-    Words are runs of lower-case letters and digits. The reference (column ``text``) is sent to each task if it
-    has ``most`` rows or fewer, else it is taken in parts of so many. Null texts and texts without words have 0.
+
+def rouge_l(texts: DataFrame, reference: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, rouge): the largest F-measure of longest common word runs against a stated reference set, a row for each
+    row of ``texts``.
+
+    Words are runs of lower-case letters and digits. The reference (column ``text``, its distinct word lists) and the
+    texts are compared in blocks, each block with each. Null texts and texts without words have 0.
     """
     words = lambda t: F.regexp_extract_all(F.lower(t), F.lit("[a-z0-9]+"), F.lit(0))
-    kind = dict(texts.dtypes)[key]
-    spark = texts.sparkSession
-    known = saved(reference.where("text is not null").select(F.xxhash64("text").alias("h"), words(F.col("text")).alias("w")).where(F.size("w") > 0), "reference")
-    parts = -(-known.count() // most) or 1
-    out = None
-    for part in range(parts):
-        own = [r[0] for r in known.where(F.pmod("h", F.lit(parts)) == part).select("w").collect()]
-        sent = spark.sparkContext.broadcast(own)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                best = []
-                for w in b["w"].to_pylist():
-                    top = 0.0
-                    for r in sent.value if w else ():
+    known = saved(reference.select(words(F.col("text")).alias("w")).where(F.size("w") > 0).distinct(), "reference")
+    total = known.agg(F.sum(F.size("w"))).first()[0] or 0
+    block = F.pmod(F.xxhash64("w"), F.lit(-(-total // WORDS) or 1))
+    blocks = saved(known.groupBy(block.alias("block")).agg(F.collect_list("w").alias("known")).select("known"), "blocks")
+    rows = texts.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), words(F.col(text)).alias("w"))
+    rows = saved(rows, "words")
+    own = rows.where(F.size("w") > 0).groupBy(F.floor(F.col("row") / ROWS).alias("block")).agg(F.collect_list(F.struct("row", "w")).alias("own")).select("own")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for mine, theirs in zip(b["own"], b["known"], strict=True):
+                lists, best, turn = theirs.as_py(), [], []
+                for x in mine.as_py():
+                    w, top = x["w"], 0.0
+                    for r in lists:
                         # F = 2 LCS / (m + n), so a pair whose bound is no better is passed over
                         if 2 * min(len(w), len(r)) / (len(w) + len(r)) > top:
                             top = max(top, 2 * common_length(w, r) / (len(w) + len(r)))
+                    turn.append(x["row"])
                     best.append(top)
-                yield pa.RecordBatch.from_arrays([b["id"], pa.array(best, pa.float64())], names=["id", "rouge"])
+                yield pa.RecordBatch.from_arrays([pa.array(turn, pa.int64()), pa.array(best, pa.float64())], names=["row", "rouge"])
 
-        got = texts.select(F.col(key).alias("id"), words(F.col(text)).alias("w")).mapInArrow(run, f"id {kind}, rouge double")
-        out = got if out is None else out.unionByName(got)
-    if parts > 1:
-        out = out.groupBy("id").agg(F.max("rouge").alias("rouge"))
-    return out.withColumnRenamed("id", key)
+    found = mapped(own.crossJoin(blocks), run, "row long, rouge double").groupBy("row").agg(F.max("rouge").alias("rouge"))
+    return rows.select("row", "id").join(found, "row", "left").select(F.col("id").alias(key), F.coalesce("rouge", F.lit(0.0)).alias("rouge"))

@@ -1,6 +1,8 @@
 import random
+import re
 
 import numpy as np
+import pytest
 
 from quernel.operators import dedup
 
@@ -136,9 +138,35 @@ def test_common_length():
         assert dedup.common_length(a, b) == plain(a, b)
 
 
-def test_rouge(spark):
-    df = spark.createDataFrame([(1, "A b c"), (2, "x"), (3, None), (4, "")], "doc_id long, text string")
-    bench = spark.createDataFrame([("a c",), ("q",), (None,)], "text string")
-    for most in (100, 1):
-        got = {x.doc_id: round(x.rouge, 6) for x in dedup.rouge_l(df, bench, most=most).collect()}
-        assert got == {1: 0.8, 2: 0.0, 3: 0.0, 4: 0.0}
+@pytest.mark.parametrize(("words", "rows"), [(100_000, 64), (6, 2)])
+def test_rouge(spark, monkeypatch, words, rows):
+    """Against all pairs in plain Python; repeated and null ids have a row each, however the blocks fall."""
+    monkeypatch.setattr(dedup, "WORDS", words)
+    monkeypatch.setattr(dedup, "ROWS", rows)
+    r = random.Random(6)
+    some = lambda: " ".join(r.choice(["a", "B", "c3", "dd", "--"]) for _ in range(r.randint(0, 9)))
+    own = [(1, "A b c"), (2, "x"), (3, None), (4, ""), (1, "a c"), (None, "q"), (None, "a")] + [(10 + i, some()) for i in range(30)]
+    held = ["a c", "q", None, "a c", ""] + [some() for _ in range(12)]
+
+    def tokens(t):
+        return re.findall("[a-z0-9]+", (t or "").lower())
+
+    def lcs(x, y):
+        row = [0] * (len(y) + 1)
+        for a in x:
+            new = [0]
+            for j, b in enumerate(y):
+                new.append(row[j] + 1 if a == b else max(new[j], row[j + 1]))
+            row = new
+        return row[-1]
+
+    want = []
+    for i, t in own:
+        w = tokens(t)
+        want.append((i, max([0.0, *(2 * lcs(w, v) / (len(w) + len(v)) for v in map(tokens, held) if v and w)])))
+    df = spark.createDataFrame(own, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(t,) for t in held], "text string")
+    got = [(x.doc_id, x.rouge) for x in dedup.rouge_l(df, bench).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {x.rouge for x in dedup.rouge_l(df, bench.limit(0)).collect()} == {0.0}
+
