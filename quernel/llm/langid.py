@@ -177,12 +177,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     )
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = 20_000, max_words: int = 200_000, max_grams: int = 100_000) -> Model:
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = 20_000, max_words: int | None = 200_000, max_grams: int | None = 100_000) -> Model:
     """Learn from rows with a language that aren't held out.
 
     At most ``max_docs`` such rows (those of smallest hash of their key and text) are counted, and the most
     frequent ``max_words`` words and ``max_grams`` n-grams of each length that occur twice or more are kept:
-    this bounds the model, which goes to the driver and to each task, whatever the table's size.
+    this bounds the model, which goes to the driver and to each task, whatever the table's size. None keeps all that
+    those rows have.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).select(
         F.xxhash64(key, text).alias("_h"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")
@@ -201,7 +202,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     tables = []
     for size in range(GRAMS + 1):
         most = max_grams if size else max_words
-        got = by_hash.where(F.col("size") == size).orderBy(F.desc("all"), "hash").limit(most).toArrow()
+        got = by_hash.where(F.col("size") == size).orderBy(F.desc("all"), "hash")
+        got = (got if most is None else got.limit(most)).toArrow()
         keys = got["hash"].to_numpy().view(np.uint64)
         counts = np.zeros((len(keys), len(languages)))
         by = got["by"].combine_chunks()
@@ -265,5 +267,9 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 
 
 def identified(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows whose text has a language, with their columns: those predicted ``und`` go."""
-    return with_language(docs, fit(docs, key, text), docs.columns, text).where("lang_pred <> 'und'").select(*docs.columns)
+    """The rows whose text has a language, with their columns: those predicted ``und`` go. Where no language could be
+    learned, those go that have no letter."""
+    model = fit(docs, key, text)
+    if not model.languages:
+        return docs.where(F.rlike(F.col(text).cast("string"), F.lit(r"\p{L}")))
+    return with_language(docs, model, docs.columns, text).where("lang_pred <> 'und'").select(*docs.columns)

@@ -136,10 +136,11 @@ def _known(known: Lookup, width: int, c: Chunk) -> tuple[np.ndarray, np.ndarray]
     return np.divmod(np.unique(rows[at].astype(np.int64) * width + found[at]), width)
 
 
-def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", key: str = "doc_id", text: str = "text", max_docs: int = 20_000, max_words: int = 4096, least: int = 5) -> Ordinal:
-    """Learn from at most ``max_docs`` labelled rows, those of smallest hash of the key.
+def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", key: str = "doc_id", text: str = "text", max_docs: int = 20_000, max_words: int | None = 4096, least: int = 5) -> Ordinal:
+    """Learn from at most ``max_docs`` labelled rows, those of smallest hash of the key (and of the text, where several
+    rows share a key).
 
-    Features are words, and beginnings of words: the ``max_words`` of those in ``least`` rows or more whose share
+    Features are words, and beginnings of words: the ``max_words`` (None: all) of those in ``least`` rows or more whose share
     among rows above grade 0 differs most surely from that among the others. Grades are whole numbers from 0;
     rows without one, or with several, or without a text are left out. Where all grades are 0, so is every
     severity, and where none is, every row is above it.
@@ -147,8 +148,14 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", key: str = "do
     graded = labels.where(F.col(key).isNotNull() & (F.col(grade) >= 0)).groupBy(key).agg(F.min(grade).cast("int").alias("grade"), F.max(grade).alias("_most"))
     graded = graded.where(F.col("grade") == F.col("_most")).select(F.col(key).alias("_key"), "grade")
     chosen = saved(graded.orderBy(F.xxhash64("_key"), "_key").limit(max_docs), "graded")
-    rows = docs.where(F.col(text).isNotNull()).join(F.broadcast(chosen), F.col(key) == F.col("_key"))
-    seen = saved(rows.select("grade", F.col(text).cast("string").alias("text")), "graded-texts")
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.col(text).cast("string").alias("text"))
+    rows = rows.join(F.broadcast(chosen), F.col("_id") == F.col("_key"))
+    slim = saved(rows.select("_key", F.xxhash64("text").alias("_text")), "graded-rows")
+    if slim.count() > max_docs:  # some keys have several texts
+        kept = slim.distinct().orderBy(F.xxhash64("_key"), "_key", "_text").limit(max_docs).select(F.col("_key").alias("_k"), F.col("_text").alias("_t"))
+        first = rows.join(F.broadcast(saved(kept, "graded-rows")), (F.col("_key") == F.col("_k")) & (F.xxhash64("text") == F.col("_t")))
+        rows = first.groupBy("_key", "_t").agg(F.first("grade").alias("grade"), F.first("text").alias("text"))
+    seen = saved(rows.select("grade", "text"), "graded-texts")
     totals = {bool(r[0]): r[1] for r in seen.groupBy(F.col("grade") > 0).count().collect()}
     if not totals.get(True) or not totals.get(False):
         return Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.full(1, -np.inf if totals.get(True) else np.inf))
@@ -157,7 +164,8 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", key: str = "do
     share = F.col("n") / (high + low)
     apart = F.abs(F.col("a") / high - (F.col("n") - F.col("a")) / low)
     sure = apart / F.sqrt(share * (1 - share) * (1 / high + 1 / low) + 1e-9)
-    best = by_word.select("word", sure.alias("sure")).orderBy(F.desc("sure"), "word").limit(max_words)
+    best = by_word.select("word", sure.alias("sure")).orderBy(F.desc("sure"), "word")
+    best = best if max_words is None else best.limit(max_words)
     words = np.sort(best.select("word").toArrow()["word"].to_numpy().view(np.uint64))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

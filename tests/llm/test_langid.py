@@ -2,6 +2,7 @@ import random
 import zlib
 
 from cases import SCHEMA, odd
+from pyspark.sql import functions as F
 
 from quernel.llm import langid
 
@@ -55,6 +56,19 @@ def test_odd_rows(spark):
     assert kept.columns == rows.columns and sorted(x.doc_id for x in kept.collect() if x.doc_id is not None) == [0, 1, 1, 2, 3, 8, 9, 11, 12, 13, 14, 15]
 
 
+def test_no_language_to_learn_from(spark):
+    rows = [(1, "some words"), (2, "12 ..."), (3, None), (4, ""), (5, "слово")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    assert {x.lang_pred for x in langid.predict(df, langid.fit(df)).collect()} == {"und"}
+    assert sorted(x.doc_id for x in langid.identified(df).collect()) == [1, 5]
+
+
+def test_all_that_was_seen_is_kept_without_bounds(spark):
+    df = spark.createDataFrame([(i, spoken("aa", i, 20), "aa") for i in range(80)], "doc_id long, text string, lang string")
+    few, every = langid.fit(df, max_words=5, max_grams=5), langid.fit(df, max_words=None, max_grams=None)
+    assert len(few.words[0]) == 5 < len(every.words[0]) and set(few.words[0].tolist()) <= set(every.words[0].tolist())
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert langid.predict(empty, langid.fit(empty)).count() == 0 and langid.identified(empty).count() == 0

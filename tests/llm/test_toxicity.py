@@ -41,6 +41,14 @@ def test_rows_without_a_label_are_told_apart(spark):
     assert all(x.toxic == (x.doc_id % 3 == 0) and x.grade == int(x.toxic) and 0 <= x.severity <= 1 for x in got)
 
 
+def test_rows_that_share_a_key_are_bounded_too(spark):
+    docs, labels = _docs(spark)
+    hot = spark.createDataFrame([(3, f"hot row {i} vilest") for i in range(500)], docs.schema)
+    model = toxicity.fit(docs.unionAll(hot), labels, max_docs=100, max_words=None)
+    assert len(model.words)
+    assert toxicity.severity(docs, model, ["doc_id"]).count() == 240
+
+
 def test_odd_rows_and_empty_tables(spark):
     docs, labels = _docs(spark)
     model = toxicity.fit(docs, labels)
