@@ -114,10 +114,15 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, how: s
     return out.withColumn("_v", held).select(*rows.columns, *[F.col(f"_v.{c}").alias(c) for c in values])
 
 
-#: Most rows of a slim table (a few longs each) that is broadcast; its rows are counted first.
-MAX_BROADCAST_ROWS = 50_000
+#: Most rows, and most bytes of texts in them, of a table that is broadcast; both are counted first.
+MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 50_000, 16 << 20
 
 
 def hinted(small: DataFrame) -> DataFrame:
-    """A saved slim table, marked for broadcast only if its counted rows are few; else it is shuffled."""
-    return F.broadcast(small) if small.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else small
+    """A saved table, marked for broadcast only if its counted rows and bytes are few; else it is shuffled."""
+    kinds = dict(small.dtypes)
+    if any(k.startswith(("array", "map", "struct")) for k in kinds.values()):
+        return small
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, k in kinds.items() if k in ("string", "binary")), F.lit(0).cast("long"))
+    n, held = small.limit(MAX_BROADCAST_ROWS + 1).agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(small) if n <= MAX_BROADCAST_ROWS and (held or 0) <= MAX_BROADCAST_BYTES else small

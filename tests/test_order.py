@@ -77,3 +77,36 @@ def test_verdicts_go_by_report(spark):
     verdicts = spark.createDataFrame([(2, True, "passed"), (1, False, "failed")], "report_id int, passed boolean, result string")
     assert {x.t: x.passed for x in report.by_report(reports, verdicts).collect()} == {"x": False, "y": True}
     assert report.ever(reports, ["t"], F.lit(None).cast("boolean"), "e").first().e is False
+
+
+def test_broadcasts_are_bounded_in_rows_and_bytes(spark, monkeypatch):
+    from quernel import store
+
+    def marked(df):
+        return "broadcast" in store.hinted(df)._jdf.queryExecution().analyzed().toString().lower()
+
+    slim = spark.range(10).selectExpr("id", "repeat('x', 100) AS t")
+    assert marked(slim) and not marked(slim.selectExpr("array(id) AS a"))
+    monkeypatch.setattr(store, "MAX_BROADCAST_BYTES", 999)
+    assert not marked(slim) and marked(slim.select("id"))
+    monkeypatch.setattr(store, "MAX_BROADCAST_ROWS", 9)
+    assert not marked(slim.select("id"))
+
+
+def test_a_shared_folder_is_asked_for_on_a_cluster():
+    import pytest
+
+    from quernel import store
+
+    class Conf:
+        def __init__(self, **held):
+            self.held = held
+
+        def get(self, name, other=None):
+            return self.held.get(name, other)
+
+    class Session:
+        conf = Conf(**{"spark.master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        store.shared_dir(Session())
