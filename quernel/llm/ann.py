@@ -109,10 +109,24 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two, which rounds nothing, so that its largest component is between a half and 1 and
+    no square over- or underflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
+def _cosines(x: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Of each row with the query. A row's sums are along its own components, so equal rows score equally wherever
+    they stand; a matrix product would not promise that."""
+    x, query = np.ascontiguousarray(_scaled(x)), _scaled(query[None])
+    return (x * query).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((query * query).sum(1)))
+
+
 def usable(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
     """(id, vector) of the rows that take part: not null, not zero, all components finite numbers."""
     v = F.col(embedding).cast("array<double>")
@@ -250,9 +264,7 @@ def _reranked(best: DataFrame, rows: DataFrame, queries: DataFrame, k: int, d: i
                     lo += 1
                 if lo == hi:
                     continue
-                own = x[lo:hi]
-                exact = (own @ query) / (np.sqrt((own * own).sum(1)) * np.sqrt(query @ query))
-                ids, scores = np.append(ids, v[lo:hi]), np.append(scores, exact)
+                ids, scores = np.append(ids, v[lo:hi]), np.append(scores, _cosines(x[lo:hi], query))
                 order = np.lexsort((ids, -scores))[:k]
                 ids, scores = ids[order], scores[order]
         if at is not None and len(ids):

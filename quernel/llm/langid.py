@@ -177,13 +177,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     )
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = 20_000, max_words: int | None = 200_000, max_grams: int | None = 100_000) -> Model:
+def fit(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = 20_000, max_words: int | None = 200_000, max_grams: int | None = 100_000, least: int = 2
+) -> Model:
     """Learn from rows with a language that aren't held out.
 
     At most ``max_docs`` such rows (those of smallest hash of their key and text) are counted, and the most
-    frequent ``max_words`` words and ``max_grams`` n-grams of each length that occur twice or more are kept:
-    this bounds the model, which goes to the driver and to each task, whatever the table's size. None keeps all that
-    those rows have.
+    frequent ``max_words`` words and ``max_grams`` n-grams of each length that occur ``least`` times or more are
+    kept: this bounds the model, which goes to the driver and to each task, whatever the table's size. None for both,
+    and 1 for ``least``, keep all that those rows have.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).select(
         F.xxhash64(key, text).alias("_h"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")
@@ -196,7 +198,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         .groupBy("size", "hash", "lang")
         .agg(F.sum("n").alias("n"))
     )
-    by_hash = counted.groupBy("size", "hash").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")).where("all > 1")
+    by_hash = counted.groupBy("size", "hash").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")).where(F.col("all") >= least)
     languages = sorted(r[0] for r in rows.where(F.col("_h") <= last).select("lang").distinct().collect())
     by_hash = saved(by_hash, "frequencies")
     tables = []

@@ -69,6 +69,33 @@ def test_rows_that_take_no_part_ties_and_repeats(spark):
     assert [(x.query_id, x["rank"], x.vec_id) for x in sorted(ann.nearest(twice).collect(), key=lambda x: x["rank"])] == [(0, 1, 1), (0, 2, 1)]
 
 
+def test_equal_vectors_score_equally_wherever_they_stand(spark):
+    r = np.random.default_rng(5)
+    for n in range(5, 21):
+        x = r.normal(size=(n, 64))
+        for at in range(n):
+            some = x.copy()
+            some[[at, (at + 1) % n, n - 1, 0]] = x[2]
+            got = ann._cosines(some, r.normal(size=64))
+            assert len({got[i] for i in (at, (at + 1) % n, n - 1, 0)}) == 1
+    same, query = r.normal(size=64), r.normal(size=64)
+    vectors = [query, same, same, r.normal(size=64), same, query / 3, same, -query]
+    got = sorted(ann.nearest(table(spark, vectors, 100)).collect(), key=lambda x: x["rank"])
+    own = [x for x in got if x.query_id == 100 and x.vec_id in (101, 102, 104, 106)]
+    assert len({x.score for x in own}) == 1 and [x.vec_id for x in own] == sorted(x.vec_id for x in own)
+
+
+def test_very_small_and_very_large_components(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(8, 6))
+    want = brute([(i, v) for i, v in enumerate(x)])
+    for scale in (1e-200, 1e-310, 1e200, 1.0):
+        rows = [(i, [float(c) for c in v * (scale if i % 2 else 1.0)]) for i, v in enumerate(x)]
+        got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+        own = sorted(got, key=lambda x: x["rank"])
+        assert [y.vec_id for y in own] == [i for i, _ in want[0]] and all(abs(y.score - s) < 1e-6 for y, (_, s) in zip(own, want[0], strict=True))
+
+
 def test_no_usable_rows(spark):
     assert ann.nearest(table(spark, [None, [0.0, 0.0]])).count() == 0
     assert ann.nearest(spark.createDataFrame([], SCHEMA)).count() == 0

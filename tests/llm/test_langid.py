@@ -72,3 +72,11 @@ def test_all_that_was_seen_is_kept_without_bounds(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert langid.predict(empty, langid.fit(empty)).count() == 0 and langid.identified(empty).count() == 0
+
+
+def test_nothing_is_left_out_if_asked(spark):
+    """Words seen once are kept with ``least`` 1: their floor is a parameter."""
+    rows = [(i, f"unique{chr(97 + i // 26)}{chr(97 + i % 26)}", "aa") for i in range(40) if not held(i)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {least: len(langid.fit(df, max_words=None, max_grams=None, least=least).words[0]) for least in (1, 2)}
+    assert kept == {1: len(rows), 2: 0}

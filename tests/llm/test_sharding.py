@@ -1,5 +1,6 @@
 import zlib
 
+import numpy as np
 import pytest
 from cases import SCHEMA, odd, prose
 from pyspark.sql import functions as F
@@ -45,6 +46,30 @@ def test_odd_rows(spark):
     assert sharding.histogram_shards(spark.createDataFrame([], SCHEMA), 4).count() == 0
 
 
+@pytest.mark.parametrize("share", [3, 1])
+def test_a_row_that_is_repeated(spark, share):
+    """One row makes up a third, or half, of all rows: it is cut like any other group."""
+    rows = [(i, prose(i, 20 + i % 9), "a") for i in range(800)] + [(77, prose(7, 25), "b")] * (400 * 2 // share)
+    df = spark.createDataFrame(rows, "doc_id long, text string, its_h string").repartition(5)
+    got = sharding.histogram_shards(df, 16).collect()
+    assert sorted((x.doc_id, x.text, x.its_h) for x in got) == sorted(rows)
+    own = sizes(got, 16)
+    assert min(own) > 0 and max(own) - min(own) <= 2 * 250
+
+
+def test_only_one_row_repeated(spark):
+    df = spark.createDataFrame([(1, "same text")] * 1000, "doc_id long, text string").repartition(7)
+    assert sizes(sharding.histogram_shards(df, 8).collect(), 8) == [1250] * 8
+
+
+def test_keys_of_three_parts(spark):
+    r = np.random.default_rng(1)
+    rows = r.integers(-3, 3, (3, 400))
+    probes = sorted({tuple(map(int, x)) for x in r.integers(-3, 3, (60, 3))})
+    want = [sum(p <= tuple(map(int, x)) for p in probes) for x in rows.T]
+    assert sharding.below(list(rows), list(np.array(probes).T)).tolist() == want
+
+
 def test_crc(spark):
     row = spark.createDataFrame([("é",)], "t string").select(F.crc32(F.col("t").cast("binary")).alias("c")).first()
     assert row.c == zlib.crc32("é".encode())
