@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +28,10 @@ from quernel.store import hinted, mapped, saved
 #: Bytes of Latin-1: letters of words, A to Z lower-cased; the rest become spaces, as does what Latin-1 lacks.
 _LETTER = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 0xC0 else 32 for c in range(256))
 #: Distinct words that a task counts before it hands its counts on.
-HELD = 200_000
-#: Words, and letters, of a shard; bytes of shards that are broadcast at once; words whose automata run together.
-SHARD_WORDS, SHARD_LETTERS, GROUP_BYTES, BLOCK = 1 << 16, 4 << 20, 32 << 20, 4096
+HELD = 300_000
+#: Words, and letters, of a shard; bytes of shards that a task holds at once, and groups of so many that are broadcast
+#: before the next ones are; words whose automata run together.
+SHARD_WORDS, SHARD_LETTERS, GROUP_BYTES, GROUPS, BLOCK = 1 << 16, 4 << 20, 32 << 20, 16, 4096
 #: Letters that are compared in step for many words; what is longer is compared word by word.
 STEPS = 64
 
@@ -273,41 +275,54 @@ def _intersect(tries: Callable[[], list[bytes]], reverse: bool) -> Callable:
                     some = [(w, h) for w, h in zip(block, halves, strict=True) if low[:h] <= w[:h] <= high]
                     if some:
                         own, half = [w for w, _ in some], np.array([h for _, h in some], np.int64)
-                        mine, theirs = Automata(trie, own, half).run()
-                        yield _pairs(trie, own, mine.tolist(), theirs.tolist(), reverse)
+                        yield _reduced(trie, own, *Automata(trie, own, half).run(), reverse)
 
     return run
 
 
-def _pairs(trie: Trie, own: list[bytes], mine: list[int], theirs: list[int], reverse: bool) -> pa.RecordBatch:
-    """(word, form, n) of neighbours; those whose first halves are equal too were found in the other direction."""
-    word, form, n = [], [], []
-    for i, j in zip(mine, theirs, strict=True):
-        w, v = own[i], trie.text(j)
-        if reverse:
-            w, v = w[::-1], v[::-1]
-            if w[: len(w) // 2] == v[: len(w) // 2]:
-                continue
-        word.append(w.decode("latin-1"))
-        form.append(v.decode("latin-1"))
-        n.append(int(trie.n[j]))
-    return pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(form, pa.string()), pa.array(n, pa.int64())], names=["word", "form", "n"])
+_FOUND = "word string, n_near long, form string, form_n long"
 
 
-def neighbours(words: DataFrame) -> DataFrame:
-    """(word, form, n): each ordered pair of words at distance one, with the count of the second. ``words`` is saved
-    and has (word, n): distinct words of letters up to U+00FF."""
+def _reduced(trie: Trie, own: list[bytes], mine: np.ndarray, theirs: np.ndarray, reverse: bool) -> pa.RecordBatch:
+    """Of each word the number of its neighbours, and the best of them; a neighbour whose first half is the word's was
+    found in the other direction."""
+    found: dict[int, tuple[int, int, bytes]] = {}
+    for i, j, n in zip(mine.tolist(), theirs.tolist(), trie.n[theirs].tolist(), strict=True):
+        v = trie.text(j)
+        if reverse:
+            v, h = v[::-1], len(own[i]) // 2
+            if v[:h] == own[i][::-1][:h]:
+                continue
+        near, most, form = found.get(i, (0, 0, b""))
+        found[i] = (near + 1, n, v) if n > most or (n == most and v < form) else (near + 1, most, form)
+    words = [own[i][::-1] if reverse else own[i] for i in found]
+    columns = [[w.decode("latin-1") for w in words], [x[0] for x in found.values()], [x[2].decode("latin-1") for x in found.values()], [x[1] for x in found.values()]]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["word", "n_near", "form", "form_n"])
+
+
+def _merged(parts: list[DataFrame], total: int) -> DataFrame:
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    best = F.min_by(F.struct("form", "form_n"), F.struct(-F.col("form_n"), F.col("form")))
+    return saved(both.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("best")).select("word", "n_near", "best.*"), "near", total)
+
+
+def neighbours(words: DataFrame, total: int) -> DataFrame:
+    """(word, n_near, form, form_n): how many words are at distance one, and the most frequent of them (ties: the
+    first); words without any are left out. ``words`` is saved and has (word, n): ``total`` distinct words of letters
+    up to U+00FF."""
     spark = words.sparkSession
-    total = words.count()
-    parts = []
+    done, parts, sent = [], [], []
     for reverse in (False, True):
         key, half = _halves(reverse)
         keyed = words.select(key.alias("key"), half.alias("half"), "n")
         sorted_ = keyed.select("key", "n").repartitionByRange(max(1, -(-total // SHARD_WORDS)), "key").sortWithinPartitions("key")
-        shards = saved(mapped(sorted_, _build, "low string, high string, size long, blob binary"), "tries")
+        shards = saved(mapped(sorted_, _build, "low string, high string, size long, blob binary"), "tries", total // SHARD_WORDS)
+        ranges = [tuple(x) for x in shards.select("low", "high", "size").orderBy("low").collect()]  # three values a shard
         group: list[tuple[str, str]] = []
         held = 0
-        ranges = [tuple(x) for x in shards.select("low", "high", "size").orderBy("low").collect()]  # three values a shard
         for k, (low, high, size) in enumerate(ranges):
             group.append((low, high))
             held += size
@@ -315,15 +330,25 @@ def neighbours(words: DataFrame) -> DataFrame:
                 continue
             least, most = group[0][0], group[-1][1]
             blobs = [bytes(x[0]) for x in shards.where(F.col("low").between(least, group[-1][0])).select("blob").collect()]  # at most GROUP_BYTES, or one shard
-            sent = spark.sparkContext.broadcast(blobs)
+            sent.append(spark.sparkContext.broadcast(blobs))
             near = keyed.where((F.col("half") <= most) & (F.col("half") >= F.substr(F.lit(least), F.lit(1), F.length("half")))).select("key")
-            parts.append(saved(mapped(near, _intersect(lambda s=sent: s.value, reverse), "word string, form string, n long"), "near"))
-            sent.destroy()
+            parts.append(mapped(near, _intersect(lambda s=sent[-1]: s.value, reverse), _FOUND))
             group, held = [], 0
-    out = words.select("word", F.col("word").alias("form"), "n").limit(0)
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+            if len(parts) == GROUPS:
+                done.append(_merged(parts, total))
+                _forget(sent)
+                parts, sent = [], []
+    if parts:
+        done.append(_merged(parts, total))
+        _forget(sent)
+    if not done:
+        return spark.createDataFrame([], _FOUND)
+    return done[0] if len(done) == 1 else _merged(done, total)
+
+
+def _forget(sent: list[Broadcast]) -> None:
+    for x in sent:
+        x.destroy()
 
 
 def variants(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int = 31, letters: int = 7, least: int = 2, times: int = 10) -> DataFrame:
@@ -336,18 +361,18 @@ def variants(docs: DataFrame, key: str = "doc_id", text: str = "text", every: in
     empty texts have no words, a null key is an empty text where runs are hashed, repeated rows count as often as they
     stand, and a text of any length is taken whole. Other columns don't come along. An empty table has no row.
     """
-    words = saved(counted(docs, key, text, every, letters, least), "words")
-    near = neighbours(words).groupBy("word").agg(F.count("*").alias("n_near"), F.min_by(F.struct("form", "n"), F.struct(-F.col("n"), F.col("form"))).alias("best"))
-    far = F.col("best.n") >= times * F.col("n")
-    rows = words.join(near, "word", "left").select(
-        "word", F.when(far, F.col("best.form")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(far, F.col("best.n")).alias("form_n")
+    words = saved(counted(docs, key, text, every, letters, least), "words", 0)
+    total = words.count()
+    far = F.col("form_n") >= times * F.col("n")
+    rows = words.join(neighbours(words, total), "word", "left").select(
+        "word", F.when(far, F.col("form")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(far, F.col("form_n")).alias("form_n")
     )
-    rows = saved(rows, "forms")
+    rows = saved(rows, "forms", total)
     # each step multiplies the count, so there are as many steps as a count has digits, to the base of ``times``
-    steps = hinted(saved(rows.where("form is not null").select(F.col("word").alias("step"), F.col("form").alias("next")), "steps"))
-    roots, open_ = None, saved(rows.where("form is not null").select("word", F.col("form").alias("root")), "roots")
+    steps = hinted(rows.where("form is not null").select(F.col("word").alias("step"), F.col("form").alias("next")))
+    roots, open_ = None, rows.where("form is not null").select("word", F.col("form").alias("root"))
     while True:
-        further = saved(open_.join(steps, F.col("root") == F.col("step"), "left").select("word", "root", "next"), "roots")
+        further = saved(open_.join(steps, F.col("root") == F.col("step"), "left").select("word", "root", "next"), "roots", total)
         done = further.where("next is null").select("word", "root")
         roots = done if roots is None else roots.unionByName(done)
         open_ = further.where("next is not null").select("word", F.col("next").alias("root"))

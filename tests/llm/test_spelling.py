@@ -81,6 +81,7 @@ def test_many_small_shards_and_groups(spark, monkeypatch):
     docs = corpus(3)
     monkeypatch.setattr(S, "SHARD_WORDS", 30)
     monkeypatch.setattr(S, "GROUP_BYTES", 9000)
+    monkeypatch.setattr(S, "GROUPS", 3)
     assert rows(S.variants(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))) == brute(docs)
 
 
