@@ -9,6 +9,7 @@ a third of all rows costs as much as any other rows.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.store import hinted, join_groups, mapped, saved
+from quernel.operators.order import keep_first
+from quernel.store import digest, free_name, hinted, join_groups, looked, mapped, saved
 
 PRIME = (1 << 31) - 1
 BASE = 65599
@@ -173,6 +175,13 @@ def greedy(meets: DataFrame) -> DataFrame:
     return kept
 
 
+def field_texts(df: DataFrame, fields: list[str], order: str, group: str | None = None) -> DataFrame:
+    """(node, grp, text) of each field of each row: what banded() signs."""
+    within = F.col(group).cast("string") if group else F.lit(None).cast("string")
+    own = [F.struct(F.col(order).cast("long").alias("node"), within.alias("grp"), F.col(f).cast("string").alias("text")) for f in fields]
+    return df.select(F.explode(F.array(*own)).alias("its_text")).select("its_text.*")
+
+
 def near_dedup(df: DataFrame, fields: list[str], order: str, reference: DataFrame | None = None, threshold: float = 0.7, group: str | None = None, compat: bool = False) -> DataFrame:
     """The rows kept, first come first kept by the whole-number column ``order`` (unique, not null).
 
@@ -182,8 +191,7 @@ def near_dedup(df: DataFrame, fields: list[str], order: str, reference: DataFram
     similarity itself. Null fields meet nothing, and a row without any text stays. A text of fewer characters
     than a shingle meets equal ones; with ``compat``, all such texts meet each other.
     """
-    own = [F.struct(F.col(order).cast("long").alias("node"), (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("grp"), F.col(f).alias("text")) for f in fields]
-    texts = df.select(F.explode(F.array(*own)).alias("x")).select("x.*")
+    texts = field_texts(df, fields, order, group)
     short = F.when(F.length("text") < 5, F.lit("")).otherwise(F.col("text"))
     texts = texts.withColumn("text", short) if compat else texts
     meets = banded(texts, threshold)
@@ -192,24 +200,25 @@ def near_dedup(df: DataFrame, fields: list[str], order: str, reference: DataFram
         held = held.withColumn("text", short) if compat else held
         meets = saved(meets, "meets")
         known = saved(banded(held, threshold).select("bucket").distinct(), "reference")
-        hit = saved(meets.join(hinted(known), "bucket", "left_semi").select("node").distinct(), "hit")
+        hit = saved(looked(meets, known, ["bucket"], "left_semi").select("node").distinct(), "hit")
         meets = meets.join(hinted(hit), "node", "left_anti")
     kept = greedy(meets)
-    bare = df.where(F.coalesce(*fields).isNull()).select(F.col(order).cast("long").alias("node"))
-    stay = saved(kept.unionByName(bare).select(F.col("node").alias("_node")), "stay")
-    return df.join(hinted(stay), F.col(order).cast("long") == F.col("_node"), "left_semi")
+    node = free_name(df, "its_node")
+    bare = df.where(F.coalesce(*[F.col(f) for f in fields]).isNull()).select(F.col(order).cast("long").alias("node"))
+    stay = saved(kept.unionByName(bare).select(F.col("node").alias(node)), "stay")
+    return df.join(hinted(stay), F.col(order).cast("long") == F.col(node), "left_semi")
 
 
 def exact_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Of rows with equal keys the one of smallest order, by an aggregate that meets no hot key in one task."""
-    best = df.groupBy(*keys).agg(F.min(order).alias("_first")).select(F.col("_first").alias(order))
-    return df.join(best, order, "left_semi")
+    """Of rows with equal keys (nulls are equal) the one of smallest order, null first."""
+    return keep_first(df, keys, [order])
 
 
 def unseen(df: DataFrame, key: Column, reference: DataFrame, reference_key: Column) -> DataFrame:
-    """Rows whose key (a sorted set of terms, lines in order, a text) is not among the reference's."""
-    known = reference.select(reference_key.alias("_known")).distinct()
-    return df.withColumn("_key", key).join(known, F.col("_key") == F.col("_known"), "left_anti").drop("_key")
+    """Rows whose key (a sorted set of terms, lines in order, a text) is not among the reference's; a null is in none."""
+    own = free_name(df, "own_key")
+    known = saved(reference.select(digest(reference_key).alias(own)).where(F.col(own).isNotNull()).distinct(), "known")
+    return looked(df.withColumn(own, digest(key)), known, [own], "left_anti").drop(own)
 
 
 def common_length(a: list[str], b: list[str]) -> int:
@@ -225,39 +234,118 @@ def common_length(a: list[str], b: list[str]) -> int:
     return len(b) - row.bit_count()
 
 
-#: Words of reference texts, and rows of texts, that a task compares with each other at once, on average.
-WORDS, ROWS = 100_000, 64
+_WORDS = "[a-z0-9]+"
+#: Counts of reference words by hash, which every task has: 4 MB, whatever the reference holds.
+COUNTS = 1 << 20
+
 
+def words_of(text: Column) -> Column:
+    """Runs of lower-case ASCII letters and digits of the lower-cased text."""
+    return F.regexp_extract_all(F.lower(text), F.lit(_WORDS), F.lit(0))
 
-def rouge_l(texts: DataFrame, reference: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, rouge): the largest F-measure of longest common word runs against a stated reference set, a row for each
-    row of ``texts``.
 
-    Words are runs of lower-case letters and digits. The reference (column ``text``, its distinct word lists) and the
-    texts are compared in blocks, each block with each. Null texts and texts without words have 0.
+def _prefixes(rarity: np.ndarray, threshold: float, common: bool):
+    """(id, size, token, at) of each text of (id, hashes): its rarest words, as many as must hold one that it shares
+    with any text it is over the threshold with.
+
+    F is 2 LCS / (m + n), so F > t needs LCS > t (m + n) / 2 >= t m / (2 - t) =: o, as n >= m t / (2 - t). Two lists that
+    share more than o words share one of the first m - o of each, in one order for all. A word's k-th place in its
+    list is a token of its own, as lists may repeat words. With ``common``, tokens that the reference can't have are
+    left out.
     """
-    words = lambda t: F.regexp_extract_all(F.lower(t), F.lit("[a-z0-9]+"), F.lit(0))
-    known = saved(reference.select(words(F.col("text")).alias("w")).where(F.size("w") > 0).distinct(), "reference")
-    total = known.agg(F.sum(F.size("w"))).first()[0] or 0
-    block = F.pmod(F.xxhash64("w"), F.lit(-(-total // WORDS) or 1))
-    blocks = saved(known.groupBy(block.alias("block")).agg(F.collect_list("w").alias("known")).select("known"), "blocks")
-    rows = texts.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), words(F.col(text)).alias("w"))
-    rows = saved(rows, "words")
-    own = rows.where(F.size("w") > 0).groupBy(F.floor(F.col("row") / ROWS).alias("block")).agg(F.collect_list(F.struct("row", "w")).alias("own")).select("own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for mine, theirs in zip(b["own"], b["known"], strict=True):
-                lists, best, turn = theirs.as_py(), [], []
-                for x in mine.as_py():
-                    w, top = x["w"], 0.0
-                    for r in lists:
-                        # F = 2 LCS / (m + n), so a pair whose bound is no better is passed over
-                        if 2 * min(len(w), len(r)) / (len(w) + len(r)) > top:
-                            top = max(top, 2 * common_length(w, r) / (len(w) + len(r)))
-                    turn.append(x["row"])
-                    best.append(top)
-                yield pa.RecordBatch.from_arrays([pa.array(turn, pa.int64()), pa.array(best, pa.float64())], names=["row", "rouge"])
-
-    found = mapped(own.crossJoin(blocks), run, "row long, rouge double").groupBy("row").agg(F.max("rouge").alias("rouge"))
-    return rows.select("row", "id").join(found, "row", "left").select(F.col("id").alias(key), F.coalesce("rouge", F.lit(0.0)).alias("rouge"))
+            owner, sizes, tokens, places = [], [], [], []
+            for row, hashes in enumerate(b["hashes"]):
+                h = hashes.values.to_numpy().view(np.uint64)
+                n = rarity[(h & np.uint64(COUNTS - 1)).astype(np.int64)]
+                order = np.lexsort((h, n))
+                h, n = h[order], n[order]
+                place = np.arange(len(h))
+                turn = place - np.maximum.accumulate(np.where(np.append(True, h[1:] != h[:-1]), place, 0))  # how often the word came before
+                at = place[: len(h) - math.floor(threshold * len(h) / (2 - threshold))]
+                at = at[n[at] > 0] if common else at
+                owner.append(np.full(len(at), row))
+                sizes.append(np.full(len(at), len(h), np.int32))
+                tokens.append((h[at] * np.uint64(0x9E3779B97F4A7C15) + turn[at].astype(np.uint64)).view(np.int64))
+                places.append(at.astype(np.int32))
+            if owner:
+                columns = [b["id"].take(pa.array(np.concatenate(owner))), *[pa.array(np.concatenate(x)) for x in (sizes, tokens, places)]]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "size", "token", "at"])
+
+    return run
+
+
+def _rarity(known: DataFrame) -> np.ndarray:
+    """How many of the reference's words have each of COUNTS hashes, which is all that the driver and the tasks get."""
+    at = F.explode(F.transform("hashes", lambda h: h.bitwiseAND(F.lit(COUNTS - 1).cast("long"))))
+    got = known.select(at.alias("at")).groupBy("at").agg(F.count("*").alias("n")).toArrow()
+    out = np.zeros(COUNTS, np.int64)
+    out[got["at"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def _over(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rouge = []
+            for w, r in zip(b["w"], b["r"], strict=True):
+                x, y = w.as_py(), r.as_py()
+                rouge.append(2 * common_length(x, y) / (len(x) + len(y)))
+            ok = pa.array([x > threshold for x in rouge], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b["id"].filter(ok), pa.array(rouge, pa.float64()).filter(ok)], names=["id", "rouge"])
+
+    return run
+
+
+#: Reference texts with one token that are one row of the joined side.
+TOGETHER = 1000
+
+
+def rouge_candidates(lists: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (id, its_id) of texts and reference texts that can be over the threshold: both tables have (id,
+    hashes), the hashes of their words in order, and ``known`` is saved."""
+    kinds = "id {}, size int, token long, at int"
+    longest, shortest = known.agg(F.max(F.size("hashes")), F.min(F.size("hashes"))).first()
+    far = threshold / (2 - threshold)
+    fit = lists.where(F.size("hashes").between(F.lit((shortest or 1) * far), F.lit((longest or 0) / far)))
+    rarity = _rarity(known)
+    ours = saved(mapped(fit, _prefixes(rarity, threshold, True), kinds.format(dict(lists.dtypes)["id"])), "our_prefixes")
+    theirs = saved(mapped(known, _prefixes(rarity, threshold, False), kinds.format("long")), "their_prefixes")
+    # a token that many reference texts have is cut into blocks, and each of ours goes to all of them
+    often = ours.groupBy("token").agg(F.count("*").alias("n")).join(theirs.groupBy("token").agg(F.count("*").alias("m")), "token")
+    often = saved(often.select("token", "n", F.ceil(F.col("m") / TOGETHER).cast("int").alias("blocks")), "tokens")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks").cast("long"))
+    packed = looked(theirs, often, ["token"], "inner").withColumn("key", F.xxhash64("token", block.alias("block")))
+    packed = packed.groupBy("key").agg(F.first("n").alias("n"), F.collect_list(F.struct(F.col("id").alias("its_id"), F.col("size").alias("its_size"), F.col("at").alias("its_at"), F.col("token").alias("its_token"))).alias("theirs"))
+    sent = join_groups(ours, often, "token", "n", how="inner").drop("n")
+    keyed = sent.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).withColumn("key", F.xxhash64("token", "block"))
+    met = join_groups(keyed, saved(packed, "theirs"), "key", "n", how="inner").select("id", "size", "at", "token", F.explode("theirs").alias("t"))
+    both = met.select("id", "size", "at", "token", "t.*").where("token = its_token")
+    # LCS is at most the shorter list, and at most what is left from the first shared token on
+    most = F.least(F.col("size") - F.col("at"), F.col("its_size") - F.col("its_at"))
+    return both.where(2 * most > F.lit(threshold) * (F.col("size") + F.col("its_size"))).select("id", "its_id").distinct()
+
+
+def rouge_l(texts: DataFrame, reference: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
+    """(key, rouge): the largest F-measure of longest common word runs against a stated reference set where that is over
+    ``threshold``, else null; a row for each row of ``texts``.
+
+    Words are runs of lower-case letters and digits. Only pairs that can be over the threshold are compared: those that
+    share a rare word near enough to the front of both lists, words ordered by how often the reference has them, with
+    lengths that allow it. Texts of equal words are compared once, and words are moved only of texts in such pairs.
+    Null texts and texts without words have null, as have all if the reference is empty.
+    """
+    words = F.col("w")
+    hashes = F.transform(words, lambda x: F.xxhash64(x)).alias("hashes")
+    known = reference.select(words_of(F.col(text)).alias("w")).where(F.size("w") > 0).distinct()
+    known = saved(known.select(F.monotonically_increasing_id().alias("id"), "w", hashes), "reference")
+    own = texts.select(F.col(key).alias("key"), words_of(F.col(text)).alias("w")).select("key", "w", F.when(F.size("w") > 0, digest("w")).alias("id"))
+    lists = own.where(F.col("id").isNotNull())
+    pairs = saved(rouge_candidates(lists.select("id", hashes), known.select("id", "hashes"), threshold), "pairs")
+    some = looked(lists.select("id", "w"), saved(pairs.select("id").distinct(), "compared"), ["id"], "left_semi")
+    both = pairs.join(some.groupBy("id").agg(F.first("w").alias("w")), "id")
+    both = looked(both, known.select(F.col("id").alias("its_id"), F.col("w").alias("r")), ["its_id"], "inner")
+    over = mapped(both.select("id", "w", "r"), _over(threshold), "id binary, rouge double").groupBy("id").agg(F.max("rouge").alias("rouge"))
+    return looked(own.select("key", "id"), saved(over, "over"), ["id"]).select(F.col("key").alias(key), "rouge")

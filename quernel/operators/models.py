@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.functions.text import compiles, rewards, tagged, unescaped, verdict
-from quernel.store import saved
+from quernel.store import free_name, saved
 
 
 @dataclass(frozen=True)
@@ -110,9 +110,10 @@ def ask(df: DataFrame, messages: str, client: Client, engine: str = "stub", max_
 def judged(df: DataFrame, prompt: Column, client: Client, target: str = "True", tag: str = "VALID", **options) -> DataFrame:
     """All rows with ``llm_verification`` (the tagged verdict equals ``target`` exactly; null without an answer) and
     ``llm_reason``."""
-    asked = ask(df.withColumn("_talk", chat(None, prompt)), "_talk", client, **options)
+    talk = free_name(df, "its_talk")
+    asked = ask(df.withColumn(talk, chat(None, prompt)), talk, client, **options)
     said = asked.withColumn("llm_verification", tagged("response", tag) == target)
-    return said.withColumn("llm_reason", tagged("response", "REASON")).drop("_talk", "response", "error")
+    return said.withColumn("llm_reason", tagged("response", "REASON")).drop(talk, "response", "error")
 
 
 def scored(df: DataFrame, reply: str) -> DataFrame:

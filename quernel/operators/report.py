@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.operators.dedup import near_dedup
-from quernel.operators.order import keep_first, numbered, one_each, quota, seeded_key
-from quernel.store import hinted
+from quernel.operators.order import first_of_each, keep_first, numbered, one_each, quota, seeded_key
+from quernel.store import free_name, looked
 
 
 def pass_rate(df: DataFrame, by: list[str], passed: str = "passed") -> DataFrame:
@@ -29,12 +29,14 @@ def low_groups(df: DataFrame, by: list[str], below: float = 0.2, passed: str = "
 
 
 def looked_up(df: DataFrame, reference: DataFrame, on: list[str], values: list[str], strict: bool = True) -> DataFrame:
-    """Values of the reference by key; with ``strict`` a key that it lacks fails the job, else gives nulls."""
-    found = df.join(hinted(reference.select(*on, *values, F.lit(True).alias("_found"))), on, "left")
+    """Values of the reference (a row for each key) by key; with ``strict`` a key that it lacks fails the job, else gives
+    nulls. Columns of the values' names are replaced."""
+    flag = free_name(df, free_name(reference, "its_found"))
+    found = looked(df, reference.select(*on, *values, F.lit(True).alias(flag)), on)
     if strict:
         missing = F.raise_error(F.concat(F.lit("no reference for "), F.concat_ws(", ", *on)))
-        found = found.withColumn(values[0], F.when(F.col("_found").isNull(), missing.cast(found.schema[values[0]].dataType)).otherwise(F.col(values[0])))
-    return found.drop("_found")
+        found = found.withColumn(values[0], F.when(F.col(flag).isNull(), missing.cast(found.schema[values[0]].dataType)).otherwise(F.col(values[0])))
+    return found.drop(flag)
 
 
 def first_completions(df: DataFrame, order: list[str], keys: tuple[str, ...] = ("task_id", "completion")) -> DataFrame:
@@ -56,7 +58,7 @@ def trajectories(results: DataFrame, reference: DataFrame, seed: int = 0) -> Dat
     """
     group = ["exp", "benchmark", "task_id", "step"]
     low = low_groups(results, group).select(*group)
-    failed = results.where(~F.col("passed")).join(low, group, "left_semi")
+    failed = looked(results.where(~F.col("passed")), low, group, "left_semi")
     chosen = one_each(failed, group, seed, "row_id")
     graded = tiers(results, ["exp", "benchmark", "task_id"]).select("exp", "benchmark", "task_id", "difficulty")
     return looked_up(chosen.join(graded, ["exp", "benchmark", "task_id"]), reference, ["task_id", "benchmark"], ["correct"])
@@ -65,13 +67,15 @@ def trajectories(results: DataFrame, reference: DataFrame, seed: int = 0) -> Dat
 def distinct_trajectories(found: DataFrame, order: str) -> DataFrame:
     """Near copies of a task's (error, correct) go, at threshold 0.9, the first staying."""
     text = F.concat(F.col("completion"), F.lit("\n\n"), F.col("correct"))
-    return near_dedup(found.withColumn("_text", text), ["_text"], order, threshold=0.9, group="task_id").drop("_text")
+    both = free_name(found, "both")
+    return near_dedup(found.withColumn(both, text), [both], order, threshold=0.9, group="task_id").drop(both)
 
 
 def totals(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:
     """Rows before and after a stage, by group; a group that lost all has 0."""
-    both = before.select(*by, F.lit(0).alias("_kept")).unionByName(after.select(*by, F.lit(1).alias("_kept")))
-    return both.groupBy(*by).agg(F.count_if(F.col("_kept") == 0).alias("n_before"), F.count_if(F.col("_kept") == 1).alias("n_after"))
+    kept = free_name(before.select(*by), "kept")
+    both = before.select(*by, F.lit(0).alias(kept)).unionByName(after.select(*by, F.lit(1).alias(kept)))
+    return both.groupBy(*by).agg(F.count_if(F.col(kept) == 0).alias("n_before"), F.count_if(F.col(kept) == 1).alias("n_after"))
 
 
 def passed_of(df: DataFrame, by: list[str], passed: str = "passed") -> DataFrame:
@@ -86,7 +90,8 @@ def next_batch(found: DataFrame, have: DataFrame, target: int, seed: int, order:
 
 def accepted(reports: DataFrame, target: int, order: str) -> DataFrame:
     """Reports whose repair passed, up to the target of each task."""
-    return numbered(reports.where("passed"), ["task_id"], [F.col(order)], "_turn").where(F.col("_turn") < target).drop("_turn")
+    turn = free_name(reports, "its_turn")
+    return first_of_each(reports.where("passed"), ["task_id"], [F.col(order)], target, turn).drop(turn)
 
 
 def final_reports(reports: DataFrame, descriptions: DataFrame, headers: DataFrame, checked: bool = False) -> DataFrame:

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from quernel.functions import text as X
 from quernel.operators.dedup import near_dedup
 from quernel.operators.models import Client, Runner, ask, chat, executed, judged, scored, tested
-from quernel.operators.order import cyclic, numbered, quota, remaining, seeded_key, short_enough
+from quernel.operators.order import cyclic, first_rows, numbered, quota, remaining, seeded_key, short_enough
 from quernel.operators.report import accepted, distinct_trajectories, trajectories
+from quernel.store import free_name
 
 
 @dataclass(frozen=True)
@@ -50,10 +51,11 @@ def reference_texts(benchmark: DataFrame, solutions: bool = True) -> DataFrame:
 def prompted(df: DataFrame, o: Options, **values: Column | str) -> DataFrame:
     """All rows with ``response`` and ``error``: the template filled in, and asked of the model for as many tokens as
     its context leaves. A prompt that leaves none isn't asked, and ``error`` says so."""
-    rows = df.withColumn("_prompt", X.formatted(o.template, **values))
-    rows = rows.withColumn("_most", X.token_budget(X.token_count("_prompt", o.tokenizer), o.max_new, o.context))
-    rows = rows.withColumn("_most", F.coalesce("_most", F.lit(0))).withColumn("_talk", chat(o.system, F.col("_prompt")))
-    return ask(rows, "_talk", o.client, o.engine, "_most", o.temperature, o.attempts).drop("_talk", "_prompt", "_most")
+    prompt, most, talk = (free_name(df, x) for x in ("its_prompt", "its_most", "its_talk"))
+    rows = df.withColumn(prompt, X.formatted(o.template, **values))
+    rows = rows.withColumn(most, X.token_budget(X.token_count(prompt, o.tokenizer), o.max_new, o.context))
+    rows = rows.withColumn(most, F.coalesce(most, F.lit(0))).withColumn(talk, chat(o.system, F.col(prompt)))
+    return ask(rows, talk, o.client, o.engine, most, o.temperature, o.attempts).drop(talk, prompt, most)
 
 
 def emitted(df: DataFrame, result: str, allow_empty: bool = True) -> DataFrame:
@@ -88,7 +90,8 @@ def evaluated(df: DataFrame, o: Options, code: str = "output") -> DataFrame:
         none = {"rewards": none["rewards"]}
     if o.reward is not None:
         sure = passed.where(F.coalesce("llm_verification", F.lit(True))) if o.judge is not None else passed
-        replied = ask(sure.withColumn("_talk", chat(None, F.concat("input", F.lit("\n"), F.col(code)))), "_talk", o.reward)
+        talk = free_name(sure, "its_talk")
+        replied = ask(sure.withColumn(talk, chat(None, F.concat("input", F.lit("\n"), F.col(code)))), talk, o.reward)
         scores = scored(replied, "response").select("index", "rewards")
         passed = passed.join(scores, "index", "left")
         none.pop("rewards", None)
@@ -181,7 +184,7 @@ def resumed(seeds: DataFrame, done: DataFrame | None, start: int = 0, most: int
     """Rows from ``start`` on whose index isn't done yet, ``most`` of them at most, lowest first."""
     rows = seeds.where(F.col("index") >= start)
     rows = rows if done is None else remaining(rows, done, "index")
-    return rows if most is None else numbered(rows, [], ["index"], "_turn").where(F.col("_turn") < most).drop("_turn")
+    return rows if most is None else first_rows(rows, ["index"], most)
 
 
 def self_repaired(reports: DataFrame, client: Client, runner: Runner, tests: DataFrame, engine: str = "stub", temperature: float = 0.0) -> DataFrame:
@@ -191,7 +194,8 @@ def self_repaired(reports: DataFrame, client: Client, runner: Runner, tests: Dat
     ``tests``: task_id, test.
     """
     asked = F.concat(F.lit("Mend this code; give the whole module in SOLUTION tags.\n"), F.col("completion"), F.lit("\n\nWhat is wrong:\n"), F.col("reason"))
-    told = ask(reports.drop("response", "error").withColumn("_talk", chat(None, asked)), "_talk", client, engine, temperature=temperature).drop("_talk", "error")
+    talk = free_name(reports, "its_talk")
+    told = ask(reports.drop("response", "error").withColumn(talk, chat(None, asked)), talk, client, engine, temperature=temperature).drop(talk, "error")
     solution, _ = X.lenient_solution_and_reason("response")
     code = told.withColumn("repaired", X.fenced(F.coalesce(solution, F.col("response")))).drop("response")
     ran = tested(code.join(tests.select("task_id", "test"), "task_id", "left"), {"design.v": "repaired", "test.v": "test"}, runner)
@@ -213,7 +217,8 @@ def mine_errors(results: DataFrame, reference: DataFrame, client: Client, target
         have = (out if out is not None else found.limit(0)).groupBy("task_id").agg(F.count("*").alias("n"))
         batch = quota(found, have, "task_id", target, [seeded_key(seed + turn, "row_id"), F.col("row_id")])
         asked = F.concat(F.lit("Say in REASON tags why the first is wrong, and give the second's idea.\n"), F.col("completion"), F.lit("\n\n"), F.col("correct"))
-        told = ask(batch.withColumn("_talk", chat(None, asked)), "_talk", client, temperature=0.8).drop("_talk")
+        talk = free_name(batch, "its_talk")
+        told = ask(batch.withColumn(talk, chat(None, asked)), talk, client, temperature=0.8).drop(talk)
         told = told.withColumn("reason", X.tagged("response", "REASON")).where("reason is not null")
         told = runner(told) if runner is not None else told.withColumn("passed", F.lit(True))
         out = told if out is None else out.unionByName(told)

@@ -11,6 +11,7 @@ from quernel.functions import boolean as B
 from quernel.functions import text as X
 from quernel.generators import logic, machines
 from quernel.operators import dedup, order, report
+from quernel.operators.index import NearIndex
 from quernel.operators.models import Stub, judged, scored
 from quernel.plans import tasks
 from quernel.sources import records
@@ -87,11 +88,27 @@ def clean_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query(_greedy_sql(f"WITH RECURSIVE src AS (SELECT doc_id AS node, text FROM documents WHERE text IS NOT NULL), met AS ({_bands_sql('src', 14, 9)})", "met") + " SELECT node AS doc_id FROM kept")
+_FIRST = _greedy_sql(f"WITH RECURSIVE src AS (SELECT doc_id AS node, text FROM documents WHERE text IS NOT NULL), met AS ({_bands_sql('src', 14, 9)})", "met") + " SELECT node AS doc_id FROM kept"
+
+
+@query(_FIRST)
 def near_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_dedup(spread(table(spark, sf_dir, "documents")), ["text"], "doc_id").select("doc_id")
 
 
+@query(_FIRST)
+def near_dedup_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in five batches, by doc_id, through an index that is added to: what one run over all keeps."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    index = NearIndex(spark, new_path(spark, "near_index"), slots=16)
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    kept, step = docs.select("doc_id").limit(0), ((high or 0) - (low or 0)) // 5 + 1
+    for k in range(5):
+        batch = docs.where((F.col("doc_id") - F.lit(low)).between(k * step, (k + 1) * step - 1))
+        kept = kept.unionByName(index.add(batch, f"batch {k}", ["text"], "doc_id").select("doc_id"))
+    return kept
+
+
 _BY_GROUP = _greedy_sql(
     f"""WITH RECURSIVE src AS (SELECT doc_id AS node, text FROM documents WHERE text IS NOT NULL), raw AS ({_bands_sql('src', 5, 25)}),
     met AS (SELECT node, source || '|' || bucket AS bucket FROM raw JOIN documents ON node = doc_id)""",
@@ -147,11 +164,24 @@ def exact_dedup_sorted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.unseen(first, F.col("k"), bench, F.sha2(X.sorted_lines("text"), 256)).select("doc_id")
 
 
-@query()
+#: Pairs that share over 0.35 (m + n) words, as often as both have them; of these the longest common subsequence, as the
+#: longest rising run among the places where words agree: a list of the least ends of runs of each length.
+_ROUGE = r"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
+    u AS MATERIALIZED (SELECT row_number() OVER () AS id, w FROM (SELECT DISTINCT w FROM d WHERE len(w) > 0)),
+    b AS MATERIALIZED (SELECT row_number() OVER () AS item, w FROM (SELECT DISTINCT regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM benchmark) WHERE len(w) > 0),
+    du AS (SELECT id, x, count(*) AS k FROM (SELECT id, unnest(w) AS x FROM u) GROUP BY ALL), bu AS (SELECT item, x, count(*) AS k FROM (SELECT item, unnest(w) AS x FROM b) GROUP BY ALL),
+    p AS MATERIALIZED (SELECT id, item, u.w AS uw, b.w AS bw FROM (SELECT id, item, sum(least(du.k, bu.k)) AS k FROM du JOIN bu USING (x) GROUP BY id, item) JOIN u USING (id) JOIN b USING (item) WHERE 2 * k > 0.7 * (len(u.w) + len(b.w))),
+    m AS (SELECT id, item, list([j] ORDER BY i, j DESC) AS places FROM (SELECT id, item, unnest(range(1, len(uw) + 1)) AS i, uw, bw FROM p), unnest(range(1, len(bw) + 1)) t(j) WHERE uw[i] = bw[j] GROUP BY id, item),
+    l AS (SELECT id, item, len(list_reduce(list_prepend(CAST([] AS BIGINT[]), places), lambda t, x: t[1:len(list_filter(t, lambda v: v < x[1]))] || x || t[len(list_filter(t, lambda v: v < x[1])) + 2:])) AS n FROM m),
+    f AS (SELECT id, max(2.0::DOUBLE * n / (len(uw) + len(bw))) AS rouge FROM l JOIN p USING (id, item) GROUP BY id)
+    SELECT doc_id, CASE WHEN rouge > 0.7 THEN round(rouge, 9) END AS rouge, NOT coalesce(rouge > 0.7, false) AS stays FROM d LEFT JOIN u USING (w) LEFT JOIN f USING (id)"""
+
+
+@query(_ROUGE)
 def rouge_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Largest word-run F-measure of each document against the benchmark, and whether it stays."""
+    """Whether each document stays, or is over 0.7 by its word-run F-measure against the benchmark, and the largest then."""
     got = dedup.rouge_l(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
-    return got.withColumn("stays", F.col("rouge") <= 0.7)
+    return got.select("doc_id", F.round("rouge", 9).alias("rouge"), F.col("rouge").isNull().alias("stays"))
 
 
 # Order, samples, shards -----------------------------------------------------------------------------------

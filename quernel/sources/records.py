@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernel.operators.order import keep_first, numbered
+from quernel.store import free_name
 
 PROBLEM = T.StructType().add("task_id", "string").add("prompt", "string").add("canonical_solution", "string").add("test", "string").add("detail_description", "string")
 RESULT = T.StructType().add("task_id", "string").add("completion", "string").add("passed", "boolean")
@@ -43,8 +44,10 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 def read_problems(spark: SparkSession, path: str, schema: T.StructType | str = PROBLEM) -> DataFrame:
     """Problems by task_id; of several with one id, the last in file order."""
-    placed = spark.read.schema(schema).json(path).withColumn("_at", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()))
-    return keep_first(placed, ["task_id"], ["_at"], last=True).drop("_at")
+    rows = spark.read.schema(schema).json(path)
+    at = free_name(rows, "its_at")
+    placed = rows.withColumn(at, F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()))
+    return keep_first(placed, ["task_id"], [at], last=True).drop(at)
 
 
 def read_benchmark(problems: dict[str, DataFrame], descriptions: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -64,13 +67,13 @@ def read_benchmark(problems: dict[str, DataFrame], descriptions: dict[str, DataF
 def read_checkpoints(spark: SparkSession, root: str, benchmarks: dict[str, str] | None = None) -> DataFrame:
     """Results under ``root``/<exp>/<checkpoint with step=N>/<benchmark>_0_1.jsonl_results.jsonl, with exp, step
     and benchmark from the path. ``benchmarks`` names the files' beginnings; files that are missing are no error."""
-    df = spark.read.schema(RESULT).json(f"{root}/*/*/*_0_1.jsonl_results.jsonl").withColumn("_path", F.col("_metadata.file_path"))
-    name = F.regexp_extract("_path", r"([^/]+)_0_1\.jsonl_results\.jsonl$", 1)
+    path = F.col("_metadata.file_path")
+    df = spark.read.schema(RESULT).json(f"{root}/*/*/*_0_1.jsonl_results.jsonl")
+    name = F.regexp_extract(path, r"([^/]+)_0_1\.jsonl_results\.jsonl$", 1)
     if benchmarks:
         name = F.coalesce(*[F.when(name == file, F.lit(own)) for own, file in benchmarks.items()])
-    out = df.withColumn("exp", F.regexp_extract("_path", r"([^/]+)/[^/]+/[^/]+$", 1))
-    out = out.withColumn("step", step_of(F.col("_path"))).withColumn("benchmark", name)
-    return out.where("benchmark is not null").drop("_path")
+    out = df.select(*df.columns, F.regexp_extract(path, r"([^/]+)/[^/]+/[^/]+$", 1).alias("exp"), step_of(path).alias("step"), name.alias("benchmark"))
+    return out.where("benchmark is not null")
 
 
 def step_of(path: Column) -> Column:
@@ -86,10 +89,11 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False, gzip: bool = Fal
 
 def write_shards(df: DataFrame, path: str, shards: int, order: list) -> None:
     """``path``/shard=i for each of ``shards`` equal runs of rows in order; no remainder is left out."""
-    placed = numbered(df, [], order, "_index")
+    at = free_name(df, "its_index")
+    placed = numbered(df.drop("shard"), [], order, at)
     n = placed.count()
     size = -(-n // shards) or 1
-    out = placed.withColumn("shard", F.floor(F.col("_index") / size).cast("int")).drop("_index")
+    out = placed.withColumn("shard", F.floor(F.col(at) / size).cast("int")).drop(at)
     out.write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("shard").json(path)
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is heavy when it holds over 1/HEAVY of all rows, so there are fewer than HEAVY such keys.
@@ -75,7 +76,9 @@ def free_name(df: DataFrame, name: str) -> str:
 
 def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
     """mapInArrow() with batches bounded in bytes, so long texts don't fill a worker."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) != str(BATCH_BYTES):  # it is read when a plan is run, so it stays for the session
+        conf.set(name, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 
@@ -86,32 +89,62 @@ LIGHT = 2000
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, how: str = "left", noise: str | None = None) -> DataFrame:
     """Join many ``rows`` to one row of ``groups`` for each key, whatever share of the rows one key holds.
 
-    ``groups`` is saved already and its column ``count`` has the number of rows with that key. Keys over
-    1/HEAVY of the counted rows are fewer than HEAVY by arithmetic, so those are broadcast; a row that found
-    its group there goes on under a key of its own (from the column ``noise``), so it weighs on no task in
-    the shuffled join that serves all other keys. Where no key is heavy, that join is all.
+    ``groups`` is saved already and its column ``count`` has the number of rows with that key; its other columns have
+    names that ``rows`` lacks. Keys over 1/HEAVY of the counted rows are fewer than HEAVY by arithmetic, so those are
+    broadcast; a row that found its group there goes on under a key of its own (from the column ``noise``), so it weighs
+    on no task in the shuffled join that serves all other keys. Where no key is heavy, that join is all.
     """
     total, most = groups.agg(F.sum(count), F.max(count)).first()
     limit = max((total or 0) / HEAVY, LIGHT)
     values = [c for c in groups.columns if c != key]
-    light = groups.where(F.col(count) <= limit).select(F.col(key).alias("_lk"), F.struct(*values).alias("_lv"))
+    lk, lv, hk, hv, jk, v = (free_name(rows, x) for x in ("its_lk", "its_lv", "its_hk", "its_hv", "its_jk", "its_v"))
+    light = groups.where(F.col(count) <= limit).select(F.col(key).alias(lk), F.struct(*values).alias(lv))
     near, found, heavy_keys = rows, F.lit(None), (most or 0) > limit
     if heavy_keys:
-        heavy = groups.where(F.col(count) > limit).select(F.col(key).alias("_hk"), F.struct(*values).alias("_hv"))
-        near, found = rows.join(F.broadcast(heavy), F.col(key) == F.col("_hk"), "left"), F.col("_hk")
+        heavy = groups.where(F.col(count) > limit).select(F.col(key).alias(hk), F.struct(*values).alias(hv))
+        near, found = rows.join(F.broadcast(heavy), F.col(key) == F.col(hk), "left"), F.col(hk)
     if how == "inner":
-        out = near.where(found.isNull()).join(light, F.col(key) == F.col("_lk")).select(*rows.columns, *[F.col(f"_lv.{c}").alias(c) for c in values])
+        out = near.where(found.isNull()).join(light, F.col(key) == F.col(lk)).select(*rows.columns, *[F.col(f"{lv}.{c}").alias(c) for c in values])
         if not heavy_keys:
             return out
-        return near.where("_hk is not null").select(*rows.columns, *[F.col(f"_hv.{c}").alias(c) for c in values]).unionByName(out)
+        return near.where(found.isNotNull()).select(*rows.columns, *[F.col(f"{hv}.{c}").alias(c) for c in values]).unionByName(out)
     spread = F.col(noise) if noise else F.monotonically_increasing_id()
     kind = rows.schema[key].dataType.simpleString()
     own = spread.cast("string").cast(kind) if kind in ("string", "binary") else F.xxhash64(spread)
-    near = near.withColumn("_jk", F.when(found.isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(own))
-    out = near.join(light, F.col("_jk") == F.col("_lk"), "left")
-    held = F.when(F.col(key).isNotNull() & F.col("_lk").eqNullSafe(F.col(key)), F.col("_lv"))
-    held = held if not heavy_keys else F.when(F.col("_hk").isNotNull(), F.col("_hv")).otherwise(held)
-    return out.withColumn("_v", held).select(*rows.columns, *[F.col(f"_v.{c}").alias(c) for c in values])
+    near = near.withColumn(jk, F.when(found.isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(own))
+    out = near.join(light, F.col(jk) == F.col(lk), "left")
+    held = F.when(F.col(key).isNotNull() & F.col(lk).eqNullSafe(F.col(key)), F.col(lv))
+    held = held if not heavy_keys else F.when(F.col(hk).isNotNull(), F.col(hv)).otherwise(held)
+    return out.withColumn(v, held).select(*rows.columns, *[F.col(f"{v}.{c}").alias(c) for c in values])
+
+
+def digest(*columns: Column | str) -> Column:
+    """A key of 16 bytes for equal values of any type; null where one of them is."""
+    own = [F.col(c) if isinstance(c, str) else c for c in columns]
+    some = reduce(lambda a, b: a & b, [c.isNotNull() for c in own])
+    return F.when(some, F.unhex(F.md5(F.to_json(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(own)])).cast("binary"))))
+
+
+def looked(rows: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join many ``rows`` to at most one row of ``small`` for each key, whatever share of the rows one key holds.
+
+    ``how``: left, inner, left_semi or left_anti; a key with a null meets nothing. Few rows of ``small`` (counted) are
+    broadcast; else the rows are counted by key and joined as join_groups() does. Columns that ``small`` brings
+    replace those of the same name.
+    """
+    values = [c for c in small.columns if c not in on]
+    rows = rows.drop(*values) if how in ("left", "inner") else rows
+    if (few := hinted(small)) is not small:
+        return rows.join(few, on, how).select(*rows.columns, *(values if how in ("left", "inner") else []))
+    key, n, found = (free_name(rows, free_name(small, x)) for x in ("its_key", "its_n", "its_found"))
+    keyed = rows.withColumn(key, digest(*on))
+    own = small.select(digest(*on).alias(key), *values, F.lit(True).alias(found))
+    groups = saved(keyed.groupBy(key).agg(F.count("*").alias(n)).join(own, key), "groups")
+    if how in ("left_semi", "left_anti"):
+        groups = groups.select(key, n, found)
+    out = join_groups(keyed, groups, key, n, how="inner" if how in ("inner", "left_semi") else "left")
+    out = out.where(F.col(found).isNull()) if how == "left_anti" else out
+    return out.select(*rows.columns, *(values if how in ("left", "inner") else []))
 
 
 #: Most rows, and most bytes of texts in them, of a table that is broadcast; both are counted first.
