@@ -152,6 +152,16 @@ def token_count(text: Column | str, tokenizer: Tokenizer | None = None) -> Colum
     return count(_col(text))
 
 
+def token_ids(text: Column | str, tokenizer: Tokenizer) -> Column:
+    """The ids of a text's tokens. A null text has null."""
+
+    @F.pandas_udf("array<int>")
+    def ids(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: None if t is None else tokenizer.encode(t))
+
+    return ids(_col(text))
+
+
 def token_limited(text: Column | str, most: int, tokenizer: Tokenizer | None = None) -> Column:
     """The text up to its first ``most`` tokens."""
     if tokenizer is None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quernel.functions import boolean as B
 from quernel.functions import text as X
+from quernel.functions.bytepairs import BytePairs
 from quernel.generators import logic, machines
 from quernel.operators import dedup, order, report
 from quernel.operators.index import NearIndex
@@ -521,6 +522,66 @@ def token_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.token_count("text").alias("tokens"), X.token_limited("text", 50).alias("first"))
 
 
+#: Rank file of a byte-level vocabulary; a parameter of what uses it.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+_SPACE = r"\t\n\x0B\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def _bpe_sql(source: str) -> str:
+    """Relation ``parts``: (id, n, hex) of each token of a relation (id, text), in order n. A mark before the last space
+    of a run, where no space follows, stands for the pattern's look ahead; then, pre-token by pre-token, the pair of
+    least rank is merged in each turn."""
+    pattern = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^\x{{1}}{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+|\x{{1}}".replace("'", "''")
+    return rf"""WITH RECURSIVE rank AS MATERIALIZED (SELECT hex(from_base64(split_part(line, ' ', 1))) AS k, CAST(split_part(line, ' ', 2) AS BIGINT) AS r
+        FROM (SELECT unnest(string_split(rtrim(content, chr(10)), chr(10))) AS line FROM read_text('{RANKS}'))),
+    marked AS (SELECT id, regexp_replace(text, '([{_SPACE}])([^{_SPACE}])', chr(1) || '\1\2', 'g') AS text FROM ({source})),
+    piece AS MATERIALIZED (SELECT id, n, p FROM (SELECT id, regexp_extract_all(text, '{pattern}') AS ps FROM marked), unnest(ps) WITH ORDINALITY u(p, n) WHERE p <> chr(1)),
+    each AS (SELECT p, list_transform(range(1, octet_length(encode(p)) + 1), lambda i: substr(hex(encode(p)), CAST(2 * i - 1 AS BIGINT), 2)) AS own FROM (SELECT DISTINCT p FROM piece)),
+    walk AS (
+        SELECT p, own FROM each
+        UNION ALL
+        SELECT p, own[1:i - 1] || [own[i] || own[i + 1]] || own[i + 2:] FROM (
+            SELECT p, own, arg_min(i, r * 100000000 + i) AS i FROM (SELECT p, own, unnest(range(1, len(own))) AS i FROM walk) JOIN rank ON k = own[i] || own[i + 1] GROUP BY p, own)
+    ),
+    done AS MATERIALIZED (SELECT p, arg_min(own, len(own)) AS own FROM walk GROUP BY p),
+    parts AS (SELECT id, n * 100000000 + m AS n, h AS hex FROM piece JOIN done USING (p), unnest(own) WITH ORDINALITY u(h, m))"""
+
+
+_CUT = "(?:[CDEF][0-9A-F]|[EF][0-9A-F][89AB][0-9A-F]|F[0-9A-F](?:[89AB][0-9A-F]){2})$"
+
+
+@query(
+    _bpe_sql("SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL")
+    + f""", all_of AS (SELECT id, count(*) AS n, sha256(string_agg(r, ',' ORDER BY n)) AS ids, string_agg(hex, '' ORDER BY n) FILTER (WHERE turn <= 50) AS h
+        FROM (SELECT id, n, hex, r, row_number() OVER (PARTITION BY id ORDER BY n) AS turn FROM parts JOIN rank ON k = hex) GROUP BY id)
+    SELECT doc_id, CASE WHEN text IS NOT NULL THEN CAST(coalesce(n, 0) AS INT) END AS tokens, CASE WHEN text IS NOT NULL THEN coalesce(ids, sha256('')) END AS ids,
+        CASE WHEN coalesce(n, 0) <= 50 THEN text ELSE decode(unhex(regexp_replace(h, '{_CUT}', ''))) END AS first FROM documents LEFT JOIN all_of ON doc_id = id"""
+)
+def token_limits_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-pair tokens of each text, a digest of their ids, and the text up to its fiftieth."""
+    pairs = BytePairs.load(spark, RANKS)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ids = X.token_ids("text", pairs)
+    told = docs.select("doc_id", "text", ids.alias("ids"))
+    digest = F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), ","), 256)
+    return told.select("doc_id", F.when(F.col("ids").isNotNull(), F.size("ids")).alias("tokens"), digest.alias("ids"), X.token_limited("text", 50, pairs).alias("first"))
+
+
+@query(
+    _bpe_sql("SELECT row_number() OVER () AS id, text FROM conversations WHERE text IS NOT NULL")
+    + """, turn AS (SELECT conv_id, row_number() OVER () AS id FROM conversations WHERE text IS NOT NULL),
+    n AS (SELECT conv_id, count(hex) AS k FROM turn LEFT JOIN parts USING (id) GROUP BY conv_id)
+    SELECT conv_id, CAST(coalesce(k, 0) AS BIGINT) AS tokens, CAST(least(1024, 3000 - coalesce(k, 0) - 10) AS BIGINT) AS budget FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN n USING (conv_id)"""
+)
+def chats_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-pair tokens of each conversation, and what is left for an answer."""
+    pairs = BytePairs.load(spark, RANKS)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", X.token_count(F.coalesce("text", F.lit("")), pairs).alias("n"))
+    whole = turns.groupBy("conv_id").agg(F.sum("n").alias("tokens"))
+    return whole.select("conv_id", "tokens", X.token_budget("tokens", 1024, 3000).alias("budget"))
+
+
 # Records --------------------------------------------------------------------------------------------------
 
 @query("SELECT doc_id, text, lang, source, n_chars FROM documents")
