@@ -5,10 +5,15 @@ Answers cost money or differ between calls, so each stage is written to the shar
 
 from __future__ import annotations
 
+import contextlib
+import os
 import random
+import resource
+import signal
 import subprocess
 import tempfile
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -20,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.functions.text import compiles, rewards, tagged, unescaped, verdict
+from quernel.operators.answers import logged
 from quernel.store import free_name, saved
 
 
@@ -72,12 +78,16 @@ def chat(system: str | None, prompt: Column) -> Column:
     return F.array(*([message("system", F.lit(system))] if system else []), message("user", prompt))
 
 
-def ask(df: DataFrame, messages: str, client: Client, engine: str = "stub", max_tokens: int | str = 1024, temperature: float = 0.0, attempts: int = 1, threads: int = 8) -> DataFrame:
+def ask(
+    df: DataFrame, messages: str, client: Client, engine: str = "stub", max_tokens: int | str = 1024, temperature: float = 0.0, attempts: int = 1, threads: int = 8, log: str | None = None
+) -> DataFrame:
     """All rows with ``response`` and ``error``, saved: the answer, or null if it broke off or was refused.
 
     A row is asked up to ``attempts`` times until it has an answer; a call that raises leaves its message in
     ``error`` and harms no other row. ``max_tokens`` is a number, or the column that has each row's; a row that has
-    none left isn't asked. Calls of a batch run in a few threads inside the task.
+    none left isn't asked. Calls of a batch run in a few threads inside the task. With ``log``, a folder that driver
+    and executors share, answers are written there as they come, and what is there already isn't asked for again, be it
+    by a task that is run once more or by another run; equal requests then have one answer.
     """
 
     def one(talk, most: int) -> tuple[str | None, str | None]:
@@ -94,6 +104,11 @@ def ask(df: DataFrame, messages: str, client: Client, engine: str = "stub", max_
                 failure = f"{type(e).__name__}: {e}"
         return None, failure
 
+    if log is not None:
+        most = F.col(max_tokens) if isinstance(max_tokens, str) else F.lit(max_tokens)
+        answered = logged(df, messages, most, one, log, engine, temperature, threads)
+        return answered.withColumn("response", unescaped("response", engine))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(threads) as pool:
             for b in batches:
@@ -132,12 +147,56 @@ class Runner(Protocol):
     def __call__(self, files: dict[str, str]) -> Run: ...
 
 
+@dataclass(frozen=True)
+class Limits:
+    """What a child process may use, and all that it starts: seconds of CPU, bytes of memory and of a file, open files.
+    None leaves a bound as it is."""
+
+    cpu: int | None = 60
+    memory: int | None = 4 << 30
+    file: int | None = 256 << 20
+    open_files: int | None = 256
+
+    def held(self) -> dict[int, int | None]:
+        return {resource.RLIMIT_CPU: self.cpu, resource.RLIMIT_AS: self.memory, resource.RLIMIT_FSIZE: self.file, resource.RLIMIT_NOFILE: self.open_files}
+
+
 @dataclass(frozen=True)
 class Command:
-    """Runs commands over files in a folder of their own, in child processes, each up to ``timeout`` seconds."""
+    """Runs commands over files in a folder of their own, in child processes, each up to ``timeout`` seconds.
+
+    Each command leads a session of its own, under limits that its children inherit. When its time is over, or when it
+    ends, the whole group is ended, so nothing that it started goes on. Of what it writes the last ``tail`` characters
+    are kept.
+    """
 
     commands: tuple[tuple[str, ...], ...]
     timeout: float = 20.0
+    limits: Limits = Limits()
+    tail: int = 1 << 20
+
+    def _run(self, command: tuple[str, ...], folder: str) -> tuple[str, str, int, bool]:
+        out, err = Path(folder, f".out-{uuid.uuid4().hex}"), Path(folder, f".err-{uuid.uuid4().hex}")
+        with out.open("wb") as o, err.open("wb") as e:
+            child = subprocess.Popen(command, cwd=folder, stdin=subprocess.DEVNULL, stdout=o, stderr=e, start_new_session=True)
+            try:
+                for kind, most in self.limits.held().items():
+                    if most is not None:
+                        with contextlib.suppress(ProcessLookupError):  # it is over already
+                            resource.prlimit(child.pid, kind, (most, most))
+                late = False
+                try:
+                    child.wait(self.timeout)
+                except subprocess.TimeoutExpired:
+                    late = True
+            finally:
+                with contextlib.suppress(ProcessLookupError, PermissionError):  # none of the group is left
+                    os.killpg(child.pid, signal.SIGKILL)
+                child.wait()
+        said = [x.read_bytes()[-self.tail :].decode("utf-8", "replace") for x in (out, err)]
+        out.unlink()
+        err.unlink()
+        return said[0], said[1], child.returncode, late
 
     def __call__(self, files: dict[str, str]) -> Run:
         out, err = [], []
@@ -146,14 +205,14 @@ class Command:
                 Path(folder, name).write_text(text)
             for command in self.commands:
                 try:
-                    done = subprocess.run(command, cwd=folder, capture_output=True, text=True, timeout=self.timeout, check=False)
-                except subprocess.TimeoutExpired:
-                    return Run("".join(out), "".join(err), True)
+                    said, failed, code, late = self._run(command, folder)
                 except OSError as e:
                     return Run("".join(out), str(e))
-                out.append(done.stdout)
-                err.append(done.stderr)
-                if done.returncode:
+                out.append(said)
+                err.append(failed)
+                if late:
+                    return Run("".join(out), "".join(err), True)
+                if code:
                     break
         return Run("".join(out), "".join(err))
 

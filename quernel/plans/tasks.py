@@ -39,6 +39,7 @@ class Options:
     runner: Runner | None = None
     compat: bool = False
     tokenizer: X.Tokenizer | None = None
+    log: str | None = None
 
 
 def reference_texts(benchmark: DataFrame, solutions: bool = True) -> DataFrame:
@@ -55,7 +56,7 @@ def prompted(df: DataFrame, o: Options, **values: Column | str) -> DataFrame:
     rows = df.withColumn(prompt, X.formatted(o.template, **values))
     rows = rows.withColumn(most, X.token_budget(X.token_count(prompt, o.tokenizer), o.max_new, o.context))
     rows = rows.withColumn(most, F.coalesce(most, F.lit(0))).withColumn(talk, chat(o.system, F.col(prompt)))
-    return ask(rows, talk, o.client, o.engine, most, o.temperature, o.attempts).drop(talk, prompt, most)
+    return ask(rows, talk, o.client, o.engine, most, o.temperature, o.attempts, log=o.log).drop(talk, prompt, most)
 
 
 def emitted(df: DataFrame, result: str, allow_empty: bool = True) -> DataFrame:
