@@ -37,8 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/quernel/{uuid.uuid4().hex}-{name}"
+    """A fresh path in the shared folder, among those of this application."""
+    return f"{shared_dir(spark)}/quernel/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{name}"
+
+
+def forget(spark: SparkSession, application: str | None = None) -> None:
+    """Delete all intermediate tables of an application that is over, or of this one: results that read them must have
+    been written by then."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quernel/{application or spark.sparkContext.applicationId}")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Slim rows (a few numbers each) that one file of an intermediate table may hold.
@@ -48,7 +55,7 @@ FILE_ROWS = 1_000_000
 def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
-    This cuts lineage and survives the loss of executors; the files stay until the folder is cleaned. For a table
+    This cuts lineage and survives the loss of executors; the files stay until forget(). For a table
     of at most ``rows`` slim rows there are no more files than it needs, or than there are cores.
     """
     spark = df.sparkSession
