@@ -279,3 +279,14 @@ def placeholders(template: str) -> list[str]:
     return [name for _, name, _, _ in string.Formatter().parse(template) if name is not None]
 
 
+
+
+def element(html: Column | str, tag: str) -> Column:
+    """What stands between the first opening and the next closing tag of a name without attributes; empty if there is none."""
+    return F.regexp_extract(_col(html), f"(?s)<{tag}>(.*?)</{tag}>", 1)
+
+
+def occurrences(text: Column | str, part: str) -> Column:
+    """How often a text holds a part, from left to right without overlap. A null has null."""
+    t = _col(text)
+    return F.floor((F.length(t) - F.length(F.replace(t, F.lit(part), F.lit("")))) / len(part)).cast("long")

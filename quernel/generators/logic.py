@@ -14,14 +14,19 @@ def draw(seed: int | str, row: Column, turn: int | str, most: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(most)).cast("int")
 
 
-def minterms(spark: SparkSession, n: int, variables: int = 4, seed: int | str = 0, free: bool = False) -> DataFrame:
-    """id, terms, free (don't-cares): sorted arrays of values of so many bits.
+def ids(source: SparkSession | DataFrame, n: int | None = None) -> DataFrame:
+    """A column ``id``, which draws go by: the numbers below n, or those of a table."""
+    return source.select("id") if isinstance(source, DataFrame) else source.range(n)
+
+
+def minterms(source: SparkSession | DataFrame, n: int | None = None, variables: int = 4, seed: int | str = 0, free: bool = False) -> DataFrame:
+    """id, terms, free (don't-cares): sorted arrays of values of so many bits, for n ids or each id of a table.
 
     There are 1 to 2**v - 5 terms, and with ``free`` 1 to 4 don't-cares, no more than terms less one or values
     left (none if that leaves none).
     """
     size = 1 << variables
-    rows = spark.range(n)
+    rows = ids(source, n)
     order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"), i.cast("string")).cast("binary")).alias("h"), i.alias("v"))))
     rows = rows.withColumn("_order", F.transform(order, lambda x: x.v))
     rows = rows.withColumn("_m", 1 + draw(seed, F.col("id"), "m", size - 5))
@@ -37,23 +42,23 @@ def _module(ports: str, body: Column) -> Column:
     return F.concat(F.lit(f"module top_module ({ports});\n"), body, F.lit("\nendmodule\n"))
 
 
-def truth_tables(spark: SparkSession, n: int, seed: int | str = "1234", names: tuple[str, ...] = ("a", "b", "c", "d")) -> DataFrame:
+def truth_tables(source: SparkSession | DataFrame, n: int | None = None, seed: int | str = "1234", names: tuple[str, ...] = ("a", "b", "c", "d")) -> DataFrame:
     """input, output, terms: a truth table, and the sum of products that it stands for."""
     v = list(names)
-    rows = minterms(spark, n, len(v), seed)
+    rows = minterms(source, n, len(v), seed)
     equation = F.concat(F.lit("  assign f = "), B.sum_of_products(F.col("terms"), v), F.lit(";"))
     told = F.concat(F.lit("Write a module for the function f of this truth table.\n"), B.truth_table(F.col("terms"), v, "f"))
     why = F.concat(F.lit("// rows where f is 1:\n// "), F.replace(B.explained(F.col("terms"), v), F.lit("\n"), F.lit("\n// ")), F.lit("\n"))
     return rows.select("id", told.alias("input"), F.concat(why, _module("input " + ", ".join(v) + ", output f", equation)).alias("output"), "terms", "free")
 
 
-def karnaugh_maps(spark: SparkSession, n: int, seed: int | str = "1234", names: tuple[str, ...] = ("c", "d", "a", "b"), free: bool = False, turned: bool = False) -> DataFrame:
+def karnaugh_maps(source: SparkSession | DataFrame, n: int | None = None, seed: int | str = "1234", names: tuple[str, ...] = ("c", "d", "a", "b"), free: bool = False, turned: bool = False) -> DataFrame:
     """input, output, terms, free, minimal: a Karnaugh map, a sum of products that fits it, and the smallest such sum.
 
     With ``turned``, each map has one drawn change of the order of its rows or columns.
     """
     v = list(names)
-    rows = minterms(spark, n, len(v), seed, free)
+    rows = minterms(source, n, len(v), seed, free)
     equation = F.concat(F.lit("  assign f = "), B.sum_of_products(F.col("terms"), v), F.lit(";"))
     shown = B.karnaugh(F.col("terms"), v, F.col("free"))
     if turned:
@@ -63,10 +68,10 @@ def karnaugh_maps(spark: SparkSession, n: int, seed: int | str = "1234", names:
     return rows.select("id", told.alias("input"), _module("input " + ", ".join(v) + ", output f", equation).alias("output"), "terms", "free", minimal.alias("minimal"))
 
 
-def waveforms(spark: SparkSession, n: int, seed: int | str = "1234", names: tuple[str, ...] = ("a", "b", "c", "d")) -> DataFrame:
+def waveforms(source: SparkSession | DataFrame, n: int | None = None, seed: int | str = "1234", names: tuple[str, ...] = ("a", "b", "c", "d")) -> DataFrame:
     """input, output, terms: the values of a circuit over a sweep of its inputs, in steps of 5 ns."""
     v = list(names)
-    rows = minterms(spark, n, len(v), seed)
+    rows = minterms(source, n, len(v), seed)
     cell = lambda x: F.rpad(x, 16, " ")
 
     def line(i: Column) -> Column:

@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.generators.logic import draw
+from quernel.generators.logic import draw, ids
+from quernel.store import looked, saved
 
 SCHEMA = "id long, states int, edges array<struct<src:int,bit:int,dst:int,out:int>>, outs array<int>"
 
@@ -40,7 +41,7 @@ def sample(seed: str, states: int, out_values: int = 2) -> tuple[list[tuple[int,
     return [(s, b, goes[s][b], signs[2 * s + b]) for s in range(states) for b in (0, 1)], outs
 
 
-def machines(spark: SparkSession, n: int, states: int = 4, seed: int | str = "1234", out_values: int = 2) -> DataFrame:
+def machines(source: SparkSession | DataFrame, n: int | None = None, states: int = 4, seed: int | str = "1234", out_values: int = 2) -> DataFrame:
     """id, states, edges (sorted by state and input), outs: one machine a row, by seed and id alone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -51,7 +52,7 @@ def machines(spark: SparkSession, n: int, states: int = 4, seed: int | str = "12
                 rows.append((i, states, [dict(zip(("src", "bit", "dst", "out"), e, strict=True)) for e in edges], outs))
             yield pd.DataFrame(rows, columns=["id", "states", "edges", "outs"])
 
-    return spark.range(n).mapInPandas(run, SCHEMA)
+    return ids(source, n).mapInPandas(run, SCHEMA)
 
 
 def name(state: Column) -> Column:
@@ -83,7 +84,7 @@ def state_table(code: bool = False, outputs: int = 1, lower: Column | None = Non
     tell = (lambda s: F.lpad(F.bin(s), width, F.lit("0"))) if code else name
     said = (lambda s: F.col("outs")[s].cast("string")) if outputs == 1 else (lambda s: F.lpad(F.bin(F.col("outs")[s]), outputs, "0"))
     line = lambda s: F.concat_ws(" | ", tell(s), tell(_next(s, 0)), tell(_next(s, 1)), said(s))
-    head = F.lit("State | Next state in=0, Next state in=1 | Output\n")
+    head = F.lit("State | After 0, After 1 | Output\n")
     head = head if lower is None else F.when(lower, F.lower(head)).otherwise(head)
     return F.concat(head, F.array_join(F.transform(F.sequence(F.lit(0), F.col("states") - 1), line), "\n"))
 
@@ -221,12 +222,12 @@ def problems(rows: DataFrame, kind: str, seed: int | str = "1234") -> DataFrame:
 KINDS = {"logic": 4, "onehot": 4, "mealy": 4, "next_onehot": 6, "next_code": 6, "table": 5, "wave": 6, "wide_onehot": 10, "next_onehot_1": 6}
 
 
-def generated(spark: SparkSession, kind: str, n: int, seed: int | str = "1234", reference: DataFrame | None = None) -> DataFrame:
+def generated(source: SparkSession | DataFrame, kind: str, n: int | None = None, seed: int | str = "1234", reference: DataFrame | None = None) -> DataFrame:
     """input, output of distinct machines (by key, the smallest id stays) that aren't among the reference's keys."""
-    made = problems(machines(spark, n, KINDS[kind], seed, 4 if kind == "wide_onehot" else 2), kind, seed)
+    made = problems(machines(source, n, KINDS[kind], seed, 4 if kind == "wide_onehot" else 2), kind, seed)
     first = made.groupBy("key").agg(F.min_by(F.struct("id", "input", "output"), "id").alias("x")).select("key", "x.*")
     if reference is not None:
-        first = first.join(reference.select("key").distinct(), "key", "left_anti")
+        first = looked(first, saved(reference.select("key").distinct(), "keys"), ["key"], "left_anti")
     return first.select("id", "input", "output", "key")
 
 

@@ -182,14 +182,15 @@ def field_texts(df: DataFrame, fields: list[str], order: str, group: str | None
     return df.select(F.explode(F.array(*own)).alias("its_text")).select("its_text.*")
 
 
-def near_dedup(df: DataFrame, fields: list[str], order: str, reference: DataFrame | None = None, threshold: float = 0.7, group: str | None = None, compat: bool = False) -> DataFrame:
+def near_dedup(df: DataFrame, fields: list[str], order: str, reference: DataFrame | None = None, threshold: float = 0.7, group: str | None = None, compat: bool = False, mark: str | None = None) -> DataFrame:
     """The rows kept, first come first kept by the whole-number column ``order`` (unique, not null).
 
     A row stays if none of its ``fields`` meets a field of a row that stays before it, or a text of
     ``reference`` (texts in its column ``text``). Fields of one row aren't compared with each other. With
     ``group``, only rows of equal group are compared. Meeting in a band counts, without a check of the
     similarity itself. Null fields meet nothing, and a row without any text stays. A text of fewer characters
-    than a shingle meets equal ones; with ``compat``, all such texts meet each other.
+    than a shingle meets equal ones; with ``compat``, all such texts meet each other. With ``mark``, all rows come, and
+    a column of that name says which are kept.
     """
     texts = field_texts(df, fields, order, group)
     short = F.when(F.length("text") < 5, F.lit("")).otherwise(F.col("text"))
@@ -206,7 +207,10 @@ def near_dedup(df: DataFrame, fields: list[str], order: str, reference: DataFram
     node = free_name(df, "its_node")
     bare = df.where(F.coalesce(*[F.col(f) for f in fields]).isNull()).select(F.col(order).cast("long").alias("node"))
     stay = saved(kept.unionByName(bare).select(F.col("node").alias(node)), "stay")
-    return df.join(hinted(stay), F.col(order).cast("long") == F.col(node), "left_semi")
+    same = F.col(order).cast("long") == F.col(node)
+    if mark is not None:
+        return df.drop(mark).join(hinted(stay), same, "left").withColumn(mark, F.col(node).isNotNull()).drop(node)
+    return df.join(hinted(stay), same, "left_semi")
 
 
 def exact_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -214,6 +218,13 @@ def exact_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return keep_first(df, keys, [order])
 
 
+def exact_counts(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """(order, name): the smallest order of each group of equal keys (nulls are equal), and its rows. Keys go by digest,
+    so no long text is moved."""
+    own = F.sha2(F.to_json(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])), 256)
+    return df.groupBy(own.alias("key")).agg(F.min(order).alias(order), F.count("*").alias(name)).select(order, name)
+
+
 def unseen(df: DataFrame, key: Column, reference: DataFrame, reference_key: Column) -> DataFrame:
     """Rows whose key (a sorted set of terms, lines in order, a text) is not among the reference's; a null is in none."""
     own = free_name(df, "own_key")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,6 +132,17 @@ def remaining(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return looked(df, done.select(key).distinct(), [key], "left_anti")
 
 
+def under_one_another(parts: dict[str, DataFrame], name: str) -> DataFrame:
+    """Tables under one another, columns by name with nulls where one has none, and ``name`` to say which it was."""
+    own = [df.withColumn(name, F.lit(k)) for k, df in parts.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), own)
+
+
+def stacked(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """The values of several columns as rows of one."""
+    return df.select(F.explode(F.array(*columns)).alias(name))
+
+
 def short_enough(limits: dict[str, int], strict: bool = False) -> Column:
     """Whether each named text is no longer than its limit (shorter, if ``strict``)."""
     tests = [F.length(c) < n if strict else F.length(c) <= n for c, n in limits.items()]

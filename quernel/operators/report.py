@@ -78,6 +78,11 @@ def totals(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:
     return both.groupBy(*by).agg(F.count_if(F.col(kept) == 0).alias("n_before"), F.count_if(F.col(kept) == 1).alias("n_after"))
 
 
+def marked_totals(marked: DataFrame, by: list[str], mark: str) -> DataFrame:
+    """The same of one table of all rows, which says of each whether it stayed."""
+    return marked.groupBy(*by).agg(F.count("*").alias("n_before"), F.count_if(F.col(mark)).alias("n_after"))
+
+
 def passed_of(df: DataFrame, by: list[str], passed: str = "passed") -> DataFrame:
     """How many passed, of how many; a null hasn't passed."""
     return df.groupBy(*by).agg(F.count_if(F.coalesce(F.col(passed), F.lit(False))).alias("k"), F.count("*").alias("n"))

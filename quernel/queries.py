@@ -15,7 +15,7 @@ from quernel.operators import dedup, order, report
 from quernel.operators.index import NearIndex
 from quernel.operators.models import Stub, judged, scored
 from quernel.plans import tasks
-from quernel.sources import records
+from quernel.sources import records, snapshots, trees
 from quernel.store import new_path, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,8 +127,9 @@ def near_dedup_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_BY_GROUP + " SELECT source, count(*) AS n_before, count(kept.node) AS n_after FROM documents LEFT JOIN kept ON node = doc_id GROUP BY source")
 def dedup_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rows of each source there are before and after."""
-    docs = spread(table(spark, sf_dir, "documents"))
-    return report.totals(docs, dedup.near_dedup(docs, ["text"], "doc_id", threshold=0.9, group="source"), ["source"])
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    marked = dedup.near_dedup(docs, ["text"], "doc_id", threshold=0.9, group="source", mark="stays")
+    return report.marked_totals(marked, ["source"], "stays")
 
 
 @query(
@@ -150,9 +151,8 @@ def near_dedup_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
 def exact_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    copies = docs.groupBy(F.sha2("text", 256).alias("h"), F.length("text").alias("n")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    return copies.select("doc_id", "copies")
+    """The first of equal texts, and how many there are."""
+    return dedup.exact_counts(table(spark, sf_dir, "documents"), ["text"], "doc_id", "copies").select("doc_id", "copies")
 
 
 @query("""SELECT min(doc_id) AS doc_id FROM (SELECT doc_id, list_sort(string_split(text, chr(10))) AS k FROM documents)
@@ -289,14 +289,14 @@ def strict_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT item_id AS id, 'benchmark' AS kind, text, NULL AS lang FROM benchmark
     UNION ALL BY NAME SELECT doc_id AS id, 'document' AS kind, text, lang FROM documents""")
 def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("benchmark").alias("kind"), "text")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("document").alias("kind"), "text", "lang")
-    return items.unionByName(docs, allowMissingColumns=True)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    return order.under_one_another({"benchmark": items, "document": docs}, "kind")
 
 
 @query("SELECT md5(text) AS h, count(*) AS n FROM (SELECT unnest([source, lang]) AS text FROM documents) GROUP BY text")
 def stacked_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stacked = table(spark, sf_dir, "documents").select(F.explode(F.array("source", "lang")).alias("text"))
+    stacked = order.stacked(table(spark, sf_dir, "documents"), ["source", "lang"], "text")
     return stacked.groupBy("text").agg(F.count("*").alias("n")).select(F.md5(F.col("text").cast("binary")).alias("h"), "n")
 
 
@@ -466,8 +466,7 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '<p>')) AS paragraphs FROM pages""")
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paragraphs = F.size(F.regexp_extract_all("html", F.lit("<p>"), F.lit(0))).cast("long")
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), paragraphs.alias("paragraphs"))
+    return table(spark, sf_dir, "pages").select("page_id", X.element("html", "title").alias("title"), X.occurrences("html", "<p>").alias("paragraphs"))
 
 
 @query("""SELECT doc_id, array_to_string(list_sort(string_split(text, chr(10))), chr(10)) AS lines,
@@ -601,6 +600,34 @@ def sharded_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("doc_id long, shard int").json(path).select("doc_id", "shard")
 
 
+@query("""WITH o AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS i, CAST(ceil(count(*) OVER () / 6.0) AS BIGINT) AS size FROM documents)
+    SELECT doc_id, lang, 'shard-' || lpad(CAST(i // size AS VARCHAR), 5, '0') || '.jsonl' AS file FROM o""")
+def named_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in six named files that appear all at once, as they are read again."""
+    path = new_path(spark, "named")
+    trees.write_named_shards(table(spark, sf_dir, "documents").select("doc_id", "lang"), path, 6, ["doc_id"])
+    return spark.read.schema("doc_id long, lang string").json(path).select("doc_id", "lang", F.regexp_extract(F.col("_metadata.file_path"), "[^/]+$", 0).alias("file"))
+
+
+@query(_RESULTS + " SELECT exp, step, benchmark, task_id, sha256(completion) AS completion, passed FROM r WHERE step = 1 AND exp <> 'de'")
+def result_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results as a tree of files by experiment and checkpoint, of which a filter opens only its own."""
+    path, rows = new_path(spark, "results"), _results(spark, sf_dir)
+    place = F.concat(F.col("exp"), F.lit("/checkpoint-step="), F.col("step").cast("string"), F.lit("/"), F.col("benchmark"), F.lit("_0_1.jsonl_results.jsonl"))
+    trees.write_named(rows.select(place.alias("file"), "task_id", "completion", "passed"), path)
+    got = trees.read_results(spark, path).where("step = 1 and exp <> 'de'")
+    return got.select("exp", "step", "benchmark", "task_id", F.sha2("completion", 256).alias("completion"), "passed")
+
+
+@query("SELECT source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source")
+def snapshots_reused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stage's rows by way of its snapshot, which the second call finds."""
+    folder = new_path(spark, "snapshots")
+    stage = lambda: table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    snapshots.snapshot(stage(), folder, "sources")
+    return snapshots.snapshot(stage(), folder, "sources")
+
+
 @query("SELECT doc_id, lang FROM documents WHERE doc_id >= 20 AND doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT 50")
 def resumed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next fifty documents, from the twentieth on, that have no label yet."""
@@ -634,30 +661,43 @@ def passed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Generators -----------------------------------------------------------------------------------------------
 
-@query(
-    "SELECT CAST(i AS INT) AS i, CAST(xor(i, i >> 1) AS INT) AS gray, lpad(bin(i), 8, '0') AS bits, lpad(bin(1 << (i % 8)), 8, '0') AS hot FROM range(256) t(i)")
+def _ids(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
+    """The ids of a table, by which functions and machines are drawn."""
+    return table(spark, sf_dir, name).select(F.col(key).alias("id"))
+
+
+@query("""SELECT doc_id, CAST(n_chars % 256 AS INT) AS i, CAST(xor(n_chars % 256, (n_chars % 256) >> 1) AS INT) AS gray, lpad(bin(n_chars % 256), 8, '0') AS bits,
+    lpad(bin(1 << (n_chars % 8)), 8, '0') AS hot FROM documents""")
 def gray_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.range(1).select(F.posexplode(B.gray(8)).alias("i", "gray"))
-    return rows.select("i", "gray", B.bits(F.col("i"), 8).alias("bits"), B.one_hot(8)[F.col("i") % 8].alias("hot"))
+    """Codes of each document's length, of eight bits."""
+    i = (F.col("n_chars") % 256).cast("int")
+    return table(spark, sf_dir, "documents").select("doc_id", i.alias("i"), F.get(B.gray(8), i).alias("gray"), B.bits(i, 8).alias("bits"), F.get(B.one_hot(8), i % 8).alias("hot"))
+
+
+def _terms_sql(source: str, seed: str = "1234", prefix: str = "") -> str:
+    """Relation ``t`` (its names after ``prefix``): the terms that each id of a relation draws."""
+    p = prefix
+    return f"""{p}m AS (SELECT id, 1 + CAST(('0x' || substr(md5('{seed}|' || id || '|m'), 1, 8)) AS BIGINT) % 11 AS n FROM ({source})),
+    {p}v AS (SELECT id, i, row_number() OVER (PARTITION BY id ORDER BY md5('{seed}|' || id || '|' || i), i) AS k FROM {p}m, range(16) x(i)),
+    {p}t AS (SELECT id, list(CAST(i AS INT) ORDER BY i) AS terms FROM {p}v JOIN {p}m USING (id) WHERE k <= n GROUP BY id)"""
 
 
-_TERMS = """WITH m AS (SELECT CAST(id AS BIGINT) AS id, 1 + CAST(('0x' || substr(md5('1234|' || id || '|m'), 1, 8)) AS BIGINT) % 11 AS n FROM range(500) r(id)),
-    v AS (SELECT id, i, row_number() OVER (PARTITION BY id ORDER BY md5('1234|' || id || '|' || i), i) AS k FROM m, range(16) x(i)),
-    t AS (SELECT id, list(CAST(i AS INT) ORDER BY i) AS terms FROM v JOIN m USING (id) WHERE k <= n GROUP BY id)"""
+_TERMS = "WITH " + _terms_sql("SELECT doc_id AS id FROM documents")
 _LITERAL = "CASE WHEN (t >> {s}) & 1 = 1 THEN '{v}' ELSE '~{v}' END"
 _PRODUCT = " || ' & ' || ".join(_LITERAL.format(s=3 - i, v=v) for i, v in enumerate("abcd"))
 
 
 @query(_TERMS + f" SELECT id, terms, array_to_string(list_transform(terms, lambda t: '(' || {_PRODUCT} || ')'), ' | ') AS sop FROM t")
 def sums_of_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = logic.minterms(spark, 500, 4, "1234")
+    """The function that each document's id draws, as a sum of products."""
+    rows = logic.minterms(_ids(spark, sf_dir), variables=4, seed="1234")
     return rows.select("id", "terms", B.sum_of_products(F.col("terms"), list("abcd")).alias("sop"))
 
 
 @query(_TERMS + """ SELECT id, 'a | b | c | d | f' || chr(10) || array_to_string(list_transform(range(0, 16), lambda i: ((i >> 3) & 1) || ' | ' || ((i >> 2) & 1) || ' | ' || ((i >> 1) & 1) || ' | ' || (i & 1) || ' | '
     || CASE WHEN list_contains(terms, CAST(i AS INT)) THEN 1 ELSE 0 END), chr(10)) AS truth FROM t""")
 def truth_table_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = logic.minterms(spark, 500, 4, "1234")
+    rows = logic.minterms(_ids(spark, sf_dir), variables=4, seed="1234")
     return rows.select("id", B.truth_table(F.col("terms"), list("abcd"), "f").alias("truth"))
 
 
@@ -668,33 +708,37 @@ _SUM = " || ' | ' || ".join(f"CASE WHEN (t >> {3 - i}) & 1 = 0 THEN '{v}' ELSE '
     SELECT id, array_to_string(list_transform(zeros, lambda t: '(' || {_SUM} || ')'), ' & ') AS pos,
     array_to_string(list_transform(terms, lambda t: lpad(bin(t), 4, '0') || ' => ' || {_PRODUCT}), chr(10)) AS why FROM z""")
 def products_of_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, v = logic.minterms(spark, 500, 4, "1234"), list("abcd")
+    rows, v = logic.minterms(_ids(spark, sf_dir), variables=4, seed="1234"), list("abcd")
     return rows.select("id", B.product_of_sums(B.complement(F.col("terms"), 4), v).alias("pos"), B.explained(F.col("terms"), v).alias("why"))
 
 
-@query("""SELECT i AS id, list_transform(range(1, 15), lambda m: list_filter([i, i * 2, i * 3, i * 5], lambda x, k: (m >> (k - 1)) & 1 = 1)) AS subsets FROM range(200) t(i)""")
+@query("""SELECT doc_id AS id, list_transform(range(1, 15), lambda m: list_filter([doc_id, n_chars, length(lang), length(source)], lambda x, k: (m >> (k - 1)) & 1 = 1)) AS subsets FROM documents""")
 def subset_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = F.array(*[F.col("id") * k for k in (1, 2, 3, 5)])
-    return spark.range(200).select("id", B.subsets(items, 4).alias("subsets"))
+    """All choices of one to three of four numbers of each document."""
+    items = F.array("doc_id", "n_chars", F.length("lang").cast("long"), F.length("source").cast("long"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), B.subsets(items, 4).alias("subsets"))
 
 
 @query()
 def smallest_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Maps with don't-cares, turned, and the smallest sum of products for each."""
-    return logic.karnaugh_maps(spark, 200, "abcd", tuple("wxyz"), True, True).select("id", "input", "terms", "free", "minimal")
+    """Maps with don't-cares, turned, and the smallest sum of products for each, one for each document's id."""
+    return logic.karnaugh_maps(spread(_ids(spark, sf_dir)), None, "abcd", tuple("wxyz"), True, True).select("id", "input", "terms", "free", "minimal")
 
 
-@query(_TERMS + """ SELECT min(id) AS id FROM t WHERE terms NOT IN (VALUES ([1, 3, 5]), ([0]), ([15])) GROUP BY terms""")
+@query(_TERMS + ", " + _terms_sql("SELECT item_id AS id FROM benchmark", "bench", "b") + " SELECT min(id) AS id FROM t WHERE terms NOT IN (SELECT terms FROM bt) GROUP BY terms")
 def distinct_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampled functions, none twice and none of a stated set."""
-    known = spark.createDataFrame([([1, 3, 5],), ([0],), ([15],)], "terms array<int>")
-    first = logic.minterms(spark, 500, 4, "1234").groupBy("terms").agg(F.min("id").alias("id"))
+    """Functions that documents' ids draw, none twice and none of those that the benchmark's draw."""
+    known = logic.minterms(_ids(spark, sf_dir, "benchmark", "item_id"), variables=4, seed="bench")
+    first = logic.minterms(_ids(spark, sf_dir), variables=4, seed="1234").groupBy("terms").agg(F.min("id").alias("id"))
     return dedup.unseen(first, F.col("terms"), known, F.col("terms")).select("id")
 
 
 @query()
 def logic_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [logic.truth_tables(spark, 200), logic.karnaugh_maps(spark, 200), logic.karnaugh_maps(spark, 200, "abcd", tuple("wxyz"), True), logic.waveforms(spark, 200)]
+    """A problem for each document: a table, a map, one with don't-cares or a waveform, in turn."""
+    rows = spread(_ids(spark, sf_dir))
+    own = [rows.where(F.pmod("id", F.lit(4)) == k) for k in range(4)]
+    parts = [logic.truth_tables(own[0]), logic.karnaugh_maps(own[1]), logic.karnaugh_maps(own[2], None, "abcd", tuple("wxyz"), True), logic.waveforms(own[3])]
     out = None
     for kind, part in zip(("table", "map", "free_map", "wave"), parts, strict=True):
         part = part.select(F.lit(kind).alias("kind"), "id", "input", "output")
@@ -704,10 +748,12 @@ def logic_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def machine_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A machine for each document, of each kind in turn, none twice and none of those that the benchmark's ids draw."""
+    rows, bench = spread(_ids(spark, sf_dir)), _ids(spark, sf_dir, "benchmark", "item_id")
     out = None
-    for kind in machines.KINDS:
-        known = machines.generated(spark, kind, 20, "bench").select("key")  # stands for the machines of a benchmark
-        part = machines.generated(spark, kind, 200, reference=known).select(F.lit(kind).alias("kind"), "id", "input", "output")
+    for k, kind in enumerate(machines.KINDS):
+        known = machines.generated(bench, kind, seed="bench").select("key")
+        part = machines.generated(rows.where(F.pmod("id", F.lit(len(machines.KINDS))) == k), kind, reference=known).select(F.lit(kind).alias("kind"), "id", "input", "output")
         out = part if out is None else out.unionByName(part)
     return out
 
