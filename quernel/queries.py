@@ -17,6 +17,7 @@ from quernel.operators.models import Stub, judged, scored
 from quernel.plans import tasks
 from quernel.sources import records, snapshots, trees
 from quernel.store import new_path, spread
+from quernel.streaming.caps import capped
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -628,6 +629,23 @@ def snapshots_reused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.snapshot(stage(), folder, "sources")
 
 
+@query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS turn FROM documents QUALIFY turn < 10")
+def capped_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten documents of each source as they come in three files, by two runs of a stream."""
+    path, docs = new_path(spark, "stream"), table(spark, sf_dir, "documents").select("doc_id", "source")
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    step = ((high or 0) - (low or 0)) // 3 + 1
+    for k in range(3):
+        docs.where((F.col("doc_id") - F.lit(low)).between(k * step, (k + 1) * step - 1)).write.json(f"{path}/in/{k}")
+        if k == 0:
+            continue
+        # the second run goes on from the first one's checkpoint
+        arrived = spark.readStream.schema("doc_id long, source string").option("latestFirst", "false").option("maxFilesPerTrigger", 10_000).json(f"{path}/in/*")
+        ended = capped(arrived, "source", "doc_id", 10).writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/out")
+        ended.awaitTermination()
+    return spark.read.schema("doc_id long, source string, turn long").parquet(f"{path}/out")
+
+
 @query("SELECT doc_id, lang FROM documents WHERE doc_id >= 20 AND doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT 50")
 def resumed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next fifty documents, from the twentieth on, that have no label yet."""
@@ -773,13 +791,33 @@ def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("text").alias("detail_description"), F.col("text").alias("canonical_solution"))
 
 
-@query()
+#: What the stub says of a document's text, stripped as tags are; near copies of that, and what is near a benchmark text, go.
+_ECHO = f"SELECT doc_id AS node, text AS body, CASE WHEN text IS NOT NULL THEN '<PROBLEM>' || text || '</PROBLEM><SOLUTION>module top_module(input a, output b);' || chr(10) || ' assign b = a; // ' || text || chr(10) || 'endmodule</SOLUTION><REASON>' || length(text) || '</REASON>' END AS raw FROM documents"
+
+
+def _task_sql(field: str) -> str:
+    return _greedy_sql(
+        f"""WITH RECURSIVE item AS (SELECT 0 AS node, text FROM benchmark WHERE text IS NOT NULL), known AS (SELECT DISTINCT bucket FROM ({_bands_sql('item', 14, 9)})),
+        said AS ({_ECHO}), got AS (SELECT node, body, {field} AS text, raw FROM said WHERE raw IS NOT NULL), src AS (SELECT node, text FROM got WHERE text IS NOT NULL),
+        met AS ({_bands_sql('src', 14, 9)}), free AS (SELECT * FROM met WHERE node NOT IN (SELECT node FROM met JOIN known USING (bucket)))""",
+        "free",
+    )
+
+
+@query(_task_sql(_tag_sql("PROBLEM")) + ' SELECT node AS "index", text AS problem FROM got JOIN kept USING (node)')
 def problem_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = tasks.Options(Stub(_echo), "Make a problem of this code.\nINPUT:{code}", context=1 << 20)
     return tasks.oss_generate_large(_seeds(spark, sf_dir), _benchmark(spark, sf_dir), o).select("index", "problem")
 
 
-@query()
+_ASKED = "'Is this answer right? Say True or False in VALID tags, and why in REASON tags.' || chr(10) || body || chr(10) || text"
+
+
+@query(
+    _task_sql(_tag_sql("SOLUTION", "</SOLUT"))
+    + f""" SELECT node AS "index", text AS output, CAST(length(body) AS VARCHAR) AS reasoning, length({_ASKED}) % 2 = 0 AS llm_verification,
+    CASE WHEN length({_ASKED}) % 2 = 0 THEN CAST(length(body || chr(10) || text) % 4 AS DOUBLE) END AS helpful FROM got JOIN kept USING (node)"""
+)
 def solution_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = tasks.Options(Stub(_echo), "Solve this.\nINPUT:{problem}", context=1 << 20, judge=Stub(lambda p: f"<VALID>{len(p) % 2 == 0}</VALID><REASON>r</REASON>"), reward=Stub(lambda p: f"helpful:{len(p) % 4}"))
     return tasks.code_reason_generate(_seeds(spark, sf_dir), _benchmark(spark, sf_dir), o).select("index", "output", "reasoning", "llm_verification", F.col("rewards")["helpful"].alias("helpful"))
