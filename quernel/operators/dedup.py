@@ -345,18 +345,17 @@ def rouge_l(texts: DataFrame, reference: DataFrame, key: str = "doc_id", text: s
 
     Words are runs of lower-case letters and digits. Only pairs that can be over the threshold are compared: those that
     share a rare word near enough to the front of both lists, words ordered by how often the reference has them, with
-    lengths that allow it. Texts of equal words are compared once, and words are moved only of texts in such pairs.
+    lengths that allow it. Equal texts are compared once, and words are moved only of texts in such pairs.
     Null texts and texts without words have null, as have all if the reference is empty.
     """
-    words = F.col("w")
-    hashes = F.transform(words, lambda x: F.xxhash64(x)).alias("hashes")
+    hashes = F.transform("w", lambda x: F.xxhash64(x)).alias("hashes")
     known = reference.select(words_of(F.col(text)).alias("w")).where(F.size("w") > 0).distinct()
     known = saved(known.select(F.monotonically_increasing_id().alias("id"), "w", hashes), "reference")
-    own = texts.select(F.col(key).alias("key"), words_of(F.col(text)).alias("w")).select("key", "w", F.when(F.size("w") > 0, digest("w")).alias("id"))
-    lists = own.where(F.col("id").isNotNull())
+    own = texts.select(F.col(key).alias("key"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("id"), F.col(text).alias("text"))
+    lists = own.select("id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     pairs = saved(rouge_candidates(lists.select("id", hashes), known.select("id", "hashes"), threshold), "pairs")
-    some = looked(lists.select("id", "w"), saved(pairs.select("id").distinct(), "compared"), ["id"], "left_semi")
-    both = pairs.join(some.groupBy("id").agg(F.first("w").alias("w")), "id")
+    some = looked(own.select("id", "text"), saved(pairs.select("id").distinct(), "compared"), ["id"], "left_semi")
+    both = pairs.join(some.groupBy("id").agg(words_of(F.first("text")).alias("w")), "id")
     both = looked(both, known.select(F.col("id").alias("its_id"), F.col("w").alias("r")), ["its_id"], "inner")
     over = mapped(both.select("id", "w", "r"), _over(threshold), "id binary, rouge double").groupBy("id").agg(F.max("rouge").alias("rouge"))
     return looked(own.select("key", "id"), saved(over, "over"), ["id"]).select(F.col("key").alias(key), "rouge")
