@@ -65,8 +65,34 @@ def _context(c: Chunk, row: int, pos: int, size: int, around: int) -> tuple[str,
     return " ".join(words), pos - a
 
 
-def _scan(window: int, k: int, short: list[int], bits: np.ndarray | None, all_rows: bool):
-    """Kept k-grams of the rows of (id, text); with all_rows, a row with a null hash for each row that has none."""
+def _windows(window: int):
+    """Hashes of all runs of ``window`` words of the rows of (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in chunks(batch.column(1)):
+                rows, g = c.word_rows(), gram_hashes(c.hashes(), window)
+                if len(g):
+                    yield pa.RecordBatch.from_pydict({"hash": np.unique(g[rows[: len(g)] == rows[window - 1 :]]).view(np.int64)})
+
+    return run
+
+
+def _inside(words: np.ndarray, rows: np.ndarray, pos: np.ndarray, k: int, window: int, full: np.ndarray) -> np.ndarray:
+    """Which k-grams lie in a run of ``window`` words whose hash is in the bitmap of the benchmark's runs."""
+    g = gram_hashes(words, window)
+    held = in_bitmap(full, g) & (rows[: len(g)] == rows[window - 1 :]) if len(g) else np.zeros(0, bool)
+    before = np.append(0, np.cumsum(held))
+    first, last = np.clip(pos - (window - k), 0, len(held)), np.clip(pos + 1, 0, len(held))
+    return before[last] > before[first]
+
+
+def _scan(window: int, k: int, short: list[int], bits: np.ndarray | None, all_rows: bool, full: np.ndarray | None = None):
+    """Kept k-grams of the rows of (id, text); with all_rows, a row with a null hash for each row that has none.
+
+    Of a document's, those go on that the benchmark may have, in a run that it may have: a k-gram that is frequent on
+    both sides, in runs of words of which none is shared, would else meet itself as often as the two counts multiply to.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 33
@@ -85,6 +111,8 @@ def _scan(window: int, k: int, short: list[int], bits: np.ndarray | None, all_ro
                 for gram, size, pos, hashes in sets:
                     if bits is not None and len(pos):
                         hit = in_bitmap(bits, hashes)
+                        if size == window and gram < size:
+                            hit &= _inside(words, rows, pos, k, window, full)
                         pos, hashes = pos[hit], hashes[hit]
                     for p, h in zip(pos.tolist(), hashes.view(np.int64).tolist(), strict=True):
                         row = int(rows[p])
@@ -161,13 +189,9 @@ def _extend():
     return extend
 
 
-def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = 10, k: int = 5) -> DataFrame:
-    """Shared word runs: row, id, n_words, start, end (word positions in the document), item_id.
-
-    ``row`` numbers the rows of ``docs`` (with gaps). A row of docs without a shared run comes once, with null
-    start, end and item_id; otherwise it comes once for each kept k-gram inside a shared run, so runs repeat
-    and overlap. A null text has no words. A null item_id leaves its item unnamed, but its runs still count.
-    """
+def _met(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str, window: int, k: int) -> DataFrame:
+    """Kept k-grams of documents beside the benchmark's that have the same hash, each with the words around it; a row of
+    ``docs`` without any comes once."""
     kind = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
     bench = items.select(F.col(item_id), F.col(text))
     every = list(range(1, window))
@@ -177,9 +201,11 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id:
         ).distinct(),
         "prints",
     )
+    full = saved(mapped(bench, _windows(window), "hash long").distinct(), "windows")
     count = prints.count()
     short = [r[0] for r in prints.where(F.col("item_size") < window).select("item_size").distinct().collect()]
-    rows = mapped(docs.select(F.col(doc_id), F.col(text)), _scan(window, k, sorted(short), bitmap(prints, count), True), _FIELDS.format(id=kind[0]))
+    scan = _scan(window, k, sorted(short), bitmap(prints, count), True, bitmap(full, full.count()))
+    rows = mapped(docs.select(F.col(doc_id), F.col(text)), scan, _FIELDS.format(id=kind[0]))
     same = (F.col("hash") == F.col("_hash")) & (F.col("size") == F.col("item_size"))
     if count <= MAX_BROADCAST_ROWS:
         met = rows.join(F.broadcast(prints.withColumnRenamed("hash", "_hash")), same, "left")
@@ -188,7 +214,18 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id:
         rows = rows.withColumn("_salt", F.pmod(F.col("row"), F.lit(salts))).withColumn("hash", F.coalesce("hash", F.xxhash64("row")))
         wide = prints.withColumnRenamed("hash", "_hash").withColumn("_its", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         met = rows.join(wide, same & (F.col("_salt") == F.col("_its")), "left")
-    met = met.select("row", "id", "n_words", "pos", "context", "left", "size", "item_id", "item_context", "item_left")
+    return met.select("row", "id", "n_words", "pos", "context", "left", "size", "item_id", "item_context", "item_left")
+
+
+def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = 10, k: int = 5) -> DataFrame:
+    """Shared word runs: row, id, n_words, start, end (word positions in the document), item_id.
+
+    ``row`` numbers the rows of ``docs`` (with gaps). A row of docs without a shared run comes once, with null
+    start, end and item_id; otherwise it comes once for each kept k-gram inside a shared run, so runs repeat
+    and overlap. A null text has no words. A null item_id leaves its item unnamed, but its runs still count.
+    """
+    kind = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
+    met = _met(docs, items, doc_id, item_id, text, window, k)
     return mapped(met, _extend(), f"row long, id {kind[0]}, n_words long, start long, end long, item_id {kind[1]}")
 
 

@@ -79,3 +79,21 @@ def test_odd_rows_and_empty_tables(spark):
     assert clean.columns == odd(spark).columns and clean.count() == 15
     assert decontam.report(odd(spark), items.limit(0)).where("contaminated").count() == 0
     assert decontam.report(spark.createDataFrame([], SCHEMA), items).count() == 0
+
+
+def test_a_frequent_gram_of_clean_texts_meets_nothing(spark):
+    """Five words that stand in every document and every item, in runs of which none is shared: no pair is compared."""
+    gram = "the very same five words"
+    docs = [(i, f"{prose(i, 12)} d{i}x {gram} d{i}y {prose(-i, 12)}") for i in range(150)]
+    items = [(i, f"{prose(1000 + i, 9)} i{i}x {gram} i{i}y {prose(2000 + i, 9)}") for i in range(100)]
+    docs += [(900, items[3][1]), (901, f"a b {items[4][1]} c")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    met = decontam._met(d, b, "doc_id", "item_id", "text", 10, 5)
+    assert met.where("item_id is not null and id < 900").count() <= 20  # by chance alone; all pairs would be 15,000
+    check(spark, docs, items)
+
+
+def test_very_long_texts(spark):
+    item = prose(55, 40)
+    docs = [(1, prose(6, 250_000) + " " + item + " " + prose(7, 1000)), (2, "x" * 2_000_000), (3, "a b " * 400_000)]
+    check(spark, docs, [(1, item), (2, "short one"), (3, "a b " * 5 + "c")])
