@@ -162,6 +162,16 @@ def token_ids(text: Column | str, tokenizer: Tokenizer) -> Column:
     return ids(_col(text))
 
 
+def decoded(ids: Column | str, tokenizer: Tokenizer) -> Column:
+    """The text of an array of ids. A null has null."""
+
+    @F.pandas_udf("string")
+    def text(x: pd.Series) -> pd.Series:
+        return x.map(lambda own: None if own is None else tokenizer.decode(list(own)))
+
+    return text(_col(ids))
+
+
 def token_limited(text: Column | str, most: int, tokenizer: Tokenizer | None = None) -> Column:
     """The text up to its first ``most`` tokens."""
     if tokenizer is None:

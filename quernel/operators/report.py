@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernel.operators.dedup import near_dedup
+from quernel.operators.dedup import banded, field_texts, greedy
 from quernel.operators.order import first_of_each, keep_first, numbered, one_each, quota, seeded_key
-from quernel.store import free_name, looked
+from quernel.store import free_name, hinted, looked, saved
 
 
 def pass_rate(df: DataFrame, by: list[str], passed: str = "passed") -> DataFrame:
@@ -64,11 +64,26 @@ def trajectories(results: DataFrame, reference: DataFrame, seed: int = 0) -> Dat
     return looked_up(chosen.join(graded, ["exp", "benchmark", "task_id"]), reference, ["task_id", "benchmark"], ["correct"])
 
 
-def distinct_trajectories(found: DataFrame, order: str) -> DataFrame:
-    """Near copies of a task's (error, correct) go, at threshold 0.9, the first staying."""
-    text = F.concat(F.col("completion"), F.lit("\n\n"), F.col("correct"))
+def trajectory_bands(found: DataFrame, order: str) -> DataFrame:
+    """What distinct_trajectories() compares (error, correct) by: bands within each task, at threshold 0.9."""
     both = free_name(found, "both")
-    return near_dedup(found.withColumn(both, text), [both], order, threshold=0.9, group="task_id").drop(both)
+    text = F.concat(F.col("completion"), F.lit("\n\n"), F.col("correct"))
+    return banded(field_texts(found.withColumn(both, text), [both], order, "task_id"), 0.9)
+
+
+def distinct_trajectories(found: DataFrame, order: str, signed: DataFrame | None = None) -> DataFrame:
+    """Near copies of a task's (error, correct) go, at threshold 0.9, the first staying. ``signed``: the bands of these
+    rows, and of others, if they are known already."""
+    node = free_name(found, "its_node")
+    bands = trajectory_bands(found, order) if signed is None else looked(signed, found.select(F.col(order).cast("long").alias("node")).distinct(), ["node"], "left_semi")
+    bare = found.where(F.col("completion").isNull() | F.col("correct").isNull()).select(F.col(order).cast("long").alias("node"))
+    stay = saved(greedy(bands).unionByName(bare).select(F.col("node").alias(node)), "stay")
+    return found.join(hinted(stay), F.col(order).cast("long") == F.col(node), "left_semi")
+
+
+def steps(results: DataFrame) -> DataFrame:
+    """(exp, steps): the distinct steps of each experiment, ascending; rows without a step count for none."""
+    return results.groupBy("exp").agg(F.array_sort(F.collect_set("step")).alias("steps"))
 
 
 def totals(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:

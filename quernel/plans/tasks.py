@@ -9,15 +9,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.functions import text as X
 from quernel.operators.dedup import near_dedup
 from quernel.operators.models import Client, Runner, ask, chat, executed, judged, scored, tested
 from quernel.operators.order import cyclic, first_rows, numbered, quota, remaining, seeded_key, short_enough
-from quernel.operators.report import accepted, distinct_trajectories, trajectories
-from quernel.store import free_name
+from quernel.operators.report import accepted, distinct_trajectories, trajectories, trajectory_bands
+from quernel.store import free_name, saved
 
 
 @dataclass(frozen=True)
@@ -210,9 +210,15 @@ def mine_errors(results: DataFrame, reference: DataFrame, client: Client, target
     each task, asks for the reason, and, if ``runner`` is given, keeps those whose repaired code passes: it gets
     the reports and adds ``passed``, as self_repaired() does.
     """
-    out = None
+    out = signed = seen = None
     for turn in range(rounds):
-        found = distinct_trajectories(trajectories(results, reference, seed + turn), "row_id")
+        found = saved(trajectories(results, reference, seed + turn), "trajectories")
+        # only what no earlier round has drawn is signed
+        new = found if seen is None else remaining(found, seen, "row_id")
+        bands = saved(trajectory_bands(new, "row_id"), "bands")
+        signed = bands if signed is None else signed.unionByName(bands)
+        seen = found.select("row_id") if seen is None else seen.unionByName(new.select("row_id"))
+        found = distinct_trajectories(found, "row_id", signed)
         if out is not None:
             found = remaining(found, out, "row_id")
         have = (out if out is not None else found.limit(0)).groupBy("task_id").agg(F.count("*").alias("n"))
@@ -224,3 +230,8 @@ def mine_errors(results: DataFrame, reference: DataFrame, client: Client, target
         told = runner(told) if runner is not None else told.withColumn("passed", F.lit(True))
         out = told if out is None else out.unionByName(told)
     return accepted(out, target, "row_id")
+
+
+def read_template(spark: SparkSession, path: str) -> str:
+    """A template, or a test bench: the whole file, from any file system that Spark reads."""
+    return spark.read.text(path, wholetext=True).first()[0]

@@ -59,17 +59,17 @@ def _bands_sql(source: str, bands: int, rows: int) -> str:
     ) GROUP BY node, band"""
 
 
-def _greedy_sql(prefix: str, meets: str) -> str:
-    """Relation ``kept``: nodes in order, each kept if no kept one shares a bucket with it."""
+def _greedy_sql(prefix: str, meets: str, x: str = "") -> str:
+    """Relation ``kept`` (with ``x`` after it): nodes in order, each kept if no kept one shares a bucket with it."""
     return f"""{prefix},
-    edge AS (SELECT b.node AS node, list(DISTINCT a.node) AS before FROM {meets} a JOIN {meets} b ON a.bucket = b.bucket AND a.node < b.node GROUP BY b.node),
-    turn AS (SELECT node, row_number() OVER (ORDER BY node) AS k, coalesce(before, []) AS before FROM (SELECT DISTINCT node FROM {meets}) LEFT JOIN edge USING (node)),
-    walk AS (
+    edge{x} AS (SELECT b.node AS node, list(DISTINCT a.node) AS before FROM {meets} a JOIN {meets} b ON a.bucket = b.bucket AND a.node < b.node GROUP BY b.node),
+    turn{x} AS (SELECT node, row_number() OVER (ORDER BY node) AS k, coalesce(before, []) AS before FROM (SELECT DISTINCT node FROM {meets}) LEFT JOIN edge{x} USING (node)),
+    walk{x} AS (
         SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept
         UNION ALL
-        SELECT turn.k, CASE WHEN list_has_any(walk.kept, turn.before) THEN walk.kept ELSE list_append(walk.kept, turn.node) END
-        FROM walk JOIN turn ON turn.k = walk.k + 1
-    ), kept AS (SELECT unnest(kept) AS node FROM (SELECT kept FROM walk ORDER BY k DESC LIMIT 1))"""
+        SELECT t.k, CASE WHEN list_has_any(w.kept, t.before) THEN w.kept ELSE list_append(w.kept, t.node) END
+        FROM walk{x} w JOIN turn{x} t ON t.k = w.k + 1
+    ), kept{x} AS (SELECT unnest(kept) AS node FROM (SELECT kept FROM walk{x} ORDER BY k DESC LIMIT 1))"""
 
 
 _CLEAN = _greedy_sql(
@@ -275,6 +275,12 @@ def failed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.trajectories(rows, reference).select("row_id", "exp", "task_id", "step")
 
 
+@query(_RESULTS + " SELECT exp, list(DISTINCT step ORDER BY step) AS steps FROM r GROUP BY exp")
+def experiment_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps that each experiment has results of."""
+    return report.steps(_results(spark, sf_dir))
+
+
 @query("SELECT source, sum(toxic) > 0 AS ever FROM documents JOIN labels USING (doc_id) GROUP BY source")
 def ever_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
@@ -565,7 +571,9 @@ def token_limits_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = X.token_ids("text", pairs)
     told = docs.select("doc_id", "text", ids.alias("ids"))
     digest = F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), ","), 256)
-    return told.select("doc_id", F.when(F.col("ids").isNotNull(), F.size("ids")).alias("tokens"), digest.alias("ids"), X.token_limited("text", 50, pairs).alias("first"))
+    cut = F.when(F.size("ids") > 50, F.slice("ids", 1, 50))  # each text is encoded once
+    first = told.select("doc_id", "text", F.when(F.col("ids").isNotNull(), F.size("ids")).alias("tokens"), digest.alias("ids"), X.decoded(cut, pairs).alias("cut"))
+    return first.select("doc_id", "tokens", "ids", F.coalesce("cut", "text").alias("first"))
 
 
 @query(
@@ -823,7 +831,39 @@ def solution_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.code_reason_generate(_seeds(spark, sf_dir), _benchmark(spark, sf_dir), o).select("index", "output", "reasoning", "llm_verification", F.col("rewards")["helpful"].alias("helpful"))
 
 
-@query()
+def _round_sql(k: int, before: str) -> str:
+    """Relations of round k: what is drawn (one failed row of each low group), what of that is no near copy, and what is
+    taken of each task beside what earlier rounds took."""
+    low = f"""c{k} AS (SELECT exp, task_id, step, min_by(row_id, {{'h': md5('{k}|' || row_id), 'd': row_id}}) AS row_id FROM r JOIN low USING (exp, task_id, step) WHERE NOT passed GROUP BY exp, task_id, step),
+    f{k} AS (SELECT row_id, task_id, exp, completion || chr(10) || chr(10) || correct AS text FROM c{k} JOIN r USING (row_id, exp, task_id, step) JOIN ref USING (task_id)),
+    s{k} AS (SELECT row_id AS node, text FROM f{k} WHERE text IS NOT NULL),
+    b{k} AS (SELECT node, task_id || '|' || bucket AS bucket FROM ({_bands_sql(f's{k}', 5, 25)}) JOIN f{k} ON node = row_id)"""
+    taken = f"SELECT * FROM took{k - 1}" if k else "SELECT row_id, task_id, exp, text FROM f0 WHERE false"
+    return _greedy_sql(before + low, f"b{k}", str(k)) + f""",
+    d{k} AS (SELECT * FROM f{k} WHERE (row_id IN (SELECT node FROM kept{k}) OR text IS NULL) AND row_id NOT IN (SELECT row_id FROM ({taken}))),
+    h{k} AS (SELECT task_id, count(*) AS n FROM ({taken}) GROUP BY task_id),
+    took{k} AS ({taken} UNION ALL SELECT row_id, task_id, exp, text FROM (
+        SELECT d{k}.*, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY task_id ORDER BY md5('{k}|' || row_id), row_id) - 1 AS turn FROM d{k} LEFT JOIN h{k} USING (task_id)
+    ) WHERE turn < least(4 - n, 10) AND text IS NOT NULL)"""
+
+
+_MINED = (
+    _round_sql(
+        1,
+        _round_sql(
+            0,
+            _RESULTS.replace("WITH", "WITH RECURSIVE", 1)
+            + """, low AS (SELECT exp, task_id, step FROM r GROUP BY ALL HAVING avg(CAST(passed AS INT)) < 0.2), ref AS (SELECT task_id, min(prompt) AS correct FROM r GROUP BY task_id),
+    tier AS (SELECT exp, task_id, CASE WHEN avg(CAST(passed AS INT)) > 0.9 THEN 'easy' WHEN avg(CAST(passed AS INT)) < 0.2 THEN 'hard' ELSE 'soso' END AS difficulty FROM r GROUP BY exp, task_id), """,
+        )
+        + ", ",
+    )
+    + """ SELECT row_id, task_id, difficulty, CAST(length(text) + length('Say in REASON tags why the first is wrong, and give the second''s idea.') + 1 AS VARCHAR) AS reason, true AS passed
+    FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY row_id) AS k FROM took1) JOIN tier USING (exp, task_id) WHERE k <= 4"""
+)
+
+
+@query(_MINED)
 def mined_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _results(spark, sf_dir)
     reference = rows.groupBy("task_id", "benchmark").agg(F.min("prompt").alias("correct"))

@@ -64,6 +64,19 @@ def read_benchmark(problems: dict[str, DataFrame], descriptions: dict[str, DataF
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+#: Fixed names of a benchmark folder's files: problems, and descriptions, by set.
+PROBLEM_FILES = {"machine": "verilogeval-machine.jsonl.gz", "human": "verilogeval-manual.jsonl.gz", "rtllm": "rtllm.jsonl"}
+DESCRIPTION_FILES = {"machine": "VerilogDescription_Machine.jsonl", "human": "VerilogDescription_Human.jsonl", "rtllm": "rtllm.jsonl"}
+
+
+def read_benchmark_folder(spark: SparkSession, path: str) -> DataFrame:
+    """The three problem sets of a folder, each with its descriptions, as read_benchmark() puts them; of several problems,
+    or descriptions, of one id the last counts."""
+    problems = {name: read_problems(spark, f"{path}/{file}") for name, file in PROBLEM_FILES.items()}
+    told = {name: read_problems(spark, f"{path}/{file}").select("task_id", "detail_description") for name, file in DESCRIPTION_FILES.items()}
+    return read_benchmark(problems, told)
+
+
 def read_checkpoints(spark: SparkSession, root: str, benchmarks: dict[str, str] | None = None) -> DataFrame:
     """Results under ``root``/<exp>/<checkpoint with step=N>/<benchmark>_0_1.jsonl_results.jsonl, with exp, step
     and benchmark from the path. ``benchmarks`` names the files' beginnings; files that are missing are no error."""

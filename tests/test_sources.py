@@ -3,6 +3,7 @@ import json
 
 import pytest
 
+from quernel.plans import tasks
 from quernel.sources import records
 from quernel.streaming.append import append_new
 
@@ -70,3 +71,20 @@ def test_append_goes_on_where_it_ended(spark, tmp_path):
         (source / f"{turn}.jsonl").write_text(f'{{"index": {turn}}}\n')
         append_new(spark, str(source), "index int", sink, check, lambda df: df.where("index >= 0")).awaitTermination()
     assert sorted(x["index"] for x in spark.read.json(sink).collect()) == [0, 1]
+
+
+def test_a_benchmark_folder_and_templates(spark, tmp_path):
+    def put(name, rows):
+        text = "\n".join(json.dumps(x) for x in rows)
+        with gzip.open(tmp_path / name, "wt") if name.endswith(".gz") else open(tmp_path / name, "w") as f:
+            f.write(text)
+
+    put("verilogeval-machine.jsonl.gz", [{"task_id": "a", "prompt": "p", "canonical_solution": "m"}])
+    put("verilogeval-manual.jsonl.gz", [{"task_id": "a", "prompt": "q", "canonical_solution": "h"}, {"task_id": "a", "canonical_solution": "h2"}])
+    put("rtllm.jsonl", [{"task_id": "z", "canonical_solution": "r", "detail_description": "dr"}])
+    put("VerilogDescription_Machine.jsonl", [{"task_id": "a", "detail_description": "dm"}])
+    put("VerilogDescription_Human.jsonl", [{"task_id": "a", "detail_description": "dh"}, {"task_id": "b", "detail_description": "none"}])
+    got = {(x.benchmark, x.task_id): (x.canonical_solution, x.detail_description) for x in records.read_benchmark_folder(spark, str(tmp_path)).collect()}
+    assert got == {("machine", "a"): ("m", "dm"), ("human", "a"): ("h2", "dh"), ("rtllm", "z"): ("r", "dr")}
+    (tmp_path / "t.txt").write_text("two\nlines {code}\n")
+    assert tasks.read_template(spark, str(tmp_path / "t.txt")) == "two\nlines {code}\n"
