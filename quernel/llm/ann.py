@@ -186,7 +186,9 @@ def nearest(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding
     blocks = saved(own.select(F.col("own.id").alias("queries"), F.flatten("own.vector").alias("vectors")), "blocks")
     reach = depth + int(depth / 2 * max(0.0, np.log2(total / (1 << 16))))
     near = max(NEAR, -(-2 * reach // coded.count()))
-    found = mapped(coded.crossJoin(blocks).select("ids", "codes", "queries", "vectors"), _scan(quantiser, d, near), "query_id long, vec_id long, estimate float")
+    # a block's rows follow one another where a task has the blocks as its outer side
+    met = blocks.crossJoin(coded).select("ids", "codes", "queries", "vectors")
+    found = mapped(met, _scan(quantiser, d, near, reach), "query_id long, vec_id long, estimate float")
     turn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("estimate"), "vec_id"))
     best = found.withColumn("turn", turn).where(F.col("turn") <= reach).select("query_id", "vec_id").distinct()
     best = saved(best, "candidates")
@@ -204,15 +206,47 @@ def _few(rows: DataFrame, k: int) -> DataFrame:
     return rows.join(often, again, "left_anti").unionByName(some)
 
 
-def _scan(quantiser: Quantiser, d: int, near: int):
-    """The ``near`` best by estimate of each group of codes for each query of a block."""
+class _Best:
+    """The best by estimate so far of each query of one block, over the groups of codes that a task has scanned."""
+
+    def __init__(self, reach: int):
+        self.reach, self.parts, self.held = reach, [], 0
+
+    def add(self, query: np.ndarray, vec: np.ndarray, estimate: np.ndarray, queries: int) -> None:
+        self.parts.append((query, vec, estimate))
+        self.held += len(query)
+        if self.held > 2 * self.reach * queries:
+            self.parts = [self.kept()]
+            self.held = len(self.parts[0][0])
+
+    def kept(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        query, vec, estimate = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((vec, -estimate, query))
+        query, vec, estimate = query[order], vec[order], estimate[order]
+        turn = np.arange(len(query)) - np.searchsorted(query, query, "left")
+        ok = turn < self.reach
+        return query[ok], vec[ok], estimate[ok]
+
+
+def _scan(quantiser: Quantiser, d: int, near: int, reach: int):
+    """The ``near`` best by estimate of each group of codes for each query of a block; of those of the groups that follow
+    one another with the same block, the ``reach`` best."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, best = None, _Best(reach)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if best.parts:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in best.kept()], names=["query_id", "vec_id", "estimate"])
+
         for b in batches:
             for row in range(len(b)):
                 own = np.frombuffer(b["ids"][row].as_buffer(), np.int64)
                 code = np.frombuffer(b["codes"][row].as_buffer(), np.uint8).reshape(len(own), -1)
                 ids = b["queries"].slice(row, 1).flatten().to_numpy()
+                if at is None or not np.array_equal(at, ids):
+                    yield from out()
+                    at, best = ids.copy(), _Best(reach)
                 unit = _unit(_matrix(b["vectors"].slice(row, 1), d))
                 take = min(near + 1, len(own))
                 most = max(1, TABLES // (code.shape[1] * 1024))
@@ -223,16 +257,17 @@ def _scan(quantiser: Quantiser, d: int, near: int):
                         score += np.take(tables[:, j], code[:, j], axis=1)
                     score[own[None, :] == ids[lo : lo + most, None]] = -np.inf
                     edge = np.partition(score, len(own) - take, axis=1)[:, len(own) - take]
-                    query, at = [], []
+                    query, place = [], []
                     for q in range(len(tables)):
-                        best = np.flatnonzero(score[q] >= edge[q])
-                        if len(best) > take:
-                            best = best[np.argsort(-score[q][best], kind="stable")[:take]]
-                        best = best[own[best] != ids[lo + q]]
-                        query.append(np.full(len(best), lo + q))
-                        at.append(best)
-                    q, v = np.concatenate(query), np.concatenate(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[v]), pa.array(score[q - lo, v])], names=["query_id", "vec_id", "estimate"])
+                        top = np.flatnonzero(score[q] >= edge[q])
+                        if len(top) > take:
+                            top = top[np.argsort(-score[q][top], kind="stable")[:take]]
+                        top = top[own[top] != ids[lo + q]]
+                        query.append(np.full(len(top), lo + q))
+                        place.append(top)
+                    q, v = np.concatenate(query), np.concatenate(place)
+                    best.add(ids[q], own[v], score[q - lo, v], len(ids))
+        yield from out()
 
     return run
 
