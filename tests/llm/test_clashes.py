@@ -4,7 +4,7 @@ import pytest
 from cases import edited, prose
 from pyspark.sql import functions as F
 
-from quernel.llm import decontam, langid, linededup, minhash, pieces, sharding, tokencount, toxicity
+from quernel.llm import chatformat, decontam, langid, linededup, minhash, pieces, resample, sharding, spelling, tokencount, toxicity, warc
 from quernel.llm.queries import PIECE_MODEL, RANKS
 
 NAMES = [
@@ -37,7 +37,21 @@ def test_row_operators_keep_all_columns(spark, docs):
     assert unchanged(minhash.one_of_each(docs), docs) == [0, 2, 3, 4, 5]
     assert unchanged(langid.identified(docs), docs) == [0, 1, 2, 3, 4]
     assert unchanged(decontam.decontaminated(docs, bench), docs) == [0, 1, 3, 4, 5]
-    assert decontam.report(docs, bench).count() == minhash.classes(docs).count() == 6
+    plain = docs.select("doc_id", "text")
+    by_id = lambda df: sorted(map(tuple, df.select(sorted(df.columns)).collect()))
+    assert by_id(decontam.report(docs, bench)) == by_id(decontam.report(plain, bench.drop("_id")))
+    assert by_id(minhash.classes(docs)) == by_id(minhash.classes(plain))
+
+
+def test_archives_and_new_operators(spark, docs):
+    by_id = lambda df: sorted(map(tuple, df.select(sorted(df.columns)).collect()), key=str)
+    pages = docs.select("*", F.col("doc_id").alias("page_id"), F.concat(F.lit("http://a.b/"), "doc_id").alias("url"), F.col("text").alias("html"))
+    assert by_id(warc.archived(pages)) == by_id(warc.archived(pages.select("page_id", "url", "html")))
+    turns = docs.select("*", F.lit(1).alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("user").alias("role"))
+    assert by_id(chatformat.formatted(turns)) == by_id(chatformat.formatted(turns.select("conv_id", "turn", "role", "text")))
+    plain = docs.select("doc_id", "text")
+    assert by_id(spelling.variants(docs, letters=1, every=0)) == by_id(spelling.variants(plain, letters=1, every=0))
+    assert by_id(resample.resampled(docs, plain)) == by_id(resample.resampled(plain, plain))
 
 
 def test_columns_that_are_kept_on_request(spark, docs):

@@ -1,0 +1,63 @@
+"""Texts of megabytes among short ones: of words, of one letter, of one line a word, of white space."""
+
+import random
+from pathlib import Path
+
+import numpy as np
+from cases import prose
+from pyspark.sql import functions as F
+from test_langid import spoken
+from test_tokencount import replaced
+
+from quernel.functions.bytepairs import BytePairs
+from quernel.llm import chatformat, langid, resample, spelling, tokencount, toxicity
+from quernel.llm.queries import RANKS
+
+LONG = {1: prose(1, 300_000), 2: "x" * 1_500_000, 3: " \n" * 700_000, 4: "é😀 " * 200_000, 5: "\n".join(["line"] * 200_000)}
+
+
+def table(spark, more=()):
+    return spark.createDataFrame([*LONG.items(), *more], "doc_id long, text string").repartition(4)
+
+
+def test_languages(spark):
+    langs = ["aa", "bb"]
+    rows = [(100 + i, spoken(langs[i % 2], i, 30), langs[i % 2]) for i in range(80)] + [(1, spoken("bb", 1, 250_000), None), (2, LONG[2], None), (3, LONG[3], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = {x.doc_id: x for x in langid.predict(df, langid.fit(df)).collect()}
+    assert got[1].lang_pred == "bb" and got[1].score > 0.99 and got[2].lang_pred in langs and got[3].lang_pred == "und" and len(got) == 83
+
+
+def test_counts_and_edits(spark):
+    r, known = random.Random(1), BytePairs(Path(RANKS).read_bytes())
+    edits = {i: [(r.randrange(len(t)), r.choice([0, 3, 500]), r.choice(["", " new words", "'s"])) for _ in range(3)] for i, t in LONG.items()}
+    rows = [(i, t, [{"start": a, "length": n, "insert": s} for a, n, s in edits[i]]) for i, t in LONG.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<start:int,length:int,insert:string>>").repartition(4)
+    for x in tokencount.counted_edits(df, RANKS, ["doc_id"]).collect():
+        text = LONG[x.doc_id]
+        assert x.n_tokens == len(known.encode(text))
+        for a, n, s in edits[x.doc_id]:
+            text = replaced(text, a, n, s)
+        assert x.n_tokens_edited == len(known.encode(text))
+
+
+def test_severity(spark):
+    rows = [(100 + i, prose(i, 30) + (" vilest wretches" if i % 3 == 0 else "")) for i in range(90)]
+    df = table(spark, [*rows, (6, LONG[1] + " vilest wretches")])
+    model = toxicity.fit(df, spark.createDataFrame([(100 + i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int"))
+    got = {x.doc_id: x.severity for x in toxicity.severity(df, model, ["doc_id"]).collect()}
+    assert len(got) == 96 and all(np.isfinite(v) and 0 <= v <= 1 for v in got.values()) and got[100] > 0.5 > got[101]
+
+
+def test_transcripts(spark):
+    df = table(spark).select(F.lit(1).alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("assistant").alias("role"), F.concat("text", F.lit("### </turn>\\")).alias("text"))
+    got = chatformat.formatted(df).select(F.length(chatformat.learned_text(F.col("segments"))).alias("n"), F.size(chatformat.read_back(F.col("formatted"))).alias("k")).first()
+    assert got.n == sum(len(t) + 12 for t in LONG.values()) and got.k == 5
+
+
+def test_words_and_features(spark):
+    got = {x.word: x.n for x in spelling.counted(table(spark), every=0).collect()}
+    words = [w for w in LONG[1].split(" ") if len(w) >= 7]
+    assert sum(got.values()) == sum(n for n in (words.count(w) for w in set(words)) if n > 1)
+    own = {x.doc_id: x.n_features for x in resample.resampled(table(spark), table(spark).where("doc_id = 1"), least=1).collect()}
+    assert own == {1: 599_999, 2: 1, 3: 0, 4: 399_999, 5: 399_999}
