@@ -320,7 +320,7 @@ def rouge_candidates(lists: DataFrame, known: DataFrame, threshold: float) -> Da
     kinds = "id {}, size int, token long, at int"
     longest, shortest = known.agg(F.max(F.size("hashes")), F.min(F.size("hashes"))).first()
     far = threshold / (2 - threshold)
-    fit = lists.where(F.size("hashes").between(F.lit((shortest or 1) * far), F.lit((longest or 0) / far)))
+    fit = lists.where(F.size("hashes").between(F.lit((shortest or 1) * far), F.lit((longest or 0) / far if far else math.inf)))
     rarity = _rarity(known)
     ours = saved(mapped(fit, _prefixes(rarity, threshold, True), kinds.format(dict(lists.dtypes)["id"])), "our_prefixes")
     theirs = saved(mapped(known, _prefixes(rarity, threshold, False), kinds.format("long")), "their_prefixes")
@@ -339,7 +339,14 @@ def rouge_candidates(lists: DataFrame, known: DataFrame, threshold: float) -> Da
     return both.where(2 * most > F.lit(threshold) * (F.col("size") + F.col("its_size"))).select("id", "its_id").distinct()
 
 
-def rouge_l(texts: DataFrame, reference: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
+def rouge_l(texts: DataFrame, reference: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, rouge): the largest F-measure of longest common word runs against a stated reference set, a row for each
+    row of ``texts``: rouge_over() without a threshold, so all pairs that share a word are compared. Null texts, texts
+    without words and those that share none have 0."""
+    return rouge_over(texts, reference, key, text, 0.0).withColumn("rouge", F.coalesce("rouge", F.lit(0.0)))
+
+
+def rouge_over(texts: DataFrame, reference: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
     """(key, rouge): the largest F-measure of longest common word runs against a stated reference set where that is over
     ``threshold``, else null; a row for each row of ``texts``.
 

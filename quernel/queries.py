@@ -182,7 +182,7 @@ _ROUGE = r"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, r
 @query(_ROUGE)
 def rouge_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each document stays, or is over 0.7 by its word-run F-measure against the benchmark, and the largest then."""
-    got = dedup.rouge_l(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+    got = dedup.rouge_over(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
     return got.select("doc_id", F.round("rouge", 9).alias("rouge"), F.col("rouge").isNull().alias("stays"))
 
 

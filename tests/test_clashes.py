@@ -39,7 +39,7 @@ def test_near_and_exact_copies(spark, rows):
     assert same(dedup.exact_first(rows, ["text"], "id"), rows) == [0, 2, 3, 4, 5, 6]
     left = [i for i in range(21) if i % 7 != 2]
     assert same(dedup.unseen(rows, F.col("text"), other, F.col("text")), rows) == left
-    assert dedup.rouge_l(rows.select("*", F.lit(1).alias("w"), F.lit(2).alias("hashes")), other, "id").where("rouge = 1").count() == 3
+    assert dedup.rouge_over(rows.select("*", F.lit(1).alias("w"), F.lit(2).alias("hashes")), other, "id").where("rouge = 1").count() == 3
 
 
 def test_exact_first_takes_a_row_of_each_text(spark):

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quernel.operators import dedup
 
@@ -138,11 +139,10 @@ def test_common_length():
         assert dedup.common_length(a, b) == plain(a, b)
 
 
-@pytest.mark.parametrize(("words", "rows"), [(100_000, 64), (6, 2)])
-def test_rouge(spark, monkeypatch, words, rows):
+@pytest.mark.parametrize("together", [1000, 2])
+def test_rouge(spark, monkeypatch, together):
     """Against all pairs in plain Python; repeated and null ids have a row each, however the blocks fall."""
-    monkeypatch.setattr(dedup, "WORDS", words)
-    monkeypatch.setattr(dedup, "ROWS", rows)
+    monkeypatch.setattr(dedup, "TOGETHER", together)
     r = random.Random(6)
     some = lambda: " ".join(r.choice(["a", "B", "c3", "dd", "--"]) for _ in range(r.randint(0, 9)))
     own = [(1, "A b c"), (2, "x"), (3, None), (4, ""), (1, "a c"), (None, "q"), (None, "a")] + [(10 + i, some()) for i in range(30)]
@@ -169,4 +169,22 @@ def test_rouge(spark, monkeypatch, words, rows):
     got = [(x.doc_id, x.rouge) for x in dedup.rouge_l(df, bench).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert {x.rouge for x in dedup.rouge_l(df, bench.limit(0)).collect()} == {0.0}
+    for t in (0.3, 0.7, 0.9):
+        over = [(x.doc_id, x.rouge) for x in dedup.rouge_over(df, bench, threshold=t).collect()]
+        assert sorted(over, key=str) == sorted(((i, v if v > t else None) for i, v in want), key=str)
+    assert {x.rouge for x in dedup.rouge_over(df, bench.limit(0)).collect()} == {None}
+
+
+def test_rouge_compares_only_pairs_that_can_be_over(spark):
+    r = random.Random(8)
+    words = [f"w{min(int(r.expovariate(0.02)), 500)}" for _ in range(4000)]
+    texts = [" ".join(words[i * 20 : i * 20 + r.randrange(15, 25)]) for i in range(190)]
+    near = [t.replace(" ", " extra ", 2) for t in texts[:20]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts[20:] + near)], "doc_id long, text string")
+    bench = spark.createDataFrame([(t,) for t in texts[:20]] * 2, "text string")
+    got = {x.doc_id for x in dedup.rouge_over(df, bench).where("rouge is not null").collect()}
+    assert got >= set(range(170, 190))
+    lists = lambda d, i: d.select(i, F.transform(dedup.words_of(F.col("text")), lambda x: F.xxhash64(x)).alias("hashes"))
+    pairs = dedup.rouge_candidates(lists(df, F.col("doc_id").alias("id")), lists(bench.distinct(), F.monotonically_increasing_id().alias("id")), 0.7)
+    assert pairs.count() < 0.25 * 190 * 20
 
