@@ -201,7 +201,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, most: int) -> DataFrame:
     members = dealt.join(sets.select("node", "cells"), "node").select("a", "salt", F.lit(True).alias("member"), "node", "cells")
     first = heads.join(sets.select(F.col("node").alias("a"), "cells"), "a").select("a", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(False).alias("member"), F.col("a").alias("node"), "cells")
     rows = first.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "node")
-    return saved(mapped(rows, _beside, "a long, b long, similar double"), "compared")
+    return saved(mapped(rows, _beside, "a long, b long, similar double"), "compared", most)
 
 
 def _near_groups(coarse: DataFrame, label: DataFrame, sets: DataFrame, threshold: float, most: int) -> DataFrame:
@@ -252,7 +252,7 @@ def _near_groups(coarse: DataFrame, label: DataFrame, sets: DataFrame, threshold
                     out.append((b["node"][y], b["node"][x], similar[y]))
         return pd.DataFrame(out, columns=["a", "b", "similar"])
 
-    return saved(rows.groupBy("grp", "i", "j").applyInPandas(compare, "a long, b long, similar double"), "near")
+    return saved(rows.groupBy("grp", "i", "j").applyInPandas(compare, "a long, b long, similar double"), "near", most)
 
 
 def _crossed(mixed: DataFrame, may: Column) -> DataFrame:
