@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.operators.dedup import banded, field_texts, greedy
-from quernel.operators.order import first_of_each, keep_first, numbered, one_each, quota, seeded_key
+from quernel.operators.order import first_of_each, keep_first, numbered, quota, seeded_key
 from quernel.store import free_name, hinted, looked, saved
 
 
@@ -31,12 +33,23 @@ def low_groups(df: DataFrame, by: list[str], below: float = 0.2, passed: str = "
 def looked_up(df: DataFrame, reference: DataFrame, on: list[str], values: list[str], strict: bool = True) -> DataFrame:
     """Values of the reference (a row for each key) by key; with ``strict`` a key that it lacks fails the job, else gives
     nulls. Columns of the values' names are replaced."""
-    flag = free_name(df, free_name(reference, "its_found"))
-    found = looked(df, reference.select(*on, *values, F.lit(True).alias(flag)), on)
-    if strict:
-        missing = F.raise_error(F.concat(F.lit("no reference for "), F.concat_ws(", ", *on)))
-        found = found.withColumn(values[0], F.when(F.col(flag).isNull(), missing.cast(found.schema[values[0]].dataType)).otherwise(F.col(values[0])))
-    return found.drop(flag)
+    return all_looked_up(df, [(reference, values)], on, strict)
+
+
+def all_looked_up(df: DataFrame, references: list[tuple[DataFrame, list[str]]], on: list[str], strict: bool = True) -> DataFrame:
+    """looked_up() in several references of one key, each with its own values. The references are joined with one another
+    first, so ``df`` is moved once however many there are."""
+    flags, told = [], None
+    for i, (reference, values) in enumerate(references):
+        flags.append(free_name(df, free_name(reference, f"its_found{i}")))
+        own = reference.select(*on, *values, F.lit(True).alias(flags[-1]))
+        told = own if told is None else told.join(own, on, "full")
+    found = looked(df, told if len(references) == 1 else saved(told, "references"), on)
+    for flag, (_, values) in zip(flags, references, strict=True):
+        if strict:
+            missing = F.raise_error(F.concat(F.lit("no reference for "), F.concat_ws(", ", *on)))
+            found = found.withColumn(values[0], F.when(F.col(flag).isNull(), missing.cast(found.schema[values[0]].dataType)).otherwise(F.col(values[0])))
+    return found.drop(*flags)
 
 
 def first_completions(df: DataFrame, order: list[str], keys: tuple[str, ...] = ("task_id", "completion")) -> DataFrame:
@@ -55,13 +68,26 @@ def trajectories(results: DataFrame, reference: DataFrame, seed: int = 0) -> Dat
 
     ``results``: row_id, exp, benchmark, step, task_id, prompt, completion, passed. ``reference``: task_id,
     benchmark, correct.
+
+    The results are read and moved once: a task of Spark sends on the sums and the one row that it would choose of each
+    group, so a hot group is as many rows as there are tasks. Tiers are sums of the groups' sums. A null in ``passed``
+    counts neither way; a group with a null in its key gives no row, but its results count for the tier.
     """
-    group = ["exp", "benchmark", "task_id", "step"]
-    low = low_groups(results, group).select(*group)
-    failed = looked(results.where(~F.col("passed")), low, group, "left_semi")
-    chosen = one_each(failed, group, seed, "row_id")
-    graded = tiers(results, ["exp", "benchmark", "task_id"]).select("exp", "benchmark", "task_id", "difficulty")
-    return looked_up(chosen.join(graded, ["exp", "benchmark", "task_id"]), reference, ["task_id", "benchmark"], ["correct"])
+    task, row = ["exp", "benchmark", "task_id"], "row_id"
+    rest = [c for c in results.columns if c not in (*task, "step", "difficulty")]
+    k, n, got, draw = (free_name(results, x) for x in ("its_k", "its_n", "its_row", "its_draw"))
+    failed = ~F.col("passed")
+    slim = results.select(
+        *task, "step", "passed", F.when(failed, F.struct(*[F.col(f"`{c}`") for c in rest])).alias(got),
+        F.when(failed, F.struct(seeded_key(seed, row).alias("draw"), F.col(row).alias("at"))).alias(draw),
+    )
+    groups = slim.groupBy(*task, "step").agg(F.count_if("passed").alias(k), F.count("passed").alias(n), F.min_by(got, draw).alias(got))
+    low = groups.withColumn(got, F.when(F.try_divide(k, n) < 0.2, F.col(got)))
+    whole = Window.partitionBy(*task)
+    graded = low.withColumn("difficulty", tier(F.try_divide(F.sum(k).over(whole), F.sum(n).over(whole))))
+    some = graded.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*task, "step", got)]))
+    chosen = some.select(*task, "step", *[F.col(f"{got}.`{c}`").alias(c) for c in rest], "difficulty")
+    return looked_up(chosen, reference, ["task_id", "benchmark"], ["correct"])
 
 
 def trajectory_bands(found: DataFrame, order: str) -> DataFrame:
@@ -120,8 +146,7 @@ def final_reports(reports: DataFrame, descriptions: DataFrame, headers: DataFram
     ``headers``: task_id, benchmark, header. ``checked`` keeps passed rows only.
     """
     rows = reports.where("passed") if checked else reports
-    told = looked_up(rows, descriptions, ["task_id", "benchmark"], ["detail_description"])
-    led = looked_up(told, headers, ["task_id", "benchmark"], ["header"])
+    led = all_looked_up(rows, [(descriptions, ["detail_description"]), (headers, ["header"])], ["task_id", "benchmark"])
     return led.select(
         F.col("detail_description").alias("problem"), F.concat("header", "completion").alias("error"), F.concat("header", "correct").alias("correct"),
         "exp", "benchmark", "difficulty", "task_id", "reason", "passed",

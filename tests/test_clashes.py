@@ -1,6 +1,8 @@
 """Columns that have the names of operators' own helpers come through with their values, and one key may hold a third of
 all rows."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +124,45 @@ def test_trajectories_of_a_hot_group(spark, monkeypatch):
     got = report.trajectories(df, reference).collect()
     low = {t for t in tasks_ if (p := [x[7] for x in rows if x[4] == t]) and sum(p) / len(p) < 0.2}
     assert {x.task_id for x in got} == low and len(got) == len(low) and all(x.correct == f"right {x.task_id}" and not x.passed for x in got)
+
+
+def test_trajectories_against_plain_python(spark):
+    """Nulls in every part of the key and in ``passed``, more columns with helpers' names, an old difficulty; one exchange
+    of the results."""
+    rows = []
+    for i in range(1200):
+        passed = None if i % 11 == 0 else i % 5 == 0 if i % 4 else i % 50 == 0
+        rows.append((i, None if i % 97 == 0 else f"e{i % 2}", "b", None if i % 13 == 0 else i % 3, "hot" if i % 3 == 0 else f"t{i % 8}", f"p{i}", f"c{i}", passed, f"x{i}", "old"))
+    rows.append((5000, "e9", "b", 1, "never ran", "p", "c", None, "x", "old"))
+    names = "row_id long, exp string, benchmark string, step int, task_id string, prompt string, completion string, passed boolean, its_row string, difficulty string"
+    df = spark.createDataFrame(rows, names).repartition(5)
+    reference = spark.createDataFrame([(t, "b", f"right {t}") for t in {x[4] for x in rows}], "task_id string, benchmark string, correct string")
+
+    def rate(some):
+        known = [x[7] for x in some if x[7] is not None]
+        return sum(known) / len(known) if known else None
+
+    want = {}
+    for key in {(x[1], x[4], x[3]) for x in rows if x[1] is not None and x[3] is not None}:
+        own = [x for x in rows if (x[1], x[4], x[3]) == key]
+        if (r := rate(own)) is not None and r < 0.2:
+            one = min((x for x in own if x[7] is False), key=lambda x: (hashlib.md5(f"0|{x[0]}".encode()).hexdigest(), x[0]))
+            whole = rate([x for x in rows if (x[1], x[4]) == key[:2]])
+            want[one[0]] = "easy" if whole > 0.9 else "hard" if whole < 0.2 else "soso"
+    found = report.trajectories(df, reference)
+    got = found.collect()
+    assert {x.row_id: x.difficulty for x in got} == want and len(got) == len(want) > 5 and len(set(want.values())) > 1
+    assert all(x.completion == f"c{x.row_id}" and x.its_row == f"x{x.row_id}" and x.correct == f"right {x.task_id}" for x in got)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") + plan.count("Repartition 5") == 1  # the source, once
+    assert report.trajectories(df.limit(0), reference).count() == 0
+
+
+def test_lookups_in_several_references(spark):
+    rows = spark.createDataFrame([(1, "a", "old"), (2, "b", "old"), (3, None, "old")], "id int, k string, v string")
+    one, two = spark.createDataFrame([("a", "va"), ("b", "vb")], "k string, v string"), spark.createDataFrame([("a", "wa"), ("c", "wc"), (None, "wn")], "k string, w string")
+    got = report.all_looked_up(rows, [(one, ["v"]), (two, ["w"])], ["k"], strict=False).collect()
+    assert {(x.id, x.v, x.w) for x in got} == {(1, "va", "wa"), (2, "vb", None), (3, None, None)}
+    assert report.all_looked_up(rows.where("id = 1"), [(one, ["v"]), (two, ["w"])], ["k"]).count() == 1
+    with pytest.raises(Exception, match="no reference for b"):
+        report.all_looked_up(rows.where("id = 2"), [(one, ["v"]), (two, ["w"])], ["k"]).collect()
