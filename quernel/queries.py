@@ -16,7 +16,7 @@ from quernel.operators.index import NearIndex
 from quernel.operators.models import Stub, judged, scored
 from quernel.plans import tasks
 from quernel.sources import records, snapshots, trees
-from quernel.store import new_path, spread
+from quernel.store import new_path, saved, spread
 from quernel.streaming.caps import capped
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -242,9 +242,11 @@ def length_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Rates, tiers, lookups ------------------------------------------------------------------------------------
 
-def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels as test results: a source is a task, a language an experiment, good quality a pass."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+def _results(spark: SparkSession, sf_dir: str, texts: bool = False) -> DataFrame:
+    """Labels as test results: a source is a task, a language an experiment, good quality a pass. With ``texts`` the join
+    is a shuffled one at any size: labels grow with documents."""
+    labels = table(spark, sf_dir, "labels")
+    docs = table(spark, sf_dir, "documents").join(labels.hint("merge") if texts else labels, "doc_id")
     return docs.select(
         F.col("doc_id").alias("row_id"), F.col("lang").alias("exp"), F.lit("human").alias("benchmark"), (F.col("doc_id") % 3).cast("int").alias("step"),
         F.col("source").alias("task_id"), F.col("text").alias("prompt"), F.col("text").alias("completion"), (F.col("quality") == 1).alias("passed"),
@@ -270,7 +272,7 @@ def difficulty_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT min_by(row_id, {'h': md5('0|' || row_id), 'd': row_id}) AS row_id, exp, task_id, step FROM r JOIN low USING (exp, task_id, step) WHERE NOT passed GROUP BY exp, task_id, step""")
 def failed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One failed completion of each group that passes less than a fifth of the time."""
-    rows = _results(spark, sf_dir)
+    rows = saved(_results(spark, sf_dir, texts=True), "results")
     reference = rows.groupBy("task_id", "benchmark").agg(F.min("prompt").alias("correct"))
     return report.trajectories(rows, reference).select("row_id", "exp", "task_id", "step")
 
@@ -673,7 +675,7 @@ def reports_with_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT row_id, detail_description AS problem, 'module ' || task_id || ');' || completion AS error, 'module ' || task_id || ');' || exp AS correct FROM r JOIN told USING (task_id) WHERE passed""")
 def final_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What passed, as records to train on: the task's description, and both codes under its header."""
-    docs, rows = table(spark, sf_dir, "documents"), _results(spark, sf_dir)
+    docs, rows = table(spark, sf_dir, "documents"), _results(spark, sf_dir, texts=True)
     reports = rows.select("task_id", "benchmark", "exp", "completion", F.col("exp").alias("correct"), F.lit("hard").alias("difficulty"), F.col("row_id").alias("reason"), "passed")
     told = docs.groupBy(F.col("source").alias("task_id")).agg(F.min("text").alias("detail_description")).withColumn("benchmark", F.lit("human"))
     heads = told.select("task_id", "benchmark", F.concat(F.lit("module "), "task_id", F.lit(");")).alias("header"))
@@ -865,7 +867,7 @@ _MINED = (
 
 @query(_MINED)
 def mined_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _results(spark, sf_dir)
+    rows = saved(_results(spark, sf_dir, texts=True), "results")
     reference = rows.groupBy("task_id", "benchmark").agg(F.min("prompt").alias("correct"))
     client = Stub(lambda p: f"<REASON>{len(p)}</REASON>")
     return tasks.mine_errors(rows, reference, client, target=4, rounds=2).select("row_id", "task_id", "difficulty", "reason", "passed")
