@@ -3,8 +3,12 @@
 Vectors are scaled to length 1, so the largest cosine is the largest inner product. Each is quantised in pairs
 of components to 16 codewords, 4 bits a pair. What counts for a large inner product is the error along the
 vector, so the loss weighs the parallel residual more than the rest; codewords and codes are both chosen by
-that loss. A scan of the codes alone adds up table entries for two pairs a byte, blocks of rows against blocks of
-queries, and the vectors of the best by that estimate are fetched and scored exactly.
+that loss. A scan of the codes adds up table entries for two pairs a byte, blocks of rows against blocks of queries.
+
+How far an estimate may be off is known: a row keeps the length of its residual along itself and across. A row of
+cosine t with the query has an estimate of at least t (1 - along) - sqrt(1 - t^2) across, so rows whose estimate is under
+that for the query's k-th best cosine so far can't be among its nearest; all others are scored exactly. So nothing is
+missed, whatever the vectors are like; how many are scored depends on how well the codes tell them apart.
 """
 
 from __future__ import annotations
@@ -23,8 +27,9 @@ from quernel.store import mapped, saved
 WORDS = 16
 QUERY_BLOCK = 256  #: queries in a row of the query side, on average
 TABLES = 16 << 20  #: bytes of lookup tables that a task holds at once
-SCAN_ROWS = 4096  #: rows whose codes are one row of the scanned side
-NEAR = 32  #: candidates that a query takes at least from each of these
+SCAN_ROWS = 4096  #: rows at most whose codes are one row of the scanned side
+SCAN_BYTES = 4 << 20  #: bytes at most of their vectors
+PAIRS_BYTES = 2 << 20  #: bytes of the vectors of pairs that are scored at once
 
 
 @dataclass
@@ -63,6 +68,13 @@ class Quantiser:
                 total = others + along[:, j]
         return code
 
+    def off(self, unit: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row, its residual along itself (signed) and the length of the rest of it."""
+        x = self.pairs(unit)
+        rest = x - self.books[np.arange(codes.shape[1])[None], codes]
+        along = (rest * x).sum((1, 2))
+        return along, np.sqrt(np.maximum((rest**2).sum((1, 2)) - along**2, 0))
+
     def tables(self, unit: np.ndarray) -> np.ndarray:
         """Of each query, inner products by byte: queries x pairs / 2 x 256."""
         part = np.einsum("qmd,mcd->qmc", self.pairs(unit), self.books)
@@ -121,9 +133,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _cosines(x: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Of each row with the query. A row's sums are along its own components, so equal rows score equally wherever
-    they stand; a matrix product would not promise that."""
-    x, query = np.ascontiguousarray(_scaled(x)), _scaled(query[None])
+    """Of each row with the query, or with its row of as many queries. A row's sums are along its own components, so
+    equal rows score equally wherever they stand; a matrix product would not promise that."""
+    x, query = np.ascontiguousarray(_scaled(x)), np.ascontiguousarray(_scaled(np.atleast_2d(query)))
     return (x * query).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((query * query).sum(1)))
 
 
@@ -136,13 +148,12 @@ def usable(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
     return vectors.where(F.col(key).isNotNull() & v.isNotNull()).where(finite & some).select(F.col(key).cast("long").alias("id"), held.alias("vector"))
 
 
-def nearest(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", every: int = 50, k: int = 5, depth: int = 512, max_sample: int = 8192) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the ``k`` rows of largest cosine found for each query.
+def nearest(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", every: int = 50, k: int = 5, max_sample: int = 8192) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the ``k`` rows of largest cosine for each query.
 
     Queries are the rows whose key is divisible by ``every``; candidates are all rows but those with the
-    query's key. Of all rows, the ``depth`` best by estimate (half of ``depth`` more for each doubling of the table
-    beyond 65,536 rows) are scored on the original vectors in double precision. Codes are scanned in groups of
-    4,096 rows; of each a query takes twice its share of these, and NEAR at least. Ties go to the smaller key; a query with fewer
+    query's key. All codes are scanned, in groups of 4,096 rows or fewer, and every row that its estimate doesn't rule
+    out is scored on the original vectors in double precision. Ties go to the smaller key; a query with fewer
     than k candidates gets all. Vectors that are null, zero, or have null or non-finite components take no part,
     nor do rows with a null key or with another number of components than most rows have. A repeated row is a
     candidate as often as it is there; queries of one key are answered once, by the least of their vectors.
@@ -157,152 +168,127 @@ def nearest(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding
     rows = rows.where(F.size("vector") == d)
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(max_sample).select("vector").toArrow()["vector"]
     quantiser = train(_unit(_matrix(sample, d)))
+    kind = np.float32 if dict(rows.dtypes)["vector"] == "array<float>" else np.float64
+    size = max(1, min(SCAN_ROWS, SCAN_BYTES // (d * np.dtype(kind).itemsize)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, codes, held = [], [], 0
+        parts, held = [], 0
 
         def out() -> pa.RecordBatch:
-            own, code = np.concatenate(ids), np.concatenate(codes)
-            order = np.argsort(own, kind="stable")  # so ties go to smaller keys
-            return pa.RecordBatch.from_pydict({"n": pa.array([len(own)], pa.int32()), "ids": [own[order].tobytes()], "codes": [code[order].tobytes()]})
+            own = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            values = [pa.array([x.tobytes()], pa.binary()) for x in own]
+            return pa.RecordBatch.from_arrays(values, names=["ids", "codes", "along", "across", "rows"])
 
         for b in batches:
             while len(b):
-                part, b = b.slice(0, SCAN_ROWS - held), b.slice(min(len(b), SCAN_ROWS - held))
-                ids.append(part["id"].to_numpy())
-                codes.append(packed(quantiser.codes(_unit(_matrix(part["vector"], d)))))
+                part, b = b.slice(0, size - held), b.slice(min(len(b), size - held))
+                x = _matrix(part["vector"], d)
+                unit = _unit(x)
+                codes = quantiser.codes(unit)
+                along, across = quantiser.off(unit, codes)
+                parts.append((part["id"].to_numpy(), packed(codes), along.astype(np.float32), across.astype(np.float32), x.astype(kind)))
                 held += len(part)
-                if held == SCAN_ROWS:
+                if held == size:
                     yield out()
-                    ids, codes, held = [], [], 0
+                    parts, held = [], 0
         if held:
             yield out()
 
-    coded = saved(mapped(rows, index, "n int, ids binary, codes binary"), "codes")
-    total = coded.agg(F.sum("n")).first()[0]
+    coded = saved(mapped(rows, index, "ids binary, codes binary, along binary, across binary, rows binary"), "codes")
     queries = saved(rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vector").alias("vector")), "queries")
     block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK))))
     own = queries.groupBy(block.alias("block")).agg(F.collect_list(F.struct("id", "vector")).alias("own"))
-    blocks = saved(own.select(F.col("own.id").alias("queries"), F.flatten("own.vector").alias("vectors")), "blocks")
-    reach = depth + int(depth / 2 * max(0.0, np.log2(total / (1 << 16))))
-    near = max(NEAR, -(-2 * reach // coded.count()))
-    # a block's rows follow one another where a task has the blocks as its outer side
-    met = blocks.crossJoin(coded).select("ids", "codes", "queries", "vectors")
-    found = mapped(met, _scan(quantiser, d, near, reach), "query_id long, vec_id long, estimate float")
-    turn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("estimate"), "vec_id"))
-    best = found.withColumn("turn", turn).where(F.col("turn") <= reach).select("query_id", "vec_id").distinct()
-    best = saved(best, "candidates")
-    return _reranked(best, _few(rows, k), queries, k, d)
-
-
-def _few(rows: DataFrame, k: int) -> DataFrame:
-    """Rows without those beyond the first k of equal ones, which no query could need."""
-    often = saved(rows.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > k).select(F.col("id").alias("often")), "often")
-    if not often.limit(1).count():
-        return rows
-    again = F.col("id") == F.col("often")
-    turn = F.row_number().over(Window.partitionBy("id", "vector").orderBy("id"))
-    some = rows.join(often, again, "left_semi").withColumn("turn", turn).where(F.col("turn") <= k).drop("turn")
-    return rows.join(often, again, "left_anti").unionByName(some)
+    blocks = saved(own.select("block", F.col("own.id").alias("queries"), F.flatten("own.vector").alias("vectors")), "blocks")
+    met = coded.crossJoin(blocks)
+    found = mapped(met, _scan(quantiser, d, k, kind), "query_id long, vec_id long, score double")
+    turn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", turn).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 class _Best:
-    """The best by estimate so far of each query of one block, over the groups of codes that a task has scanned."""
-
-    def __init__(self, reach: int):
-        self.reach, self.parts, self.held = reach, [], 0
-
-    def add(self, query: np.ndarray, vec: np.ndarray, estimate: np.ndarray, queries: int) -> None:
-        self.parts.append((query, vec, estimate))
-        self.held += len(query)
-        if self.held > 2 * self.reach * queries:
-            self.parts = [self.kept()]
-            self.held = len(self.parts[0][0])
-
-    def kept(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        query, vec, estimate = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        order = np.lexsort((vec, -estimate, query))
-        query, vec, estimate = query[order], vec[order], estimate[order]
+    """The k best so far of each query of one block, over the groups of codes that a task has scanned."""
+
+    def __init__(self, ids: np.ndarray, k: int):
+        self.ids, self.k = ids, k
+        self.score, self.vec = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+
+    def add(self, query: np.ndarray, vec: np.ndarray, score: np.ndarray) -> None:
+        """Pairs of a query's place and a row, of which those go that are no better than the k-th."""
+        some = score >= self.score[query, -1]
+        touched = np.unique(query[some])
+        if not len(touched):
+            return
+        held = np.isfinite(self.score[touched])
+        query = np.concatenate([np.repeat(touched, held.sum(1)), query[some]])
+        vec = np.concatenate([self.vec[touched][held], vec[some]])
+        score = np.concatenate([self.score[touched][held], score[some]])
+        order = np.lexsort((vec, -score, query))
+        query, vec, score = query[order], vec[order], score[order]
         turn = np.arange(len(query)) - np.searchsorted(query, query, "left")
-        ok = turn < self.reach
-        return query[ok], vec[ok], estimate[ok]
+        ok = turn < self.k
+        self.score[query[ok], turn[ok]], self.vec[query[ok], turn[ok]] = score[ok], vec[ok]
 
+    def kept(self) -> pa.RecordBatch:
+        held = np.isfinite(self.score)
+        values = [np.repeat(self.ids, held.sum(1)), self.vec[held], self.score[held]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in values], names=["query_id", "vec_id", "score"])
 
-def _scan(quantiser: Quantiser, d: int, near: int, reach: int):
-    """The ``near`` best by estimate of each group of codes for each query of a block; of those of the groups that follow
-    one another with the same block, the ``reach`` best."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, best = None, _Best(reach)
+def _least(kth: np.ndarray, along: np.ndarray, across: np.ndarray, slack: float) -> np.ndarray:
+    """Queries x rows: the least estimate of a row whose cosine is the query's k-th best so far, or more."""
+    side = np.sqrt(np.maximum(1 - kth * kth, 0)).astype(np.float32)  # before kth is rounded
+    kth = kth.astype(np.float32)
+    near = kth[:, None] * (1 - along) - side[:, None] * across
+    # for cosines below zero the first doesn't rise with the cosine; the whole residual is then what counts
+    ok = (kth[:, None] > 0) & (along < 1)
+    return np.where(ok, near, kth[:, None] - np.sqrt(along**2 + across**2)) - slack
+
 
-        def out() -> Iterator[pa.RecordBatch]:
-            if best.parts:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in best.kept()], names=["query_id", "vec_id", "estimate"])
+def _scan(quantiser: Quantiser, d: int, k: int, kind: type):
+    """The k best of each query of a block among the groups of codes that a task meets it with: of each group the first by
+    estimate are scored, and then all that may still be among the best."""
 
+    def scored(x: np.ndarray, y: np.ndarray, query: np.ndarray, row: np.ndarray) -> np.ndarray:
+        step = max(1, PAIRS_BYTES // (8 * d))
+        parts = [_cosines(x[row[lo : lo + step]], y[query[lo : lo + step]]) for lo in range(0, len(row), step)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, _Best] = {}
+        at, x = None, np.zeros((0, d))
         for b in batches:
-            for row in range(len(b)):
-                own = np.frombuffer(b["ids"][row].as_buffer(), np.int64)
-                code = np.frombuffer(b["codes"][row].as_buffer(), np.uint8).reshape(len(own), -1)
-                ids = b["queries"].slice(row, 1).flatten().to_numpy()
-                if at is None or not np.array_equal(at, ids):
-                    yield from out()
-                    at, best = ids.copy(), _Best(reach)
-                unit = _unit(_matrix(b["vectors"].slice(row, 1), d))
-                take = min(near + 1, len(own))
+            for i in range(len(b)):
+                raw = b["rows"][i].as_buffer()
+                own = np.frombuffer(b["ids"][i].as_buffer(), np.int64)
+                code = np.frombuffer(b["codes"][i].as_buffer(), np.uint8).reshape(len(own), -1)
+                along, across = (np.frombuffer(b[c][i].as_buffer(), np.float32) for c in ("along", "across"))
+                if at is None or not raw.equals(at):
+                    at, x = raw, np.frombuffer(raw, kind).reshape(-1, d).astype(np.float64)
+                ids = b["queries"].slice(i, 1).flatten().to_numpy()
+                state = best.setdefault(b["block"][i].as_py(), _Best(ids.copy(), k))
+                y = _matrix(b["vectors"].slice(i, 1), d)
+                unit = _unit(y)
+                slack = 1e-5 + 2e-7 * code.shape[1]  # sums of floats are off by less
                 most = max(1, TABLES // (code.shape[1] * 1024))
                 for lo in range(0, len(ids), most):
                     tables = quantiser.tables(unit[lo : lo + most])
-                    score = np.zeros((len(tables), len(own)), np.float32)
+                    guess = np.zeros((len(tables), len(own)), np.float32)
                     for j in range(code.shape[1]):
-                        score += np.take(tables[:, j], code[:, j], axis=1)
-                    score[own[None, :] == ids[lo : lo + most, None]] = -np.inf
-                    edge = np.partition(score, len(own) - take, axis=1)[:, len(own) - take]
-                    query, place = [], []
-                    for q in range(len(tables)):
-                        top = np.flatnonzero(score[q] >= edge[q])
-                        if len(top) > take:
-                            top = top[np.argsort(-score[q][top], kind="stable")[:take]]
-                        top = top[own[top] != ids[lo + q]]
-                        query.append(np.full(len(top), lo + q))
-                        place.append(top)
-                    q, v = np.concatenate(query), np.concatenate(place)
-                    best.add(ids[q], own[v], score[q - lo, v], len(ids))
-        yield from out()
+                        guess += np.take(tables[:, j], code[:, j], axis=1)
+                    guess[own[None, :] == ids[lo : lo + most, None]] = -np.inf
+                    take = min(2 * k, len(own))
+                    row = np.argpartition(guess, len(own) - take, axis=1)[:, len(own) - take :].ravel()
+                    query = np.repeat(np.arange(len(tables)), take)
+                    some = guess[query, row] > -np.inf
+                    for turn in range(2):
+                        query, row = query[some], row[some]
+                        state.add(lo + query, own[row], scored(x, y, lo + query, row))
+                        if not turn:
+                            guess[query, row] = -np.inf
+                            kth = state.score[lo : lo + len(tables), -1]
+                            query, row = np.nonzero((guess > -np.inf) & (guess >= _least(kth, along, across, np.float32(slack))))
+                            some = slice(None)
+        for state in best.values():
+            yield state.kept()
 
     return run
-
-
-def _reranked(best: DataFrame, rows: DataFrame, queries: DataFrame, k: int, d: int) -> DataFrame:
-    """The k of largest cosine of each query's candidates, which follow their query in a partition in order."""
-    own = best.join(rows.withColumnRenamed("id", "vec_id"), "vec_id").select("query_id", F.lit(True).alias("member"), "vec_id", "vector")
-    first = queries.select(F.col("id").alias("query_id"), F.lit(False).alias("member"), F.col("id").alias("vec_id"), "vector")
-    ordered = first.unionByName(own).repartition("query_id").sortWithinPartitions("query_id", "member", "vec_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, query, ids, scores = None, None, np.zeros(0, np.int64), np.zeros(0)
-
-        def out() -> pa.RecordBatch:
-            n = len(ids)
-            return pa.RecordBatch.from_arrays([pa.array([at] * n, pa.int64()), pa.array(range(1, n + 1), pa.int32()), pa.array(ids, pa.int64()), pa.array(scores)], names=["query_id", "rank", "vec_id", "score"])
-
-        for b in batches:
-            if not len(b):
-                continue
-            x, q, v = _matrix(b["vector"], d), b["query_id"].to_numpy(), b["vec_id"].to_numpy()
-            member = b["member"].to_numpy(zero_copy_only=False)
-            edges = np.append(np.flatnonzero(~member | (np.arange(len(b)) == 0)), len(b))
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                if not member[lo]:
-                    if at is not None and len(ids):
-                        yield out()
-                    at, query, ids, scores = int(q[lo]), x[lo], np.zeros(0, np.int64), np.zeros(0)
-                    lo += 1
-                if lo == hi:
-                    continue
-                ids, scores = np.append(ids, v[lo:hi]), np.append(scores, _cosines(x[lo:hi], query))
-                order = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[order], scores[order]
-        if at is not None and len(ids):
-            yield out()
-
-    return mapped(ordered, run, "query_id long, rank int, vec_id long, score double")

@@ -44,6 +44,22 @@ def test_recall_and_exact_scores(spark):
     assert hits >= 0.97 * 5 * len(want)
 
 
+def test_rows_that_codes_hardly_tell_apart(spark):
+    """Tight clusters, a common offset, and queries whose cosines are all below zero: nothing is missed."""
+    r = np.random.default_rng(8)
+    clusters = np.repeat(r.normal(size=(3, 16)), 1500, axis=0) + 0.01 * r.normal(size=(4500, 16))
+    offset = 1 + 0.03 * r.normal(size=(4500, 24))
+    away = r.normal(size=12) + 0.05 * r.normal(size=(700, 12))
+    away[::50] *= -1
+    away = away[np.arange(700) % 50 != 0], away[::50][:1]
+    for vectors in (clusters, offset, np.concatenate([away[1], away[0]])):
+        rows = [(i, v) for i, v in enumerate(vectors)]
+        want, got = brute(rows), {}
+        for x in sorted(ann.nearest(table(spark, vectors)).collect(), key=lambda x: (x.query_id, x["rank"])):
+            got.setdefault(x.query_id, []).append(x.vec_id)
+        assert got == {q: [i for i, _ in best] for q, best in want.items()}
+
+
 def test_a_hot_vector_and_a_hot_key(spark):
     """A third of all rows are one vector, another third one row: the smallest keys win ties, repeats count."""
     r = np.random.default_rng(2)
