@@ -13,13 +13,12 @@ import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.store import free_name, looked, saved
+from quernel.store import beside, free_name, looked, mapped, saved
 
 #: Answers in a file; on stores that show a file only once it is closed, a lost task loses so many at most.
 ROLL = 64
@@ -96,7 +95,7 @@ def logged(df: DataFrame, messages: str, most: Column, call: Callable, folder: s
     dealt = saved(open_.withColumn("place", place), "open").repartitionById(parts, F.col("place"))
     run = f"{folder}/run-{uuid.uuid4().hex}"
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writers: dict[int, tuple[_Writer, dict[str, str]]] = {}
 
         def one(place: int, request: str, talk, most: int) -> tuple[str | None, str | None]:
@@ -111,17 +110,18 @@ def logged(df: DataFrame, messages: str, most: Column, call: Callable, folder: s
         try:
             with ThreadPoolExecutor(threads) as pool:
                 for b in batches:
-                    for place in b["place"].unique():
+                    places = b["place"].to_pylist()
+                    for place in set(places):
                         if place not in writers:
                             writer = _Writer(f"{run}/{place}")
                             writers[place] = (writer, writer.earlier())
-                    got = list(pool.map(one, b["place"], b["request"], b["talk"], b["most"]))
-                    yield pd.DataFrame({"request": b["request"], "response": [g[0] for g in got], "error": [g[1] for g in got]})
+                    got = list(pool.map(one, places, *[b[c].to_pylist() for c in ("request", "talk", "most")]))
+                    yield beside(b.select(["request"]), response=[g[0] for g in got], error=[g[1] for g in got])
         finally:
             for writer, _ in writers.values():
                 writer.close()
 
-    new = saved(dealt.mapInPandas(ask, "request string, response string, error string"), "answers")
+    new = saved(mapped(dealt, ask, "request string, response string, error string"), "answers")
     all_ = known.withColumn("error", F.lit(None).cast("string")).unionByName(new)
     told = all_.select(F.col("request").alias(request), "response", "error")
     return looked(keyed, told, [request]).drop(request)

@@ -20,13 +20,13 @@ from dataclasses import dataclass
 from pathlib import Path
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.functions.text import compiles, rewards, tagged, unescaped, verdict
 from quernel.operators.answers import logged
-from quernel.store import free_name, saved
+from quernel.store import beside, free_name, mapped, saved
 
 
 @dataclass(frozen=True)
@@ -85,7 +85,7 @@ def ask(
 
     A row is asked up to ``attempts`` times until it has an answer; a call that raises leaves its message in
     ``error`` and harms no other row. ``max_tokens`` is a number, or the column that has each row's; a row that has
-    none left isn't asked. Calls of a batch run in a few threads inside the task. With ``log``, a folder that driver
+    none left isn't asked. Calls of a batch, which is bounded in bytes, run in a few threads inside the task. With ``log``, a folder that driver
     and executors share, answers are written there as they come, and what is there already isn't asked for again, be it
     by a task that is run once more or by another run; equal requests then have one answer.
     """
@@ -109,16 +109,16 @@ def ask(
         answered = logged(df, messages, most, one, log, engine, temperature, threads)
         return answered.withColumn("response", unescaped("response", engine))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with ThreadPoolExecutor(threads) as pool:
             for b in batches:
-                most = [int(x) for x in b[max_tokens]] if isinstance(max_tokens, str) else [max_tokens] * len(b)
-                got = list(pool.map(one, b[messages], most))
-                yield b.assign(response=[g[0] for g in got], error=[g[1] for g in got])
+                most = [int(x) for x in b[max_tokens].to_pylist()] if isinstance(max_tokens, str) else [max_tokens] * len(b)
+                got = list(pool.map(one, b[messages].to_pylist(), most))
+                yield beside(b, response=[g[0] for g in got], error=[g[1] for g in got])
 
     names = [c for c in df.columns if c not in ("response", "error")]
     schema = df.select(*names).schema.add("response", "string").add("error", "string")
-    answered = saved(df.select(*names).mapInPandas(run, schema), "answers")
+    answered = saved(mapped(df.select(*names), run, schema), "answers")
     return answered.withColumn("response", unescaped("response", engine))
 
 
@@ -232,10 +232,10 @@ def executed(df: DataFrame, files: dict[str, str], runner: Runner) -> DataFrame:
     A row with a null file isn't run and has nulls. What the runner raises goes to stderr.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = []
-            for row in b[list(files.values())].itertuples(index=False):
+            for row in zip(*[b[c].to_pylist() for c in files.values()], strict=True):
                 if any(x is None for x in row):
                     got.append((None, None, None))
                     continue
@@ -244,10 +244,11 @@ def executed(df: DataFrame, files: dict[str, str], runner: Runner) -> DataFrame:
                     got.append((r.out, r.err, r.timed_out))
                 except Exception as e:  # noqa: BLE001
                     got.append(("", f"{type(e).__name__}: {e}", False))
-            yield b.assign(stdout=[g[0] for g in got], stderr=[g[1] for g in got], timed_out=[g[2] for g in got])
+            told = beside(b, stdout=[g[0] for g in got], stderr=[g[1] for g in got])
+            yield told.append_column("timed_out", pa.array([g[2] for g in got], pa.bool_()))
 
     schema = df.select("*").schema.add("stdout", "string").add("stderr", "string").add("timed_out", "boolean")
-    return saved(df.mapInPandas(run, schema), "runs")
+    return saved(mapped(df, run, schema), "runs")
 
 
 def tested(df: DataFrame, files: dict[str, str], runner: Runner, rtllm: Column | bool = False, compile_only: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +90,12 @@ def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def beside(batch: pa.RecordBatch, **texts: list[str | None]) -> pa.RecordBatch:
+    """A batch with string columns after its own, which stay as they are."""
+    own = [pa.array(x, pa.string()) for x in texts.values()]
+    return pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, *texts])
+
+
 #: No key of so few rows is heavy, whatever its share.
 LIGHT = 2000
 
