@@ -152,12 +152,22 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def greedy(meets: DataFrame) -> DataFrame:
-    """The nodes of (node, bucket) that are kept, in order of node.
+    """The nodes of (node, bucket) that are kept, in order of node. A bucket with one row decides nothing, so only rows of
+    the others go through rounds; a node that has none of these is kept."""
+    left = saved(meets.distinct(), "meets")
+    shared = saved(left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    met = saved(join_groups(left, shared, "bucket", "n", how="inner").select("node", "bucket"), "met")
+    nodes = saved(met.select("node").distinct(), "nodes")
+    alone = saved(left.select("node").distinct().join(hinted(nodes), "node", "left_anti"), "alone")
+    return alone.unionByName(rounds(met))
+
+
+def rounds(left: DataFrame) -> DataFrame:
+    """greedy() of distinct rows that are saved.
 
     Each round keeps what is first in all its buckets, and drops what meets that. A long chain takes half as many
     rounds as it has rows, so from the fourth on a rest of a bounded number of slim rows is gone through in order.
     """
-    left = saved(meets.distinct(), "meets")
     kept, turn = left.select("node").limit(0), 0
     while n := left.count():
         if turn >= ROUNDS and n <= OPEN:

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.operators.dedup import banded, field_texts, greedy
+from quernel.operators.dedup import banded, field_texts, rounds
 from quernel.store import free_name, hinted, join_groups, saved
 
 _BANDS, _KEPT = "bucket binary, node long", "node long"
@@ -125,6 +125,19 @@ class NearIndex:
         known = saved(self._known(counts, parts), "known")
         return saved(join_groups(bands, known, "bucket", "n", how="inner").select("node").distinct(), "hit")
 
+    def _gone(self, bands: DataFrame, parts: list[str]) -> DataFrame:
+        """The nodes of a batch that aren't kept. Only buckets that a part has, or that several rows have, can decide that,
+        so only their rows are moved."""
+        counts = saved(bands.groupBy("bucket").agg(F.count("*").alias("n")), "buckets")
+        known = self._known(counts, parts).withColumn("known", F.lit(True))
+        both = known.unionByName(counts.where("n > 1").withColumn("known", F.lit(False)))
+        shared = saved(both.groupBy("bucket").agg(F.max("n").alias("n"), F.max("known").alias("known")), "shared")
+        met = saved(join_groups(bands, shared, "bucket", "n", how="inner").select("node", "bucket", "known"), "met")
+        hit = saved(met.where("known").select("node").distinct(), "hit")
+        rest = saved(met.select("node", "bucket").join(hinted(hit), "node", "left_anti").distinct(), "rest")
+        stay = saved(rounds(rest), "stay")
+        return met.select("node").distinct().join(hinted(stay), "node", "left_anti")
+
     def add(self, df: DataFrame, batch: str, fields: list[str], order: str, all_rows: bool = False) -> DataFrame:
         """Add a batch and give the rows of it that are kept: first come first kept by ``order`` (a whole number, unique
         in the batch, not null), after all batches before it.
@@ -137,20 +150,22 @@ class NearIndex:
         log = self.log()
         done = next((e for e in log if e.batch == batch), None)
         if done is None:
-            bands = saved(banded(field_texts(df, fields, order), self.threshold).distinct(), "bands")
+            # a batch is often a range of the input, all in a few of its files: its texts are dealt out over all cores
+            texts = field_texts(df, fields, order).repartition(2 * self.spark.sparkContext.defaultParallelism, "node")
+            signed = banded(texts, self.threshold)
+            bands = saved(signed.distinct() if len(fields) > 1 else signed, "bands")
             parts = self._parts(log)
+            kept = df.select(F.col(order).cast("long").alias("node"))
             if all_rows:
-                kept = bands.select("node").distinct()
                 mine = saved(bands.groupBy("bucket").agg(F.min("node").alias("node")), "mine")
             else:
-                free = bands.join(hinted(self._hit(bands, parts)), "node", "left_anti") if parts else bands
-                kept = saved(greedy(free), "kept")
-                mine = saved(free.join(hinted(kept), "node", "left_semi"), "mine")
-            bare = df.where(F.coalesce(*[F.col(f) for f in fields]).isNull()).select(F.col(order).cast("long").alias("node"))
+                gone = hinted(saved(self._gone(bands, parts), "gone"))
+                kept, mine = (x.join(gone, "node", "left_anti") for x in (kept, bands))
             answer = f"kept-{uuid.uuid4().hex}"
-            kept.unionByName(bare).write.parquet(f"{self.folder}/{answer}")
-            rows = mine.count()
-            done = Entry(len(log), batch, self._put(mine) if rows else "", answer, rows)
+            kept.write.parquet(f"{self.folder}/{answer}")
+            part = self._put(mine) if bands.limit(1).count() else ""
+            rows = self._table(part).count() if part else 0
+            done = Entry(len(log), batch, part if rows else "", answer, rows)
             self._write(f"log/{len(log):08d}.json", done.__dict__)
             if len(parts) + 1 > self.most_parts:
                 self.merge()

@@ -102,3 +102,19 @@ def test_a_lookup_does_not_move_the_index(spark, docs, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     theirs = plan[plan.rindex("Sort [") :]  # the index's side of the join
     assert "near_index_part" in theirs and "Bucketed: true" in theirs and "Exchange" not in theirs
+
+
+def test_a_batch_in_one_part_of_the_input_is_signed_by_all_cores(spark, tmp_path, monkeypatch):
+    """And only buckets that several rows, or the index, have go through the greedy rounds."""
+    from quernel.operators import index as module
+
+    parts, contested = [], []
+    banded, rounds = module.banded, module.rounds
+    monkeypatch.setattr(module, "banded", lambda texts, threshold: parts.append(texts.rdd.getNumPartitions()) or banded(texts, threshold))
+    monkeypatch.setattr(module, "rounds", lambda left: contested.append(left.count()) or rounds(left))
+    own = [(i, f"text {i} of its own, {i * i} and {i ** 3} are in it") for i in range(40)] + [(90, "text 3 of its own, 9 and 27 are in it")]
+    df = spark.createDataFrame(own, "id long, text string").coalesce(1)
+    index = module.NearIndex(spark, f"file://{tmp_path}/spread", slots=4)
+    kept = {x.id for x in index.add(df.where("id < 20"), "a", ["text"], "id").collect()} | {x.id for x in index.add(df.where("id >= 20"), "b", ["text"], "id").collect()}
+    assert kept == {x.id for x in dedup.near_dedup(df, ["text"], "id").collect()} and 90 not in kept
+    assert min(parts) >= spark.sparkContext.defaultParallelism and max(contested) < 14 * 10
