@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quernel.operators import answers, models
 from quernel.operators.models import Run, Stub, ask, chat, executed
+from quernel.plans import tasks
 
 MOST = 8 << 20
 
@@ -40,3 +41,30 @@ def test_asked_in_bounded_batches(spark, monkeypatch, tmp_path):
 def test_run_in_bounded_batches(spark):
     got = executed(rows(spark).drop("talk"), {"a.v": "input"}, lambda files: Run(files["a.v"][-3:], "")).collect()
     assert {x["index"]: (x.stdout, x.stderr, x.timed_out) for x in got} == {i: (f"xxx{i}"[-3:], "", False) for i in range(60)}
+
+
+def _solved(prompt):
+    return f"<SOLUTION>{prompt.rpartition('INPUT:')[2]}</SOLUTION><REASON>why</REASON>"
+
+
+def _sure(prompt):
+    return f"<VALID>{int(prompt[-1]) % 2 == 0}</VALID><REASON>{prompt[-1]}</REASON>"
+
+
+def test_solution_task_in_bounded_batches(spark, monkeypatch):
+    """Model, judge and reward each see all of their rows, 8 MB of distinct texts in one task, in batches of their own."""
+    monkeypatch.setattr(models, "ThreadPoolExecutor", Watched)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    own = F.col("id") % 28  # rows 28 and 29 are copies of 0 and 1
+    words = F.transform(F.sequence(F.lit(1), F.lit(4600)), lambda k: F.sha2(F.concat_ws("|", own, k).cast("binary"), 256))
+    text = F.concat(F.array_join(words, " "), F.lit(" "), (own % 10).cast("string"))
+    seeds = spark.range(30).coalesce(1).select(F.col("id").alias("index"), text.alias("problem"))
+    bench = spark.createDataFrame([("a text of the benchmark", "and its solution")], "detail_description string, canonical_solution string")
+    o = tasks.Options(Stub(_solved), "INPUT:{problem}", context=1 << 20, judge=Stub(_sure), reward=Stub(lambda p: f"helpful:{p[-1]}"))
+    got = tasks.code_reason_generate(seeds, bench, o)
+    assert got.where("input <> output or raw <> concat('<SOLUTION>', input, '</SOLUTION><REASON>why</REASON>')").count() == 0
+    rows = {x["index"]: x for x in got.select("index", F.length("output").alias("n"), "reasoning", "llm_verification", "llm_reason", "rewards").collect()}
+    assert set(rows) == set(range(28)) and {x.n for x in rows.values()} == {4600 * 65 + 1}
+    for i, x in rows.items():
+        assert (x.reasoning, x.llm_verification, x.llm_reason) == ("why", i % 2 == 0, str(i % 10))
+        assert x.rewards == ({"helpful": float(i % 10)} if i % 2 == 0 else None)
