@@ -20,9 +20,13 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+#: Every character that Unicode calls white space.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column | str) -> Column:
-    """White space of any kind off both ends."""
-    return F.regexp_replace(_col(text), r"(?U)^\s+|\s+$", "")
+    """White space of any kind off both ends; only the ends are looked at."""
+    return F.btrim(_col(text), F.lit(SPACES))
 
 
 def _cut(text: Column, start: Column, end: Column) -> Column:
@@ -37,8 +41,8 @@ def tagged(text: Column | str, tag: str, close: str | None = None) -> Column:
     that a length limit has cut off.
     """
     t, first, last = _col(text), f"<{tag}>", close or f"</{tag}>"
-    a, b = F.instr(t, first), F.instr(t, last)
-    return F.when((a > 0) & (b > 0), strip(_cut(t, a + len(first), b)))
+    ends = F.struct(F.instr(t, first).alias("a"), F.instr(t, last).alias("b"))
+    return _once(ends, lambda x: F.when((x.a > 0) & (x.b > 0), strip(_cut(t, x.a + len(first), x.b))))
 
 
 def problem(text: Column | str, tag: str = "PROBLEM", close: str = "</PROBL", compat: bool = False) -> Column:

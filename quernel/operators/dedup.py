@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.operators.order import keep_first
-from quernel.store import digest, free_name, hinted, join_groups, looked, mapped, saved
+from quernel.store import among, digest, free_name, hinted, join_groups, looked, mapped, saved
 
 PRIME = (1 << 31) - 1
 BASE = 65599
@@ -47,48 +48,64 @@ def shingles(texts: list[str], size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     A shorter text is one run."""
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     length = np.fromiter(map(len, texts), np.int64, len(texts))
-    first = np.cumsum(length) - length
-    runs = np.maximum(length - size + 1, 1)
-    ends = np.cumsum(runs)
-    owner = np.repeat(np.arange(len(texts)), runs)
-    at = first[owner] + np.arange(int(ends[-1])) - np.repeat(ends - runs, runs)
-    h = np.zeros(len(at), np.uint64)
-    for j in range(size):
-        there = np.flatnonzero(j < length[owner]) if (length < size).any() else slice(None)
-        x = h[there] * np.uint64(BASE) + codes[at[there] + j]  # below 2 ** 48, so reduced by one addition
-        h[there] = (x & np.uint64(PRIME)) + (x >> np.uint64(31))
-    h = np.where(h >= np.uint64(PRIME), h - np.uint64(PRIME), h)
-    key = np.sort((owner.astype(np.uint64) << np.uint64(31)) | h)
+    prime, bits = np.uint64(PRIME), np.uint64(31)
+    powers = [np.uint64(pow(BASE, k, PRIME)) for k in range(size)]
+    owner = np.arange(len(texts), dtype=np.uint64) << bits
+    key, n = np.empty(0, np.uint64), max(len(codes) - size + 1, 0)
+    if n:
+        # a run's hash at every place of all texts; a sum of ``size`` products below 2 ** 52
+        h = codes[size - 1 :].copy()
+        for j in range(size - 1):
+            h += codes[j : j + n] * powers[size - 1 - j]
+        h = _reduced(h)
+        whole, ends = np.ones(len(codes), bool), np.cumsum(length)
+        for j in range(1, size):
+            whole[ends - j] = False  # such a run would go on in the next text
+        key = (np.repeat(owner, length)[:n] | h)[whole[:n]]
+    short = np.flatnonzero(length < size)
+    if len(short):
+        first, h = np.cumsum(length) - length, np.zeros(len(short), np.uint64)
+        for j in range(size - 1):
+            there = np.flatnonzero(length[short] > j)
+            h[there] = _reduced(h[there] * powers[1] + codes[first[short[there]] + j])
+        key = np.append(key, owner[short] | h)
+    key.sort()
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
     key = key[new]
-    return (key & np.uint64(PRIME)), np.searchsorted(key >> np.uint64(31), np.arange(len(texts)).astype(np.uint64))
+    return (key & prime), np.searchsorted(key >> bits, np.arange(len(texts)).astype(np.uint64))
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x mod PRIME of numbers below 2 ** 60, by adding their upper bits to the 31 lower ones."""
+    prime, bits = np.uint64(PRIME), np.uint64(31)
+    x = (x & prime) + (x >> bits)
+    return np.where(x >= prime, x - prime, x)
 
 
 def minima(texts: list[str], a: np.ndarray, b: np.ndarray, size: int = 5) -> np.ndarray:
-    """Least (a h + b) mod PRIME over each text's shingles: texts x permutations. Numbers below 2 ** 62 are reduced by
-    adding their upper bits to the 31 lower ones, twice."""
+    """Least (a h + b) mod PRIME over each text's shingles: texts x permutations.
+
+    Remainders r are compared as fractions of 2 ** 64: h times a / PRIME, plus b / PRIME, both rounded up, and kept to 64
+    bits, which drops whole multiples of PRIME. That is off by at most h + 1 < 2 ** 31 + 1, and neighbouring remainders are
+    over 2 ** 33 apart, so the least fraction is that of the least r, and gives it exactly.
+    """
     h, first = shingles(texts, size)
-    prime, bits = np.uint64(PRIME), np.uint64(31)
-    out = np.full((len(a), len(texts)), prime, np.uint64)
+    a, b = (np.array([(int(x) << 64) // PRIME + 1 for x in own], np.uint64)[:, None] for own in (a, b))
+    out = np.full((len(a), len(texts)), np.iinfo(np.uint64).max, np.uint64)
     for lo in range(0, len(h), SPAN):
         part = h[lo : lo + SPAN]
         low = int(np.searchsorted(first, lo, "right")) - 1
         high = int(np.searchsorted(first, lo + len(part), "left"))
         starts = np.maximum(first[low:high] - lo, 0)
-        x, upper = np.empty((9, len(part)), np.uint64), np.empty((9, len(part)), np.uint64)
+        y = np.empty((9, len(part)), np.uint64)
         for k in range(0, len(a), 9):
             own = slice(k, min(k + 9, len(a)))
-            y, z = x[: own.stop - k], upper[: own.stop - k]
-            np.multiply(a[own, None], part[None], out=y)
-            y += b[own, None]
-            for _ in range(2):
-                np.right_shift(y, bits, out=z)
-                y &= prime
-                y += z
-            y[y == prime] = 0
-            np.minimum(out[own, low:high], np.minimum.reduceat(y, starts, axis=1), out=out[own, low:high])
-    return out.T
+            x = np.multiply(a[own], part[None], out=y[: own.stop - k])
+            x += b[own]
+            np.minimum(out[own, low:high], np.minimum.reduceat(x, starts, axis=1), out=out[own, low:high])
+    prime, half, lower = np.uint64(PRIME), np.uint64(32), np.uint64((1 << 32) - 1)
+    return ((out >> half) * prime + ((out & lower) * prime >> half) >> half).T
 
 
 def _signatures(bands: int, rows: int, size: int):
@@ -214,13 +231,8 @@ def near_dedup(df: DataFrame, fields: list[str], order: str, reference: DataFram
         hit = saved(looked(meets, known, ["bucket"], "left_semi").select("node").distinct(), "hit")
         meets = meets.join(hinted(hit), "node", "left_anti")
     kept = greedy(meets)
-    node = free_name(df, "its_node")
-    bare = df.where(F.coalesce(*[F.col(f) for f in fields]).isNull()).select(F.col(order).cast("long").alias("node"))
-    stay = saved(kept.unionByName(bare).select(F.col("node").alias(node)), "stay")
-    same = F.col(order).cast("long") == F.col(node)
-    if mark is not None:
-        return df.drop(mark).join(hinted(stay), same, "left").withColumn(mark, F.col(node).isNotNull()).drop(node)
-    return df.join(hinted(stay), same, "left_semi")
+    bare = df.where(reduce(lambda x, y: x & y, [F.col(f).isNull() for f in fields])).select(F.col(order).cast("long").alias("node"))
+    return among(df, F.col(order).cast("long"), kept.unionByName(bare), mark)
 
 
 def exact_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:

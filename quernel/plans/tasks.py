@@ -49,14 +49,23 @@ def reference_texts(benchmark: DataFrame, solutions: bool = True) -> DataFrame:
     return both.select(F.explode(F.array(*columns)).alias("text"))
 
 
-def prompted(df: DataFrame, o: Options, **values: Column | str) -> DataFrame:
+def prompted(df: DataFrame, o: Options, then: Callable[[DataFrame], DataFrame] | None = None, /, **values: Column | str) -> DataFrame:
     """All rows with ``response`` and ``error``: the template filled in, and asked of the model for as many tokens as
-    its context leaves. A prompt that leaves none isn't asked, and ``error`` says so."""
+    its context leaves. A prompt that leaves none isn't asked, and ``error`` says so. ``then`` parses the answers: what it
+    adds is written with them, so that answers are gone through once."""
     prompt, most, talk = (free_name(df, x) for x in ("its_prompt", "its_most", "its_talk"))
     rows = df.withColumn(prompt, X.formatted(o.template, **values))
-    rows = rows.withColumn(most, X.token_budget(X.token_count(prompt, o.tokenizer), o.max_new, o.context))
-    rows = rows.withColumn(most, F.coalesce(most, F.lit(0))).withColumn(talk, chat(o.system, F.col(prompt)))
-    return ask(rows, talk, o.client, o.engine, most, o.temperature, o.attempts, log=o.log).drop(talk, prompt, most)
+    budget = X.token_budget(X.token_count(prompt, o.tokenizer), o.max_new, o.context)
+    if o.tokenizer is None:  # a text has no more words and signs than characters, so a short one isn't counted
+        short = X.token_budget(F.length(prompt), o.max_new, o.context) == o.max_new
+        budget = F.when(short & F.col(prompt).isNotNull(), F.lit(o.max_new)).otherwise(budget)
+    rows = rows.withColumn(most, F.coalesce(budget, F.lit(0))).withColumn(talk, chat(o.system, F.col(prompt))).drop(prompt)
+    return ask(rows, talk, o.client, o.engine, most, o.temperature, o.attempts, log=o.log, drop=(talk, most), then=then)
+
+
+def tagged_or_fenced(df: DataFrame) -> DataFrame:
+    """Answered rows with ``problem``: the tagged one, else the first fenced block, else the answer."""
+    return df.withColumn("problem", F.coalesce(X.tagged("response", "PROBLEM"), X.fenced("response")))
 
 
 def emitted(df: DataFrame, result: str, allow_empty: bool = True) -> DataFrame:
@@ -75,45 +84,44 @@ def evaluated(df: DataFrame, o: Options, code: str = "output") -> DataFrame:
     Adds iverilog_compiler_passed, iverilog_compiler_log, llm_verification, llm_reason and rewards, null where a
     stage wasn't run.
     """
-    kept = df.columns
-    out = df
+    # all rows go on, each asked or not, so none is moved; columns that the stages would replace wait under other names
+    held = {c: free_name(df, f"its_{c}") for c in df.columns if c in ("response", "error")}
+    out, code = df.withColumnsRenamed(held), held.get(code, code)
     if o.runner is not None:
         ran = executed(out, {"design.v": code}, o.runner)
         log = F.concat_ws("\n", "stdout", "stderr")
         out = ran.withColumn("iverilog_compiler_log", log).withColumn("iverilog_compiler_passed", X.compiles("iverilog_compiler_log")).drop("stdout", "stderr", "timed_out")
     else:
         out = out.withColumn("iverilog_compiler_log", F.lit(None).cast("string")).withColumn("iverilog_compiler_passed", F.lit(None).cast("boolean"))
-    passed = out.where(F.coalesce("iverilog_compiler_passed", F.lit(True)))
-    none = {"llm_verification": "boolean", "llm_reason": "string", "rewards": "map<string,double>"}
+    sure = F.coalesce("iverilog_compiler_passed", F.lit(True))
     if o.judge is not None:
         asked = F.concat(F.lit("Is this answer right? Say True or False in VALID tags, and why in REASON tags.\n"), F.col("input"), F.lit("\n"), F.col(code))
-        passed = judged(passed, asked, o.judge, engine=o.engine)
-        none = {"rewards": none["rewards"]}
+        out = judged(out, asked, o.judge, where=sure, engine=o.engine)
+        sure = sure & F.coalesce("llm_verification", F.lit(True))
+    else:
+        out = out.withColumn("llm_verification", F.lit(None).cast("boolean")).withColumn("llm_reason", F.lit(None).cast("string"))
     if o.reward is not None:
-        sure = passed.where(F.coalesce("llm_verification", F.lit(True))) if o.judge is not None else passed
-        talk = free_name(sure, "its_talk")
-        replied = ask(sure.withColumn(talk, chat(None, F.concat("input", F.lit("\n"), F.col(code)))), talk, o.reward)
-        scores = scored(replied, "response").select("index", "rewards")
-        passed = passed.join(scores, "index", "left")
-        none.pop("rewards", None)
-    for name, kind in none.items():
-        passed = passed.withColumn(name, F.lit(None).cast(kind))
-    extra = [c for c in passed.columns if c not in out.columns]
-    return out.join(passed.select("index", *extra), "index", "left").select(*kept, "iverilog_compiler_passed", "iverilog_compiler_log", "llm_verification", "llm_reason", "rewards")
+        talk = free_name(out, "its_talk")
+        asked = F.when(sure, chat(None, F.concat("input", F.lit("\n"), F.col(code))))
+        out = ask(out.withColumn(talk, asked), talk, o.reward, drop=(talk,), then=lambda x: scored(x, "response").drop("response", "error"))
+    else:
+        out = out.withColumn("rewards", F.lit(None).cast("map<string,double>"))
+    own = [F.col(held.get(c, c)).alias(c) for c in df.columns]
+    return out.select(*own, "iverilog_compiler_passed", "iverilog_compiler_log", "llm_verification", "llm_reason", "rewards")
 
 
 def instruct_generate_large(seeds: DataFrame, pool: DataFrame, benchmark: DataFrame, o: Options) -> DataFrame:
     """index, seed, problem, raw: new problems after examples of the pool (column ``text``), taken in turn."""
     ready = few_shot(pool, "text", o)
     drawn = cyclic(seeds.select("index"), ready)
-    got = prompted(drawn, o, icl_problem="text").withColumn("problem", X.problem("response", compat=o.compat))
+    got = prompted(drawn, o, lambda x: x.withColumn("problem", X.problem("response", compat=o.compat)), icl_problem="text")
     rows = emitted(got, "problem")
     return decontaminated(rows, o, ["problem"], reference_texts(benchmark, False)).select("index", F.col("text").alias("seed"), "problem", F.col("response").alias("raw"))
 
 
 def oss_generate_large(seeds: DataFrame, benchmark: DataFrame, o: Options) -> DataFrame:
     """index, oss_input, problem, raw: problems after a piece of code (column ``input``)."""
-    got = prompted(seeds.select("index", "input"), o, code="input").withColumn("problem", F.coalesce(X.tagged("response", "PROBLEM"), X.fenced("response")))
+    got = prompted(seeds.select("index", "input"), o, tagged_or_fenced, code="input")
     rows = emitted(got, "problem")
     return decontaminated(rows, o, ["problem"], reference_texts(benchmark)).select("index", F.col("input").alias("oss_input"), "problem", F.col("response").alias("raw"))
 
@@ -122,16 +130,16 @@ def instruct_generate_wiki(seeds: DataFrame, benchmark: DataFrame, o: Options) -
     """index, title, problem, raw: problems about an entity: its title, or by a coin its title and text."""
     coin = F.substring(seeded_key(o.seed, "index"), 1, 1) < "8"
     entity = F.when(coin, F.col("title")).otherwise(F.concat(F.lit("***"), F.col("title"), F.lit("***\n"), F.col("text")))
-    got = prompted(seeds.select("index", "title", "text"), o, entity=entity)
-    rows = emitted(got.withColumn("problem", F.coalesce(X.tagged("response", "PROBLEM"), X.fenced("response"))), "problem")
+    got = prompted(seeds.select("index", "title", "text"), o, tagged_or_fenced, entity=entity)
+    rows = emitted(got, "problem")
     return decontaminated(rows, o, ["problem"], reference_texts(benchmark, False)).select("index", "title", "problem", F.col("response").alias("raw"))
 
 
 def code_reason_generate(seeds: DataFrame, benchmark: DataFrame, o: Options) -> DataFrame:
     """index, input, output, reasoning, raw and the columns of ``evaluated``: solutions to problems."""
     solution, reason = X.solution_and_reason("response", o.compat)
-    got = prompted(seeds.select("index", "problem"), o, problem="problem").withColumn("output", solution).withColumn("reasoning", reason)
-    rows = emitted(got.withColumn("output", X.fenced("output")), "output")
+    parsed = lambda x: x.withColumn("output", solution).withColumn("reasoning", reason).withColumn("output", X.fenced("output"))
+    rows = emitted(prompted(seeds.select("index", "problem"), o, parsed, problem="problem"), "output")
     clean = decontaminated(rows, o, ["output"], reference_texts(benchmark))
     return evaluated(clean.select("index", F.col("problem").alias("input"), "output", "reasoning", F.col("response").alias("raw")), o)
 
@@ -140,8 +148,8 @@ def code_reason_oss(seeds: DataFrame, benchmark: DataFrame, o: Options) -> DataF
     """input, output and the columns of ``evaluated``: solutions beside reference code (column ``oss_input``);
     overlap is looked for before the code is taken out of its fence."""
     solution, _ = X.lenient_solution_and_reason("response")
-    got = prompted(seeds.select("index", "problem", "oss_input"), o, reference_code="oss_input", problem="problem")
-    rows = emitted(got.withColumn("output", solution), "output")
+    got = prompted(seeds.select("index", "problem", "oss_input"), o, lambda x: x.withColumn("output", solution), reference_code="oss_input", problem="problem")
+    rows = emitted(got, "output")
     clean = decontaminated(rows, o, ["output"], reference_texts(benchmark)).withColumn("output", X.fenced("output"))
     return evaluated(clean.select("index", F.col("problem").alias("input"), "output"), o).drop("index")
 
@@ -150,8 +158,8 @@ def oss_repair(seeds: DataFrame, reports: DataFrame, benchmark: DataFrame, o: Op
     """index, input (the repair task), output (the code as it was), error, correct, reason, task_id."""
     pool = numbered(reports.select("error", "correct", "reason", "task_id"), [], [seeded_key(87, "task_id", "error"), F.col("task_id"), F.col("error")], "i")
     drawn = cyclic(seeds.select("index", F.col("input").alias("code")), pool)
-    got = prompted(drawn.withColumnRenamed("error", "shown"), o, icl_error="shown", icl_reason="reason", icl_correct="correct", code="code")
-    rows = emitted(got.withColumn("problem", X.problem("response", compat=o.compat)), "problem")
+    parsed = lambda x: x.withColumn("problem", X.problem("response", compat=o.compat))
+    rows = emitted(prompted(drawn.withColumnRenamed("error", "shown"), o, parsed, icl_error="shown", icl_reason="reason", icl_correct="correct", code="code"), "problem")
     clean = decontaminated(rows, o, ["problem"], reference_texts(benchmark))
     return clean.select("index", F.col("problem").alias("input"), F.col("code").alias("output"), F.col("shown").alias("error"), "correct", "reason", "task_id")
 

@@ -794,7 +794,8 @@ def _echo(prompt: str) -> str:
 
 
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("index"), F.col("text").alias("input"), F.col("text").alias("problem"), F.col("text").alias("oss_input"), F.col("source").alias("title"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return docs.select(F.col("doc_id").alias("index"), F.col("text").alias("input"), F.col("text").alias("problem"), F.col("text").alias("oss_input"), F.col("source").alias("title"), "text")
 
 
 def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:

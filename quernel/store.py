@@ -161,6 +161,30 @@ def looked(rows: DataFrame, small: DataFrame, on: list[str], how: str = "left")
     return out.select(*rows.columns, *(values if how in ("left", "inner") else []))
 
 
+#: Most words of 64 ids each that are broadcast, two numbers a word.
+MAX_WORDS = 500_000
+
+
+def among(rows: DataFrame, key: Column, ids: DataFrame, mark: str | None = None) -> DataFrame:
+    """The rows whose whole number ``key`` is among ``ids`` (one column, long); with ``mark``, all rows, and a column of
+    that name that says so.
+
+    Ids go as bits, 64 of neighbouring ids to a word, so those of a dense range are broadcast up to many millions, and the
+    rows stay where they are. Beyond MAX_WORDS words (counted) both sides are shuffled by word.
+    """
+    rows = rows if mark is None else rows.drop(mark)
+    word, bits = (free_name(rows, x) for x in ("its_word", "its_bits"))
+    low = lambda x: x.bitwiseAND(F.lit(63).cast("long")).cast("int")
+    own = ids.toDF("id").where("id is not null")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), low(F.col("id")))
+    words = saved(own.groupBy(F.shiftright("id", 6).alias(word)).agg(F.bit_or(bit).alias(bits)), "words")
+    words = F.broadcast(words) if words.count() <= MAX_WORDS else words
+    same = (F.shiftright(key, 6) == F.col(word)) & (F.bit_get(F.col(bits), low(key)) == 1)
+    if mark is None:
+        return rows.join(words, same, "left_semi")
+    return rows.join(words, same, "left").withColumn(mark, F.col(word).isNotNull()).drop(word, bits)
+
+
 #: Most rows, and most bytes of texts in them, of a table that is broadcast; both are counted first.
 MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 50_000, 16 << 20
 

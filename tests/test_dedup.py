@@ -188,3 +188,46 @@ def test_rouge_compares_only_pairs_that_can_be_over(spark):
     pairs = dedup.rouge_candidates(lists(df, F.col("doc_id").alias("id")), lists(bench.distinct(), F.monotonically_increasing_id().alias("id")), 0.7)
     assert pairs.count() < 0.25 * 190 * 20
 
+
+
+def test_minima_at_the_ends_of_the_range(monkeypatch):
+    """Remainders 0 and PRIME - 1, and neighbours, are told apart as whole numbers would be."""
+    rng, p = random.Random(5), dedup.PRIME
+    for _ in range(200):
+        a, b = rng.choice([1, p - 1, rng.randrange(1, p)]), rng.choice([0, p - 1, rng.randrange(p)])
+        back = pow(a, -1, p)
+        some = [(r - b) * back % p for r in rng.choice([[0, 1, p - 1], [p - 1], [p - 2, p - 1], [rng.randrange(p)], [7, 8]])]
+        h = np.array(sorted(some), np.uint64)
+        monkeypatch.setattr(dedup, "shingles", lambda texts, size, h=h: (h, np.array([0])))
+        assert int(dedup.minima(["x"], np.array([a], np.uint64), np.array([b], np.uint64))[0, 0]) == min((a * x + b) % p for x in some)
+
+
+def test_kept_rows_stay_where_they_are(spark, monkeypatch):
+    """Which rows are kept is broadcast as bits also where those are many, so texts aren't shuffled for it."""
+    monkeypatch.setattr("quernel.store.MAX_BROADCAST_ROWS", 3)
+    own = texts(11, 40)
+    df = spark.createDataFrame([(i * 7 - 50, t) for i, t in enumerate(own)] + [(900, None)], "i long, t string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for mark in (None, "stays"):
+            got = dedup.near_dedup(df, ["t"], "i", mark=mark)
+            assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+            kept = got if mark is None else got.where("stays")
+            assert sorted(x.i for x in kept.collect()) == sequential([(i * 7 - 50, [t]) for i, t in enumerate(own)] + [(900, [None])])
+            assert mark is None or got.count() == 41
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_among_many_ids(spark, monkeypatch):
+    from quernel import store
+
+    keys = [*range(-70, 70), 1 << 62, -(1 << 63), (1 << 63) - 1, None]
+    rows = spark.createDataFrame([(k, "x") for k in keys for _ in range(2)], "k long, its_word string")
+    ids = [k for k in keys if k is not None and k % 3 == 0] + [None, 5000]
+    for most in (store.MAX_WORDS, 0):
+        monkeypatch.setattr(store, "MAX_WORDS", most)
+        got = store.among(rows, F.col("k"), spark.createDataFrame([(i,) for i in ids], "n long"))
+        assert got.columns == rows.columns and sorted(x.k for x in got.collect()) == sorted(2 * [k for k in keys if k in ids and k is not None])
+        said = store.among(rows, F.col("k"), spark.createDataFrame([(i,) for i in ids], "n long"), "m").collect()
+        assert len(said) == 2 * len(keys) and all(x.m is (x.k is not None and x.k in ids) for x in said)

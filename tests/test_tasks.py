@@ -164,3 +164,37 @@ def test_first_completions_and_final_reports(spark):
     told = spark.createDataFrame([("t", "b", "described", "module m();")], "task_id string, benchmark string, detail_description string, header string")
     got = report.final_reports(reports, told, told, checked=True).collect()
     assert {(x.problem, x.error, x.correct) for x in got} == {("described", "module m();c", "module m();right"), ("described", "module m();d", "module m();right")}
+
+
+def test_evaluated_rows_are_not_moved(spark, seeds, bench):
+    """Each stage's rows go on to the next, asked or not: texts are neither joined nor parsed again."""
+
+    def runner(files):
+        return Run("", "error" if "registers" in files["design.v"] else "")
+
+    o = tasks.Options(Stub(told), "INPUT:{problem}", runner=runner, judge=Stub(lambda p: f"<VALID>{'quick' in p}</VALID>"), reward=Stub(lambda p: "helpful:2.5"))
+    got = tasks.code_reason_generate(seeds, bench, o)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "instr" not in plan and "MapInArrow" not in plan
+    assert got.count() == 3
+    # columns that stages use for their answers are kept, and equal indices aren't multiplied
+    rows = spark.createDataFrame([(1, "in", "quick", "r", "e"), (1, "in", "registers", "s", None)], "index long, input string, response string, kept string, error string")
+    out = {x.response: x for x in tasks.evaluated(rows, o, "response").collect()}
+    assert {k: (x.kept, x.error, x.iverilog_compiler_passed, x.llm_verification, x.rewards) for k, x in out.items()} == {"quick": ("r", "e", True, True, {"helpful": 2.5}), "registers": ("s", None, False, None, None)}
+
+
+def test_rows_without_messages_are_not_asked(spark, tmp_path):
+    df = spark.createDataFrame([("a",), ("b",)], "t string").withColumn("talk", F.when(F.col("t") == "a", F.array(F.struct(F.lit("user").alias("role"), F.col("t").alias("content")))))
+    for log in (None, f"file://{tmp_path}/log"):
+        got = ask(df, "talk", Stub(lambda p: p + "!"), log=log, drop=("talk",), then=lambda x: x.withColumn("n", F.length("response")))
+        assert got.columns == ["t", "response", "error", "n"]
+        assert {tuple(x) for x in got.collect()} == {("a", "a!", None, 2), ("b", None, None, None)}
+
+
+def test_seeds_are_dealt_out(spark, tmp_path):
+    """One file of one row group is work for all cores."""
+    from quernel import queries
+
+    spark.range(100).selectExpr("id AS doc_id", "'text' AS text", "'web' AS source").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    seeds = queries._seeds(spark, str(tmp_path)).select("index", "problem")
+    assert seeds.count() == 100 and seeds.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

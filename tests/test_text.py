@@ -113,3 +113,9 @@ def test_tokens_by_rule_and_by_tokenizer(spark):
     assert one(spark, X.token_limited("t", 2, Letters()), t="abc") == "ab" and one(spark, X.token_limited("t", 9, Letters()), t="abc") == "abc"
     null = spark.createDataFrame([(None,)], "t string").select(X.token_count("t").alias("a"), X.token_count("t", Letters()).alias("b"), X.token_limited("t", 1).alias("c"), X.token_limited("t", 1, Letters()).alias("d")).first()
     assert list(null) == [None] * 4
+
+
+def test_strip_takes_all_white_space_off_both_ends(spark):
+    for x in (*X.SPACES, X.SPACES):
+        assert one(spark, X.strip("t"), t=f"{x}a{x}b{x}") == f"a{x}b"
+    assert one(spark, X.strip("t"), t=X.SPACES) == "" and one(spark, X.strip("t"), t="\u200b a\u180e") == "\u200b a\u180e"
