@@ -112,7 +112,7 @@ def ask(
         most = F.col(max_tokens) if isinstance(max_tokens, str) else F.lit(max_tokens)
         answered = logged(df, messages, most, one, log, engine, temperature, threads).drop(*drop)
         answered = answered.withColumn("response", unescaped("response", engine))
-        return saved(then(answered), "answers") if then else answered
+        return saved(then(answered), "answers", texts=True) if then else answered
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with ThreadPoolExecutor(threads) as pool:
@@ -129,7 +129,7 @@ def ask(
     left = [c for c in names if c not in drop]
     schema = df.select(*left).schema.add("response", "string").add("error", "string")
     answered = mapped(df.select(*names), run, schema).withColumn("response", unescaped("response", engine))
-    return saved(then(answered) if then else answered, "answers")
+    return saved(then(answered) if then else answered, "answers", texts=True)
 
 
 def judged(df: DataFrame, prompt: Column, client: Client, target: str = "True", tag: str = "VALID", where: Column | None = None, **options) -> DataFrame:
@@ -262,7 +262,7 @@ def executed(df: DataFrame, files: dict[str, str], runner: Runner) -> DataFrame:
             yield told.append_column("timed_out", pa.array([g[2] for g in got], pa.bool_()))
 
     schema = df.select("*").schema.add("stdout", "string").add("stderr", "string").add("timed_out", "boolean")
-    return saved(mapped(df, run, schema), "runs")
+    return saved(mapped(df, run, schema), "runs", texts=True)
 
 
 def tested(df: DataFrame, files: dict[str, str], runner: Runner, rtllm: Column | bool = False, compile_only: bool = False) -> DataFrame:
